@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, token_files, url_filter
+from . import decontaminate, line_dedup, ngram_join, quality, sentence_spans, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -24,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.link_documents(docs, k=3, percent=90).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.drop_repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = decontaminate.mark_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, _ = url_filter.split_url(F.col("url"))
@@ -49,6 +64,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
+    "op3_sentence_spans": op3_sentence_spans,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
