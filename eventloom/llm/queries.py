@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, quality, sentence_spans, token_files, url_filter
+from . import context_mixing, decontaminate, line_dedup, ngram_join, quality, sentence_spans, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -63,6 +63,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digest(token_files.read_token_files(spark, out))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_sentence_spans": op3_sentence_spans,
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 _RULES_SQL = "\n".join(
