@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, line_dedup, ngram_join, quality, sentence_spans, token_files, url_filter
+from . import context_mixing, decontaminate, line_dedup, ngram_join, quality, sentence_spans, suffix_dedup, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -52,6 +52,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_frequent_lines(docs, "source", "text").select("doc_id", "n_lines", "n_dropped", "text")
@@ -73,6 +77,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_context_mixing": op10_context_mixing,

@@ -79,6 +79,8 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, row numbers) for each bucket that occurs; keeps the order of rows."""
     order = np.argsort(bucket, kind="stable")
     of = bucket[order]
-    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+    if not len(of):
+        return
+    cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     for lo, hi in zip(cuts, [*cuts[1:], len(of)], strict=True):
         yield int(of[lo]), order[lo:hi]
