@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, line_dedup, ngram_join, quality, sentence_spans, suffix_dedup, token_files, url_filter
+from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, quality, sentence_spans, suffix_dedup, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 #: Names whose domains are on the block list; the listed domains themselves come from the pages.
 LISTED_NAMES = ["spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track"]
 BYTE_BPE, END_ID = "byte_bpe_50k.json", 2
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lattice_sampling.sample_segmentations(docs, tokenizer_path(PIECES), F.col("doc_id"), keep=["doc_id"], digest=True)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_join.link_documents(docs, k=3, percent=90).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -72,6 +78,7 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lattice_sampling": op1_lattice_sampling,
     "op2_ngram_join": op2_ngram_join,
     "op3_sentence_spans": op3_sentence_spans,
     "op4_decontaminate": op4_decontaminate,
