@@ -41,7 +41,7 @@ def _is_frame(line: Column) -> Column:
 
 def top_frames(trace: Column, n: int = 6) -> Column:
     """The first n lines of a trace that look like frames, normalised."""
-    lines = F.filter(F.transform(F.split(F.coalesce(trace, F.lit("")), "\n"), F.trim), lambda x: (x != "") & _is_frame(x))
+    lines = F.filter(F.transform(F.split(F.coalesce(trace, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & _is_frame(x))
     return F.transform(F.slice(lines, 1, n), normalise_message)
 
 
@@ -126,7 +126,8 @@ def test_counts(text: Column, dialect: str) -> Column:
     if dialect == "gotest":
         mark = lambda x: F.when(F.trim(x).startswith("--- PASS: "), "pass").when(F.trim(x).startswith("--- FAIL: "), "fail").when(F.trim(x).startswith("--- SKIP: "), "skip").otherwise(F.regexp_extract(x, r'"Action":"(pass|fail|skip)"', 1))
         marks = F.transform(lines, mark)
-        return pack(*[F.size(F.filter(marks, lambda x, w=w: x == w)) for w in ("pass", "fail", "skip")])
+        count = lambda w: F.size(F.filter(marks, lambda x: x == w))
+        return pack(*map(count, ("pass", "fail", "skip")))
     if dialect == "auto":
         each = [test_counts(text, d) for d in ("pytest", "vitest", "gotest")]
         return pack(*[F.greatest(*[e[c] for e in each]) for c in ("passed", "failed", "skipped")])

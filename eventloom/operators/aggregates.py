@@ -34,7 +34,7 @@ def n_plus_one(events: DataFrame, threshold: int = 3, times: int = 0) -> DataFra
     """Statements that a session repeats: a row for each session and template, most frequent first.
 
     `times` lists up to that many of the earliest whole-second times of the calls."""
-    agg = [F.count(F.lit(1)).alias("count"), F.sum("duration_ns").alias("total_duration_ns"), F.min_by("sql", "sequence").alias("example_sql")]
+    agg = [F.count(F.lit(1)).alias("count"), F.sum("duration_ns").alias("total_duration_ns"), F.min_by("sql", F.struct("sequence", "sql")).alias("example_sql")]
     if times:
         w = W.partitionBy("session_id", "sql_normalized").orderBy("sequence")
         events = query_calls(events).withColumn("__n", F.row_number().over(w))
