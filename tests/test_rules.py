@@ -1,0 +1,164 @@
+"""Fixtures of the rules: chains, comparison, redaction, signatures, graphs, test output."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from eventloom.functions import redact, text
+from eventloom.operators import chain, compare, filters, graph, privacy
+from eventloom.schema import EVENT_DDL
+
+
+def make_events(spark, rows):
+    """rows: (session, sequence, kind, severity, seconds, payload)."""
+    at = lambda s: dt.datetime(2023, 11, 14, 22, 13, 20) + dt.timedelta(seconds=s)
+    data = [(f"{s}-{n}", s, "p", n, "core", kind, sev, at(sec), n, None, None, None, 1, load, "internal", None, None) for s, n, kind, sev, sec, load in rows]
+    return spark.createDataFrame(data, EVENT_DDL)
+
+
+def sealed(spark, n=5):
+    return chain.seal_chain(make_events(spark, [("s", i, "test.sample", "info", i, f'{{"sequence":{i}}}') for i in range(n)]))
+
+
+def fault(df):
+    r = chain.verify_chain(df).first()
+    return r["ok"], r["event_index"], r["error"]
+
+
+def test_chain_holds_and_damage_is_found(spark):
+    good = sealed(spark)
+    assert fault(good)[0]
+    assert fault(good.withColumn("payload", F.when(F.col("sequence") == 1, "{}").otherwise(F.col("payload")))) == (False, 1, "HashMismatch")
+    assert fault(good.filter("sequence != 2"))[1:] == (2, "BrokenLink")
+    assert fault(good.withColumn("previous_hash", F.when(F.col("sequence") == 3, None).otherwise(F.col("previous_hash"))))[1:] == (3, "BadGenesis")
+    late = chain.seal_chain(make_events(spark, [("s", 0, "k", "info", 10, "{}"), ("s", 1, "k", "info", 9, "{}")]))
+    assert fault(late)[1:] == (1, "TimeOutOfOrder")
+    assert chain.verify_chain(good.limit(0)).count() == 0
+
+
+def test_null_and_plain_payloads_are_sealed(spark):
+    df = chain.seal_chain(make_events(spark, [("s", 0, "k", "info", 0, None), ("s", 1, "k", "info", 1, "plain \"text\"")]))
+    assert fault(df)[0]
+
+
+def pair_events(spark, base, cand):
+    rows = [(s, i, k, sev, i, "{}") for s, side in (("a", base), ("b", cand)) for i, (k, sev) in enumerate(side)]
+    return make_events(spark, rows), spark.createDataFrame([("a", "b")], "baseline string, candidate string")
+
+
+@pytest.mark.parametrize(
+    "base, cand, verdict",
+    [
+        ([("session.started", "info")], [("session.started", "info")], "clean"),
+        ([("session.started", "info")], [("session.started", "info"), ("process.exited", "error")], "broken"),
+        ([("session.started", "info")] * 3, [("session.started", "info")] * 5, "suspicious"),
+    ],
+)
+def test_verdicts(spark, base, cand, verdict):
+    events, pairs = pair_events(spark, base, cand)
+    assert compare.verdict(compare.compare_sessions(events, pairs), pairs).first()["verdict"] == verdict
+
+
+def test_preceding_event_is_reported(spark):
+    events, pairs = pair_events(spark, [("session.started", "info")], [("session.started", "info"), ("file.modified", "info"), ("process.exited", "fatal")])
+    rows = {r["title"]: r for r in compare.compare_sessions(events, pairs).collect()}
+    assert rows["Event immediately preceded first failure: file.modified"]["sequence"] == 1
+
+
+SECRETS = [
+    ("AKIA" + "IOSFODNN7EXAMPLE", "api-key"),
+    ("ghp_" + "a" * 36, "api-key"),
+    ("-----BEGIN " + "PRIVATE KEY-----", "private-key-block"),
+    ("postgres://app:" + "supersecret@db.local:5432/main", "database-url"),
+    ("contact me at user@example.com please", "email-address"),
+]
+
+
+@pytest.mark.parametrize("value, kind", SECRETS)
+def test_secrets_are_redacted_once(spark, value, kind):
+    df = spark.createDataFrame([("e", "é " + value)], "event_id string, payload string")
+    r = df.select(redact.redact_text(F.col("payload"), F.col("event_id")).alias("r")).first()["r"]
+    assert [f["kind"] for f in r["findings"]] == [kind]
+    f = r["findings"][0]
+    raw = ("é " + value).encode()[f["span_start"] : f["span_end"]].decode()
+    assert raw in value and raw not in r["redacted"] and "<REDACTED:" in r["redacted"]
+    again = spark.createDataFrame([("e", r["redacted"])], "event_id string, payload string")
+    assert again.select(redact.redact_text(F.col("payload"), F.col("event_id")).alias("r")).first()["r"]["findings"] == []
+
+
+def test_json_values_are_redacted_and_keys_kept(spark):
+    df = spark.createDataFrame([("e", '{"a@b.org":{"x":["me@x.org",1,null]}}'), ("f", None), ("g", "no json me@x.org")], "event_id string, payload string")
+    rows = {r["event_id"]: r["r"] for r in df.select("event_id", redact.redact_json(F.col("payload"), F.col("event_id")).alias("r")).collect()}
+    assert rows["e"]["redacted"].startswith('{"a@b.org":{"x":["<REDACTED:EMAIL') and len(rows["e"]["findings"]) == 1
+    assert rows["f"]["redacted"] is None and len(rows["g"]["findings"]) == 1
+
+
+def test_messages_are_normalised(spark):
+    m = "Failed at /home/alice/projects/foo/src/main.rs:123 pid=12345 UUID=550e8400-e29b-41d4-a716-446655440000"
+    got = spark.range(1).select(text.normalise_message(F.lit(m)).alias("m")).first()["m"]
+    assert all(x in got for x in ("<PATH>", "<PID>", "<UUID>")) and "alice" not in got
+
+
+@pytest.mark.parametrize(
+    "output, dialect, want",
+    [
+        ("tests/test_x.py .... 5 passed, 1 failed, 2 skipped in 0.42s", "pytest", (5, 1, 2, 0)),
+        ("1 failed, 1 error in 0.11s", "pytest", (0, 1, 0, 1)),
+        ("✓ alpha\n✓ beta\n× gamma", "vitest", (2, 1, 0, 0)),
+        ("Tests: 1 failed, 3 passed, 1 skipped (5)", "vitest", (3, 1, 1, 0)),
+        ("--- PASS: TestFoo\n--- FAIL: TestBar\n--- SKIP: TestBaz", "gotest", (1, 1, 1, 0)),
+        ('{"Action":"pass"}\n{"Action":"fail"}', "gotest", (1, 1, 0, 0)),
+        (None, "auto", (0, 0, 0, 0)),
+    ],
+)
+def test_test_output(spark, output, dialect, want):
+    df = spark.createDataFrame([(output,)], "t string")
+    assert tuple(df.select(text.test_counts(F.col("t"), dialect).alias("c")).first()["c"]) == want
+
+
+def edges_of(spark, *pairs):
+    return spark.createDataFrame([(i, a, b, "Makes", w) for i, (a, b, w) in enumerate(pairs)], "edge_seq long, `from` string, `to` string, kind string, weight double")
+
+
+def ids(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "id string")
+
+
+def test_lineage(spark):
+    e = edges_of(spark, ("raw", "clean", 0.8), ("clean", "final", 1.1), ("final", "raw", 1.0))
+    pairs = spark.createDataFrame([("raw", "final"), ("raw", "raw"), ("raw", "none")], "source string, target string")
+    got = {r["target"]: r for r in graph.trace_lineage(e, pairs).collect()}
+    assert got["final"]["path"] == ["raw", "clean", "final"] and abs(got["final"]["weight"] - 1.9) < 1e-9
+    assert got["raw"]["path"] == ["raw"] and "none" not in got
+    assert {r["id"] for r in graph.descendants(e, ids(spark, "raw")).collect()} == {"raw", "clean", "final"}
+
+
+def test_cycles_end_and_are_left_out_of_orders(spark):
+    e = edges_of(spark, ("a", "b", 1.0), ("b", "c", 1.0), ("c", "b", 1.0))
+    assert [(r["id"], r["level"]) for r in graph.topological_order(ids(spark, "a", "b", "c"), e).collect()] == [("a", 0)]
+    loop = spark.createDataFrame([("x", "x", 0)], "`from` string, `to` string, to_sequence long")
+    assert graph.follow_chain(loop, ids(spark, "x")).count() == 1
+
+
+def test_two_paths(spark):
+    e = edges_of(spark, ("s", "l", 1.0), ("s", "r", 1.0), ("l", "f", 1.0), ("r", "f", 1.0))
+    assert graph.all_paths(e, spark.createDataFrame([("s", "f")], "source string, target string"), 10).count() == 2
+
+
+def test_consent_expiry_is_inclusive(spark):
+    c = spark.createDataFrame([("k", "alice", "mail", 0, 2000, "granted")], "id string, subject_id string, purpose string, granted_at_ns long, expires_at_ns long, status string")
+    assert c.select(privacy.consent_active(F.lit(2000)).alias("x")).first()["x"]
+    assert c.select(privacy.consent_expired(F.lit(2001)).alias("x")).first()["x"]
+
+
+def test_within_without_anchor_is_empty(spark):
+    events = make_events(spark, [("s", i, k, "info", 5 * i, "{}") for i, k in enumerate(["a", "b", "marker", "c"])])
+    assert [r["sequence"] for r in filters.within(events, 30, "before", "marker").orderBy("sequence").collect()] == [0, 1]
+    assert filters.within(events, 30, "before", "none").count() == 0
+
+
+def test_throttle_measures_from_the_last_kept(spark):
+    at = lambda ms: dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=ms)
+    df = spark.createDataFrame([("p", at(0), "1"), ("p", at(40), "2"), ("p", at(60), "3"), ("q", at(10), "4")], "path string, utc_timestamp timestamp, event_id string")
+    assert {r["event_id"] for r in filters.throttle(df, "path").collect()} == {"1", "3", "4"}
