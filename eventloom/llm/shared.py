@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from inspect import signature
 
 import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from ..storage import fresh_path
+
 #: A table is broadcast only if its measured bytes stay under this; beyond it, it is joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of our own only where the setting is unset (tests)."""
-    found = spark.conf.get(CHECKPOINT_DIR, None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set(CHECKPOINT_DIR, found)
-    return found.rstrip("/")
-
-
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def joinable(df: DataFrame, size: str) -> DataFrame:
@@ -84,3 +76,42 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     for lo, hi in zip(cuts, [*cuts[1:], len(of)], strict=True):
         yield int(of[lo]), order[lo:hi]
+
+
+def release() -> None:
+    """Gives memory that this Python worker no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that releases memory after each batch it yields and at its end."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        for b in run(batches):
+            yield b
+            release()
+        release()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """A function of groups that releases memory after each group."""
+
+    def one(pdf):  # Spark looks at the number of parameters
+        try:
+            return run(pdf)
+        finally:
+            release()
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            release()
+
+    return two if len(signature(run).parameters) == 2 else one
