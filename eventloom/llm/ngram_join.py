@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .flat import LOWER, U, hashes, mix, slices, windows, words
-from .shared import by_bucket, joinable, merged, pack, stage, text_bytes, unpack
+from .shared import by_bucket, joinable, lean, lean_group, merged, pack, stage, text_bytes, unpack
 
 SHINGLE, PERCENT = 5, 80
 #: Text whose signatures, or shingles in clusters, meet in one task.
-BUCKET_BYTES, CLUSTER_SHINGLES = 24 << 20, 2_000_000
+BUCKET_BYTES, CLUSTER_SHINGLES = 8 << 20, 2_000_000
 #: Signatures that a task collects before it writes blocks.
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 SAMPLE_EVERY, COMMON_SHARE = 32, 0.004
-SLICE = 12 << 20
+SLICE = 4 << 20
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
 
 
@@ -172,7 +172,7 @@ def _common_shingles(docs: DataFrame, text: str, k: int) -> Broadcast:
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64()), "docs": pa.array(np.full(len(h), 0), pa.int64())})
 
     least = max(3, int(sample.count() * COMMON_SHARE))
-    got = sample.mapInArrow(run, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h").toArrow()
+    got = sample.mapInArrow(lean(run), "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h").toArrow()
     return docs.sparkSession.sparkContext.broadcast(np.sort(got.column("h").to_numpy().view(U)))
 
 
@@ -212,7 +212,7 @@ def _signature_blocks(docs: DataFrame, text: str, k: int, percent: int, buckets:
         if n:
             yield blocks(sig, key)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, block binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "bucket int, block binary")
 
 
 class Forest:
@@ -318,7 +318,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int, sets: bool) -> D
                 yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, c long, n long" + ", shingles binary" * sets)
+    return rows.mapInArrow(lean(run), "id long, c long, n long" + ", shingles binary" * sets)
 
 
 def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -326,7 +326,7 @@ def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str
     size = text_bytes(docs, text)
     buckets = max(4, -(-size // BUCKET_BYTES))
     blocks = _signature_blocks(docs, text, k, percent, buckets, _common_shingles(docs, text, k))
-    ties = stage(blocks.groupBy("bucket").applyInPandas(_ties, "a long, b long"), "ties")
+    ties = stage(blocks.groupBy("bucket").applyInPandas(lean_group(_ties), "a long, b long"), "ties")
     cluster = stage(components(ties).withColumnsRenamed({"node": "c", "component": "cluster"}), "clusters")
     of = described.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     members = stage(cluster.join(of, "c"), "members")
@@ -342,7 +342,7 @@ def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str
     dealt = cut.select("c", "cluster", "parts", own.alias("own"), F.explode(pairs).alias("other"))
     task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
     dealt = dealt.select("c", "cluster", task.alias("task"))
-    links = sets.join(dealt, "c").groupBy("task").applyInPandas(_verify(percent), "a long, b long")
+    links = sets.join(dealt, "c").groupBy("task").applyInPandas(lean_group(_verify(percent)), "a long, b long")
     return components(stage(links, "links"))
 
 
