@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .flat import U
-from .shared import shared_dir, text_bytes
+from .shared import lean, text_bytes
 
 BLOCK = 512
 #: Text in a range of doc_ids that one task writes.
@@ -36,11 +36,15 @@ BUCKET_BYTES = 32 << 20
 # Fixed values of the format.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
-#: Pieces that a task's cache holds before it is emptied.
+#: Pieces in each of the two generations of a cache; what is in use moves to the younger one.
 CACHE = 400_000
 
 # Fixed value: the published pre-token pattern of the byte-level vocabulary.
 PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MARKS = (".", ",", "!", "?", ";", ":")
+# Fixed rule of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100 on.
+_PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINT)}
 
 
 class _Odd(Exception):
@@ -50,10 +54,14 @@ class _Odd(Exception):
 class _Cache(dict):
     def __init__(self, make: Callable[[str], bytes]):
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -68,21 +76,29 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.pattern = regex.compile(PRETOKEN)
         self.tokens = _Cache(self._encode)
         self.first = _Cache(self._piece)
         self.later = _Cache(self._spaced)
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+    def _encode(self, token: str) -> bytes:
+        """Ids of one pre-token: its bytes, spelled in the vocabulary's letters, go to the BPE model."""
+        spelled = token.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(spelled)], self.kind).tobytes()
 
     def _piece(self, text: str) -> bytes:
-        if text and max(text) >= "ɐ":  # scripts on which Unicode versions might differ
-            return self._encode(text)
+        if not text.isascii() and max(text) >= "ɐ":  # scripts on which Unicode versions might differ
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         return b"".join(map(self.tokens.__getitem__, self.pattern.findall(text)))
 
     def _spaced(self, text: str) -> bytes:
+        if text.isascii() or text and max(text) < "ɐ":  # most are words, or words and a mark
+            if text.isalpha():
+                return self.tokens[" " + text]
+            if text[-1:] in MARKS and text[:-1].isalpha():
+                return self.tokens[" " + text[:-1]] + self.tokens[text[-1]]
         if not text or text[0].isspace():
             raise _Odd
         return self._piece(" " + text)
@@ -231,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, do
     cuts = docs.approxQuantile(doc_id, [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
     bucket = sum([(F.coalesce(F.col(doc_id) > c, F.lit(False))).cast("int") for c in sorted(set(cuts))], F.lit(0))
     rows = docs.select(bucket.alias("bucket"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("__text"))
-    made = rows.mapInArrow(_tokenised(tokenizer, end_id), "bucket int, doc_id long, tie long, n_tokens long, blocks binary, words binary")
+    made = rows.mapInArrow(lean(_tokenised(tokenizer, end_id)), "bucket int, doc_id long, tie long, n_tokens long, blocks binary, words binary")
     ordered = made.repartition(max(1, len(set(cuts)) + 1), "bucket").sortWithinPartitions("bucket", "doc_id", "tie")
     ordered.write.partitionBy("bucket").option("compression", "zstd").parquet(out)
     return out
@@ -257,7 +273,7 @@ def token_ids(files: DataFrame) -> DataFrame:
             rest = {c: b.column(c) for c in ("bucket", "doc_id", "tie", "n_tokens")}
             yield pa.RecordBatch.from_pydict(rest | {"ids": pa.array(ids, pa.list_(pa.int64()))})
 
-    return files.mapInArrow(run, "bucket int, doc_id long, tie long, n_tokens long, ids array<long>")
+    return files.mapInArrow(lean(run), "bucket int, doc_id long, tie long, n_tokens long, ids array<long>")
 
 
 def token_digest(files: DataFrame) -> DataFrame:
@@ -284,11 +300,6 @@ def token_digest(files: DataFrame) -> DataFrame:
         base[r["bucket"]], before = before, before + r["n"]
     start = F.create_map(*[F.lit(x) for kv in base.items() for x in kv])[F.col("bucket")] if base else F.lit(0)
     order = W.partitionBy("bucket").orderBy("doc_id", "tie").rowsBetween(W.unboundedPreceding, -1)
-    rows = files.mapInArrow(run, "bucket int, doc_id long, tie long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(lean(run), "bucket int, doc_id long, tie long, n_tokens long, ids_crc32 long")
     return rows.select("doc_id", (start + F.coalesce(F.sum("n_tokens").over(order), F.lit(0))).cast("long").alias("start"), "n_tokens", "ids_crc32")
 
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
