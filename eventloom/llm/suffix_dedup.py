@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U, mix, slices
-from .shared import by_bucket, joinable, pack, stage, text_bytes, unpack
+from .shared import by_bucket, joinable, lean, lean_group, pack, stage, text_bytes, unpack
 
-LENGTH, GRAM = 50, 18
+LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
-BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES = 12 << 20, 12 << 20, 8 << 20
+BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES = 4 << 20, 6 << 20, 4 << 20
 #: Successive strings in a piece at most; a longer run (of a periodic text) is cut.
 RUN = 64
 FLUSH = 2_000_000
@@ -164,7 +164,7 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
             out = []
             for b, rows in by_bucket(_bucket(v, buckets)):
                 own, local = np.unique(o[rows], return_inverse=True)
-                out.append((b, pack(v[rows] >> U(16), local.astype(np.uint32), r[rows].astype(np.uint32), id_[own], tie[own])))
+                out.append((b, pack(v[rows] >> U(24), local.astype(np.uint32), r[rows].astype(np.uint32), id_[own], tie[own])))
             return pa.RecordBatch.from_pandas(_frame(out, "bucket"), schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
 
         for b in batches:
@@ -203,8 +203,8 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
         rows = [(i, t, pack(np.sort(v[0]))) for i, t, v in _by_document(pdf["block"])]
         return pd.DataFrame(rows, columns=["id", "tie", "runs"])
 
-    sent = docs.mapInArrow(send, "bucket int, block binary").groupBy("bucket").applyInPandas(answer, "to int, block binary")
-    return stage(sent.groupBy("to").applyInPandas(gather, KEYS + ", runs binary"), "shared-values")
+    sent = docs.mapInArrow(lean(send), "bucket int, block binary").groupBy("bucket").applyInPandas(lean_group(answer), "to int, block binary")
+    return stage(sent.groupBy("to").applyInPandas(lean_group(gather), KEYS + ", runs binary"), "shared-values")
 
 
 # ---------------------------------------------------------------- 2: shards
@@ -276,18 +276,25 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, first: np.ndarray, count:
     return out
 
 
+def piece_hashes(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each of several pieces that lie one after another."""
+    at = np.cumsum(size) - size
+    w = mix((data.astype(U) + (np.arange(len(data)) - np.repeat(at, size)).astype(U) * U(256)) * _ODD[0])
+    return mix(np.add.reduceat(w, at) + size.astype(U)), mix(np.add.reduceat(mix(w ^ _ODD[1]), at))
+
+
 def _contents(blocks: pd.Series) -> tuple:
-    """Pieces of several blocks, equal ones once: (hash pair order) sizes, bytes, and occurrences."""
+    """Pieces of several blocks, equal ones once: numbers of strings, bytes, and occurrences."""
     parts = [unpack(x) for x in blocks]
-    a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    strings = np.concatenate([p[2] for p in parts]).astype(np.int64)
-    data = np.concatenate([p[3] for p in parts])
+    strings = np.concatenate([p[0] for p in parts]).astype(np.int64)
+    data = np.concatenate([p[1] for p in parts])
+    a, b = piece_hashes(data, strings + LENGTH - 1)
     piece_base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    doc_base = np.cumsum([0, *(len(p[7]) for p in parts)])
-    what = np.concatenate([p[4].astype(np.int64) + x for p, x in zip(parts, piece_base, strict=False)])
-    of = np.concatenate([p[5].astype(np.int64) + x for p, x in zip(parts, doc_base, strict=False)])
-    place = np.concatenate([p[6] for p in parts]).astype(np.int64)
-    id_, tie = np.concatenate([p[7] for p in parts]), np.concatenate([p[8] for p in parts])
+    doc_base = np.cumsum([0, *(len(p[5]) for p in parts)])
+    what = np.concatenate([p[2].astype(np.int64) + x for p, x in zip(parts, piece_base, strict=False)])
+    of = np.concatenate([p[3].astype(np.int64) + x for p, x in zip(parts, doc_base, strict=False)])
+    place = np.concatenate([p[4] for p in parts]).astype(np.int64)
+    id_, tie = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
     order = np.lexsort((b, a))
     new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
     code = np.empty(len(a), np.int64)
@@ -421,16 +428,19 @@ def _piece_blocks(buckets: int):
                 code = np.empty(len(a), np.int64)
                 code[order] = group
                 one = order[new]
-                for bucket, own in by_bucket(_bucket(v[one], buckets)):
+                goes = _bucket(v[one], buckets)
+                number = np.empty(len(one), np.int64)
+                first_hand = np.flatnonzero(~later)
+                occurs = {k: first_hand[x] for k, x in by_bucket(goes[code[first_hand]])}
+                for bucket, own in by_bucket(goes):
                     pick = one[own]
                     s = size[pick]
                     first = np.cumsum(s) - s
                     content = data[np.repeat(start[pick] - first, s) + np.arange(int(s.sum()))]
-                    mine = np.full(len(one), -1, np.int64)
-                    mine[own] = np.arange(len(own))
-                    occ = np.flatnonzero((mine[code] >= 0) & ~later)
+                    number[own] = np.arange(len(own))
+                    occ = occurs[bucket]
                     names, local = np.unique(o[occ], return_inverse=True)
-                    rows.append((bucket, None, len(content), pack(a[pick], h[pick], n[pick].astype(np.uint8), content, mine[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), id_[names], tie[names])))
+                    rows.append((bucket, None, len(content), pack(n[pick].astype(np.uint8), content, number[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), id_[names], tie[names])))
                 return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
             total = 0
@@ -450,17 +460,16 @@ def _piece_blocks(buckets: int):
                 s = n + LENGTH - 1
                 at = np.cumsum(s) - s
                 content = data[np.repeat(start - at, s) + np.arange(int(s.sum()))]
-                w = content.astype(U) + (np.arange(len(content)) - np.repeat(at, s)).astype(U) * U(256)
-                w = mix(w * _ODD[0])
-                hash_a.append(mix(np.add.reduceat(w, at) + s.astype(U)))
-                hash_b.append(mix(np.add.reduceat(mix(w ^ _ODD[1]), at)))
+                a, b_ = piece_hashes(content, s)
+                hash_a.append(a)
+                hash_b.append(b_)
                 value.append(v)
                 strings.append(n)
                 of.append(doc + base)
                 place.append(start - off[doc])
                 data_.append(content)
                 total += len(content)
-                if total > 24 << 20:
+                if total > 12 << 20:
                     yield flush()
                     held, total = Docs(), 0
                     value, hash_a, hash_b, strings, of, place, data_ = [], [], [], [], [], [], []
@@ -474,7 +483,7 @@ def covered_places(docs: DataFrame, buckets: int) -> DataFrame:
     """(id, tie, spans): packed starts and ends of the covered places of each document that has any."""
     values = joinable(shared_values(docs, buckets).withColumnsRenamed({"id": "__id", "tie": "__tie"}), "48 + octet_length(runs)")
     there = docs.join(values, (F.coalesce("id", F.lit(LAST)) == F.col("__id")) & (docs["tie"] == F.col("__tie"))).select("id", "tie", "text", "runs")
-    sent = stage(there.mapInArrow(_piece_blocks(buckets), "bucket int, to int, size long, block binary"), "pieces")
+    sent = stage(there.mapInArrow(lean(_piece_blocks(buckets)), "bucket int, to int, size long, block binary"), "pieces")
     sized = sent.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("size").alias("all")).filter(F.col("all") > SHARD_BYTES)
     large = joinable(stage(sized.withColumn("shards", F.ceil(F.col("all") / SHARD_BYTES).cast("int")), "large-buckets"), "24")
     dealt = sent.filter("bucket IS NOT NULL").join(large.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b"), "left")
@@ -498,10 +507,10 @@ def covered_places(docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((i, t, pack(s[new], e[np.r_[np.flatnonzero(new)[1:] - 1, len(e) - 1]])))
         return pd.DataFrame(rows, columns=["id", "tie", "spans"])
 
-    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(shard, "to int, bucket int, segment int, block binary"), "covered")
-    merged_ = found.filter("segment IS NOT NULL").groupBy("bucket", "segment").applyInPandas(merge, "to int, block binary")
+    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(lean_group(shard), "to int, bucket int, segment int, block binary"), "covered")
+    merged_ = found.filter("segment IS NOT NULL").groupBy("bucket", "segment").applyInPandas(lean_group(merge), "to int, block binary")
     replies = sent.filter("to IS NOT NULL").select("to", "block").unionByName(found.filter("to IS NOT NULL").select("to", "block")).unionByName(merged_)
-    return stage(replies.groupBy("to").applyInPandas(gather, KEYS + ", spans binary"), "covered-places")
+    return stage(replies.groupBy("to").applyInPandas(lean_group(gather), KEYS + ", spans binary"), "covered-places")
 
 
 def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -529,4 +538,4 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                     kept.append(own.tobytes())
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column("id").slice(lo, n), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(removed), "n_spans": pa.array(count), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]), "kept": pa.array(kept, pa.binary())})
 
-    return both.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return both.mapInArrow(lean(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
