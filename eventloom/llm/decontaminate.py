@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .flat import LOWER, U, hashes, slices, windows, words
 from .sentence_spans import _STOP
-from .shared import stage
+from .shared import lean, stage
 
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 K1, B = 1.2, 0.75
@@ -203,5 +203,5 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(leaks, kind)], schema=pa.schema([*(b.schema.field(c) for c in kept), pa.field("leaks", kind)]))
 
         schema = docs.select(*kept).withColumn("leaks", F.lit(None).cast(LEAKS)).schema
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(lean(run), schema)
     return out

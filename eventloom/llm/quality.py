@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import WHITE, hashes, runs, slices, windows, words
-from .shared import stage
+from .shared import lean, lean_group, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SUBSET, STEPS, MIN_GROUP, CUTOFF = 0.75, 6, 100, 60.0
@@ -84,7 +84,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], schema=pa.schema([*(b.schema.field(c) for c in kept), *(pa.field(s, pa.int64()) for s in STATS)]))
 
     schema = source.select(*kept).withColumns({s: F.lit(0).cast("long") for s in STATS}).schema
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def base_failed() -> Column:
@@ -153,7 +153,7 @@ def _starts(rows: DataFrame) -> DataFrame:
             c = pdf["n"].to_numpy().cumsum()
             return pd.DataFrame({"__group": [pdf["__group"].iloc[0]], "k": [pdf["k"].iloc[0]], "m": [float(pdf["bin"].iloc[int(np.searchsorted(c, c[-1] / 2))]) / grid]})
 
-        return n.groupBy("__group", "k").applyInPandas(run, "__group string, k int, m double")
+        return n.groupBy("__group", "k").applyInPandas(lean_group(run), "__group string, k int, m double")
 
     long = rows.select("__group", F.posexplode(F.array(*[f"__x{i}" for i in range(P)])).alias("k", "v"))
     binned = lambda v: F.round(v * grid).cast("long").alias("bin")
@@ -168,7 +168,7 @@ def _starts(rows: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["__group", "start", "mean", "inverse", "logdet"])
 
     both = median.join(spread.withColumnRenamed("m", "d"), ["__group", "k"])
-    return stage(both.groupBy("__group").applyInPandas(run, _PARAMS), "mcd-start")
+    return stage(both.groupBy("__group").applyInPandas(lean_group(run), _PARAMS), "mcd-start")
 
 
 def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
         got = _estimate(float(sub), s, ss, min(0.999, sub / n.sum()))
         return pd.DataFrame([(pdf["__group"].iloc[0], int(pdf["start"].iloc[0]), *got)], columns=["__group", "start", "mean", "inverse", "logdet"])
 
-    return stage(bins.groupBy("__group", "start").applyInPandas(run, _PARAMS), "mcd-step")
+    return stage(bins.groupBy("__group", "start").applyInPandas(lean_group(run), _PARAMS), "mcd-step")
 
 
 def fit_mcd(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import fresh_path
 from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, quality, sentence_spans, suffix_dedup, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
@@ -68,7 +69,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_files.fresh_path(spark, "token-files")
+    out = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), END_ID, out)
     return token_files.token_digest(token_files.read_token_files(spark, out))
 

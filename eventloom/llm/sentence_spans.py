@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import LOWER, U, WHITE, hashes, mix, slices, words
-from .shared import joinable, stage
+from .shared import joinable, lean, stage
 
 SENTENCES, MIN_WORDS = 2, 10
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
@@ -65,7 +65,7 @@ def _span_rows(docs: DataFrame, doc_id: str, text: str, k: int, min_words: int)
                 of = pa.array(doc + lo)
                 yield pa.RecordBatch.from_pydict({"id": b.column("id").take(of), "tie": b.column("tie").take(of), "place": pa.array(place, pa.int32()), "h": pa.array(h.view(np.int64))})
 
-    return rows.mapInArrow(run, "id long, tie long, place int, h long")
+    return rows.mapInArrow(lean(run), "id long, tie long, place int, h long")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str, text: str, k: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -113,4 +113,4 @@ def drop_repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_pydict({c: cols[c] for c in [*kept, "n_sentences", "n_removed"]})
 
     schema = docs.select(*kept).withColumns({"n_sentences": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
-    return both.select(*kept, "__places").mapInArrow(run, schema)
+    return both.select(*kept, "__places").mapInArrow(lean(run), schema)
