@@ -288,7 +288,7 @@ def test_language_model(spark):
 
 
 def test_word_probabilities_add_to_at_most_one():
-    table = np.random.default_rng(1).integers(0, 60, (2, context_mixing.SLOTS)).astype(np.uint8)
+    table = np.random.default_rng(1).integers(0, 60, context_mixing.SLOTS).astype(np.uint16) * 257
     model = context_mixing.Model(type("B", (), {"value": table})(), context_mixing._first_weights(), np.full((8, context_mixing.GATES, context_mixing.ODDS), 0.5), 1)
     names = [b""] + [bytes([x]) for x in range(256) if x != 0x20]
     size = np.array([len(x) for x in names])
