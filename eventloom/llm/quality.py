@@ -28,7 +28,9 @@ from .flat import WHITE, hashes, runs, slices, windows, words
 from .shared import lean, lean_group, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SUBSET, STEPS, MIN_GROUP, CUTOFF = 0.75, 6, 100, 60.0
+SUBSET, STEPS, MIN_GROUP = 0.75, 6, 100
+#: The chi-square distribution with five degrees of freedom has 6e-8 beyond it.
+CUTOFF = 42.0
 #: Smallest standard deviation of each transformed statistic.
 FLOORS = (0.7, 0.1, 0.05, 0.5, 0.1)
 P = len(FLOORS)
