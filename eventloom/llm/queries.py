@@ -37,7 +37,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_spans.drop_repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sentence_spans.drop_repeated_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), grow=True)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

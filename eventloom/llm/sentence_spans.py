@@ -1,12 +1,15 @@
 """Substring dedup over sliding sentence spans.
 
-A text is cut in sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends.  Every
-run of SENTENCES consecutive sentences with at least MIN_WORDS words is hashed (words lower-cased,
-white space ignored), hashes are joined over all documents, and a sentence goes if any non-first
-repeated span covers it.  First is the span of the smallest (document id, text hash, place).
+A text is cut in sentences: after ``.``, ``!`` or ``?`` before white space, and at line ends; one of
+more than LONG words is also cut in clauses.  With `grow`, from each sentence, and back from each, a
+span grows until it has SENTENCES sentences and MIN_WORDS words; so do spans of clauses in a long
+sentence, from its start, back from its end and from its wide cuts.  Without it, spans are only the runs of SENTENCES sentences that have MIN_WORDS words.
+Spans are hashed (words lower-cased, white space ignored), hashes are joined over all documents, and
+a sentence or clause goes if any non-first repeated span covers it.  First is the span of the
+smallest (document id, text hash, place).
 
 Cases: rows of one id and one text are one document and fare alike; null ids come first; null texts
-stay null; texts with fewer sentences than a span keep all; an empty table stays empty.  A hot span
+stay null; texts with too few words or sentences and clauses for a span keep all; an empty table stays empty.  A hot span
 is counted before the shuffle, and the join back is left to Spark's splitting of skewed joins.
 """
 
@@ -23,6 +26,9 @@ from .flat import LOWER, U, WHITE, hashes, mix, slices, words
 from .shared import joinable, lean, stage
 
 SENTENCES, MIN_WORDS = 2, 10
+#: Sentences of more than LONG words are also cut in clauses.  With these, of any 51 successive
+#: words that two documents share, some span lies within them.
+LONG, WINDOW, WIDE = 16, 4, 16
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 _P = U(0x9E3779B97F4A7C15)
 
@@ -42,45 +48,122 @@ def sentences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc[first], starts[first], count, mix(np.add.reduceat(mix(h + place.astype(U) * _P), first))
 
 
-def spans(data: np.ndarray, off: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, number of its first sentence within the text, hash) of each span."""
-    doc, _, count, h = sentences(data, off)
-    n = max(0, len(doc) - k + 1)
-    at = np.flatnonzero(doc[:n] == doc[k - 1 :]) if n else np.zeros(0, np.int64)
-    total = np.r_[0, np.cumsum(count)]
-    at = at[total[at + k] - total[at] >= min_words]
-    out = np.zeros(len(at), U)
-    for j in range(k):
-        out = mix(out * _P + h[at + j])
-    return doc[at], at - np.searchsorted(doc, doc[at]), out
-
+def _clauses(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, number of its sentence, first byte, number of words, hash, wide) of each clause: a
+    sentence of up to LONG words, or a part of a longer one.
 
-def _span_rows(docs: DataFrame, doc_id: str, text: str, k: int, min_words: int) -> DataFrame:
+    A longer one is cut before every word that has the least hash of some WINDOW successive words of
+    it, the last of equal ones, so a passage is cut alike wherever it stands.  Wide cuts, at which
+    spans inside it start, hold so for WIDE successive words; they are some of the others."""
+    starts, ends, doc = words(data, off)
+    if not len(starts):
+        return doc, doc, starts, starts, np.zeros(0, U), np.zeros(0, bool)
+    owner, at, count, _ = sentences(data, off)
+    h = hashes(LOWER[data], starts, ends)
+    first = np.searchsorted(starts, at)
+    own = np.repeat(np.arange(len(first)), count)
+    new, wide = np.zeros((2, len(starts)), bool)
+    new[first] = wide[first] = True
+    for chosen, size in ((new, WINDOW), (wide, WIDE)):
+        n = len(h) - size + 1
+        if n > 0:
+            inside = np.flatnonzero((own[:n] == own[size - 1 :]) & (count[own[:n]] > LONG))
+            value, last = h[inside], inside.copy()
+            for j in range(1, size):
+                least = h[inside + j] <= value
+                value, last = np.where(least, h[inside + j], value), np.where(least, inside + j, last)
+            chosen[last] = True
+    cut = np.flatnonzero(new)
+    size = np.diff(np.r_[cut, len(starts)])
+    place = np.arange(len(starts)) - np.repeat(cut, size)
+    return owner[own[cut]], own[cut], starts[cut], size, mix(np.add.reduceat(mix(h + place.astype(U) * _P), cut)), wide[cut]
+
+
+def _onward(group: np.ndarray, count: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the shortest run of a group from each element on with k elements and min_words words."""
+    n, total, at = len(group), np.r_[0, np.cumsum(count)], np.arange(len(group))
+    end = np.maximum(at + k, np.searchsorted(total, total[:-1] + min_words))
+    ok = (end <= n) & (group[np.minimum(end, n) - 1] == group)
+    return at[ok], end[ok]
+
+
+def _back(group: np.ndarray, count: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same back from each element."""
+    total, at = np.r_[0, np.cumsum(count)], np.arange(len(group))
+    start = np.minimum(at + 1 - k, np.searchsorted(total, total[1:] - min_words, "right") - 1)
+    ok = (start >= 0) & (group[np.maximum(start, 0)] == group)
+    return start[ok], at[ok] + 1
+
+
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    runs = np.unique(np.concatenate([first * (n + 1) + end for first, end in parts]))
+    return runs // (n + 1), runs % (n + 1)
+
+
+def _hashed(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(first), U)
+    for j in range(int((end - first).max()) if len(first) else 0):
+        more = first + j < end
+        out[more] = mix(out[more] * _P + h[first[more] + j])
+    return out
+
+
+def spans(data: np.ndarray, off: np.ndarray, k: int, min_words: int, grow: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, number of its first clause within the text, number of clauses, hash) of each span."""
+    doc, _, count, h = sentences(data, off)
+    if not len(doc):
+        return doc, doc, doc, np.zeros(0, U)
+    if grow:
+        first, end = _distinct([_onward(doc, count, k, min_words), _back(doc, count, k, min_words)], len(doc))
+    else:
+        n, total = max(0, len(doc) - k + 1), np.r_[0, np.cumsum(count)]
+        first = np.flatnonzero((doc[:n] == doc[k - 1 :]) & (total[k:] - total[:n] >= min_words)) if n else np.zeros(0, np.int64)
+        end = first + k
+    c_doc, own, _, c_count, c_h, wide = _clauses(data, off)
+    edge = np.searchsorted(own, np.arange(len(doc) + 1))
+    parts = [(edge[first], edge[end], _hashed(h, first, end))]
+    long = np.flatnonzero(count[own] > LONG)
+    if grow and len(long):
+        group, size, m = own[long], c_count[long], len(long)
+        at = np.r_[np.flatnonzero(wide[long]), m]
+        first, end = _onward(group[at[:-1]], np.add.reduceat(size, at[:-1]), 1, min_words)
+        new = np.r_[True, group[1:] != group[:-1]]
+        f, e = _onward(group, size, k, min_words)
+        g, d = _back(group, size, k, min_words)
+        left, right = new[f], np.r_[new[1:], True][d - 1]
+        first, end = _distinct([(at[first], at[end]), (f[left], e[left]), (g[right], d[right])], m)
+        parts.append((long[first], long[end - 1] + 1, _hashed(c_h[long], first, end)))
+    first, end, got = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return c_doc[first], first - np.searchsorted(c_doc, c_doc[first]), end - first, got
+
+
+def _span_rows(docs: DataFrame, doc_id: str, text: str, k: int, min_words: int, grow: bool) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, off in slices(b.column("text")):
-                doc, place, h = spans(data, off, k, min_words)
+                doc, place, n, h = spans(data, off, k, min_words, grow)
                 of = pa.array(doc + lo)
-                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(of), "tie": b.column("tie").take(of), "place": pa.array(place, pa.int32()), "h": pa.array(h.view(np.int64))})
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(of), "tie": b.column("tie").take(of), "place": pa.array(place, pa.int32()), "n": pa.array(n, pa.int32()), "h": pa.array(h.view(np.int64))})
 
-    return rows.mapInArrow(lean(run), "id long, tie long, place int, h long")
+    return rows.mapInArrow(lean(run), "id long, tie long, place int, n int, h long")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str, text: str, k: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tie, places): the first sentences of each document's non-first repeated spans."""
-    rows = stage(_span_rows(docs, doc_id, text, k, min_words), "spans")
+def repeated_spans(docs: DataFrame, doc_id: str, text: str, k: int = SENTENCES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
+    """(id, tie, places): first clause and number of clauses of each document's non-first repeated spans."""
+    rows = stage(_span_rows(docs, doc_id, text, k, min_words, grow), "spans")
     own = F.struct(F.col("id").isNotNull().alias("known"), "id", "tie", "place")
-    first = rows.groupBy("h").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "first")
+    first = rows.groupBy("h").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").select("h", "first")
     later = rows.join(first, "h").filter(own != F.col("first"))
-    return later.groupBy("id", "tie").agg(F.collect_set("place").alias("places"))
+    return later.groupBy("id", "tie").agg(F.collect_set(F.struct("place", "n")).alias("places"))
 
 
-def drop_repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the covered sentences cut from the text; n_sentences and n_removed count sentences."""
-    found = stage(repeated_spans(docs, doc_id, text, k, min_words), "span-places")
-    found = joinable(found.withColumnsRenamed({"id": "__id", "tie": "__tie", "places": "__places"}), "24 + 4 * size(__places)")
+def drop_repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SENTENCES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
+    """docs with the covered sentences cut from the text; n_sentences and n_removed count
+    sentences, removed ones where nothing is left of them."""
+    found = stage(repeated_spans(docs, doc_id, text, k, min_words, grow), "span-places")
+    found = joinable(found.withColumnsRenamed({"id": "__id", "tie": "__tie", "places": "__places"}), "24 + 8 * size(__places)")
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     rest = [c for c in kept if c != text]
     both = docs.join(found, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__tie")), "left")
@@ -91,20 +174,21 @@ def drop_repeated_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str =
             texts, total, gone = [], np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
             places = b.column("__places")
             for lo, data, off in slices(column):
-                doc, start, _, _ = sentences(data, off)
+                doc, sentence, start, _, _, _ = _clauses(data, off)
                 n = np.bincount(doc, minlength=len(off) - 1)
                 base = np.cumsum(n) - n
                 for i in range(len(off) - 1):
-                    total[lo + i] = n[i]
+                    whole = sentence[base[i] : base[i] + n[i]]
+                    total[lo + i] = whole[-1] - whole[0] + 1 if n[i] else 0
                     own = data[off[i] : off[i + 1]]
                     if places[lo + i].is_valid:
-                        cut = np.zeros(n[i] + k, bool)
+                        cut = np.zeros(n[i], bool)
                         for p in places[lo + i].as_py():
-                            cut[p : p + k] = True
-                        gone[lo + i] = cut[: n[i]].sum()
+                            cut[p["place"] : p["place"] + p["n"]] = True
+                        gone[lo + i] = total[lo + i] - len(np.unique(whole[~cut]))
                         edges = np.r_[start[base[i] : base[i] + n[i]] - off[i], len(own)]
                         keep = np.ones(len(own), bool)
-                        for s in np.flatnonzero(cut[: n[i]]):
+                        for s in np.flatnonzero(cut):
                             keep[edges[s] : edges[s + 1]] = False
                         own = own[keep]
                     texts.append(own.tobytes())

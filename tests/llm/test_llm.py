@@ -141,6 +141,30 @@ def test_sentence_spans(spark):
     assert sentence_spans.drop_repeated_sentences(df.limit(0)).count() == 0
 
 
+def test_spans_grow_over_short_sentences_and_within_long_ones(spark, monkeypatch):
+    w = lambda lo, hi: " ".join(f"w{i}" for i in range(lo, hi))
+    short, long, two = ". ".join(w(0, 60).split()) + ".", w(100, 155), f"{w(200, 225)}. {w(225, 240)}. {w(240, 276)}"
+    rows = [(1, f"a b c. {short} d e"), (2, f"f g {short} h i"), (3, f"j k l m {long} n o p"), (4, f"q r {long} s"), (5, f"t u {two} v"), (6, f"x y z {two} 1 2. 3"), (7, w(300, 400))]
+    monkeypatch.setattr(queries, "table", lambda *a: frame(spark, rows))
+    got = {r["doc_id"]: r for r in queries.op3_sentence_spans(spark, SF).collect()}
+    assert all(got[d]["text"] == t and got[d]["n_removed"] == 0 for d, t in rows if d in (1, 3, 5, 7))
+    assert got[2]["text"].split() == "f g w0. h i".split() and got[2]["n_removed"] == 59
+    for d, passage, own in ((4, long, "q r s"), (6, two, "x y z 1 2. 3")):
+        left = got[d]["text"].split()
+        assert set(own.split()) <= set(left) and len(left) - len(own.split()) < len(passage.split()) / 2
+
+
+def test_every_shared_window_of_51_words_holds_a_repeated_span():
+    rng = random.Random(8)
+    own = lambda n: [f"o{rng.randrange(10**9)}" + rng.choice(["", "", "", "."]) for _ in range(n)]
+    for rate in (0, 0.02, 0.05, 0.1, 0.3, 1):
+        for _ in range(40):
+            passage = [f"p{rng.randrange(10**9)}" + ("." if rng.random() < rate else "") for _ in range(51)]
+            texts = [" ".join(own(rng.randrange(1, 40)) + passage + own(rng.randrange(1, 40))).encode() for _ in range(2)]
+            found = [set(sentence_spans.spans(np.frombuffer(t, np.uint8), np.array([0, len(t)]), 2, 10, True)[3].tolist()) for t in texts]
+            assert found[0] & found[1]
+
+
 # ---- 4
 
 
