@@ -30,12 +30,19 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the smallest id stays.
 
-    Rows of one id and one set are a single document and stay together; a null id stays only where
-    its group has no other id."""
-    linked = ngram_join.link_documents(docs.select("doc_id", "text"))
-    gone = linked.filter("n_shingles > 0 AND NOT (id <=> component_id)").select(F.col("id").alias("__id")).distinct()
-    gone = joinable(stage(gone, "near-copies"), "16")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*COLUMNS)
+    Rows of one id and one set are a single document and stay together; of two sets under that id one
+    stays.  A null id stays only where its group has no other id, and then as one row."""
+    linked = stage(ngram_join.link_documents(docs.select("doc_id", "text")).filter("n_shingles > 0"), "linked")
+    copies = linked.filter("NOT first OR NOT (id <=> component_id)").select("id", "tie")
+    unnamed = linked.filter("first AND id IS NULL AND component_id IS NULL")
+    kept = unnamed.groupBy("c").agg(F.min("tie").alias("kept"))
+    others = unnamed.join(kept, "c").filter("tie != kept").select("id", "tie")
+    gone = copies.unionByName(others).select(F.col("id").alias("__id"), F.col("tie").alias("__tie")).distinct()
+    gone = joinable(stage(gone, "near-copies"), "24")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie"))
+    alone = F.col("doc_id").isNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.filter(~alone).join(gone, same, "left_anti").select(*COLUMNS)
+    return named.unionByName(docs.filter(alone).join(gone, same, "left_anti").select(*COLUMNS).dropDuplicates(["text"]))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

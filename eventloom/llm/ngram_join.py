@@ -306,19 +306,19 @@ def _verify(percent: int):
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, k: int, sets: bool) -> DataFrame:
-    """(id, c, n[, shingles]) of every row."""
+    """(id, tie, c, n[, shingles]) of every row; tie is the text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, off in slices(b.column("text")):
                 h, at = shingle_sets(data, off, k)
-                out = {"id": b.column("id").slice(lo, len(off) - 1), "c": pa.array(class_keys(h, at)), "n": pa.array(np.diff(at), pa.int64())}
+                out = {"id": b.column("id").slice(lo, len(off) - 1), "tie": b.column("tie").slice(lo, len(off) - 1), "c": pa.array(class_keys(h, at)), "n": pa.array(np.diff(at), pa.int64())}
                 if sets:
                     out["shingles"] = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(lean(run), "id long, c long, n long" + ", shingles binary" * sets)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return rows.mapInArrow(lean(run), "id long, tie long, c long, n long" + ", shingles binary" * sets)
 
 
 def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -347,12 +347,13 @@ def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(id, c, n_shingles, component_id) for each row: c is the key of the set's class."""
+    """(id, tie, c, n_shingles, component_id, first) for each row: c is the key of the set's class, tie
+    the text's hash, and first tells the class that has the component's smallest id; null ids come last."""
     described = stage(_described(docs, doc_id, text, k, False), "sets")
     found = linked_classes(docs, described, doc_id, text, k, percent)
     least = described.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     of = least.join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
-    low = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stage(of.join(low, "component").select("c", "component_id"), "components")
+    low = of.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "c")).alias("low"))
+    named = stage(of.join(low, "component").select("c", F.col("low.least").alias("component_id"), (F.col("c") == F.col("low.c")).alias("first")), "components")
     both = described.join(named, "c", "left")
-    return both.select("id", "c", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return both.select("id", "tie", "c", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "first")

@@ -355,6 +355,21 @@ def test_pipeline_equals_its_stages_done_plainly(spark):
     assert {r["doc_id"]: r["text"] for r in stage.collect()} == {d: kept[d] for d in want}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    base = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, b, c, d, e, f = map(base, "abcdef")
+    rows = [(5, a), (None, a + " end"), (None, b), (None, c), (None, c), (None, c + " end"), (None, None), (None, " "), (None, ""), (1, d), (2, d + " end"), (2, e), (3, f), (3, f + " end"), (3, f), (4, "")]
+    df = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    got = sorted((r["doc_id"] or -1, str(r["text"])) for r in cp.one_of_each(spark, df, SF).collect())
+    lone = [t for i, t in got if i == -1]
+    assert len(lone) == 5 and b in lone and sum(t in (c, c + " end") for t in lone) == 1 and {"None", " ", ""} <= set(lone)
+    named = [r for r in got if r[0] != -1]
+    assert [r for r in named if r[0] != 3] == [(1, d), (2, e), (4, ""), (5, a)]
+    assert [t for i, t in named if i == 3] in ([f, f], [f + " end"])
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
