@@ -70,7 +70,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), END_ID, out)
+    token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), END_ID, out, added=True)
     return token_files.token_digest(token_files.read_token_files(spark, out))
 
 
