@@ -11,10 +11,16 @@ a set with at most ``spare`` parts that could be empty needs no signatures of no
 has them too.  Shingles that a sample shows to be common take no part in signatures, which can only
 bring sets closer: the sample changes cost, never the result.
 
-Classes with a common signature are tied to one of them, not to each other, and the ties' connected
-components are candidate clusters.  Clusters are verified exactly: a set is compared with its
-cluster's others through an inverted index until no two sets of different components are left
-uncompared.  Clusters over CLUSTER_SHINGLES are dealt out in pairs of blocks, so no task holds more.
+Classes with a common signature form a group.  Before anything is closed transitively, a group's pairs
+are held against each other by parity sketches: a class's sketch has a bit for the parity of its
+shingles in each of about twice as many bins as it has shingles, so two sketches differ in no more
+bits than the sets differ in shingles, and a linked pair always passes; nearly all other pairs that a
+weak signature brought together fail.  Groups over GROUP classes are tied in a row instead, unseen.
+The ties' connected components are candidate clusters, and these are verified exactly: a set is
+compared with its cluster's others through an inverted index until no two sets of different
+components are left uncompared.  Clusters over CLUSTER_SHINGLES are cut in blocks: first each block is
+verified with some pivots of the cluster, then only the sets left outside the cluster's largest
+component go to all its blocks.
 
 Cases: with fewer words than a shingle the whole sequence is one shingle; a text without words, or a
 null one, has an empty set and is linked with nothing; rows of equal text are one class; null ids
@@ -32,16 +38,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .flat import LOWER, U, hashes, mix, slices, windows, words
-from .shared import by_bucket, joinable, lean, lean_group, merged, pack, stage, text_bytes, unpack
+from .shared import binary_rows, by_bucket, joinable, lean, lean_group, pack, stage, text_bytes, unpack
 
 SHINGLE, PERCENT = 5, 80
 #: Text whose signatures, or shingles in clusters, meet in one task.
-BUCKET_BYTES, CLUSTER_SHINGLES = 8 << 20, 2_000_000
+BUCKET_BYTES, CLUSTER_SHINGLES = 8 << 20, 500_000
+#: Classes of a group whose pairs are held against each other in one task, and pivots of a cut cluster.
+GROUP, PIVOTS = 1024, 8
 #: Signatures that a task collects before it writes blocks.
 FLUSH = 1_000_000
 SAMPLE_EVERY, COMMON_SHARE = 32, 0.004
@@ -215,27 +223,26 @@ def _signature_blocks(docs: DataFrame, text: str, k: int, percent: int, buckets:
     return docs.select(F.col(text).alias("text")).mapInArrow(lean(run), "bucket int, block binary")
 
 
-class Forest:
-    """Union-find over 0 .. n-1; the root is the smallest of its tree."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def sketches(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): each set's parity sketch, of 64 << level bits (see sketch_level)."""
+    size = np.diff(off)
+    words = np.int64(1) << sketch_level(size)
+    edge = np.r_[0, np.cumsum(words)]
+    owner = np.repeat(np.arange(len(size)), size)
+    place = mix(h ^ _ODD[4]) >> (U(64) - (sketch_level(size) + 6).astype(U))[owner]
+    at = edge[owner] * 64 + place.astype(np.int64)
+    odd = np.zeros(int(edge[-1]) * 64, np.uint8)
+    np.add.at(odd, at, 1)
+    return np.packbits(odd & 1, bitorder="little").view("<u8"), edge
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
+def sketch_level(size: np.ndarray) -> np.ndarray:
+    """log2 of the words of a sketch: two to four bits for each shingle, 256 bits at least."""
+    return np.maximum(2, np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64))
 
 
-def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest over the classes that share signatures of one bucket."""
+def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The distinct groups of classes that share a signature of one bucket; large ones as ties in a row."""
     parts, base, names = [], 0, []
     for block in pdf["block"]:
         sig, at, own = unpack(block)
@@ -245,21 +252,115 @@ def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
     key, code = np.unique(np.concatenate(names), return_inverse=True)
     sig = np.concatenate([s for s, _ in parts])
     who = code[np.concatenate([a for _, a in parts])]
-    order = np.argsort(sig, kind="stable")
+    order = np.lexsort((who, sig))
     sig, who = sig[order], who[order]
-    same = np.flatnonzero((sig[1:] == sig[:-1]) & (who[1:] != who[:-1]))
-    pair = np.unique(np.stack([np.minimum(who[same], who[same + 1]), np.maximum(who[same], who[same + 1])], 1), axis=0)
-    forest = Forest(len(key))
-    for x, y in pair.tolist():
-        forest.join(x, y)
-    child = np.unique(pair)
-    root = np.array([forest.find(x) for x in child.tolist()], np.int64)
-    keep = root != child
-    return pd.DataFrame({"a": key[child[keep]], "b": key[root[keep]]})
+    new = np.r_[True, sig[1:] != sig[:-1]]
+    one = new | np.r_[True, who[1:] != who[:-1]]
+    sig, who = sig[one], who[one]
+    first = np.flatnonzero(new[one])
+    count = np.diff(np.r_[first, len(sig)])
+    first, count = first[count > 1], count[count > 1]
+    name = mix(key.view(U) + _ODD[5])
+    total = np.r_[U(0), np.cumsum(name[who], dtype=U)]
+    _, pick = np.unique(mix(total[first + count] - total[first]) + count.astype(U), return_index=True)
+    first, count = first[pick], count[pick]
+    a, b, members = [], [], []
+    for lo, n in zip(first.tolist(), count.tolist(), strict=True):
+        own = key[who[lo : lo + n]]
+        if n > GROUP:
+            a.append(own[1:])
+            b.append(own[:-1])
+        else:
+            members.append(own)
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    none = [None] * len(members)
+    return pd.DataFrame({"members": [*members, *[None] * len(a)], "a": pd.array([*none, *a.tolist()], "Int64"), "b": pd.array([*none, *b.tolist()], "Int64")})
 
 
-def exact_components(h: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
-    """For each set the number of the first set of its component, comparing sets exactly.
+class Forest:
+    """Union-find over 0 .. n-1, for many pairs at once; the root is the smallest of its tree."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            x, y = self.up[x], self.up[y]
+            apart = x != y
+            x, y = np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart])
+            np.minimum.at(self.up, x, y)
+            self.flatten()
+
+    def flatten(self) -> None:
+        while not np.array_equal(nxt := self.up[self.up], self.up):
+            self.up = nxt
+
+
+def compatible(size: np.ndarray, words: np.ndarray, edge: np.ndarray, percent: int):
+    """A function of two arrays of set numbers: whether sizes and sketches allow each pair a link."""
+    level = sketch_level(size)
+    rows, where = {}, {}
+    for low in np.unique(level).tolist():
+        own, above = np.flatnonzero(level == low), np.flatnonzero(level == low + 1)
+        flat = words[edge[own][:, None] + np.arange(1 << low)]
+        twice = words[edge[above][:, None] + np.arange(2 << low)]
+        rows[low] = np.concatenate([flat, _halved(twice)])
+        where[low] = np.full(len(size), -1)
+        where[low][np.r_[own, above]] = np.arange(len(own) + len(above))
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+        most = (size[x] + size[y]) * (100 - percent) // (100 + percent)
+        low = np.minimum(level[x], level[y])
+        near = np.maximum(level[x], level[y]) <= low + 1  # others cannot be told apart here and pass
+        for k in np.unique(low[ok & near]).tolist():
+            use = np.flatnonzero(ok & near & (low == k))
+            for part in np.array_split(use, -(-len(use) << k >> 20) or 1):
+                differ = np.bitwise_count(rows[k][where[k][x[part]]] ^ rows[k][where[k][y[part]]]).sum(axis=1, dtype=np.int64)
+                ok[part] = differ <= most[part]
+        return ok
+
+    return test
+
+
+def _halved(sketch: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits: a bin and its neighbour become one."""
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(bits[:, ::2] ^ bits[:, 1::2], axis=1, bitorder="little").view("<u8") if len(sketch) else sketch[:, ::2]
+
+
+def _held(percent: int):
+    """Ties, as a spanning forest, between the classes of groups whose sketches allow a link."""
+
+    def run(groups: pd.DataFrame, classes: pd.DataFrame) -> pd.DataFrame:
+        if not len(groups):
+            return pd.DataFrame({"a": [], "b": []})
+        classes = classes.sort_values("c")
+        key = classes["c"].to_numpy()
+        words = [np.frombuffer(x, "<u8") for x in classes["sketch"]]
+        test = compatible(classes["n"].to_numpy(), np.concatenate(words), np.r_[0, np.cumsum([len(w) for w in words])], percent)
+        count = np.array([len(x) for x in groups["members"]])
+        member = np.searchsorted(key, np.concatenate(groups["members"].tolist()))
+        rest = np.repeat(np.cumsum(count), count) - np.arange(len(member)) - 1
+        forest = Forest(len(key))
+        live = np.arange(len(member))
+        for lag in range(1, int(count.max())):
+            live = live[rest[live] >= lag]
+            x, y = member[live], member[live + lag]
+            apart = forest.up[x] != forest.up[y]
+            x, y = x[apart], y[apart]
+            ok = test(x, y)
+            if ok.any():
+                forest.join(x[ok], y[ok])
+        move = np.flatnonzero(forest.up != np.arange(len(key)))
+        return pd.DataFrame({"a": key[move], "b": key[forest.up[move]]})
+
+    return run
+
+
+def exact_components(h: np.ndarray, off: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set the number of a set of its component, comparing sets exactly; `known` are such
+    numbers found before.
 
     Sets outside the largest component are compared with all others; what is in the largest one has
     then met every set outside it."""
@@ -270,7 +371,7 @@ def exact_components(h: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray
     order = np.argsort(term, kind="stable")
     posting = owner[order]
     start = np.searchsorted(term[order], np.arange(int(term.max()) + 2 if len(term) else 1))
-    label = np.arange(m)
+    label = np.arange(m) if known is None else known.copy()
     done = np.zeros(m, bool)
     while True:
         main = int(np.argmax(np.bincount(label, minlength=m)))
@@ -292,65 +393,89 @@ def exact_components(h: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray
 def _verify(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, part in pdf.groupby("cluster", sort=False):
-            part = part.drop_duplicates("c")
-            key = part["c"].to_numpy()
-            sets = [np.frombuffer(x, U) for x in part["shingles"]]
-            root = exact_components(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])], percent)
-            move = root != np.arange(len(root))
-            a.append(key[move])
-            b.append(key[root[move]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        pdf = pdf.drop_duplicates(["cluster", "c"]).sort_values("cluster", kind="stable")
+        name, key, before = pdf["cluster"].to_numpy(), pdf["c"].to_numpy(), pdf["found"].to_numpy()
+        sets = [np.frombuffer(x, U) for x in pdf["shingles"]]
+        cuts = np.r_[np.flatnonzero(np.r_[True, name[1:] != name[:-1]]), len(name)].tolist()
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            own = sets[lo:hi]
+            _, first, code = np.unique(before[lo:hi], return_index=True, return_inverse=True)
+            root = exact_components(np.concatenate(own), np.r_[0, np.cumsum([len(s) for s in own])], percent, first[code])
+            move = root != first[code]
+            a.append(before[lo:hi][move])
+            b.append(before[lo:hi][root[move]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
     return run
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, k: int, sets: bool) -> DataFrame:
-    """(id, tie, c, n[, shingles]) of every row; tie is the text's hash."""
+    """(id, tie, c, n, sketch or shingles) of every row; tie is the text's hash."""
+    last = "shingles" if sets else "sketch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, off in slices(b.column("text")):
                 h, at = shingle_sets(data, off, k)
                 out = {"id": b.column("id").slice(lo, len(off) - 1), "tie": b.column("tie").slice(lo, len(off) - 1), "c": pa.array(class_keys(h, at)), "n": pa.array(np.diff(at), pa.int64())}
-                if sets:
-                    out["shingles"] = pa.array([h[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+                values, edge = (h, at) if sets else sketches(h, at)
+                yield pa.RecordBatch.from_pydict(out | {last: binary_rows(values, edge)})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
-    return rows.mapInArrow(lean(run), "id long, tie long, c long, n long" + ", shingles binary" * sets)
+    return rows.mapInArrow(lean(run), f"id long, tie long, c long, n long, {last} binary")
+
+
+def _ties(docs: DataFrame, classes: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFrame:
+    """(a, b): pairs of class keys whose components hold every linked pair."""
+    blocks = _signature_blocks(docs, text, k, percent, tasks, _common_shingles(docs, text, k))
+    found = stage(blocks.groupBy("bucket").applyInPandas(lean_group(_groups), "members array<long>, a long, b long"), "groups")
+    groups = found.filter("members IS NOT NULL").select("members").distinct()
+    groups = stage(groups.select(F.pmod(F.xxhash64(F.col("members")[0]), F.lit(tasks)).cast("int").alias("task"), "members"), "groups")
+    need = groups.select("task", F.explode("members").alias("c")).distinct().join(classes.select("c", "n", "sketch"), "c")
+    held = groups.groupBy("task").cogroup(need.withColumnRenamed("task", "to").groupBy("to")).applyInPandas(lean_group(_held(percent)), "a long, b long")
+    return stage(held.unionByName(found.filter("a IS NOT NULL").select("a", "b")), "ties")
 
 
-def linked_classes(docs: DataFrame, described: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+def linked_classes(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
     """(node, component) over the class keys that have a link to another class."""
-    size = text_bytes(docs, text)
-    buckets = max(4, -(-size // BUCKET_BYTES))
-    blocks = _signature_blocks(docs, text, k, percent, buckets, _common_shingles(docs, text, k))
-    ties = stage(blocks.groupBy("bucket").applyInPandas(lean_group(_ties), "a long, b long"), "ties")
-    cluster = stage(components(ties).withColumnsRenamed({"node": "c", "component": "cluster"}), "clusters")
-    of = described.groupBy("c").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
-    members = stage(cluster.join(of, "c"), "members")
-    chosen = joinable(members.select(F.col("rep").alias("__rep")).distinct(), "16")
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("__rep")), "left_semi")
-    sets = _described(texts, "id", "text", k, True).select("c", "shingles")
-    total = members.groupBy("cluster").agg(F.sum("n").alias("all"))
-    half = CLUSTER_SHINGLES // 2
-    cut = members.join(total, "cluster").withColumn("parts", F.when(F.col("all") <= CLUSTER_SHINGLES, 1).otherwise(F.ceil(F.col("all") / half)).cast("int"))
-    tasks = max(4, -(-size // BUCKET_BYTES))
-    own = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-    pairs = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own))
-    dealt = cut.select("c", "cluster", "parts", own.alias("own"), F.explode(pairs).alias("other"))
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.select("c", "cluster", task.alias("task"))
-    links = sets.join(dealt, "c").groupBy("task").applyInPandas(lean_group(_verify(percent)), "a long, b long")
-    return components(stage(links, "links"))
+    tasks = max(4, -(-text_bytes(docs, text) // BUCKET_BYTES))
+    cluster = components(_ties(docs, classes, text, k, percent, tasks)).withColumnsRenamed({"node": "c", "component": "cluster"})
+    members = stage(cluster.join(classes.select("c", "n", "rep"), "c"), "members")
+    chosen = joinable(members.select(F.col("rep.id").alias("__id"), F.col("rep.tie").alias("__tie")).distinct(), "24")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = rows.join(chosen, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left_semi")
+    sets = stage(_described(texts, "id", "text", k, True).select("c", "shingles"), "sets")
+    pivot = [F.min(F.struct(F.xxhash64("c", F.lit(j)), "c"))["c"] for j in range(PIVOTS)]
+    total = members.groupBy("cluster").agg(F.sum("n").alias("all"), F.array(*pivot).alias("pivots"))
+    parts = F.ceil(F.col("all") / CLUSTER_SHINGLES).cast("int")
+    cut = members.join(total, "cluster").select("c", "cluster", parts.alias("parts"), F.pmod(F.xxhash64("c"), parts).cast("int").alias("own"), F.array_contains("pivots", F.col("c")).alias("pivot"))
+    cut = stage(cut, "members")
+
+    def verified(rows: DataFrame, everywhere: Column) -> DataFrame:
+        goes = F.when(everywhere & (F.col("parts") > 1), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
+        dealt = rows.select("c", "found", "cluster", "parts", F.explode(goes).alias("block"))
+        small = F.pmod(F.xxhash64("cluster"), F.lit(tasks))
+        dealt = dealt.select("c", "found", F.xxhash64("cluster", "block").alias("cluster"), F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("cluster", "block")).alias("task"))
+        return sets.join(dealt, "c").groupBy("task").applyInPandas(lean_group(_verify(percent)), "a long, b long")
+
+    links = stage(verified(cut.withColumn("found", F.col("c")), F.col("pivot")), "links")
+    linked = components(links)
+    large = cut.filter("parts > 1").join(linked, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("found"), "cluster", "parts", "own")
+    large = stage(large, "large-clusters")
+    main = large.groupBy("cluster", "found").count().groupBy("cluster").agg(F.max(F.struct("count", "found"))["found"].alias("main"))
+    large = stage(large.join(main, "cluster").withColumn("rest", F.col("found") != F.col("main")), "large-clusters")
+    if large.filter("rest").isEmpty():
+        return linked
+    open_ = large.join(large.filter("rest").select("cluster").distinct(), "cluster", "left_semi")
+    return components(stage(links.unionByName(verified(open_, F.col("rest"))), "links"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, tie, c, n_shingles, component_id, first) for each row: c is the key of the set's class, tie
     the text's hash, and first tells the class that has the component's smallest id; null ids come last."""
     described = stage(_described(docs, doc_id, text, k, False), "sets")
-    found = linked_classes(docs, described, doc_id, text, k, percent)
+    classes = described.groupBy("c").agg(F.min(F.struct("id", "tie")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    found = linked_classes(docs, stage(classes, "classes"), doc_id, text, k, percent)
     least = described.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
     of = least.join(found, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("component"))
     low = of.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "c")).alias("low"))

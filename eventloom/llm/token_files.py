@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .flat import WHITE, U, slices
-from .shared import joinable, lean, text_bytes
+from .shared import binary_rows, joinable, lean, text_bytes
 
 BLOCK = 512
 #: Text in a range of doc_ids that one task writes.
@@ -335,12 +335,6 @@ def _tokenised(path: str, end_id: int, added: bool) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def binary_rows(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The bytes of runs of values, from each place of `at` to the next."""
-    data = np.ascontiguousarray(values).view(np.uint8)
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * values.dtype.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
-
-
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, out: str, doc_id: str = "doc_id", text: str = "text", added: bool = False) -> str:
     """Tokenises every text, appends end_id and writes the files under `out`; returns `out`.
 
