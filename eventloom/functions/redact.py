@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,6 +33,30 @@ PATTERNS = [
     ("private-ip-address", r"\b(?:10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(?:1[6-9]|2\d|3[0-1])\.\d{1,3}\.\d{1,3}|127\.0\.0\.1)\b"),
     ("absolute-home-path", r"(?:/home/|/Users/|[A-Z]:\\Users\\)[A-Za-z0-9._-]+"),
 ]
+# What every match of a pattern contains (in lower case where it ignores case).
+ANCHORS = dict(
+    zip(
+        (p for _, p in PATTERNS),
+        [
+            ("AKIA", "ASIA"),
+            ("ghp_",),
+            ("github_pat_",),
+            ("xox",),
+            ("sk_",),
+            ("rk_",),
+            ("AIza",),
+            ("eyJ",),
+            ("author",),
+            ("bearer",),
+            ("-----BEGIN ",),
+            ("://",),
+            ("@",),
+            ("10.", "192.168.", "172.", "127.0.0.1"),
+            ("/home/", "/Users/", ":\\Users\\"),
+        ],
+        strict=True,
+    )
+)
 FINDINGS = "array<struct<kind:string,span_start:long,span_end:long,redaction:string,preview:string>>"
 REDACTED = f"struct<redacted:string,findings:{FINDINGS}>"
 
@@ -69,27 +94,65 @@ def tag(kind: str, key: str, number: int) -> str:
     return f"<REDACTED:{kind.upper()}:{hashlib.sha256(f'{key}:{number}'.encode()).hexdigest()[:6]}>"
 
 
-def _compiled(patterns: list[tuple[str, str]]) -> list[tuple[str, re.Pattern]]:
-    return [(k, re.compile(p)) for k, p in patterns]
+class _Rule:
+    """A pattern that looks only where a text has one of its anchors.
 
+    A match without white space lies within the word (what is between spaces and line ends) that holds
+    the anchor, so only such words are searched; other patterns search a text that has an anchor whole."""
 
-def _scan(text: str, rules: list[tuple[str, re.Pattern]]) -> list[tuple[int, int, str]]:
+    def __init__(self, kind: str, pattern: str):
+        self.kind, self.find = kind, re.compile(pattern).finditer
+        self.anchors = ANCHORS.get(pattern, ("",))
+        self.folded = pattern.startswith("(?i)") and self.anchors != ("://",)
+        self.words = self.anchors != ("",) and not self.folded and " " not in pattern
+
+    def matches(self, text: str, folded: str) -> Iterator[re.Match]:
+        if not self.words:
+            if any(a in (folded if self.folded else text) for a in self.anchors):
+                yield from self.find(text)
+            return
+        for lo, hi in sorted({span for a in self.anchors for span in self._around(text, a)}):
+            yield from self.find(text, lo, hi)
+
+    @staticmethod
+    def _around(text: str, anchor: str) -> Iterator[tuple[int, int]]:
+        at = text.find(anchor)
+        while at >= 0:
+            lo = text.rfind(" ", 0, at) + 1
+            lo = max(lo, text.rfind("\n", lo, at) + 1)
+            hi = text.find(" ", at)
+            hi = len(text) if hi < 0 else hi
+            line = text.find("\n", at, hi)
+            hi = hi if line < 0 else line
+            yield lo, hi
+            at = text.find(anchor, hi)
+
+
+def _compiled(patterns: list[tuple[str, str]]) -> list[_Rule]:
+    return [_Rule(k, p) for k, p in patterns]
+
+
+def _scan(text: str, rules: list[_Rule]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of matches that do not overlap: earlier first, of equal starts the longest."""
-    found = sorted(((m.start(), -m.end(), i) for i, (_, r) in enumerate(rules) for m in r.finditer(text)))
+    folded = text.lower() if any(r.folded for r in rules) else text
+    found = sorted((m.start(), -m.end(), i) for i, r in enumerate(rules) for m in r.matches(text, folded))
     out, last = [], 0
     for start, end, i in found:
         if start >= last:
-            out.append((start, -end, rules[i][0]))
+            out.append((start, -end, rules[i].kind))
             last = -end
     return out
 
 
 def _redact(text: str, key: str, rules: list[tuple[str, re.Pattern]], number: int = 0) -> tuple[str, list[dict]]:
     parts, findings, at = [], [], 0
+    first, plain = 0, text.isascii()
     for start, end, kind in _scan(text, rules):
         mark = tag(kind, key, number + len(findings))
-        first = len(text[:start].encode())
-        findings.append({"kind": kind, "span_start": first, "span_end": first + len(text[start:end].encode()), "redaction": mark, "preview": _preview(text[start:end], kind)})
+        first += start - at if plain else len(text[at:start].encode())
+        last = first + (end - start if plain else len(text[start:end].encode()))
+        findings.append({"kind": kind, "span_start": first, "span_end": last, "redaction": mark, "preview": _preview(text[start:end], kind)})
+        first = last
         parts += [text[at:start], mark]
         at = end
     return "".join([*parts, text[at:]]), findings
