@@ -5,7 +5,8 @@ least hashed GRAM-gram, so the runs of successive strings with one such least va
 strings lie within one piece of text of about 65 bytes) can be dealt by it, and equal strings meet.
 
 1. Every document sends its values, deduplicated, to the value's bucket, which answers with those
-   that a second document has.  Truncated values can only add to the answer.
+   that a second document has.  Values and document keys are cut to 40 bits on the way, which can only
+   add to the answer.
 2. The pieces of the values answered go to their buckets, equal pieces once for each batch of texts.
    A bucket's pieces make a shard: its suffix array is found by Larsson-Sadakane refinement (sorted by
    the first eight bytes, then groups that are still tied by the ranks 8, 16, 32 ... places on), the
@@ -13,8 +14,9 @@ strings lie within one piece of text of about 65 bytes) can be dealt by it, and
    share LENGTH bytes are equal strings, and the least id of a run covers all its later ones.
 3. A bucket of more than SHARD_BYTES (a value that very many texts have) is several shards.  Each also
    sends its sorted strings, dealt by a hash; those of one hash meet, and each shard's strings are
-   looked up in the others' by binary search.
-4. Covered places return to their documents.
+   looked up by binary search in what the shards merge to.
+4. Covered places return to the task that sent the pieces (its documents are known by number there),
+   and from there to the documents.
 
 Cases: a null text is empty; null ids count as greater than all others; rows of one id never cover
 each other; matches within one document do not count; an empty table stays empty.
@@ -28,20 +30,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U, mix, slices
-from .shared import by_bucket, joinable, lean, lean_group, pack, stage, text_bytes, unpack
+from .shared import by_bucket, joinable, lean, lean_group, merged, pack, stage, text_bytes, unpack
 
 LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
-BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES = 4 << 20, 6 << 20, 4 << 20
+BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES, SOURCE_BYTES = 4 << 20, 6 << 20, 4 << 20, 12 << 20
 #: Successive strings in a piece at most; a longer run (of a periodic text) is cut.
 RUN = 64
 FLUSH = 2_000_000
+#: Bits cut off values and document keys on the way to the buckets of values.
+CUT = 24
 LAST = np.iinfo(np.int64).max
-KEYS = "id long, tie long"
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
 
@@ -98,113 +102,98 @@ def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
     return (((mix(value + _ODD[0]) >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
 
 
-class Docs:
-    """(id, tie) of the texts that a task has seen since its last flush."""
-
-    def __init__(self):
-        self.id, self.tie, self.count = [], [], 0
-
-    def add(self, batch: pa.RecordBatch, lo: int, n: int) -> int:
-        ids = batch.column("id").slice(lo, n)
-        self.id.append(ids.fill_null(LAST).to_numpy(zero_copy_only=False))
-        self.tie.append(batch.column("tie").slice(lo, n).to_numpy(zero_copy_only=False))
-        self.count += n
-        return self.count - n
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate(self.id), np.concatenate(self.tie)
-
-
-def _replies(id_: np.ndarray, tie: np.ndarray, of: np.ndarray, values: list[np.ndarray], buckets: int) -> list[tuple[int, bytes]]:
-    """Blocks of values for documents, dealt by document."""
+def _replies(source: np.ndarray, local: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes]]:
+    """(source, block) of covered places: a block has numbers of documents in the source, starts and sizes."""
+    names, code = np.unique(source[of], return_inverse=True)
     out = []
-    for b, rows in by_bucket(_bucket(tie[of].view(U), buckets)):
-        own, local = np.unique(of[rows], return_inverse=True)
-        out.append((b, pack(id_[own], tie[own], local.astype(np.uint32), *(v[rows] for v in values))))
+    for b, rows in by_bucket(code):
+        rows = rows[np.lexsort((start[rows], local[of[rows]]))]
+        out.append((int(names[b]), pack(local[of[rows]].astype(np.uint32), start[rows].astype(np.uint32), (end - start)[rows].astype(np.uint32))))
     return out
 
 
-def _by_document(blocks: pd.Series) -> Iterator[tuple[int, int, list[np.ndarray]]]:
-    """(id, tie, values) for each document of reply blocks."""
-    parts = [unpack(x) for x in blocks]
-    names = np.concatenate([np.stack([p[0], p[1]], 1) for p in parts])
-    name, code = np.unique(names, axis=0, return_inverse=True)
-    code, base, whose = code.ravel(), 0, []
-    for p in parts:
-        whose.append(code[base + p[2].astype(np.int64)])
-        base += len(p[0])
-    whose = np.concatenate(whose)
-    values = [np.concatenate([p[3 + i] for p in parts]) for i in range(len(parts[0]) - 3)]
-    for d, rows in by_bucket(whose):
-        yield int(name[d, 0]), int(name[d, 1]), [v[rows] for v in values]
-
-
 def _frame(rows: list[tuple[int, bytes]], key: str) -> pd.DataFrame:
     return pd.DataFrame({key: np.array([r[0] for r in rows], np.int32), "block": [r[1] for r in rows]})
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("text"))
+    return rows.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.coalesce("id", F.lit(LAST)), "tie"), CUT))
 
 
 # ---------------------------------------------------------------- 1: values that two documents have
 
 
+def _by_value(v: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both in order, the first place of each value, and whether it has several keys."""
+    order = np.lexsort((key, v))
+    v, key = v[order], key[order]
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    last = np.r_[start[1:], len(v)] - 1
+    return v, key, start, key[start] != key[last]
+
+
+def _told(v: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Blocks that tell documents of some of their values, dealt by document."""
+    v, key = v[hit], key[hit]
+    order = np.argsort(key, kind="stable")
+    v, key = v[order], key[order]
+    return [(b, pack(key[rows], v[rows])) for b, rows in by_bucket(_bucket(key.view(U), buckets))]
+
+
 def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, tie, runs): numbers of a document's runs whose value another document has too."""
+    """(key, shared): the values of documents of a key that another key's have too.
+
+    Documents of one flush that share a value hear of it at once, by way of their own bucket, and the
+    value goes to its bucket once: a value that most texts have is no hot bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, value, of, run = Docs(), [], [], []
+        value, key, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            id_, tie = seen.arrays()
-            v, o, r = np.concatenate(value), np.concatenate(of), np.concatenate(run)
-            order = np.argsort(v)
-            v, o, r = v[order], o[order], r[order]
-            out = []
-            for b, rows in by_bucket(_bucket(v, buckets)):
-                own, local = np.unique(o[rows], return_inverse=True)
-                out.append((b, pack(v[rows] >> U(24), local.astype(np.uint32), r[rows].astype(np.uint32), id_[own], tie[own])))
+            v, d, start, several = _by_value(np.concatenate(value), np.concatenate(key))
+            one = v[start]
+            out = [(b, pack(one[rows], d[start][rows], several[rows].astype(np.uint8))) for b, rows in by_bucket(_bucket(one, buckets))]
+            out += _told(v, d, np.repeat(several, np.diff(np.r_[start, len(v)])), buckets)
             return pa.RecordBatch.from_pandas(_frame(out, "bucket"), schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
 
         for b in batches:
             for lo, data, off in slices(b.column("text")):
-                base = seen.add(b, lo, len(off) - 1)
                 v, _, _, doc = pieces(data, off)
-                number = np.arange(len(v)) - np.searchsorted(doc, doc)
+                v = v >> U(CUT)
                 order = np.lexsort((v, doc))
                 keep = order[np.r_[True, (v[order][1:] != v[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(v) else order
                 value.append(v[keep])
-                of.append(doc[keep] + base)
-                run.append(number[keep])
-                if sum(map(len, value)) > FLUSH:
+                key.append(b.column("key").slice(lo, len(off) - 1).to_numpy()[doc[keep]])
+                held += len(keep)
+                if held > FLUSH:
                     yield flush()
-                    seen, value, of, run = Docs(), [], [], []
-        if value:
+                    value, key, held = [], [], 0
+        if held:
             yield flush()
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(x) for x in pdf["block"]]
-        base = np.cumsum([0, *(len(p[3]) for p in parts)])
-        v = np.concatenate([p[0] for p in parts])
-        of = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
-        run = np.concatenate([p[2] for p in parts])
-        id_, tie = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-        order = np.argsort(v, kind="stable")
-        v, of, run = v[order], of[order], run[order]
-        new = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, bool)
-        group = np.cumsum(new) - 1
-        low = np.minimum.reduceat(id_[of], np.flatnonzero(new)) if len(v) else id_[:0]
-        high = np.maximum.reduceat(id_[of], np.flatnonzero(new)) if len(v) else id_[:0]
-        hit = (low != high)[group]
-        return _frame(_replies(id_, tie, of[hit], [run[hit]], buckets), "to")
+        to = int(pdf["bucket"].iloc[0])
+        out = [(to, x) for x, part in zip(pdf["block"], parts, strict=True) if len(part) == 2]
+        asked = [part for part in parts if len(part) == 3]
+        if asked:
+            v, key, told = (np.concatenate(x) for x in zip(*asked, strict=True))
+            told = told[np.lexsort((key, v))].astype(bool)
+            v, key, start, several = _by_value(v, key)
+            several |= np.logical_or.reduceat(told, start)
+            out += _told(v, key, np.repeat(several, np.diff(np.r_[start, len(v)])) & ~told, buckets)
+        return _frame(out, "to")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(i, t, pack(np.sort(v[0]))) for i, t, v in _by_document(pdf["block"])]
-        return pd.DataFrame(rows, columns=["id", "tie", "runs"])
+        key, v = merged(pdf["block"])
+        order = np.lexsort((v, key))
+        key, v = key[order], v[order]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        return pd.DataFrame({"key": key[edge[:-1]], "shared": [v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]})
 
-    sent = docs.mapInArrow(lean(send), "bucket int, block binary").groupBy("bucket").applyInPandas(lean_group(answer), "to int, block binary")
-    return stage(sent.groupBy("to").applyInPandas(lean_group(gather), KEYS + ", runs binary"), "shared-values")
+    sent = docs.select("key", "text").mapInArrow(lean(send), "bucket int, block binary").groupBy("bucket").applyInPandas(lean_group(answer), "to int, block binary")
+    return stage(sent.groupBy("to").applyInPandas(lean_group(gather), "key long, shared binary"), "shared-values")
 
 
 # ---------------------------------------------------------------- 2: shards
@@ -283,8 +272,9 @@ def piece_hashes(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(np.add.reduceat(w, at) + size.astype(U)), mix(np.add.reduceat(mix(w ^ _ODD[1]), at))
 
 
-def _contents(blocks: pd.Series) -> tuple:
-    """Pieces of several blocks, equal ones once: numbers of strings, bytes, and occurrences."""
+def _contents(sources: pd.Series, blocks: pd.Series) -> tuple:
+    """Pieces of several blocks, equal ones once: numbers of strings, bytes, and occurrences in
+    documents, which have a source, a number there and an id."""
     parts = [unpack(x) for x in blocks]
     strings = np.concatenate([p[0] for p in parts]).astype(np.int64)
     data = np.concatenate([p[1] for p in parts])
@@ -294,7 +284,8 @@ def _contents(blocks: pd.Series) -> tuple:
     what = np.concatenate([p[2].astype(np.int64) + x for p, x in zip(parts, piece_base, strict=False)])
     of = np.concatenate([p[3].astype(np.int64) + x for p, x in zip(parts, doc_base, strict=False)])
     place = np.concatenate([p[4] for p in parts]).astype(np.int64)
-    id_, tie = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    local, id_ = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
+    source = np.repeat(sources.to_numpy(), [len(p[5]) for p in parts])
     order = np.lexsort((b, a))
     new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
     code = np.empty(len(a), np.int64)
@@ -305,12 +296,12 @@ def _contents(blocks: pd.Series) -> tuple:
     own = size[one]
     first = np.cumsum(own) - own
     data = data[np.repeat(start[one] - first, own) + np.arange(int(own.sum()))]
-    return strings[one], data, code[what], of, place, id_, tie
+    return strings[one], data, code[what], of, place, source, local, id_
 
 
-def _shard(blocks: pd.Series, buckets: int, segments: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
+def _shard(sources: pd.Series, blocks: pd.Series, segments: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]]:
     """Replies of covered places, and (for one shard of several) its strings for the other shards."""
-    strings, data, what, of, place, id_, tie = _contents(blocks)
+    strings, data, what, of, place, source, local_, id_ = _contents(sources, blocks)
     n = len(strings)
     own = np.full(n, LAST)
     np.minimum.at(own, what, id_[of])
@@ -350,7 +341,7 @@ def _shard(blocks: pd.Series, buckets: int, segments: int) -> tuple[list[tuple[i
     occ = order[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))] if len(count) else order[:0]
     done.append((of[occ], place[occ] + np.repeat(runs[1], count), place[occ] + np.repeat(runs[2], count)))
     who, s, e = (np.concatenate(x) for x in zip(*done, strict=True))
-    replies = _replies(id_, tie, who, [s.astype(np.uint32), e.astype(np.uint32)], buckets)
+    replies = _replies(source, local_, who, s, e)
     if segments <= 1:
         return replies, []
     # strings of this shard in order, each with its least id and its occurrences that are not covered yet
@@ -374,7 +365,7 @@ def _shard(blocks: pd.Series, buckets: int, segments: int) -> tuple[list[tuple[i
         sel = np.flatnonzero(here[string])
         names, local = np.unique(of[occ[sel]], return_inverse=True)
         number = np.cumsum(here) - 1
-        sent.append((seg, pack(name[rows].ravel(), low[rows], number[string[sel]].astype(np.uint32), local.astype(np.uint32), begin[sel].astype(np.uint32), id_[names], tie[names])))
+        sent.append((seg, pack(name[rows].ravel(), low[rows], number[string[sel]].astype(np.uint32), local.astype(np.uint32), begin[sel].astype(np.uint32), source[names], local_[names], id_[names])))
     return replies, sent
 
 
@@ -382,135 +373,142 @@ def stream_odd() -> np.ndarray:
     return np.array([_ODD[0], _ODD[1], _ODD[2], U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)], U)
 
 
-def _merge(blocks: pd.Series, buckets: int) -> list[tuple[int, bytes]]:
-    """Covered places of strings that several shards of one bucket have, by binary search."""
+def _merge(blocks: pd.Series) -> list[tuple[int, bytes]]:
+    """Covered places of strings that several shards of one bucket have: the shards' sorted strings are
+    merged, each with its least id, and every shard looks its own up by binary search."""
     shards = []
     for x in blocks:
-        name, low, string, of, begin, id_, tie = unpack(x)
-        shards.append((np.ascontiguousarray(name).view(f"S{LENGTH + 1}"), low, string.astype(np.int64), of.astype(np.int64), begin.astype(np.int64), id_, tie))
+        name, low, string, of, begin, source, local, id_ = unpack(x)
+        shards.append((np.ascontiguousarray(name).view(f"S{LENGTH + 1}"), low, string.astype(np.int64), of.astype(np.int64), begin.astype(np.int64), source, local, id_))
+    every = np.concatenate([s[0] for s in shards])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    start = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+    least, every = np.minimum.reduceat(np.concatenate([s[1] for s in shards])[order], start), every[start]
     out = []
-    for i, (name, low, string, of, begin, id_, tie) in enumerate(shards):
-        least = low.copy()
-        for j, (other, other_low, *_) in enumerate(shards):
-            if i == j or not len(other):
-                continue
-            at = np.minimum(np.searchsorted(other, name), len(other) - 1)
-            hit = other[at] == name
-            least[hit] = np.minimum(least[hit], other_low[at[hit]])
-        covered = id_[of] > least[string]
-        out += _replies(id_, tie, of[covered], [begin[covered].astype(np.uint32), (begin[covered] + LENGTH).astype(np.uint32)], buckets)
+    for name, _, string, of, begin, source, local, id_ in shards:
+        low = least[np.searchsorted(every, name)]
+        covered = id_[of] > low[string]
+        out += _replies(source, local, of[covered], begin[covered], begin[covered] + LENGTH)
     return out
 
 
 def _piece_blocks(buckets: int):
-    """Sends the pieces of shared values; documents that an earlier one of the same batch covers hear at once."""
+    """Sends the pieces of shared values, and for each source the (id, tie) of its documents with the
+    places that an earlier document of the same source covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("to", pa.int32()), ("size", pa.int64()), ("block", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
+        ids, ties, value, hash_a, hash_b, strings, of, place, data_ = ([] for _ in range(9))
+        source, total = TaskContext.get().partitionId() << 24, 0
+
+        def flush() -> pa.RecordBatch:
+            id_, tie = np.concatenate(ids), np.concatenate(ties)
+            v, a, h, n, o, p = (np.concatenate(x) for x in (value, hash_a, hash_b, strings, of, place))
+            data = np.concatenate(data_)
+            size = n + LENGTH - 1
+            start = np.cumsum(size) - size
+            order = np.lexsort((id_[o], h, a))
+            new = np.r_[True, (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])]
+            group = np.cumsum(new) - 1
+            low = id_[o[order[new]]][group]
+            later = np.zeros(len(a), bool)
+            later[order] = id_[o[order]] > low
+            rows = [(None, source, 0, pack(id_, tie, o[later].astype(np.uint32), p[later].astype(np.uint32), size[later].astype(np.uint32)))]
+            code = np.empty(len(a), np.int64)
+            code[order] = group
+            one = order[new]
+            goes = _bucket(v[one], buckets)
+            number = np.empty(len(one), np.int64)
+            first_hand = np.flatnonzero(~later)
+            occurs = {k: first_hand[x] for k, x in by_bucket(goes[code[first_hand]])}
+            for bucket, own in by_bucket(goes):
+                pick = one[own]
+                s = size[pick]
+                first = np.cumsum(s) - s
+                content = data[np.repeat(start[pick] - first, s) + np.arange(int(s.sum()))]
+                number[own] = np.arange(len(own))
+                occ = occurs[bucket]
+                names, local = np.unique(o[occ], return_inverse=True)
+                rows.append((bucket, source, len(content), pack(n[pick].astype(np.uint8), content, number[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), names.astype(np.uint32), id_[names])))
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
         for b in batches:
-            runs = b.column("runs")
-            held = Docs()
-            value, hash_a, hash_b, strings, of, place, data_ = [], [], [], [], [], [], []
-
-            def flush() -> pa.RecordBatch:
-                id_, tie = held.arrays()
-                v, a, h, n, o, p = (np.concatenate(x) for x in (value, hash_a, hash_b, strings, of, place))
-                data = np.concatenate(data_)
-                size = n + LENGTH - 1
-                start = np.cumsum(size) - size
-                order = np.lexsort((id_[o], h, a))
-                new = np.r_[True, (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])]
-                group = np.cumsum(new) - 1
-                low = id_[o[order[new]]][group]
-                later = np.zeros(len(a), bool)
-                later[order] = id_[o[order]] > low
-                rows = [(None, to, 0, x) for to, x in _replies(id_, tie, o[later], [p[later].astype(np.uint32), (p + size)[later].astype(np.uint32)], buckets)]
-                code = np.empty(len(a), np.int64)
-                code[order] = group
-                one = order[new]
-                goes = _bucket(v[one], buckets)
-                number = np.empty(len(one), np.int64)
-                first_hand = np.flatnonzero(~later)
-                occurs = {k: first_hand[x] for k, x in by_bucket(goes[code[first_hand]])}
-                for bucket, own in by_bucket(goes):
-                    pick = one[own]
-                    s = size[pick]
-                    first = np.cumsum(s) - s
-                    content = data[np.repeat(start[pick] - first, s) + np.arange(int(s.sum()))]
-                    number[own] = np.arange(len(own))
-                    occ = occurs[bucket]
-                    names, local = np.unique(o[occ], return_inverse=True)
-                    rows.append((bucket, None, len(content), pack(n[pick].astype(np.uint8), content, number[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), id_[names], tie[names])))
-                return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
-
-            total = 0
+            shared = b.column("shared")
             for lo, data, off in slices(b.column("text")):
-                base = held.add(b, lo, len(off) - 1)
                 v, start, n, doc = pieces(data, off)
                 first = np.searchsorted(doc, np.arange(len(off)))
+                cut = v >> U(CUT)
                 hit = np.zeros(len(v), bool)
                 for i in range(len(off) - 1):
-                    x = runs[lo + i]
-                    if x.is_valid and first[i] < first[i + 1]:
-                        own = v[first[i] : first[i + 1]]
-                        hit[first[i] : first[i + 1]] = np.isin(own, own[unpack(x.as_py())[0]])
+                    own = np.frombuffer(shared[lo + i].as_buffer(), U)
+                    x = cut[first[i] : first[i + 1]]
+                    if len(x):
+                        hit[first[i] : first[i + 1]] = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
                 v, start, n, doc = v[hit], start[hit], n[hit], doc[hit]
                 if not len(v):
                     continue
+                base = sum(map(len, ids))
+                ids.append(b.column("id").slice(lo, len(off) - 1).fill_null(LAST).to_numpy(zero_copy_only=False))
+                ties.append(b.column("tie").slice(lo, len(off) - 1).to_numpy(zero_copy_only=False))
                 s = n + LENGTH - 1
                 at = np.cumsum(s) - s
                 content = data[np.repeat(start - at, s) + np.arange(int(s.sum()))]
                 a, b_ = piece_hashes(content, s)
-                hash_a.append(a)
-                hash_b.append(b_)
-                value.append(v)
-                strings.append(n)
-                of.append(doc + base)
-                place.append(start - off[doc])
-                data_.append(content)
+                for held, x in zip((hash_a, hash_b, value, strings, of, place, data_), (a, b_, v, n, doc + base, start - off[doc], content), strict=True):
+                    held.append(x)
                 total += len(content)
-                if total > 12 << 20:
+                if total > SOURCE_BYTES:
                     yield flush()
-                    held, total = Docs(), 0
-                    value, hash_a, hash_b, strings, of, place, data_ = [], [], [], [], [], [], []
-            if value:
-                yield flush()
+                    ids, ties, value, hash_a, hash_b, strings, of, place, data_ = ([] for _ in range(9))
+                    source, total = source + 1, 0
+        if total:
+            yield flush()
 
     return run
 
 
 def covered_places(docs: DataFrame, buckets: int) -> DataFrame:
     """(id, tie, spans): packed starts and ends of the covered places of each document that has any."""
-    values = joinable(shared_values(docs, buckets).withColumnsRenamed({"id": "__id", "tie": "__tie"}), "48 + octet_length(runs)")
-    there = docs.join(values, (F.coalesce("id", F.lit(LAST)) == F.col("__id")) & (docs["tie"] == F.col("__tie"))).select("id", "tie", "text", "runs")
-    sent = stage(there.mapInArrow(lean(_piece_blocks(buckets)), "bucket int, to int, size long, block binary"), "pieces")
+    values = joinable(shared_values(docs, buckets).withColumnRenamed("key", "__key"), "24 + octet_length(shared)")
+    there = docs.join(values, F.col("key") == F.col("__key")).select("id", "tie", "text", "shared")
+    sent = stage(there.mapInArrow(lean(_piece_blocks(buckets)), "bucket int, source long, size long, block binary"), "pieces")
     sized = sent.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("size").alias("all")).filter(F.col("all") > SHARD_BYTES)
     large = joinable(stage(sized.withColumn("shards", F.ceil(F.col("all") / SHARD_BYTES).cast("int")), "large-buckets"), "24")
     dealt = sent.filter("bucket IS NOT NULL").join(large.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b"), "left")
-    dealt = dealt.select("bucket", F.coalesce("shards", F.lit(1)).alias("shards"), F.pmod(F.xxhash64("block"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), "block")
+    dealt = dealt.select("bucket", F.coalesce("shards", F.lit(1)).alias("shards"), F.pmod(F.xxhash64("block"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), "source", "block")
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["shards"].iloc[0])
-        replies, strings = _shard(pdf["block"], buckets, 1 if k == 1 else k * (SHARD_BYTES // SEGMENT_BYTES + 1) * 4)
+        replies, strings = _shard(pdf["source"], pdf["block"], 1 if k == 1 else k * (SHARD_BYTES // SEGMENT_BYTES + 1) * 4)
         rows = [(to, None, None, x) for to, x in replies] + [(None, int(pdf["bucket"].iloc[0]), seg, x) for seg, x in strings]
-        return pd.DataFrame({"to": pd.array([r[0] for r in rows], "Int32"), "bucket": pd.array([r[1] for r in rows], "Int32"), "segment": pd.array([r[2] for r in rows], "Int32"), "block": [r[3] for r in rows]})
+        return pd.DataFrame({"source": pd.array([r[0] for r in rows], "Int64"), "bucket": pd.array([r[1] for r in rows], "Int32"), "segment": pd.array([r[2] for r in rows], "Int32"), "block": [r[3] for r in rows]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _frame(_merge(pdf["block"], buckets), "to")
+        return pd.DataFrame(_merge(pdf["block"]), columns=["source", "block"])
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf["docs"].to_numpy(bool)
+        id_, tie, of, s, n = unpack(pdf["block"][own].iloc[0])
+        if not own.all():
+            of, s, n = (np.concatenate(x) for x in zip((of, s, n), merged(pdf["block"][~own]), strict=True))
+        order = np.lexsort((s, of))
+        of, s = of[order], s[order].astype(np.int64)
+        e = s + n[order]
+        edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]) if len(of) else np.zeros(1, np.int64)
         rows = []
-        for i, t, (s, e) in _by_document(pdf["block"]):
-            order = np.argsort(s, kind="stable")
-            s, e = s[order], np.maximum.accumulate(e[order])
-            new = np.r_[True, s[1:] > e[:-1]]
-            rows.append((i, t, pack(s[new], e[np.r_[np.flatnonzero(new)[1:] - 1, len(e) - 1]])))
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            start, end = s[lo:hi], np.maximum.accumulate(e[lo:hi])
+            new = np.r_[True, start[1:] > end[:-1]]
+            rows.append((int(id_[of[lo]]), int(tie[of[lo]]), pack(start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]])))
         return pd.DataFrame(rows, columns=["id", "tie", "spans"])
 
-    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(lean_group(shard), "to int, bucket int, segment int, block binary"), "covered")
-    merged_ = found.filter("segment IS NOT NULL").groupBy("bucket", "segment").applyInPandas(lean_group(merge), "to int, block binary")
-    replies = sent.filter("to IS NOT NULL").select("to", "block").unionByName(found.filter("to IS NOT NULL").select("to", "block")).unionByName(merged_)
-    return stage(replies.groupBy("to").applyInPandas(lean_group(gather), KEYS + ", spans binary"), "covered-places")
+    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(lean_group(shard), "source long, bucket int, segment int, block binary"), "covered")
+    merged_ = found.filter("segment IS NOT NULL").groupBy("bucket", "segment").applyInPandas(lean_group(merge), "source long, block binary")
+    replies = found.filter("source IS NOT NULL").select("source", "block").unionByName(merged_).withColumn("docs", F.lit(False))
+    sources = sent.filter("bucket IS NULL").select("source", "block", F.lit(True).alias("docs"))
+    spans = sources.unionByName(replies).groupBy("source").applyInPandas(lean_group(gather), "id long, tie long, spans binary")
+    return stage(spans.groupBy("id", "tie").agg(F.first("spans").alias("spans")), "covered-places")  # repeated rows are covered alike
 
 
 def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
