@@ -53,7 +53,7 @@ GROUP, PIVOTS = 1024, 8
 #: Signatures that a task collects before it writes blocks.
 FLUSH = 1_000_000
 SAMPLE_EVERY, COMMON_SHARE = 32, 0.004
-SLICE = 4 << 20
+SLICE = 2 << 20
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB), U(0x8EBC6AF09C88C6E3), U(0x589965CC75374CC3)]
 
 
@@ -175,7 +175,7 @@ def _common_shingles(docs: DataFrame, text: str, k: int) -> Broadcast:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, data, off in slices(b.column("text")):
+            for _, data, off in slices(b.column("text"), SLICE):
                 h, n = np.unique(shingle_sets(data, off, k)[0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64()), "docs": pa.array(np.full(len(h), 0), pa.int64())})
 
@@ -415,7 +415,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, k: int, sets: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, data, off in slices(b.column("text")):
+            for lo, data, off in slices(b.column("text"), SLICE):
                 h, at = shingle_sets(data, off, k)
                 out = {"id": b.column("id").slice(lo, len(off) - 1), "tie": b.column("tie").slice(lo, len(off) - 1), "c": pa.array(class_keys(h, at)), "n": pa.array(np.diff(at), pa.int64())}
                 values, edge = (h, at) if sets else sketches(h, at)
