@@ -325,6 +325,239 @@ def test_held_out_texts_score_above_the_base(spark):
     assert got[0] > got[1]
 
 
+# ---- exchange forms, odd cases and size settings
+
+
+def test_ngram_join_holds_groups_against_sketches(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(120):  # short texts that share a passage, and near copies of some of them
+        own = [f"o{i}_{j}" for j in range(rng.randrange(8, 30))]
+        rows.append((i, " ".join(passage + own)))
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "x"
+            rows.append((1000 + i, " ".join(passage + own)))
+    clash = frame(spark, rows).withColumn("c", F.lit("clash")).withColumn("task", F.lit("clash"))
+    run = lambda: {r["id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link_documents(clash, k=3, percent=80).collect()}
+    want = brute.linked(rows, 3, 80)
+    assert run() == want
+    monkeypatch.setattr(ngram_join, "GROUP", 3)  # larger groups are tied in a row
+    monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", 200)
+    assert run() == want
+
+
+def test_sketches_never_refuse_a_link():
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 5, 60, 64, 65, 130, 250, 1000):
+        base = rng.integers(0, 1 << 62, size).astype(np.uint64)
+        for _ in range(6):
+            s = base.copy()
+            s[: rng.integers(0, size // 4 + 1)] = rng.integers(0, 1 << 62, 1).astype(np.uint64)
+            sets.append(np.unique(s))
+    size = np.array([len(s) for s in sets])
+    words, edge = ngram_join.sketches(np.concatenate(sets), np.r_[0, np.cumsum(size)])
+    for percent in (60, 80, 90):
+        test = ngram_join.compatible(size, words, edge, percent)
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+        both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y)])
+        linked = 100 * both >= percent * (size[x] + size[y] - both)
+        passed = test(x, y)
+        assert (passed | ~linked).all() and passed.sum() < 1.5 * linked.sum()
+
+
+def test_suffix_dedup_of_hot_passages_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 50)
+    monkeypatch.setattr(suffix_dedup, "SOURCE_BYTES", 400)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 700)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = "This line stands on every page of the site, as a licence might, and is long enough. "
+    rows = [(i % 50, letters(rng.randrange(30)) + line * (1 + i % 2) + letters(60)) for i in range(80)]
+    rows += rows[:5] + [(None, line), (None, line + letters(9))]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    clash = frame(spark, rows).withColumn("key", F.lit("clash")).withColumn("spans", F.lit("clash")).withColumn("id", F.lit(1))
+    got = suffix_dedup.drop_repeated_bytes(clash).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=order) == sorted(brute.repeated_bytes(rows), key=order)
+
+
+def test_token_files_of_several_buckets_follow_each_other(spark, monkeypatch, tmp_path):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(token_files, "RUN_BUCKETS", 3)
+    path = queries.tokenizer_path(queries.BYTE_BPE)
+    t = Tokenizer.from_file(path)
+    rows = ROWS + [(None, "null id"), (None, "another null id"), (7, "a second text of id 7"), (501, "a <|endoftext|> b"), (502, "end<|endoftext|>"), (503, "thin space ,  then  two"), (504, "　\n　x  y"), (505, "\n\n"), (506, " a\t\n b  ")]
+    out = token_files.write_token_files(frame(spark, rows).withColumn("bucket", F.lit("clash")), path, 2, str(tmp_path / "t"), added=True)
+    files = token_files.read_token_files(spark, out)
+    assert files.select("bucket").distinct().count() > 5
+    got = token_files.token_digest(files).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    at, left = 0, list(rows)
+    for r in got:
+        match = [x for x in left if x[0] == r["doc_id"] and zlib.crc32(np.array([*t.encode(x[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) == r["ids_crc32"]]
+        assert match and r["start"] == at, r
+        left.remove(match[0])
+        at += r["n_tokens"]
+    empty = token_files.write_token_files(frame(spark).limit(0), path, 2, str(tmp_path / "e"))
+    assert token_files.token_digest(token_files.read_token_files(spark, empty)).count() == 0
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.BYTE_BPE)
+    rng = random.Random(4)
+    parts = ["a", "b", " ", "  ", "\n", "\n\n", "\t", " ", "é", "'s", "1", "23", "!", "…", "日", "<|endoftext|>", "\x1c", "　", "²", "the ", "\r", "\x85", " ", " don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(5000)] + [None, ""]
+    for added in (True, False):
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = not added
+        for lo, ids, n in token_files.Encoder(path, added)(pa.array(texts)):
+            at = np.r_[0, np.cumsum(n)]
+            for i in range(len(n)):
+                assert ids[at[i] : at[i + 1]].tolist() == t.encode(texts[lo + i] or "", add_special_tokens=False).ids
+
+
+def test_top_k_segmentations_follow_sampling_without_replacement():
+    v = lattice_sampling.Vocabulary(queries.tokenizer_path(queries.PIECES))
+    n, k = 4000, 4
+    ((_, data, off),) = flat.slices(pa.array(["thin"] * n))
+    got = lattice_sampling.segment_slice(v, data, off, np.arange(n).astype(np.uint64), k, 5)
+    drawn = [[tuple(int(x) for x in i) for i in columns["ids"]] for _, columns in got]
+    prob = {}
+    for (_, columns), ids in zip(got, drawn):
+        prob |= {i: math.exp(p) for i, p in zip(ids, columns["log_prob"])}
+
+    def chance(ids, taken):  # that the next one drawn is ids, once those are taken
+        return 0 if ids in taken else prob[ids] / (1 - sum(prob[x] for x in taken))
+
+    for sample in range(1, k):
+        for ids in sorted(prob, key=prob.get)[-4:]:
+            want = np.array([chance(ids, [drawn[j][x] for j in range(sample)]) for x in range(n)])
+            assert abs(drawn[sample].count(ids) - want.sum()) < 5 * math.sqrt((want * (1 - want)).sum()) + 1
+    weigh = [sum(math.exp(c["log_prob"][x]) / c["inclusion"][x] for _, c in got) for x in range(n)]
+    assert abs(np.mean(weigh) - 1) < 0.1
+
+
+def test_kept_lattices_change_nothing():
+    v = lattice_sampling.Vocabulary(queries.tokenizer_path(queries.PIECES))
+    kept = lattice_sampling.Kept(v)
+    texts = [t or "" for t in made(40)]
+    for lo in range(0, 40, 10):
+        ((_, data, off),) = flat.slices(pa.array(texts[lo : lo + 10]))
+        key = np.arange(lo, lo + 10).astype(np.uint64)
+        for (t, a), (u, b) in zip(lattice_sampling.segment_slice(v, data, off, key, 3, 1), lattice_sampling.segment_slice(v, data, off, key, 3, 1, kept)):
+            assert np.array_equal(t, u) and all(np.array_equal(x, y) for x, y in zip(a["ids"], b["ids"])) and np.array_equal(a["log_prob"], b["log_prob"])
+    assert len(kept.names)
+
+
+# ---- context mixing across words
+
+
+def _shard(rng, size=400):
+    k = np.sort(rng.integers(0, 20, size).astype(np.uint64))
+    two, three = rng.integers(0, 4, size).astype(np.uint16), rng.integers(0, 3, size).astype(np.uint16)
+    return k, two, three, rng.integers(0, 9, size) * rng.integers(0, 2, size), rng.integers(0, 3, size)
+
+
+def _codes():
+    return context_mixing.Codes(np.arange(8).astype(np.uint64) * 77 + 5, np.array([50, 30, 9, 9, 4, 2, 1, 1]), 6)
+
+
+def test_codes_are_prefix_free_and_ordered():
+    c = _codes()
+    bits = [format(int(v), "032b")[:n] for v, n in zip(c.value, c.length)]
+    assert bits == sorted(bits) and abs(sum(2.0**-n for n in c.length) - 1) < 1e-12
+    assert not any(a != b and b.startswith(a) for a in bits for b in bits)
+
+
+def test_inputs_and_scores_of_a_shard_equal_plain_ones():
+    rng = np.random.default_rng(8)
+    k, two, three, t, n = _shard(rng)
+    c = _codes()
+    bits = [[int(x) for x in format(int(v), "032b")[:m]] for v, m in zip(c.value, c.length)]
+    count = {}
+    contexts = [[(1, k[i]), (2, k[i], two[i]), (3, k[i], two[i], three[i])] for i in range(len(t))]
+    for i in range(len(t)):
+        for ctx in contexts[i]:
+            for d, b in enumerate(bits[t[i]]):
+                count.setdefault((ctx, tuple(bits[t[i]][:d])), [0, 0])[b] += n[i]
+    weights, seen, refine = context_mixing._code_weights(), np.zeros((2, context_mixing.DEPTHS, 16, 33)), None
+    inputs = {}
+    for live, bit, gate, x in context_mixing.code_bits(k, two, three, t, n, c):
+        d = inputs and max(q for _, q in inputs) + 1 or 0
+        for i, b, g, row in zip(live, bit, gate, x):
+            want, level = [], []
+            for ctx in contexts[i]:
+                z = list(count[ctx, tuple(bits[t[i]][:d])])
+                z[b] -= n[i] > 0
+                want.append(math.log(z[1] + 0.1) - math.log(z[0] + 0.1))
+                level.append(sum(int(sum(z) >= x) for x in (1, 4, 64)))
+            assert bits[t[i]][d] == b and g == level[1] * 4 + level[2] and np.allclose(row[1:4], want, atol=1e-5)
+            inputs[i, d] = (b, g, row.astype(float))
+    got = context_mixing.code_scores(k, two, three, t, n, c)
+    done = 0
+    for d in range(int(c.length.max())):
+        train = [i for i in range(len(t)) if (i, d) in inputs and n[i]]
+        if not train:
+            continue
+        done += 1
+        q = min(d, context_mixing.DEPTHS - 1)
+        step, mass = np.zeros_like(weights[q]), np.ones(16)
+        for i in train:
+            b, g, row = inputs[i, d]
+            dot = weights[q, g] @ row
+            step[g] += (b - 1 / (1 + math.exp(-dot))) * math.sqrt(n[i]) * row
+            mass[g] += math.sqrt(n[i])
+            seen[b, q, g, int(np.clip(np.rint(np.float32(dot) * 2) + 16, 0, 32))] += n[i]
+        weights[q] += context_mixing.RATE / math.sqrt(1 + done / 100) * step / mass[:, None]
+    centre = 1 / (1 + np.exp(-(np.arange(33) - 16) / 2))
+    refine = np.clip((seen[1] + 4 * centre) / (seen[0] + seen[1] + 4), 1e-6, 1 - 1e-6)
+    near = 0
+    for i in range(len(t)):
+        want = 0.0
+        for d in range(int(c.length[t[i]])):
+            b, g, row = inputs[i, d]
+            q = min(d, context_mixing.DEPTHS - 1)
+            dot = weights[q, g] @ row
+            p = (1 / (1 + math.exp(-dot)) + refine[q, g, int(np.clip(np.rint(dot * 2) + 16, 0, 32))]) / 2
+            want += math.log10(p if b else 1 - p)
+        near += abs(got[i] - want) < 1e-4
+    assert near > 0.98 * len(t)  # but for odds that round to another step
+
+
+def test_scores_see_the_order_of_words_and_no_size_setting(spark, monkeypatch):
+    rng = random.Random(12)
+    phrase = [[rng.choice(VOCABULARY) + str(rng.randrange(30)) for _ in range(12)] for _ in range(12)]
+    rows = [(i, " ".join(w for _ in range(4) for w in rng.choice(phrase))) for i in range(150)]
+    rows += [(200, " ".join(phrase[0] + phrase[1])), (201, " ".join((phrase[0] + phrase[1])[::-1]))]
+    df = frame(spark, rows).withColumn("held", F.lit("clash")).withColumn("score", F.lit("clash"))
+    run = lambda: {r["doc_id"]: r for r in context_mixing.score_documents(df).collect()}
+    monkeypatch.setattr(context_mixing, "SHARD_TOKENS", 512)
+    one = run()
+    assert one[200]["n_tokens"] == one[201]["n_tokens"] and one[200]["score"] > one[201]["score"] + 5
+    monkeypatch.setattr(context_mixing, "BUCKET_TOKENS", 512)
+    two = run()
+    assert all(abs(one[d]["score"] - two[d]["score"]) < 1e-4 for d in one)
+    monkeypatch.setattr(context_mixing, "FLUSH_TOKENS", 300)
+    three = run()
+    assert all(abs(one[d]["score"] - three[d]["score"]) < 1e-4 for d in one)
+
+
+def test_language_model_of_odd_tables(spark):
+    assert context_mixing.score_documents(frame(spark).limit(0)).count() == 0
+    held = [d for d in range(400) if zlib.crc32(str(d).encode()) % 7 == 2][:5]
+    only = context_mixing.score_documents(frame(spark, [(d, "no training text") for d in held])).collect()
+    assert all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in only)
+    rows = [(None, "a null id"), (None, "a null id"), (3, "a text twice"), (3, "a text twice"), (4, None), (5, "")]
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 5)) for r in context_mixing.score_documents(frame(spark, rows)).collect())
+    assert len(got) == 6 and got[0] == got[1] and got[4] == got[5]
+
+
 # ---- the pipeline
 
 
