@@ -103,10 +103,37 @@ def head_hash(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.max_by("current_hash", "sequence").alias("head_hash"))
 
 
+def folded_hash(rows: DataFrame, by: str, part: str, order: list[str], separator: str = "") -> DataFrame:
+    """(by, rows, hash): a hash over the column `text` of each key's rows in order of part and `order`,
+    with the separator between rows of one part.
+
+    A key's sorted rows are read as a stream, so a hot key needs time but no memory."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, count, last, state = None, 0, None, None
+        for pdf in batches:
+            out = []
+            for k, p, text in zip(pdf["by"], pdf["part"], pdf["text"], strict=True):
+                k = None if pd.isna(k) else k
+                if state is None or k != key:
+                    if state is not None:
+                        out.append((key, count, state.hexdigest()))
+                    key, count, last, state = k, 0, None, hashlib.sha256()
+                state.update(f"{separator if count and p == last else ''}{text}".encode())
+                count, last = count + 1, p
+            yield pd.DataFrame(out, columns=["by", "rows", "hash"])
+        if state is not None:
+            yield pd.DataFrame([(key, count, state.hexdigest())], columns=["by", "rows", "hash"])
+
+    own = rows.select(F.col(by).alias("by"), F.col(part).alias("part"), *order, F.col("text").alias("text"))
+    schema = rows.select(F.col(by).alias("by"), F.lit(0).cast("long").alias("rows"), F.lit("").alias("hash")).schema
+    return own.repartition("by").sortWithinPartitions("by", "part", *order).select("by", "part", "text").mapInPandas(fold, schema).withColumnRenamed("by", by)
+
+
 def composite_hash(files: DataFrame, by: str) -> DataFrame:
     """(by, files, hash) over path and hash pairs in order of path, whatever the order of rows."""
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("|"), x["hash"], F.lit("|"))), "")
-    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sha2(text, 256).alias("hash"))
+    rows = files.select(by, F.lit(0).alias("part"), "path", "hash", F.concat("path", F.lit("|"), "hash", F.lit("|")).alias("text"))
+    return folded_hash(rows, by, "part", ["path", "hash"]).select(by, F.col("rows").alias("files"), "hash")
 
 
 def record_hash(session: Column, kind: Column, payload: Column) -> Column:

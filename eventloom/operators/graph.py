@@ -6,13 +6,35 @@ nodes: (id, ...); edges: (edge_seq, from, to, kind, weight, ...).
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..storage import stage
+from .chain import folded_hash
+
+#: Levels after which a loop raises an error: no result is cut without a word.
+MAX_LEVELS = 1_000_000
+#: Levels after which what was found so far is written as one table again.
+COMPACT = 16
+
+
+def _levels(depth: int | None, first: int = 1) -> Iterator[int]:
+    """Numbers of levels: up to `depth`, or until the caller has no more to do."""
+    for level in itertools.count(first):
+        if depth is not None and level - first >= depth:
+            return
+        if depth is None and level - first >= MAX_LEVELS:
+            raise RuntimeError(f"more than {MAX_LEVELS} levels")
+        yield level
 
-MAX_LEVELS = 1000
+
+def _with(found: DataFrame, level: DataFrame, number: int, tag: str) -> DataFrame:
+    both = found.unionByName(level)
+    return stage(both, tag) if number % COMPACT == 0 else both
 
 
 def event_edges(events: DataFrame) -> DataFrame:
@@ -45,26 +67,26 @@ def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return b.subtract(a).withColumn("change", F.lit("added")).unionByName(a.subtract(b).withColumn("change", F.lit("removed")))
 
 
-def follow_chain(edges: DataFrame, starts: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
+def follow_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, step, id): from each start, the first child (by to_sequence) again and again."""
     first = stage(edges.groupBy("from").agg(F.min_by("to", F.struct("to_sequence", "to")).alias("to")), "first-child")
     level = stage(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id"), "chain")
-    seen, out = level, level
-    for step in range(1, depth + 1):
+    out = level
+    for step in _levels(depth):
         nxt = level.join(first, F.col("id") == F.col("from")).select("start", F.lit(step).alias("step"), F.col("to").alias("id"))
-        level = stage(nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "step", "id"), "chain")
+        level = stage(nxt.join(out.select("start", "id"), ["start", "id"], "left_anti").select("start", "step", "id"), "chain")
         if level.isEmpty():
             return out
-        out = seen = out.unionByName(level)
+        out = _with(out, level, step, "chain")
     return out
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int = MAX_LEVELS, back: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, back: bool = False) -> DataFrame:
     """(start, id, hops) of all that each start reaches by one edge or more; itself only on a cycle."""
     e = stage(edges.select(F.col("to" if back else "from").alias("u"), F.col("from" if back else "to").alias("v")).distinct(), "reach-edges")
     level = starts.select(F.col("id").alias("start"), F.col("id").alias("u")).distinct()
     out = None
-    for hops in range(1, depth + 1):
+    for hops in _levels(depth):
         nxt = level.join(e, "u").select("start", F.col("v").alias("u")).distinct()
         if out is not None:
             nxt = nxt.join(out.select("start", F.col("id").alias("u")), ["start", "u"], "left_anti")
@@ -72,7 +94,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = MAX_LEVELS, back: bo
         new = level.select("start", F.col("u").alias("id"), F.lit(hops).alias("hops"))
         if level.isEmpty():
             return new if out is None else out
-        out = new if out is None else out.unionByName(new)
+        out = new if out is None else _with(out, new, hops, "reach")
     return out
 
 
@@ -84,7 +106,7 @@ def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reach(edges, starts)
 
 
-def trace_lineage(edges: DataFrame, pairs: DataFrame, depth: int = MAX_LEVELS) -> DataFrame:
+def trace_lineage(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """(source, target, path, edge_seqs, weight): a path of fewest edges; of several, that whose edges
     were entered first.  A pair of equal ends has the path of one node."""
     e = stage(edges.groupBy("from", "to").agg(F.min("edge_seq").alias("edge_seq"), F.min_by("weight", "edge_seq").alias("weight")), "lineage-edges")
@@ -92,14 +114,14 @@ def trace_lineage(edges: DataFrame, pairs: DataFrame, depth: int = MAX_LEVELS) -
     level = wanted.select("source", F.col("source").alias("id")).distinct().select("source", "id", F.array("id").alias("path"), F.array().cast("array<long>").alias("edge_seqs"), F.lit(0.0).alias("weight"))
     level = stage(level, "lineage")
     out = level
-    for _ in range(depth):
+    for number in _levels(depth):
         step = level.alias("l").join(e.alias("e"), F.col("l.id") == F.col("e.from"))
         step = step.select("l.source", F.col("e.to").alias("id"), F.concat("l.path", F.array("e.to")).alias("path"), F.concat("l.edge_seqs", F.array("e.edge_seq")).alias("edge_seqs"), (F.col("l.weight") + F.col("e.weight")).alias("weight"))
         best = step.groupBy("source", "id").agg(F.min_by(F.struct("path", "edge_seqs", "weight"), "edge_seqs").alias("b")).select("source", "id", "b.*")
         level = stage(best.join(out.select("source", "id"), ["source", "id"], "left_anti"), "lineage")
         if level.isEmpty():
             break
-        out = out.unionByName(level)
+        out = _with(out, level, number, "lineage")
     return wanted.join(out.withColumnRenamed("id", "target"), ["source", "target"])
 
 
@@ -145,24 +167,33 @@ def subgraph(edges: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): nodes whose predecessors all have lower levels; those on or after a cycle are left out."""
-    left_nodes = stage(nodes.select("id").distinct(), "topo-nodes")
-    left_edges = stage(edges.select("from", "to").distinct(), "topo-edges")
-    out = None
-    for level in range(MAX_LEVELS):
-        free = stage(left_nodes.join(left_edges.select(F.col("to").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "topo")
+    own = stage(nodes.select("id").distinct(), "topo-nodes")
+    e = stage(edges.select("from", "to").distinct(), "topo-edges")
+    need = stage(e.groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("need")).join(own, "id", "left_semi"), "topo-degrees")
+    free = stage(own.join(need, "id", "left_anti").select("id", F.lit(0).alias("level")), "topo")
+    out, partial = free, None  # partial: nodes some of whose predecessors have levels
+    for level in _levels(None):
+        got = free.join(e, F.col("id") == F.col("from")).groupBy(F.col("to").alias("id")).agg(F.count(F.lit(1)).alias("got"))
+        if partial is not None:
+            got = got.unionByName(partial).groupBy("id").agg(F.sum("got").alias("got"))
+        met = stage(got.join(need, "id"), "topo-met")
+        partial = met.filter("got < need").select("id", "got")
+        free = met.filter("got = need").select("id", F.lit(level).alias("level"))
         if free.isEmpty():
-            return free if out is None else out
-        out = free if out is None else out.unionByName(free)
-        left_nodes = stage(left_nodes.join(free, "id", "left_anti"), "topo-nodes")
-        left_edges = stage(left_edges.join(free.select(F.col("id").alias("from")), "from", "left_anti"), "topo-edges")
+            return out
+        out = _with(out, free, level, "topo")
     return out
 
 
 def graph_signature(nodes: DataFrame, edges: DataFrame, by: str) -> DataFrame:
     """(by, signature): first 16 hex digits of a hash over sorted node ids and edges in their order."""
-    n = nodes.groupBy(by).agg(F.array_join(F.sort_array(F.collect_set("id")), ",").alias("__n"))
-    e = edges.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge_seq", "from", "to"))), lambda x: F.concat(x["from"], F.lit(">"), x["to"])), ",").alias("__e"))
-    return n.join(e, by, "left").select(by, F.substring(F.sha2(F.concat(F.col("__n"), F.lit("|"), F.coalesce("__e", F.lit(""))), 256), 1, 16).alias("signature"))
+    keys = nodes.select(F.col(by).alias("by")).distinct()
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    ids = nodes.select(F.col(by).alias("by"), F.lit(0).alias("part"), zero.alias("edge_seq"), F.col("id").alias("a"), none.alias("b"), F.col("id").alias("text")).distinct()
+    bar = keys.select("by", F.lit(1).alias("part"), zero.alias("edge_seq"), none.alias("a"), none.alias("b"), F.lit("|").alias("text"))
+    own = edges.select(F.col(by).alias("by"), F.lit(2).alias("part"), "edge_seq", F.col("from").alias("a"), F.col("to").alias("b"), F.concat("from", F.lit(">"), "to").alias("text"))
+    rows = ids.unionByName(bar).unionByName(own.join(keys, "by", "left_semi"))
+    return folded_hash(rows, "by", "part", ["edge_seq", "a", "b"], ",").select(F.col("by").alias(by), F.substring("hash", 1, 16).alias("signature"))
 
 
 def edges_to_events(edges: DataFrame, session_id: str) -> DataFrame:
