@@ -108,6 +108,12 @@ def _count_before(line: Column, word: str) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
+def _case(body: Column) -> Column:
+    """What became of a test case of an XML report: an error counts before a failure, this before a skip."""
+    has = lambda tag: body.rlike(rf"<{tag}[\s/>]")
+    return F.when(has("error"), "error").when(has("failure"), "fail").when(has("skipped"), "skip").otherwise("pass")
+
+
 def test_counts(text: Column, dialect: str) -> Column:
     """Struct (passed, failed, skipped, inconclusive) from a test run's whole output."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
@@ -128,7 +134,11 @@ def test_counts(text: Column, dialect: str) -> Column:
         marks = F.transform(lines, mark)
         count = lambda w: F.size(F.filter(marks, lambda x: x == w))
         return pack(*map(count, ("pass", "fail", "skip")))
+    if dialect == "junit":
+        cases = F.transform(F.slice(F.split(F.coalesce(text, F.lit("")), r"<testcase(?=[\s/>])"), 2, 1 << 30), lambda x: F.when(x.rlike(r"^[^>]*/\s*>"), "pass").when(x.contains("</testcase"), _case(F.substring_index(x, "</testcase", 1))))
+        count = lambda w: F.size(F.filter(cases, lambda x: x == w))
+        return pack(*map(count, ("pass", "fail", "skip", "error")))
     if dialect == "auto":
-        each = [test_counts(text, d) for d in ("pytest", "vitest", "gotest")]
+        each = [test_counts(text, d) for d in ("pytest", "vitest", "gotest", "junit")]
         return pack(*[F.greatest(*[e[c] for e in each]) for c in ("passed", "failed", "skipped")])
     raise ValueError(f"unknown dialect: {dialect}")

@@ -50,19 +50,19 @@ def compare_sessions(events: DataFrame, pairs: DataFrame, strict: bool = False)
     cols = lambda title, severity, factors, seq: ["baseline", "candidate", F.concat(F.lit(title + ": "), k).alias("title"), F.lit(severity).alias("severity"), F.array(*factors).alias("factors"), seq.alias("sequence")]
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     changed = delta.filter("cand > base")
-    fresh = changed.filter("base = 0").select(*cols("New event kind appeared", "moderate", [factor(5, text("`", k, "` appeared ", F.col("cand"), " times in the candidate and 0 times in the baseline."))], none))
-    more = changed.filter("base > 0").select(*cols("Event kind increased", "low", [factor(3, text("count delta across the session is ", F.col("cand") - F.col("base"), "."))], none))
+    fresh = changed.filter("base = 0").select(*cols("New event kind appeared", "moderate", [factor(5, text("kind ", k, ": none before, now ", F.col("cand")))], none))
+    more = changed.filter("base > 0").select(*cols("Event kind increased", "low", [factor(3, text("kind ", k, ": ", F.col("cand") - F.col("base"), " more than before"))], none))
     before = preceding_event(events)
     prior = pairs.join(before, F.col("session_id") == F.col("candidate"))
     had = delta.filter("base > 0").select("baseline", "candidate", "kind", F.lit(True).alias("had"))
     prior = prior.join(had, ["baseline", "candidate", "kind"], "left")
-    main = factor(8, text("event at sequence #", F.col("sequence"), " precedes first failure at #", F.col("first_error"), " by <= 5 steps."))
-    extra = factor(3, text("`", k, "` did not appear in baseline run."))
+    main = factor(8, text("stands at ", F.col("sequence"), ", just before the first failure at ", F.col("first_error")))
+    extra = factor(3, text("kind ", k, " is not in the baseline"))
     prior = prior.select(*cols("Event immediately preceded first failure", "high", [main, extra], F.col("sequence")), F.coalesce("had", F.lit(False)).alias("had"))
     if strict:
         prior = prior.withColumn("factors", F.when(F.col("had"), F.slice("factors", 1, 1)).otherwise(F.col("factors")))
     prior = prior.drop("had")
-    failures = new_failure_kinds(events, pairs).select(*cols("New failure kind", "high", [factor(7, text("`", k, "` is a new failure kind unique to the candidate run."))], none))
+    failures = new_failure_kinds(events, pairs).select(*cols("New failure kind", "high", [factor(7, text("only the candidate fails with kind ", k))], none))
     every = fresh.unionByName(more).unionByName(prior).unionByName(failures)
     return every.withColumn("score", divergence_score())
 

@@ -10,7 +10,7 @@ from ..schema import is_error_like
 
 
 # Parts of paths that a file watch leaves out.
-IGNORED = ["/.git/", "/target/", "/node_modules/", "/dist/", "/build/", "/.gradle/", "/.idea/", "/__pycache__/", "/.pytest_cache/", "/.mypy_cache/", "/venv/", "/.venv/"]
+IGNORED = ["/.git/", "/target/", "/node_modules/", "/dist/", "/build/", "/.gradle/", "/.idea/", "/__pycache__/", "/.pytest_cache/", "/.mypy_cache/", "/venv/", "/.venv/", "/.eventloom/"]
 
 
 def field(name: str) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import numbered
+
 
 def consent_active(at: Column) -> Column:
     return (F.col("status") == "granted") & (F.col("expires_at_ns").isNull() | (at <= F.col("expires_at_ns")))
@@ -104,8 +105,7 @@ def register_events(subjects: DataFrame, elements: DataFrame, consents: DataFram
     out, shift = None, F.lit(0)
     sizes = [d.agg(F.count(F.lit(1)).alias(f"__n{i}")) for i, (d, _) in enumerate(parts)]
     for i, (d, kind) in enumerate(parts):
-        n = F.row_number().over(W.orderBy("id"))
-        rows = d.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*d.columns)).alias("payload"), n.alias("__i"))
+        rows = numbered(d, ["id"], "__i").select(F.lit(kind).alias("kind"), F.to_json(F.struct(*d.columns)).alias("payload"), "__i")
         for j in range(i):
             rows = rows.join(F.broadcast(sizes[j]))  # one row
         shift = sum((F.col(f"__n{j}") for j in range(i)), F.lit(0))

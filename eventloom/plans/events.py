@@ -9,8 +9,9 @@ from ..operators import aggregates as agg
 from ..operators import compare as cmp
 from ..operators import filters as flt
 from ..operators import graph
-from ..schema import is_terminal, severity_rank
+from ..schema import EVENT_COLUMNS, EVENT_DDL, is_terminal, severity_rank
 from ..sources import bundles, samples, tables
+from ..storage import fresh_path
 from .registry import EV, PAIRS, SES, TREE, add
 
 ev, ses, pairs = samples.events, samples.sessions, samples.pairs
@@ -21,7 +22,15 @@ BASE_SQL = "SELECT event_id, session_id, sequence, kind, severity FROM ev"
 
 
 # ---- A: sources and sinks
-add("A1_load_events", lambda s, d: ev(s, d).select(*BASE, "utc_timestamp", "duration_ns", "payload"), f"WITH {EV} SELECT event_id, session_id, sequence, kind, severity, utc_timestamp, duration_ns, payload FROM ev")
+def _stored(s, rows):
+    """rows as an event table in the shared folder: (its path)."""
+    path = fresh_path(s, "events")
+    missing = [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in EVENT_DDL.split(", ") if x.split()[0] not in rows.columns]
+    rows.select("*", *missing).select(*EVENT_COLUMNS).write.parquet(path)
+    return path
+
+
+add("A1_load_events", lambda s, d: tables.load_events(s, _stored(s, ev(s, d))).select(*BASE, "utc_timestamp", "duration_ns", "payload"), f"WITH {EV} SELECT event_id, session_id, sequence, kind, severity, utc_timestamp, duration_ns, payload FROM ev")
 add(
     "A2_normalise_events",
     lambda s, d: tables.normalise_events(ev(s, d).withColumn("severity", F.when(F.col("kind") == "view", "loud").otherwise(F.col("severity"))).withColumn("classification", F.col("kind"))).select("event_id", "severity", "classification"),
@@ -29,6 +38,13 @@ add(
 )
 
 
+add(
+    "A2_normalise_sessions",
+    lambda s, d: tables.normalise_sessions(ses(s, d).withColumn("state", F.when(F.col("source_event_count") % 3 == 0, "paused").otherwise(F.col("state")))).select("session_id", "state"),
+    f"WITH {SES} SELECT session_id, CASE WHEN source_event_count % 3 = 0 THEN 'failed' ELSE state END AS state FROM ses",
+)
+
+
 def _wire(s, d):
     e = ev(s, d)
     camel = F.to_json(F.struct(F.struct(F.col("event_id").alias("eventId"), F.col("session_id").alias("sessionId"), "sequence", "kind", F.lit("critical").alias("severity"), F.struct(F.lit("sdk").alias("kind")).alias("source"), F.col("duration_ns").alias("durationNs")).alias("event")))
@@ -45,14 +61,29 @@ add(
     f"WITH {SES} SELECT s.session_id, s.state, count(*) AS event_count, arg_max(e.event_id, e.sequence) AS last_event_id FROM ses s JOIN ev e ON e.session_id = s.session_id GROUP BY s.session_id, s.state",
 )
 add("A7_recent_sessions", lambda s, d: tables.recent_sessions(ses(s, d), 10, "p1").select("session_id", "started_at"), f"WITH {SES} SELECT session_id, started_at FROM ses WHERE project_id = 'p1' ORDER BY started_at DESC, session_id LIMIT 10")
+def _appended(s, d):
+    """A third of the events is stored, then all are appended twice: the rows that came by appending."""
+    path = _stored(s, ev(s, d).filter("sequence % 3 = 0"))
+    every = tables.load_events(s, _stored(s, ev(s, d)))
+    for _ in range(2):
+        tables.append_events(every, path)
+    return tables.load_events(s, path).filter("sequence % 3 != 0").select(*BASE)
+
+
+def _batch(s, d):
+    """Errors arrive as a batch on top of all other events."""
+    path = _stored(s, ev(s, d).filter("kind != 'error'"))
+    return tables.append_batch(tables.load_events(s, _stored(s, ev(s, d).filter("kind = 'error'"))), path)
+
+
 add(
     "A8_append_events",
-    lambda s, d: tables.new_events(ev(s, d), ev(s, d).filter("sequence % 3 = 0")).select(*BASE),
+    _appended,
     f"WITH {EV} {BASE_SQL} WHERE sequence % 3 <> 0",
 )
 add(
     "A9_recount",
-    lambda s, d: tables.recount(ev(s, d), ev(s, d).filter("kind = 'error'")),
+    _batch,
     f"WITH {EV} SELECT session_id, count(*) AS source_event_count FROM ev WHERE session_id IN (SELECT session_id FROM ev WHERE kind = 'error') GROUP BY session_id",
 )
 
@@ -210,6 +241,19 @@ CMP = f"""{EV}, {PAIRS}, {PREC}, {DELTA}, div AS (
 )"""
 add("C5_preceding_event", lambda s, d: cmp.preceding_event(ev(s, d)), f"WITH {EV}, {PREC} SELECT session_id, first_error, sequence, kind FROM prec")
 add("C6_kind_delta", lambda s, d: cmp.kind_delta(ev(s, d), pairs(s, d)), f"WITH {EV}, {PAIRS}, {DELTA} SELECT * FROM delta")
+
+
+def _kinds_apart(s, d):
+    """Errors of several kinds, so that sessions differ in those they have."""
+    return ev(s, d).withColumn("kind", F.when(F.col("kind") == "error", F.concat(F.lit("error."), (F.col("event_id").cast("long") % 11).cast("string"))).otherwise(F.col("kind")))
+
+
+add(
+    "C7_G3_new_kinds_of_failure",
+    lambda s, d: cmp.new_failure_kinds(_kinds_apart(s, d), pairs(s, d)),
+    f"""WITH {EV}, {PAIRS}, k AS (SELECT DISTINCT session_id, 'error.' || (CAST(event_id AS BIGINT) % 11) AS kind FROM ev WHERE kind = 'error')
+SELECT p.baseline, p.candidate, c.kind FROM pairs p JOIN k c ON c.session_id = p.candidate WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.session_id = p.baseline AND b.kind = c.kind)""",
+)
 add("C7_G3_new_failure_kinds", lambda s, d: cmp.new_failure_kinds(ev(s, d), pairs(s, d)), f"WITH {EV}, {PAIRS}, {DELTA} SELECT * FROM fresh")
 
 
@@ -268,6 +312,12 @@ SELECT series, arg_min(commit, ord) FILTER (bad AND ord > good) AS onset, NOT bo
 )
 add("I14_list_view", lambda s, d: flt.list_view(ses(s, d)), f"WITH {SES} SELECT session_id, state, started_at, stopped_at, source_event_count FROM ses")
 
+add(
+    "I14_show_view",
+    lambda s, d: flt.show_view(ev(s, d).withColumn("current_hash", F.sha2("event_id", 256))),
+    f"WITH {EV} SELECT session_id, sequence, kind, severity, utc_timestamp, left(sha256(event_id), 16) AS hash_prefix FROM ev",
+)
+
 # ---- C, G, J: event graphs
 TREE_EDGES = TREE + ", tedges AS (SELECT c.session_id, c.parent_event_id AS \"from\", c.event_id AS \"to\", c.sequence AS to_sequence FROM tree c JOIN tree p ON p.session_id = c.session_id AND p.event_id = c.parent_event_id AND p.sequence <= c.sequence)"
 tree = lambda s, d: samples.with_parents(ev(s, d))
@@ -295,6 +345,18 @@ add("C3_graph_diff", lambda s, d: graph.graph_diff(*_pair_graphs(s, d)), f"WITH
 add("G1_node_diff", lambda s, d: graph.set_diff(*[x.select("id") for x in _pair_graphs(s, d)]), f"WITH {EV}, {_SIDES}, a AS (SELECT id FROM sides WHERE side = 0), b AS (SELECT id FROM sides WHERE side = 1) (SELECT id, 'added' AS change FROM (SELECT id FROM b EXCEPT SELECT id FROM a)) UNION ALL (SELECT id, 'removed' FROM (SELECT id FROM a EXCEPT SELECT id FROM b))")
 
 
+def _some_nodes(s, d, side):
+    return ev(s, d).filter(F.col("session_id").cast("long") % 2 == side).filter(F.col("event_id").cast("long") % 7 == side).select(F.concat("kind", F.lit("-"), F.col("sequence").cast("string")).alias("id")).distinct()
+
+
+add(
+    "G1_node_diff_of_runs",
+    lambda s, d: graph.set_diff(_some_nodes(s, d, 0), _some_nodes(s, d, 1)),
+    f"""WITH {EV}, n AS (SELECT DISTINCT CAST(session_id AS BIGINT) % 2 AS side, kind || '-' || sequence AS id FROM ev WHERE CAST(event_id AS BIGINT) % 7 = CAST(session_id AS BIGINT) % 2)
+SELECT id, CASE WHEN min(side) = 1 THEN 'added' ELSE 'removed' END AS change FROM n GROUP BY id HAVING count(*) = 1""",
+)
+
+
 def _steps(s, d, side):
     k = F.concat(F.col("kind"), F.lit("-"), (F.col("sequence") % 40).cast("string"))
     w = W.partitionBy("session_id").orderBy("sequence")

@@ -220,6 +220,31 @@ add(
     f"""WITH {_SCAN}, f AS (SELECT doc_id, unnest(list_append(kinds, 'email-address')) AS kind FROM found)
 SELECT CAST(doc_id % 5 AS VARCHAR) AS session_id, kind, CAST(count(*) AS BIGINT) AS findings, count(DISTINCT doc_id) AS events FROM f GROUP BY doc_id % 5, kind""",
 )
+
+
+def _kept_findings(s, d):
+    """Findings of all payloads, written to their table and read again."""
+    from ..sources.tables import write_findings
+    from ..storage import fresh_path
+
+    path = fresh_path(s, "findings")
+    write_findings(redact.findings_table(_payloads(_secret_text(s, d))), path)
+    return s.read.parquet(path)
+
+
+def _redactions(s, d):
+    from ..sources.tables import redactions_of
+
+    return redactions_of(_kept_findings(s, d), "3")
+
+
+add("A14_write_findings", lambda s, d: _kept_findings(s, d).groupBy("event_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {_SCAN} SELECT CAST(doc_id AS VARCHAR) AS event_id, CAST(1 + len(m) AS BIGINT) AS n FROM found")
+add(
+    "A14_redactions_of",
+    _redactions,
+    f"""WITH {_SCAN}, f AS (SELECT unnest(list_append(m, 'a@b.org')) AS x, unnest(list_append(kinds, 'email-address')) AS kind FROM found WHERE doc_id % 5 = 3)
+SELECT kind, {_PREVIEW} AS preview FROM f""",
+)
 add("H16_mask_path", lambda s, d: table(s, d, "part").select("p_partkey", text.mask_path(F.concat(F.element_at(F.array(F.lit("/proj/src/"), F.lit("/home/al/x/"), F.lit("C:\\Users\\bo\\y\\"), F.lit("/etc/")), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_partkey").cast("string")), F.lit("/proj")).alias("path")), "SELECT p_partkey, ['/$PROJECT/src/', '~/x/', '~/y/', '/etc/'][p_partkey % 4 + 1] || p_partkey AS path FROM part")
 add("H17_is_secret_name", lambda s, d: table(s, d, "part").select("p_partkey", text.is_secret_name(F.concat(F.element_at(F.array(F.lit("my_password"), F.lit("PATH"), F.lit("git_"), F.lit("x")), (F.col("p_partkey") % 4 + 1).cast("int")), F.when(F.col("p_partkey") % 3 == 0, "token").otherwise(""))).alias("secret")), "SELECT p_partkey, p_partkey % 4 = 0 OR (p_partkey % 4 = 2 AND p_partkey % 3 = 0) AS secret FROM part")
 add("H20_is_ulid", lambda s, d: table(s, d, "orders").select("o_orderkey", text.is_ulid(F.concat(F.lit(" 01J"), F.upper(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 22)), F.when(F.col("o_orderkey") % 3 == 0, "u").otherwise("7"))).alias("ok")), "SELECT o_orderkey, o_orderkey % 3 <> 0 AS ok FROM orders")
@@ -296,6 +321,18 @@ def _chunks(s, d):
 
 add("C12_orphan_chunks", _chunks, "SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS hash FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 2 = 0)")
 
+
+
+def _chunks_of_orders(s, d):
+    from ..operators.failures import orphan_chunks
+
+    o = table(s, d, "lineitem").select("l_orderkey", F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("hash"))
+    files = o.groupBy(F.col("l_orderkey").alias("manifest")).agg(F.collect_set("hash").alias("chunk_hashes"))
+    return orphan_chunks(files.filter("manifest % 2 = 0"), o.select("hash").distinct())
+
+
+add("C12_orphan_chunks_of_orders", _chunks_of_orders, "WITH c AS (SELECT l_orderkey, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS hash FROM lineitem) SELECT hash FROM c GROUP BY hash HAVING count(*) FILTER (l_orderkey % 2 = 0) = 0")
+
 # ---- J: lineage
 prov = samples.provenance
 _E = 'SELECT "from", "to" FROM edges'

@@ -11,7 +11,8 @@ from ..operators.chain import verify_chain
 from ..sources import samples
 from ..storage import fresh_path
 from ..streaming import operators as st
-from .registry import EV, add
+from . import records
+from .registry import EV, ORACLE, add
 
 
 def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -71,13 +72,25 @@ def _redact(s, d):
 add("K5_redact_stream", _redact, "SELECT CAST(doc_id AS VARCHAR) AS event_id, 1::BIGINT AS n FROM documents")
 
 
+def _redact_texts(s, d):
+    rows = records._secret_text(s, d).select(F.col("doc_id").cast("string").alias("event_id"), F.lit("s").alias("session_id"), F.to_json(F.struct("t")).alias("payload"))
+    return _run(st.redact_stream(_stream(s, rows)).select("event_id", "payload", F.size("findings").cast("long").alias("n")), s)
+
+
+add(
+    "K5_redact_stream_texts",
+    _redact_texts,
+    f"""WITH {records._SCAN} SELECT CAST(doc_id AS VARCHAR) AS event_id, '{{"t":' || CAST(to_json(array_to_string([p[i] || coalesce(tags[i], '') FOR i IN range(1, len(p) + 1)], '')) AS VARCHAR) || '}}' AS payload, CAST(len(m) AS BIGINT) AS n FROM found""",
+)
+
+
 def _throttle(s, d):
     path = fresh_path(s, "source")
     samples.events(s, d).coalesce(1).write.parquet(path)
     return _run(st.throttle_stream(s.readStream.schema(s.read.parquet(path).schema).parquet(path), "session_id", 3_600_000), s).withColumnRenamed("key", "session_id")
 
 
-add("K6_throttle_stream", _throttle)
+add("K6_throttle_stream", _throttle, ORACLE["K6_throttle"])
 add(
     "K7_dedupe_stream",
     lambda s, d: _run(st.dedupe_stream(_stream(s, samples.events(s, d).union(samples.events(s, d).filter("sequence < 5"))), "400 days").select("event_id"), s),
@@ -93,3 +106,31 @@ def _tests(s, d):
 
 
 add("K8_test_counts_stream", _tests, "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS passed, count(*) AS failed FROM conversations GROUP BY conv_id")
+
+
+def _last_tests(s, d):
+    """The last chunk of a conversation has no line end; XML reports come in halves."""
+    t = samples.table(s, d, "conversations").select("conv_id", "turn").distinct()
+    most = t.groupBy("conv_id").agg(F.max("turn").alias("most"))
+    key = [F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("utc_timestamp"), F.format_string("%09d", "turn").alias("event_id"), (F.col("turn") == F.col("most")).alias("ended")]
+    plain = t.join(most, "conv_id").select(*key, F.concat(F.lit("--- PASS: a\n--- "), F.lit("SKIP: b"), F.when(F.col("turn") < F.col("most"), "\n").otherwise("")).alias("text"))
+    half = F.when(F.col("turn") % 2 == 0, '<testcase name="a"><failure message="x"/></testcase><testcase name="b"><ski').otherwise('pped/></testcase>\n<testcase name="c"/><testcase name="d"></testcase>')
+    xml = t.join(most, "conv_id").select(*key, half.alias("text"))
+    out = []
+    for name, rows in (("gotest", plain), ("junit", xml)):
+        path = fresh_path(s, "source")  # in order of turns, as a session's output comes
+        for part in ("event_id < '000000003'", "event_id >= '000000003'"):
+            rows.filter(part).repartition(4, "session_id").write.mode("append").parquet(path)
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        got = _run(st.test_counts_stream(stream, name, "ended"), s)
+        out.append(got.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in ("passed", "failed", "skipped")]).withColumn("dialect", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+add(
+    "K8_test_counts_to_the_end",
+    _last_tests,
+    """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations), c AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 0) AS even, count(*) FILTER (turn % 2 = 1) AS odd FROM t GROUP BY conv_id)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, n AS passed, 0::BIGINT AS failed, n AS skipped, 'gotest' AS dialect FROM c
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 2 * odd, even, odd, 'junit' FROM c""",
+)

@@ -1,12 +1,12 @@
-"""Export and import of sessions as bundles: event files by session and a manifest."""
+"""Export and import of sessions as bundles: event files in ranges of sessions, and a manifest."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.chain import verify_chain
+from ..storage import stage
 
 VERSION = "run-bundle@1.0.0"
 
@@ -18,12 +18,12 @@ def manifest(events: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def export_sessions(events: DataFrame, sessions: DataFrame, out: str) -> DataFrame:
-    """Writes the sessions whose chain holds, events by session and the manifest; returns the rejected."""
-    checked = verify_chain(events)
+    """Writes the sessions whose chain holds, events in order of sessions and the manifest; returns the rejected."""
+    checked = stage(verify_chain(events), "checked")
     good = checked.filter("ok").select("session_id")
     kept = events.join(good, "session_id", "left_semi")
-    kept.repartition("session_id").sortWithinPartitions("session_id", "sequence").write.mode("overwrite").partitionBy("session_id").json(f"{out}/events")
-    manifest(kept, sessions).write.mode("overwrite").json(f"{out}/manifest")
+    kept.repartitionByRange("session_id", "sequence").sortWithinPartitions("session_id", "sequence").write.mode("overwrite").json(f"{out}/events")
+    manifest(events.sparkSession.read.schema(events.schema).json(f"{out}/events"), sessions).write.mode("overwrite").json(f"{out}/manifest")
     return checked.filter("NOT ok").select("session_id", F.col("error").alias("reason"))
 
 
@@ -35,7 +35,7 @@ def compatible(version: Column) -> Column:
 
 def import_sessions(spark: SparkSession, path: str, event_schema: str) -> tuple[DataFrame, DataFrame]:
     """(accepted events, rejected sessions with the reason): a session is taken whole or not at all."""
-    events = spark.read.schema(event_schema).json(f"{path}/events")
+    events = stage(spark.read.schema(event_schema).json(f"{path}/events"), "imported")
     listed = spark.read.schema("version string, session_id string, project_id string, event_count long, head_hash string").json(f"{path}/manifest")
     own = events.groupBy("session_id").agg(F.count(F.lit(1)).alias("found"), F.max_by("current_hash", "sequence").alias("head"))
     both = listed.join(own, "session_id", "left").join(verify_chain(events).select("session_id", "ok", "error"), "session_id", "left")
@@ -51,8 +51,7 @@ def import_sessions(spark: SparkSession, path: str, event_schema: str) -> tuple[
 
 def sessions_to_archive(sessions: DataFrame, keep: int, archived: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """Sessions beyond the newest `keep` (and within the next `most`), without those archived already."""
-    n = F.row_number().over(W.orderBy(F.desc("started_at"), "session_id"))
-    out = sessions.withColumn("__n", n).filter(F.col("__n") > keep)
-    if most is not None:
-        out = out.filter(F.col("__n") <= keep + most)
-    return (out if archived is None else out.join(archived.select("session_id"), "session_id", "left_anti")).drop("__n")
+    newest = [F.desc("started_at"), F.asc("session_id")]
+    near = sessions if most is None else sessions.orderBy(*newest).limit(keep + most)
+    out = near.join(sessions.orderBy(*newest).limit(keep).select("session_id"), "session_id", "left_anti")
+    return out if archived is None else out.join(archived.select("session_id"), "session_id", "left_anti")

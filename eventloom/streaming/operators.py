@@ -95,18 +95,27 @@ def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id string", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def test_counts_stream(stream: DataFrame, dialect: str = "gotest") -> DataFrame:
+def test_counts_stream(stream: DataFrame, dialect: str = "gotest", ended: str | None = None) -> DataFrame:
     """Running test counts of each session from chunks (session_id, utc_timestamp, event_id, text).
 
-    The tail of an unfinished line waits in the state for the next chunk; whole lines are counted by
-    the same column function as in batch."""
+    The tail of an unfinished line (of an unfinished test case, in XML) waits in the state for the next
+    chunk; what is whole is counted by the same column function as in batch.  The column `ended` tells
+    the last chunk of a session: its tail counts too, and its state goes."""
+    border = "</testcase>" if dialect == "junit" else "\n"
 
     def lines(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pdf = _ordered(batches)
-        text = (state.get[0] if state.exists else "") + "".join(pdf["text"])
-        whole, cut, tail = text.rpartition("\n")
-        state.update((tail,))
-        yield pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "text": [whole if cut else ""]})
-
-    done = stream.select("session_id", "utc_timestamp", "event_id", "text").groupBy("session_id").applyInPandasWithState(lines, "session_id string, text string", "tail string", "append", GroupStateTimeout.NoTimeout)
+        text = (state.get[0] if state.exists else "") + "".join(pdf["text"].fillna(""))
+        if pdf["ended"].any():
+            whole = text
+            if state.exists:
+                state.remove()
+        else:
+            whole, cut, tail = text.rpartition(border)
+            whole += cut
+            state.update((tail,))
+        yield pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "text": [whole]})
+
+    last = F.lit(False) if ended is None else F.coalesce(F.col(ended), F.lit(False))
+    done = stream.select("session_id", "utc_timestamp", "event_id", "text", last.alias("ended")).groupBy("session_id").applyInPandasWithState(lines, "session_id string, text string", "tail string", "append", GroupStateTimeout.NoTimeout)
     return done.withColumn("c", test_counts(F.col("text"), dialect)).select("session_id", "c.*")
