@@ -41,17 +41,28 @@ def _shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(h, np.zeros(len(h), np.int64), k)[0])
 
 
+class Statistics:
+    """What scores take from all items: their number, summed and greatest length, and the number of items
+    of each term (hashes in ascending order, of which an index needs those of its own items)."""
+
+    def __init__(self, n: int, words_: int, longest: int, terms: np.ndarray, df: np.ndarray):
+        self.n, self.words, self.longest, self.terms, self.df = n, words_, longest, terms, df
+
+
 class Index:
-    """Terms (sorted hashes), postings by term with impacts, block and super-block maxima."""
+    """Terms (sorted hashes), postings by term with impacts, block and super-block maxima.
+
+    `of` are the statistics of all items, where these are some of them."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], of: Statistics | None = None):
         column = pa.array(texts, pa.string())
         parts, question, answer = [], [], []
         for _, data, off in slices(column, 1 << 40):
             starts, ends, doc = words(data, off)
             h = hashes(LOWER[data], starts, ends)
+            edge = np.searchsorted(doc, np.arange(len(off)))
             for i in range(len(off) - 1):
-                own = doc == i
+                own = slice(edge[i], edge[i + 1])
                 w = h[own]
                 stop = np.flatnonzero(_STOP[data[ends[own] - 1]][:-1]) if len(w) else []
                 cut = int(stop[-1]) + 1 if len(stop) else max(0, len(w) - SHINGLE)
@@ -62,16 +73,18 @@ class Index:
         some.sort(key=lambda i: len(parts[i]))  # neighbours in a block have like lengths and bounds
         self.ids = [ids[i] for i in some]
         self.question, self.answer = [question[i] for i in some], [answer[i] for i in some]
-        self.stride = max([32, *(len(parts[i]) for i in some)])
+        self.stride = max([32, *(len(parts[i]) for i in some), of.longest if of else 0])
         n = len(some)
         item = np.repeat(np.arange(n), [len(parts[i]) for i in some])
         terms, t = np.unique(np.concatenate([parts[i] for i in some]) if some else np.zeros(0, U), return_inverse=True)
         pair, tf = np.unique(t.astype(np.int64) * max(n, 1) + item, return_counts=True)
         term, item = pair // max(n, 1), pair % max(n, 1)
         length = np.array([len(parts[i]) for i in some], float)
-        df = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / length.mean())) if n else np.zeros(0)
+        if of is None:
+            of = Statistics(n, int(length.sum()), self.stride, terms, np.bincount(term, minlength=len(terms)))
+        df = of.df[np.searchsorted(of.terms, terms)]
+        idf = np.log1p((of.n - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / (of.words / of.n))) if n else np.zeros(0)
         impact = impact / np.bincount(item, impact, n)[item] if n else impact
         self.terms, self.term_of, self.item, self.impact = terms, term, item, impact
         self.start = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -178,19 +191,48 @@ def _all_shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(np.concatenate([windows(h, one, j)[0] for j in range(1, k + 1)]))
 
 
+def item_statistics(items: DataFrame) -> tuple[int, int, int, DataFrame]:
+    """Number, summed and greatest length of items that have words, and (shard, term, df) of all terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, data, off in slices(b.column("text")):
+                starts, ends, doc = words(data, off)
+                h = hashes(LOWER[data], starts, ends)
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
+                shard = b.column("shard").slice(lo, len(off) - 1).to_numpy()
+                size = np.bincount(doc, minlength=len(off) - 1)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[doc[new]]), "term": pa.array(h[new].view(np.int64)), "words": pa.nulls(int(new.sum()), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "term": pa.nulls(len(size), pa.int64()), "words": pa.array(size, pa.int64())})
+
+    found = stage(items.select("shard", "text").mapInArrow(lean(run), "shard long, term long, words long"), "item-terms")
+    n, total, longest = found.filter("words > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(0))).first()
+    df = found.filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return n, total, longest, stage(found.filter("term IS NOT NULL").select("shard", "term").distinct().join(df, "term"), "item-terms")
+
+
 def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs with `leaks`, an array of the items found in each text (empty for clean texts)."""
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c != "leaks"]
     out = docs.select(*kept)
-    count = items.count()
     numbered = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
-    shards = max(1, -(-count // SHARD_ITEMS))
+    shards = max(1, -(-items.count() // SHARD_ITEMS))
     if shards > 1:
         numbered = stage(numbered.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards))), "test-items")
+        n, total, longest, terms = item_statistics(numbered)
     for s in range(shards):
-        rows = (numbered if shards == 1 else numbered.filter(F.col("shard") == s)).orderBy("id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"] for r in rows]))
+        own = numbered if shards == 1 else numbered.filter(F.col("shard") == s)
+        rows = own.orderBy("id", "text").collect()  # about SHARD_ITEMS rows
+        of = None
+        if shards > 1:
+            got = terms.filter(F.col("shard") == s).select("term", "df").toArrow()  # the terms of these rows
+            term = got.column("term").to_numpy().view(U)
+            order = np.argsort(term)
+            of = Statistics(n, total, longest, term[order], got.column("df").to_numpy()[order])
+        index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"] for r in rows], of))
 
         def run(batches: Iterator[pa.RecordBatch], index=index, s=s) -> Iterator[pa.RecordBatch]:
             x = index.value
@@ -199,6 +241,9 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
                 for lo, data, off in slices(b.column(text)):
                     for (d, item), (score, q, a) in sorted(x.leaks(data, off, threshold, overlap).items()):
                         leaks[lo + d].append({"item_id": x.ids[item], "score": score, "question_overlap": q, "answer_overlap": a})
+                if s == shards - 1:
+                    for found in leaks:
+                        found.sort(key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, x["score"]))
                 kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(leaks, kind)], schema=pa.schema([*(b.schema.field(c) for c in kept), pa.field("leaks", kind)]))
 
