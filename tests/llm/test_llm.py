@@ -490,15 +490,15 @@ def test_inputs_and_scores_of_a_shard_equal_plain_ones():
     inputs = {}
     for live, bit, gate, x in context_mixing.code_bits(k, two, three, t, n, c):
         d = inputs and max(q for _, q in inputs) + 1 or 0
-        for i, b, g, row in zip(live, bit, gate, x):
+        for i, b, g, row in zip(live, bit, gate, zip(*x)):
             want, level = [], []
             for ctx in contexts[i]:
                 z = list(count[ctx, tuple(bits[t[i]][:d])])
                 z[b] -= n[i] > 0
                 want.append(math.log(z[1] + 0.1) - math.log(z[0] + 0.1))
                 level.append(sum(int(sum(z) >= x) for x in (1, 4, 64)))
-            assert bits[t[i]][d] == b and g == level[1] * 4 + level[2] and np.allclose(row[1:4], want, atol=1e-5)
-            inputs[i, d] = (b, g, row.astype(float))
+            assert bits[t[i]][d] == b and g == level[1] * 4 + level[2] and np.allclose(row[1:], want, atol=1e-5)
+            inputs[i, d] = (b, g, np.array([*map(float, row), context_mixing.BIAS]))
     got = context_mixing.code_scores(k, two, three, t, n, c)
     done = 0
     for d in range(int(c.length.max())):
@@ -558,6 +558,32 @@ def test_language_model_of_odd_tables(spark):
     assert len(got) == 6 and got[0] == got[1] and got[4] == got[5]
 
 
+def test_sentence_spans_settle_within_and_across_sources(spark, monkeypatch):
+    monkeypatch.setattr(sentence_spans, "FLUSH", 12)
+    monkeypatch.setattr(sentence_spans, "SLICE", 300)
+    rng = random.Random(9)
+    said = [" ".join(rng.choice(VOCABULARY[:4]) + str(rng.randrange(50)) for _ in range(6)) + ". " for _ in range(14)]
+    ids = rng.sample(range(100), 39)
+    rows = [(d, "".join(rng.choices(said, k=rng.randrange(1, 7)))) for d in [None, *ids]]
+    rows += rows[:4] + [(None, None), (109, "")]
+    want = brute.without_repeated_sentences(rows, sentence_spans.SENTENCES, sentence_spans.MIN_WORDS)
+    got = sentence_spans.drop_repeated_sentences(frame(spark, rows).withColumn("places", F.lit("clash"))).collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str((d, t if t is None else want[d, t])) for d, t in rows)
+
+
+def test_leaks_do_not_depend_on_shards_of_items(spark, monkeypatch):
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(pool, k=rng.randrange(6, 25))) + ". " + " ".join(rng.choices(pool, k=4)) for _ in range(45)]
+    items = spark.createDataFrame([*enumerate(texts), (45, None), (46, ""), (3, texts[3]), (None, texts[7])], "item_id long, text string")
+    rows = [(i, " ".join(rng.choices(pool, k=30)) + " " + rng.choice(texts) + " " + " ".join(rng.choices(pool, k=30))) for i in range(60)] + [(None, texts[1]), (70, None), (71, "")]
+    run = lambda: {(r["doc_id"], r["text"]): [(x["item_id"], round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in r["leaks"]] for r in decontaminate.mark_leaks(frame(spark, rows), items).collect()}
+    one = run()
+    assert sum(map(len, one.values())) >= 61 and [x[0] for x in one[None, texts[1]]][:1] in ([1], [None])
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", 10)
+    assert run() == one
+
+
 # ---- the pipeline
 
 
