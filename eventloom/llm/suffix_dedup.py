@@ -2,11 +2,11 @@
 
 A document is earlier if its id is smaller.  Two strings of LENGTH bytes that are equal have the same
 least hashed GRAM-gram, so the runs of successive strings with one such least value (a value's
-strings lie within one piece of text of about 65 bytes) can be dealt by it, and equal strings meet.
+strings lie within one piece of text of about 67 bytes) can be dealt by it, and equal strings meet.
 
 1. Every document sends its values, deduplicated, to the value's bucket, which answers with those
-   that a second document has.  Values and document keys are cut to 40 bits on the way, which can only
-   add to the answer.
+   that a second document has.  Values and document keys are cut to 40 bits on the way, and values in
+   answers to 16, which can only add to them.
 2. The pieces of the values answered go to their buckets, equal pieces once for each batch of texts.
    A bucket's pieces make a shard: its suffix array is found by Larsson-Sadakane refinement (sorted by
    the first eight bytes, then groups that are still tied by the ranks 8, 16, 32 ... places on), the
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .flat import U, mix, slices
 from .shared import by_bucket, joinable, lean, lean_group, merged, pack, stage, text_bytes, unpack
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
 BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES, SOURCE_BYTES = 4 << 20, 6 << 20, 4 << 20, 12 << 20
 #: Successive strings in a piece at most; a longer run (of a periodic text) is cut.
@@ -135,7 +135,7 @@ def _by_value(v: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _told(v: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
     """Blocks that tell documents of some of their values, dealt by document."""
-    v, key = v[hit], key[hit]
+    v, key = v[hit].astype(np.uint16), key[hit]
     order = np.argsort(key, kind="stable")
     v, key = v[order], key[order]
     return [(b, pack(key[rows], v[rows])) for b, rows in by_bucket(_bucket(key.view(U), buckets))]
@@ -189,6 +189,8 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
         key, v = merged(pdf["block"])
         order = np.lexsort((v, key))
         key, v = key[order], v[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
+        key, v = key[new], v[new]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         return pd.DataFrame({"key": key[edge[:-1]], "shared": [v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]})
 
@@ -438,10 +440,10 @@ def _piece_blocks(buckets: int):
             for lo, data, off in slices(b.column("text")):
                 v, start, n, doc = pieces(data, off)
                 first = np.searchsorted(doc, np.arange(len(off)))
-                cut = v >> U(CUT)
+                cut = (v >> U(CUT)).astype(np.uint16)
                 hit = np.zeros(len(v), bool)
                 for i in range(len(off) - 1):
-                    own = np.frombuffer(shared[lo + i].as_buffer(), U)
+                    own = np.frombuffer(shared[lo + i].as_buffer(), np.uint16)
                     x = cut[first[i] : first[i + 1]]
                     if len(x):
                         hit[first[i] : first[i + 1]] = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
