@@ -5,13 +5,16 @@ Every text gets five statistics.  Rows that pass the base limits give a transfor
 concentration steps over all rows of the group: distances under the present estimate, the share
 SUBSET of smallest distances, their mean and covariance, and again.  A step is one aggregation:
 distances fall in fine logarithmic bins, moments are summed by group and bin, and the bins that make
-up the subset give the next estimate, so no group is ever gathered.  Two starts are tried, the one
-with the smaller determinant stays.  A row is rejected if its squared Mahalanobis distance is over
-``cutoff``.  Groups under MIN_GROUP rows are pooled by language, and those still under it together.
+up the subset give the next estimate, so no group is ever gathered.  Steps go on until no determinant
+moves by more than SETTLED; of four starts (medians with floors, with median deviations, with both, and
+with the mean and all variances) the one with the smallest determinant stays.  A row is rejected if its
+squared Mahalanobis distance is over ``cutoff``, a quantile of the chi-square distribution.  Groups
+under MIN_GROUP rows are pooled by language, and those still under it together.
 
 Cases: a null text has no words and fails the base limits; null language or source is a value of its
 own; rows with equal columns are judged alike; an empty table stays empty; a statistic that does not
-vary has a floor under its variance (FLOORS), so it rejects nothing by rounding.
+vary has a floor under its variance (FLOORS), so it rejects nothing by rounding; where variances lie
+under their floors, distances are smaller than chi-square and the rule is milder.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from .flat import WHITE, hashes, runs, slices, windows, words
 from .shared import lean, lean_group, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-SUBSET, STEPS, MIN_GROUP = 0.75, 6, 100
-#: The chi-square distribution with five degrees of freedom has 6e-8 beyond it.
+SUBSET, MIN_GROUP = 0.75, 100
+#: Steps end when no log determinant moves further; more than MOST_STEPS are an error.
+SETTLED, MOST_STEPS = 1e-6, 200
+#: The 1 - 6e-8 quantile of the chi-square distribution with five degrees of freedom.
 CUTOFF = 42.0
 #: Smallest standard deviation of each transformed statistic.
 FLOORS = (0.7, 0.1, 0.05, 0.5, 0.1)
@@ -117,12 +122,13 @@ def _group_keys(rows: DataFrame) -> DataFrame:
 
 
 def _scaled(cov: np.ndarray, share: float) -> np.ndarray:
-    """Covariance of the subset, made consistent for normal data, with the floors on its diagonal."""
+    """Covariance of the subset, made consistent for normal data; variances under their floors are raised to them."""
     x = np.linspace(0, 60, 60001)
     density = lambda k: x ** (k / 2 - 1) * np.exp(-x / 2)
     cdf = lambda k: np.cumsum(d := density(k)) / d.sum()
     q = int(np.searchsorted(cdf(P), share))
-    return cov * (share / cdf(P + 2)[min(q, 60000)]) + np.diag(np.square(FLOORS))
+    cov = cov * (share / cdf(P + 2)[min(q, 60000)])
+    return cov + np.diag(np.maximum(np.square(FLOORS) - np.diag(cov), 0))
 
 
 def _estimate(count: float, s: np.ndarray, ss: np.ndarray, share: float) -> tuple[list[float], list[float], float]:
@@ -144,7 +150,8 @@ def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Start 0: coordinate medians with the floors as scales; start 1: medians with median deviations."""
+    """Starts 0 to 2: coordinate medians, with the floors as scales, with median deviations where they are
+    over the floors, and with both added; start 3: means and variances of all rows."""
     grid = 64
 
     def middle(values: DataFrame) -> DataFrame:
@@ -165,11 +172,14 @@ def _starts(rows: DataFrame) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         out = []
-        for start, var in ((0, np.square(FLOORS)), (1, np.square(1.4826 * pdf["d"].to_numpy()) + np.square(FLOORS))):
-            out.append((pdf["__group"].iloc[0], start, pdf["m"].tolist(), np.diag(1 / var).ravel().tolist(), float(np.log(var).sum())))
+        floor, wide = np.square(FLOORS), np.square(1.4826 * pdf["d"].to_numpy())
+        middle, mean, all_ = (pdf[c].tolist() for c in ("m", "mean", "var"))
+        for start, (centre, var) in enumerate(((middle, floor), (middle, np.maximum(wide, floor)), (middle, wide + floor), (mean, np.maximum(all_, floor)))):
+            out.append((pdf["__group"].iloc[0], start, centre, np.diag(1 / var).ravel().tolist(), float(np.log(var).sum())))
         return pd.DataFrame(out, columns=["__group", "start", "mean", "inverse", "logdet"])
 
-    both = median.join(spread.withColumnRenamed("m", "d"), ["__group", "k"])
+    plain = long.groupBy("__group", "k").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    both = median.join(spread.withColumnRenamed("m", "d"), ["__group", "k"]).join(plain, ["__group", "k"])
     return stage(both.groupBy("__group").applyInPandas(lean_group(run), _PARAMS), "mcd-start")
 
 
@@ -201,8 +211,13 @@ def fit_mcd(stats: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     keys = _group_keys(rows)
     rows = stage(rows.join(keys, ["__lang", "__source"]).select("__group", *[f"__x{i}" for i in range(P)]), "mcd-rows")
     params = _starts(rows)
-    for _ in range(STEPS):
-        params = _step(rows, params)
+    for _ in range(MOST_STEPS):
+        before, params = params, _step(rows, params)
+        moved = params.join(before.select("__group", "start", F.col("logdet").alias("__last")), ["__group", "start"])
+        if (moved.agg(F.max(F.abs(F.col("logdet") - F.col("__last")))).first()[0] or 0.0) <= SETTLED:
+            break
+    else:
+        raise RuntimeError(f"determinants did not settle in {MOST_STEPS} steps")
     best = params.groupBy("__group").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("b"))
     return stage(keys.join(best, "__group").select("__lang", "__source", F.col("b.mean").alias("__mean"), F.col("b.inverse").alias("__inverse")), "mcd-fit")
 
