@@ -134,3 +134,46 @@ def bm25(items, passage, k1=1.2, b=0.75):
 
     query = set(lower_words(" ".join(passage)))
     return [score(t, query) / score(t, set(t)) for t in texts]
+
+
+def _chi_square(x, k):
+    """The chi-square distribution with 5 or 7 degrees of freedom."""
+    terms = [math.sqrt(x), x**1.5 / 3, x**2.5 / 15][: (k - 1) // 2]
+    return math.erf(math.sqrt(x / 2)) - math.sqrt(2 / math.pi) * math.exp(-x / 2) * sum(terms)
+
+
+def mcd_distances(x, floors, subset=0.75, settled=1e-6):
+    """Squared distances of rows of five numbers from their minimum-covariance-determinant estimate."""
+    import numpy as np
+
+    n, p = x.shape
+    floor = np.square(floors)
+
+    def scatter(cov, share):
+        lo, hi = 0.0, 60.0
+        for _ in range(80):
+            lo, hi = ((lo + hi) / 2, hi) if _chi_square((lo + hi) / 2, p) < share else (lo, (lo + hi) / 2)
+        cov = cov * (share / _chi_square(lo, p + 2))
+        cov[np.arange(p), np.arange(p)] = np.maximum(cov.diagonal(), floor)
+        return cov
+
+    def binned_median(v):
+        bins, count = np.unique(np.round(v * 64), return_counts=True)
+        return bins[np.searchsorted(count.cumsum(), count.sum() / 2)] / 64
+
+    middle = np.array([binned_median(v) for v in x.T])
+    wide = np.square([1.4826 * binned_median(abs(v - m)) for v, m in zip(x.T, middle)])
+    fits = [(middle, floor), (middle, np.maximum(wide, floor)), (middle, wide + floor), (x.mean(axis=0), np.maximum(x.var(axis=0), floor))]
+    fits = [(m, np.diag(v)) for m, v in fits]
+    square = lambda m, cov: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+    while True:
+        new = []
+        for m, cov in fits:
+            bins = np.floor(np.log2(square(m, cov) + 1e-9) * 32)
+            order, count = np.unique(bins, return_counts=True)
+            own = x[bins <= order[np.searchsorted(count.cumsum(), subset * n)]]
+            new.append((own.mean(axis=0), scatter(np.cov(own.T, bias=True), min(0.999, len(own) / n))))
+        moved = max(abs(np.linalg.slogdet(a[1])[1] - np.linalg.slogdet(b[1])[1]) for a, b in zip(new, fits))
+        fits = new
+        if moved <= settled:
+            return square(*min(fits, key=lambda f: np.linalg.slogdet(f[1])[1]))

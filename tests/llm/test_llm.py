@@ -584,6 +584,34 @@ def test_leaks_do_not_depend_on_shards_of_items(spark, monkeypatch):
     assert run() == one
 
 
+def test_outlier_rule_equals_a_plain_estimate(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(420):
+        w = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(15, 60 + 200 * (i % 3)))]
+        for _ in range(rng.choice([0, 0, 0, 1, 3, 20])):
+            w[rng.randrange(len(w))] = rng.choice(["#", "$%", "a\nb\na\nb", "*" * 9])
+        rows.append((i, " ".join(w)))
+    rows += [(900, None), (901, "few"), (902, "x y z " * 40)]
+    got = {r["doc_id"]: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    groups, vectors = {}, {}
+    for d, t in rows:
+        n, chars, symbols, lines, repeat = brute.quality(t)
+        failed = n < 10 or 100 * repeat > 20 * n
+        assert got[d]["base_failed"] == failed and (not failed or not got[d]["kept"])
+        if not failed:
+            vectors[d] = [math.log(n), math.log((chars + 1) / n), math.sqrt(symbols / (chars + 1)), math.log1p(lines), math.sqrt(repeat / n)]
+            groups.setdefault((None if d % 7 == 0 else "en", d % 2), []).append(d)
+    small = [g for g in groups if len(groups[g]) < quality.MIN_GROUP]
+    assert len(small) == 2 and sum(len(groups[g]) for g in small) < quality.MIN_GROUP
+    groups[None] = sum((groups.pop(g) for g in small), [])
+    for own in groups.values():
+        want = brute.mcd_distances(np.array([vectors[d] for d in own]), quality.FLOORS)
+        for d, x in zip(own, want):
+            assert abs(got[d]["distance"] - x) < 1e-3 * (1 + x) and got[d]["kept"] == (x <= quality.CUTOFF)
+    assert 0 < sum(not got[d]["kept"] for d in vectors) < len(vectors) / 4
+
+
 # ---- the pipeline
 
 
