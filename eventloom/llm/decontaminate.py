@@ -238,7 +238,7 @@ def mark_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
             x = index.value
             for b in batches:
                 leaks: list[list[dict]] = [[] for _ in range(b.num_rows)] if s == 0 else [v or [] for v in b.column("leaks").to_pylist()]
-                for lo, data, off in slices(b.column(text)):
+                for lo, data, off in slices(b.column(text), 2 << 20):
                     for (d, item), (score, q, a) in sorted(x.leaks(data, off, threshold, overlap).items()):
                         leaks[lo + d].append({"item_id": x.ids[item], "score": score, "question_overlap": q, "answer_overlap": a})
                 if s == shards - 1:
