@@ -25,13 +25,12 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 def query_calls(events: DataFrame) -> DataFrame:
     """Database calls with their statement and its template from the payload."""
-    return events.filter(F.col("kind") == "db.query").withColumns(
-        {"sql": F.coalesce(F.get_json_object("payload", "$.sql"), F.lit("")), "sql_normalized": F.coalesce(F.get_json_object("payload", "$.sql_normalized"), F.lit(""))}
-    )
+    own = events.filter(F.col("kind") == "db.query").withColumn("__call", F.from_json("payload", "sql string, sql_normalized string"))
+    return own.withColumns({c: F.coalesce(F.col(f"__call.{c}"), F.lit("")) for c in ("sql", "sql_normalized")}).drop("__call")
 
 
-def n_plus_one(events: DataFrame, threshold: int = 3, times: int = 0) -> DataFrame:
-    """Statements that a session repeats: a row for each session and template, most frequent first.
+def n_plus_one(events: DataFrame, threshold: int = 3, times: int = 0, ordered: bool = True) -> DataFrame:
+    """Statements that a session repeats: a row for each session and template, most frequent first if `ordered`.
 
     `times` lists up to that many of the earliest whole-second times of the calls."""
     agg = [F.count(F.lit(1)).alias("count"), F.sum("duration_ns").alias("total_duration_ns"), F.min_by("sql", F.struct("sequence", "sql")).alias("example_sql")]
@@ -42,7 +41,8 @@ def n_plus_one(events: DataFrame, threshold: int = 3, times: int = 0) -> DataFra
         agg.append(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["at"]).alias("times"))
     else:
         events = query_calls(events)
-    return events.groupBy("session_id", "sql_normalized").agg(*agg).filter(F.col("count") >= threshold).orderBy(F.desc("count"), "session_id", "sql_normalized")
+    out = events.groupBy("session_id", "sql_normalized").agg(*agg).filter(F.col("count") >= threshold)
+    return out.orderBy(F.desc("count"), "session_id", "sql_normalized") if ordered else out
 
 
 def slow_queries(events: DataFrame, min_ns: int = 100_000_000) -> DataFrame:
@@ -52,7 +52,7 @@ def slow_queries(events: DataFrame, min_ns: int = 100_000_000) -> DataFrame:
 def db_report_rows(events: DataFrame, threshold: int = 3, min_ns: int = 100_000_000) -> DataFrame:
     """Repeated and slow statements in one table; times in whole milliseconds."""
     ms = lambda c: F.floor(F.col(c) / 1_000_000).cast("long")
-    repeated = n_plus_one(events, threshold).select("session_id", F.lit("repeated").alias("section"), F.col("sql_normalized").alias("statement"), "count", ms("total_duration_ns").alias("ms"))
+    repeated = n_plus_one(events, threshold, ordered=False).select("session_id", F.lit("repeated").alias("section"), F.col("sql_normalized").alias("statement"), "count", ms("total_duration_ns").alias("ms"))
     slow = slow_queries(events, min_ns).select("session_id", F.lit("slow").alias("section"), F.col("sql").alias("statement"), F.lit(1).cast("long").alias("count"), ms("duration_ns").alias("ms"))
     return repeated.unionByName(slow)
 
