@@ -158,6 +158,14 @@ def throttle(events: DataFrame, key: str, gap_ms: int = 50) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInPandas(fold, rows.schema)
 
 
+def throttle_paths(events: DataFrame, paths: str, gap_ms: int = 50) -> DataFrame:
+    """Events of which at least one path comes a gap after the last one kept of that path; each path is
+    throttled for itself."""
+    each = events.select("event_id", "utc_timestamp", F.explode(F.array_distinct(paths)).alias("__path"))
+    kept = throttle(each, "__path", gap_ms).select("event_id").distinct()
+    return events.join(kept, "event_id", "left_semi")
+
+
 def list_view(sessions: DataFrame) -> DataFrame:
     return sessions.select("session_id", "state", "started_at", "stopped_at", "source_event_count")
 

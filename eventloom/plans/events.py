@@ -385,3 +385,12 @@ f AS (SELECT session_id, event_id, n, t AS last, TRUE AS keep FROM o WHERE n = 1
       UNION ALL SELECT o.session_id, o.event_id, o.n, CASE WHEN o.t - f.last >= INTERVAL 1 HOUR THEN o.t ELSE f.last END, o.t - f.last >= INTERVAL 1 HOUR FROM f JOIN o ON o.session_id = f.session_id AND o.n = f.n + 1)
 SELECT session_id, event_id FROM f WHERE keep""",
 )
+add(
+    "K6_throttle_paths",
+    lambda s, d: flt.throttle_paths(ev(s, d).withColumn("paths", F.array(F.concat(F.lit("s"), F.col("session_id")), F.concat(F.lit("k"), F.col("session_id"), F.col("kind")))), "paths", 3_600_000).select("session_id", "event_id"),
+    f"""WITH RECURSIVE {EV}, p AS (SELECT session_id, event_id, utc_timestamp AS t, unnest(['s' || session_id, 'k' || session_id || kind]) AS path FROM ev),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY t, event_id) AS n FROM p),
+f AS (SELECT session_id, event_id, path, n, t AS last, TRUE AS keep FROM o WHERE n = 1
+      UNION ALL SELECT o.session_id, o.event_id, o.path, o.n, CASE WHEN o.t - f.last >= INTERVAL 1 HOUR THEN o.t ELSE f.last END, o.t - f.last >= INTERVAL 1 HOUR FROM f JOIN o ON o.path = f.path AND o.n = f.n + 1)
+SELECT DISTINCT session_id, event_id FROM f WHERE keep""",
+)
