@@ -32,6 +32,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one id and one set are a single document and stay together; of two sets under that id one
     stays.  A null id stays only where its group has no other id, and then as one row."""
+    docs = docs.select(*COLUMNS)
     linked = stage(ngram_join.link_documents(docs.select("doc_id", "text")).filter("n_shingles > 0"), "linked")
     copies = linked.filter("NOT first OR NOT (id <=> component_id)").select("id", "tie")
     unnamed = linked.filter("first AND id IS NULL AND component_id IS NULL")
