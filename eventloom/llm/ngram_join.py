@@ -274,7 +274,7 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
             members.append(own)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     none = [None] * len(members)
-    return pd.DataFrame({"members": [*members, *[None] * len(a)], "a": pd.array([*none, *a.tolist()], "Int64"), "b": pd.array([*none, *b.tolist()], "Int64")})
+    return pd.DataFrame({"members": pd.Series([*members, *[None] * len(a)], dtype=object), "a": pd.array([*none, *a.tolist()], "Int64"), "b": pd.array([*none, *b.tolist()], "Int64")})
 
 
 class Forest:
