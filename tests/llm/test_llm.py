@@ -657,6 +657,22 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert [t for i, t in named if i == 3] in ([f, f], [f + " end"])
 
 
+@pytest.mark.parametrize("rows", [[], ROWS[-14:] + [(None, None), (None, "a b c " * 9), (3, "x"), (3, "x"), (3, "y")]], ids=["empty", "odd"])
+def test_pipeline_stages_take_odd_tables(spark, rows):
+    import corpus_pipeline as cp
+
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    for name in ("kept", "distance", "leaks", "n_lines", "id", "c", "tie", "__id"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    texts = {t for _, t in rows}
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == cp.COLUMNS
+        assert {r["text"] for r in got.collect()} <= texts
+    got = cp.STAGES[-1][1](spark, docs, SF)
+    assert (got.count() == 0) == (not rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     import duckdb
