@@ -5,8 +5,8 @@ Every text gets five statistics.  Rows that pass the base limits give a transfor
 concentration steps over all rows of the group: distances under the present estimate, the share
 SUBSET of smallest distances, their mean and covariance, and again.  A step is one aggregation:
 distances fall in fine logarithmic bins, moments are summed by group and bin, and the bins that make
-up the subset give the next estimate, so no group is ever gathered.  Steps go on until no determinant
-moves by more than SETTLED; of four starts (medians with floors, with median deviations, with both, and
+up the subset give the next estimate, so no group is ever gathered.  A group's start takes steps until
+its determinant is, within SETTLED, one that it had before (bins can make it go round); of four starts (medians with floors, with median deviations, with both, and
 with the mean and all variances) the one with the smallest determinant stays.  A row is rejected if its
 squared Mahalanobis distance is over ``cutoff``, a quantile of the chi-square distribution.  Groups
 under MIN_GROUP rows are pooled by language, and those still under it together.
@@ -32,7 +32,7 @@ from .shared import lean, lean_group, stage
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 SUBSET, MIN_GROUP = 0.75, 100
-#: Steps end when no log determinant moves further; more than MOST_STEPS are an error.
+#: Log determinants this close are equal; more than MOST_STEPS steps are an error.
 SETTLED, MOST_STEPS = 1e-6, 200
 #: The 1 - 6e-8 quantile of the chi-square distribution with five degrees of freedom.
 CUTOFF = 42.0
@@ -199,7 +199,7 @@ def _step(rows: DataFrame, params: DataFrame) -> DataFrame:
         got = _estimate(float(sub), s, ss, min(0.999, sub / n.sum()))
         return pd.DataFrame([(pdf["__group"].iloc[0], int(pdf["start"].iloc[0]), *got)], columns=["__group", "start", "mean", "inverse", "logdet"])
 
-    return stage(bins.groupBy("__group", "start").applyInPandas(lean_group(run), _PARAMS), "mcd-step")
+    return bins.groupBy("__group", "start").applyInPandas(lean_group(run), _PARAMS)
 
 
 def fit_mcd(stats: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -210,15 +210,18 @@ def fit_mcd(stats: DataFrame, lang: str = "lang", source: str = "source") -> Dat
     )
     keys = _group_keys(rows)
     rows = stage(rows.join(keys, ["__lang", "__source"]).select("__group", *[f"__x{i}" for i in range(P)]), "mcd-rows")
-    params = _starts(rows)
+    params, done = _starts(rows).withColumn("seen", F.array().cast("array<double>")), None
     for _ in range(MOST_STEPS):
-        before, params = params, _step(rows, params)
-        moved = params.join(before.select("__group", "start", F.col("logdet").alias("__last")), ["__group", "start"])
-        if (moved.agg(F.max(F.abs(F.col("logdet") - F.col("__last")))).first()[0] or 0.0) <= SETTLED:
+        moved = _step(rows, params).join(params.select("__group", "start", "seen"), ["__group", "start"])
+        settled = F.exists("seen", lambda x: F.abs(x - F.col("logdet")) <= SETTLED)
+        moved = stage(moved.withColumns({"settled": settled, "seen": F.concat("seen", F.array("logdet"))}), "mcd-step")
+        ended, params = moved.filter("settled"), moved.filter("NOT settled").drop("settled")
+        done = ended if done is None else done.unionByName(ended)
+        if params.isEmpty():
             break
     else:
         raise RuntimeError(f"determinants did not settle in {MOST_STEPS} steps")
-    best = params.groupBy("__group").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("b"))
+    best = done.groupBy("__group").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("b"))
     return stage(keys.join(best, "__group").select("__lang", "__source", F.col("b.mean").alias("__mean"), F.col("b.inverse").alias("__inverse")), "mcd-fit")
 
 

@@ -166,14 +166,17 @@ def mcd_distances(x, floors, subset=0.75, settled=1e-6):
     fits = [(middle, floor), (middle, np.maximum(wide, floor)), (middle, wide + floor), (x.mean(axis=0), np.maximum(x.var(axis=0), floor))]
     fits = [(m, np.diag(v)) for m, v in fits]
     square = lambda m, cov: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    while True:
-        new = []
-        for m, cov in fits:
+    ended = []
+    for m, cov in fits:
+        seen = []
+        while True:
             bins = np.floor(np.log2(square(m, cov) + 1e-9) * 32)
             order, count = np.unique(bins, return_counts=True)
             own = x[bins <= order[np.searchsorted(count.cumsum(), subset * n)]]
-            new.append((own.mean(axis=0), scatter(np.cov(own.T, bias=True), min(0.999, len(own) / n))))
-        moved = max(abs(np.linalg.slogdet(a[1])[1] - np.linalg.slogdet(b[1])[1]) for a, b in zip(new, fits))
-        fits = new
-        if moved <= settled:
-            return square(*min(fits, key=lambda f: np.linalg.slogdet(f[1])[1]))
+            m, cov = own.mean(axis=0), scatter(np.cov(own.T, bias=True), min(0.999, len(own) / n))
+            size = np.linalg.slogdet(cov)[1]
+            if any(abs(size - before) <= settled for before in seen):
+                break
+            seen.append(size)
+        ended.append((size, m, cov))
+    return square(*min(ended, key=lambda e: e[0])[1:])
