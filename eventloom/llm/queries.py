@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, quality, sentence_spans, suffix_dedup, token_files, url_filter
+from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, pivot_clustering, quality, sentence_spans, suffix_dedup, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -78,6 +78,10 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_mixing.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_pivot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clustering.cluster_digest(*pivot_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_lattice_sampling": op1_lattice_sampling,
     "op2_ngram_join": op2_ngram_join,
@@ -89,13 +93,47 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_files": op9_token_files,
     "op10_context_mixing": op10_context_mixing,
+    "op11_pivot_clustering": op11_pivot_clustering,
 }
 
 _RULES_SQL = "\n".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 )
 
+CLUSTERS, CLUSTER_ROUNDS = 8, 10
+_ASSIGN_SQL = """a{r} AS MATERIALIZED (
+  SELECT v.rid, any_value(v.vec_id) AS vec_id, min(struct_pack(d := list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c := c.c)) AS best
+  FROM kept v CROSS JOIN c{r} c GROUP BY v.rid
+)"""
+_MOVE_SQL = """m{r} AS MATERIALIZED (
+  SELECT c, list(q ORDER BY i) AS x FROM (
+    SELECT a.best.c AS c, s.i AS i, ((sum(v.x[s.i]) - ((sum(v.x[s.i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS q
+    FROM a{r} a JOIN kept v ON a.rid = v.rid CROSS JOIN (SELECT unnest(range(1, 65)) AS i) s GROUP BY ALL
+  ) GROUP BY c
+), c{next} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.c = m.c)"""
+
+
+def _clusters_sql() -> str:
+    """The rounds one after another, every distance taken, no pivots."""
+    parts = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM kept
+  ORDER BY c LIMIT {CLUSTERS}
+)""",
+    ]
+    for r in range(CLUSTER_ROUNDS):
+        parts += [_ASSIGN_SQL.format(r=r), _MOVE_SQL.format(r=r, next=r + 1)]
+    parts.append(_ASSIGN_SQL.format(r=CLUSTER_ROUNDS))
+    last = f"SELECT vec_id, best.c::INTEGER AS cluster, best.d::BIGINT AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{CLUSTER_ROUNDS} a JOIN c{CLUSTER_ROUNDS} c ON a.best.c = c.c"
+    return "WITH " + ", ".join(parts) + "\n" + last
+
+
 ORACLE_SQL = {
+    "op11_pivot_clustering": _clusters_sql(),
     "op5_url_filter": f"""
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
