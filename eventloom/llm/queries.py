@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, pivot_clustering, quality, sentence_spans, suffix_dedup, token_files, url_filter
+from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, pivot_clustering, quality, sentence_spans, suffix_dedup, token_alignment, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -82,6 +82,12 @@ def op11_pivot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_clustering.cluster_digest(*pivot_clustering.cluster_vectors(table(spark, sf_dir, "embeddings")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = token_alignment.align_documents(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE), tokenizer_path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES = {
     "op1_lattice_sampling": op1_lattice_sampling,
     "op2_ngram_join": op2_ngram_join,
@@ -94,6 +100,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_context_mixing": op10_context_mixing,
     "op11_pivot_clustering": op11_pivot_clustering,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 _RULES_SQL = "\n".join(

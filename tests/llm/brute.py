@@ -180,3 +180,44 @@ def mcd_distances(x, floors, subset=0.75, settled=1e-6):
             seen.append(size)
         ended.append((size, m, cov))
     return square(*min(ended, key=lambda e: e[0])[1:])
+
+
+def aligned(rows, a_path, b_path):
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row, token by token over whole texts."""
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from eventloom.llm import token_alignment as ta
+
+    t = Tokenizer.from_file(a_path)
+    t.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    a_bytes, b_bytes = ta.byte_tokens(a_path), ta.piece_tokens(b_path)
+    made, counts = [], Counter()
+    for d, text in rows:
+        whole = (" " + (text or "")).encode()
+        a, b = (t.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)) if text else ([], [])
+        if b"".join(a_bytes[x] for x in a) != whole or b"".join(b_bytes.get(x, b"?") for x in b) != whole:
+            made.append((d, [], [], []))
+            continue
+        ends = []
+        for ids, size in ((a, a_bytes), (b, b_bytes)):
+            at, e = 0, {}
+            for i, x in enumerate(ids):
+                at += len(size[x])
+                e[at] = i
+            ends.append(e)
+        common = sorted(set(ends[0]) & set(ends[1]))
+        links = [(a[ends[0][x]], b[ends[1][x]]) for x in common]
+        counts.update(links)
+        groups, i, j = [], 0, 0
+        for x in common:
+            groups.append(f"{','.join(map(str, a[i : ends[0][x] + 1]))}|{','.join(map(str, b[j : ends[1][x] + 1]))}")
+            i, j = ends[0][x] + 1, ends[1][x] + 1
+        made.append((d, a, b, links, ";".join(groups)))
+    top = {}
+    for (_, b), n in counts.items():
+        top[b] = max(top.get(b, 0), n)
+    return [(m[0], len(m[1]), len(m[2]), len(m[3]), len(m[3]), sum(counts[x] == top[x[1]] for x in m[3]), sum(counts[x] for x in m[3]), (m[4:] or ("",))[0]) for m in made], counts
