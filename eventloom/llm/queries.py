@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path
-from . import context_mixing, decontaminate, lattice_sampling, line_dedup, ngram_join, pivot_clustering, quality, sentence_spans, suffix_dedup, token_alignment, token_files, url_filter
+from . import context_mixing, contextual_pii, decontaminate, lattice_sampling, line_dedup, ngram_join, pivot_clustering, quality, sentence_spans, suffix_dedup, token_alignment, token_files, url_filter
 
 #: Fixed rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -88,6 +88,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contextual_pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [contextual_pii.span_count(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(contextual_pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(contextual_pii.spans_text(F.col("base")), 256).alias("base_sha256"), contextual_pii.spans_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_lattice_sampling": op1_lattice_sampling,
     "op2_ngram_join": op2_ngram_join,
@@ -101,6 +107,7 @@ QUERIES = {
     "op10_context_mixing": op10_context_mixing,
     "op11_pivot_clustering": op11_pivot_clustering,
     "op12_token_alignment": op12_token_alignment,
+    "op13_contextual_pii": op13_contextual_pii,
 }
 
 _RULES_SQL = "\n".join(

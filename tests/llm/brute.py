@@ -221,3 +221,96 @@ def aligned(rows, a_path, b_path):
     for (_, b), n in counts.items():
         top[b] = max(top.get(b, 0), n)
     return [(m[0], len(m[1]), len(m[2]), len(m[3]), len(m[3]), sum(counts[x] == top[x[1]] for x in m[3]), sum(counts[x] for x in m[3]), (m[4:] or ("",))[0]) for m in made], counts
+
+
+def personal(rows):
+    """(doc_id, base spans, all spans) as text, in plain Python: base by its patterns as given, contexts over all rows."""
+    import math
+    import re
+    from collections import defaultdict
+
+    import regex
+
+    from eventloom.llm import contextual_pii as pii
+
+    given = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def holds(kind, text):
+        d = [int(c) for c in text if c in "0123456789"]
+        luhn = sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+        return [True, all(int(x) <= 255 for x in text.split(".")) if kind == 1 else True, 12 <= len(d) <= 19 and luhn, 9 <= len(d) <= 15][kind]
+
+    def fits(text):
+        n, letters, mail = len(re.findall("[0-9]", text)), re.search("[A-Za-z]", text), re.search(r"@|[\[(]at[\])]", text)
+        shape = (mail, not mail and not letters and 4 <= n <= 12 and len(re.findall("[.:]", text)) >= 3, not mail and n >= 8, not mail and not letters and 6 <= n <= 15)
+        return {k for k, x in enumerate(shape) if x}
+
+    white, entities = "[\\x20\\x09-\\x0D]+", []
+    base_of, edges = {}, set()
+    for r, (_, text) in enumerate(rows):
+        text = text or ""
+        base = [(m.start(), k, m.end()) for k, p in enumerate(given) for m in re.finditer(p, text) if holds(k, m.group())]
+        base_of[r] = sorted(base)
+        found = [(k, given[k]) for k in range(4)] + [(4, pii.PATTERNS[4])]
+        for k, p in found:
+            before = 0
+            for m in regex.finditer(pii.PATTERNS[k], text):
+                a, b = m.span()
+                piece, before = text[before:a], b
+                if k < 4 and (a, k, b) not in base or k == 4 and any(a < e and s < b for s, _, e in base):
+                    continue
+                w = [x for x in re.split(white, piece[-64:].lower()) if x]
+                whole = len(w) - (len(piece) >= 64)
+                form = re.sub("[^0-9A-Za-z@]", "", m.group()).lower()
+                pats = ([w[-1]] if whole >= 1 else []) + ([" ".join(w[-2:])] if whole >= 2 else [])
+                entities.append((r, k, a, b, form))
+                edges |= {(x, form, k, frozenset({k} if k < 4 else fits(m.group()))) for x in pats}
+    by = defaultdict(list)
+    for x, *rest in edges:
+        by[x].append(rest)
+    by = {x: v for x, v in by.items() if len(v) >= pii.SEEDS}
+    plain = defaultdict(set)
+    for _, text in rows:
+        w = [x for x in re.split(white, (text or "").lower()) if x]
+        for i in range(len(w)):
+            for x, at in ((w[i], i + 1), (" ".join(w[i : i + 2]), i + 2)):
+                if x in by and at < len(w) and not re.search("[0-9@]", w[at]):
+                    plain[x].add(w[at])
+    seeds = {}
+    for v in by.values():
+        for form, k, _ in v:
+            if k < 4:
+                seeds[form] = min(seeds.get(form, 9), k)
+    new = {}
+    for _ in range(pii.ROUNDS):
+        known = {f: (k, 1.0) for f, k in seeds.items()}
+        known |= {f: x for f, x in new.items() if f not in seeds}
+        sure = defaultdict(dict)
+        for x, v in by.items():
+            for k in range(4):
+                good = bad = 0.0
+                for form, own, shape in v:
+                    label, worth = (own, 1.0) if own < 4 else known.get(form, (None, 0))
+                    if label == k:
+                        good += worth
+                    else:
+                        bad += pii.UNKNOWN if label is None and k in shape else 1
+                score = good / (good + bad + len(plain[x])) if good else 0
+                if good >= pii.SEEDS and score >= pii.SURE:
+                    sure[x][k] = score
+        missed = defaultdict(float)
+        for x, kinds in sure.items():
+            for form, own, shape in by[x]:
+                if own == 4:
+                    for k in shape & set(kinds):
+                        missed[form, k] += math.log(1 - min(kinds[k], 1 - 1e-9))
+        new = {}
+        for (form, k), s in sorted(missed.items(), key=lambda t: (-t[1], -t[0][1])):
+            if 1 - math.exp(s) >= pii.SURE:
+                new[form] = (k, round(1 - math.exp(s), 9))  # the last is the best, of equal ones the smaller kind
+    out = []
+    for r, (d, _) in enumerate(rows):
+        extra = [(a, new[form][0], b) for q, k, a, b, form in entities if q == r and k == 4 and form in new]
+        text = [",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in x) for x in (base_of[r], sorted(base_of[r] + extra))]
+        out.append((d, *[sum(k == x[1] for x in base_of[r]) for k in range(4)], *text))
+    return out
