@@ -24,6 +24,7 @@ doc_id and null ids are rows of their own; an empty table gives no rows; other c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ from .token_files import BYTE_LETTERS, Encoder
 SHARD_PAIRS = 1 << 16
 #: Blocks or vectors that one task adds up.
 FAN = 32
-#: Pieces in each of the two generations of a worker's cache, and the longest one kept (bytes).
-CACHE, CACHED_BYTES = 250_000, 64
+#: Pieces that a worker's columns hold before they are emptied, and the longest one found again (bytes).
+CACHE, CACHED_BYTES = 500_000, 64
 #: Distinct pairs that a task of the first pass holds before it writes a block.
 HELD = 1 << 20
 GAMMA, LEVELS = 2, 40
@@ -151,68 +152,108 @@ def most_pairs(a: dict[int, bytes], b: dict[int, bytes]) -> int:
 
 
 class Aligner:
-    """Groups and links of texts; what a piece of text gave is kept for the next time."""
+    """Groups and links of texts.  What a piece of text gave stands in columns, by its row, and is found
+    again there; when they are full they are emptied."""
 
     def __init__(self, a_path: str, b_path: str):
         self.encoder = Encoder(a_path, False)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        a, self.b_bytes = byte_tokens(a_path), piece_tokens(b_path)
-        self.a_size = {i: len(x) for i, x in a.items()}
+        a, b = byte_tokens(a_path), piece_tokens(b_path)
+        self.a_size, self.b_size = self._sizes(a), self._sizes(b)
+        self.b_at = np.cumsum(self.b_size) - self.b_size
+        self.b_text = np.frombuffer(b"".join(b.get(i, b"") for i in range(len(self.b_size))), np.uint8)
+        digits = [str(i).encode() for i in range(max(len(self.a_size), len(self.b_size)))]
+        self.digits, self.digits_size = np.frombuffer(b"".join(digits), np.uint8), np.array([len(x) for x in digits])
+        self.digits_at = np.cumsum(self.digits_size) - self.digits_size
         self.space = self.pieces.piece_to_id("▁")
-        many = [x for i, x in self.b_bytes.items() if not self.pieces.is_byte(i) and len(x) > 1]
+        many = [x for i, x in b.items() if not self.pieces.is_byte(i) and len(x) > 1]
         self.splits = not any(b" " in x.lstrip(b" ") for x in many)
         merged = set(b"".join(many))
         self.cut = WHITE & np.array([c == 0x20 or c not in merged for c in range(256)])
-        self.known: dict[bytes, tuple | None] = {}
-        self.older: dict[bytes, tuple | None] = {}
+        self._empty()
+
+    @staticmethod
+    def _sizes(tokens: dict[int, bytes]) -> np.ndarray:
+        out = np.zeros(max(tokens) + 1, np.int64)
+        out[list(tokens)] = [len(x) for x in tokens.values()]
+        return out
+
+    def _empty(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.facts = np.zeros((0, 4), np.int64)  # A ids, B ids, links, whether B's tokens spell it
+        self.keys, self.key_at = np.zeros(0, U), np.zeros(1, np.int64)
+        self.texts: list[bytes] = []
 
     def _pieces(self, segments: list[bytes]) -> list[list[int]]:
         """B ids; B adds a space before what it is given, which is the segment's own or is taken away."""
         out = self.pieces.encode([x[x[:1] == b" " :].decode() for x in segments], num_threads=1)
         return [[self.space] if x == b" " else y if x[:1] == b" " else y[1:] for x, y in zip(segments, out, strict=True)]
 
-    def _entry(self, segment: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(A ids, B ids, linked pairs, groups as text), or None if B's tokens don't spell the segment."""
-        if b"".join([self.b_bytes.get(x, b"") for x in b]) != segment:
-            return None
-        groups, keys = [], []
-        i0 = j0 = j = at_a = at_b = 0
-        a_text, b_text = list(map(str, a)), list(map(str, b))
-        for i, x in enumerate(a, 1):
-            at_a += self.a_size[x]
-            while at_b < at_a:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(a_text[i0:i])}|{','.join(b_text[j0:j])}")
-                keys.append(x << 32 | b[j - 1])
-                i0, j0 = i, j
-        return len(a), len(b), np.array(keys, U), ";".join(groups)
-
-    def _new(self, segments: list[bytes], whole: bool) -> list[tuple | None]:
+    def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text of the groups, each ended by a semicolon, and the bytes of each group.  last_*: tokens that end one."""
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        n = int(last_a.sum())
+        in_a, in_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        before_a, before_b = np.cumsum(in_a), np.cumsum(in_b) - in_b
+        ids, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        at_a, at_b = np.arange(len(a)) + before_b[group_a], np.arange(len(b)) + before_a[group_b]
+        ids[at_a], ids[at_b] = a, b
+        mark[at_a[last_a]], mark[at_b[last_b]] = ord("|"), ord(";")
+        size = self.digits_size[ids] + 1
+        end = np.cumsum(size)
+        out = np.empty(int(size.sum()), np.uint8)
+        own = np.ones(len(out), bool)
+        own[end - 1] = False
+        out[end - 1] = mark
+        out[own] = self.digits[_ranges(self.digits_at[ids], size - 1)]
+        return out, np.diff(np.r_[0, end[at_b[last_b]]])
+
+    def _add(self, segments: list[bytes], whole: bool) -> np.ndarray:
+        """Rows of new segments."""
         if whole:
-            a = [np.frombuffer(self.encoder._whole(x.decode()), self.encoder.kind) for x in segments]
+            a = [self.encoder._whole(x.decode()) for x in segments]
         else:
-            a = [np.frombuffer(x, self.encoder.kind) for x in self.encoder._new(segments)]
-        return [self._entry(x, y.tolist(), z) for x, y, z in zip(segments, a, self._pieces(segments), strict=True)]
-
-    def _look(self, segments: list[bytes]) -> list[tuple | None]:
-        if len(self.known) > CACHE:
-            self.older, self.known = self.known, {}
-        out: list = [self.known.get(x, 0) for x in segments]
-        miss = [i for i, x in enumerate(out) if x == 0]
-        for i in miss:
-            out[i] = self.older.get(segments[i], 0)
-        new = [i for i in miss if out[i] == 0]
-        for i, x in zip(new, self._new([segments[i] for i in new], False), strict=True):
-            out[i] = x
-        self.known.update((segments[i], out[i]) for i in miss if len(segments[i]) <= CACHED_BYTES)
-        return out
-
-    def __call__(self, column: pa.Array) -> Iterator[tuple[int, list[tuple | None], np.ndarray, np.ndarray]]:
-        """(first row, entries, entry of each segment, first segment of each text) for slices of the texts; a
-        text that can't be aligned has no segments."""
+            a = self.encoder._new(segments)
+        n_a = np.array([len(x) for x in a], np.int64) // self.encoder.kind.itemsize
+        a = np.frombuffer(b"".join(a), self.encoder.kind).astype(np.int64)
+        b = self._pieces(segments)
+        n_b = np.array([len(x) for x in b], np.int64)
+        b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        size = np.array([len(x) for x in segments], np.int64)
+        of_b = np.repeat(np.arange(len(segments)), n_b)
+        good = np.bincount(of_b, self.b_size[b], len(segments)) == size
+        same = good.copy()
+        b, of_b = b[good[of_b]], of_b[good[of_b]]
+        want = np.frombuffer(b"".join([x for x, y in zip(segments, good.tolist(), strict=True) if y]), np.uint8)
+        wrong = np.flatnonzero(self.b_text[_ranges(self.b_at[b], self.b_size[b])] != want)
+        same[np.repeat(np.arange(len(segments)), np.where(good, size, 0))[wrong]] = False
+        a = a[np.repeat(same, n_a)]
+        b = b[same[of_b]]
+        size, n_a, n_b = size * same, n_a * same, n_b * same
+        ends = []
+        for ids, sizes in ((a, self.a_size), (b, self.b_size)):
+            e = np.zeros(int(size.sum()), bool)
+            e[np.cumsum(sizes[ids]) - 1] = True
+            ends.append(e)
+        both = ends[0] & ends[1]
+        last_a, last_b = both[ends[0]], both[ends[1]]
+        keys = (a[last_a].astype(U) << U(32)) | b[last_b].astype(U)
+        n = np.add.reduceat(np.r_[both, False], np.r_[0, np.cumsum(size)[:-1]]) * (size > 0) if len(size) else size
+        first = len(self.facts)
+        self.facts = np.concatenate([self.facts, np.stack([n_a, n_b, n, same], 1)])
+        self.keys, self.key_at = np.concatenate([self.keys, keys]), np.concatenate([self.key_at, self.key_at[-1] + np.cumsum(n)])
+        flat, sizes = self._groups(a, b, last_a, last_b)
+        at = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(n)]].tolist()
+        flat = flat.tobytes()
+        self.texts += [flat[x:y] for x, y in zip(at, at[1:])]
+        return np.arange(first, len(self.facts))
+
+    def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, the row of each segment, first segment of each text) for slices of the texts; a text that
+        can't be aligned has no segments."""
         for lo, data, off in slices(column):
+            if len(self.facts) > CACHE:
+                self._empty()
             odd = self.encoder._odd(column.slice(lo, len(off) - 1), data, off) | (not self.splits)
             white = WHITE[data]
             cut = self.cut[data]
@@ -224,19 +265,32 @@ class Aligner:
             start, doc = start[keep], doc[keep]
             edge = np.r_[start, len(data)].astype(np.int64)
             coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-            of, texts = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-            apart = np.zeros(len(texts), bool)  # segments of texts that stay whole
+            of, segments = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            apart = np.zeros(len(segments), bool)  # texts that stay whole
             apart[of[odd[doc]]] = True
-            entries: list = [None] * len(texts)
-            for which, found in ((np.flatnonzero(~apart).tolist(), self._look), (np.flatnonzero(apart).tolist(), lambda x: self._new(x, True))):
-                for i, x in zip(which, found([texts[i] for i in which]), strict=True):
-                    entries[i] = x
-            bad = np.array([x is None for x in entries], bool)
+            found = list(map(self.rows.get, segments))
+            row = np.array([-1 if x is None else x for x in found], np.int64)
+            for whole in (False, True):
+                new = np.flatnonzero((row < 0) & (apart == whole)).tolist()
+                if new:
+                    row[new] = self._add([segments[i] for i in new], whole)
+                    self.rows.update((segments[i], r) for i, r in zip(new, row[new].tolist()) if len(segments[i]) <= CACHED_BYTES)
+            of = row[of]
+            bad = self.facts[of, 3] == 0
             if bad.any():
                 lost = np.zeros(len(off) - 1, bool)
-                lost[doc[bad[of]]] = True
+                lost[doc[bad]] = True
                 of, doc = of[~lost[doc]], doc[~lost[doc]]
-            yield lo, entries, of, np.searchsorted(doc, np.arange(len(off)))
+            yield lo, of, np.searchsorted(doc, np.arange(len(off)))
+
+    def links(self, rows: np.ndarray) -> np.ndarray:
+        """Links of rows one after another."""
+        return self.keys[_ranges(self.key_at[rows], self.facts[rows, 2])]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, so many as its size."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -254,11 +308,6 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _links(entries: list[tuple | None], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All links of the entries one after another, and how often each entry occurs."""
-    return np.concatenate([np.zeros(0, U), *[x[2] for x in entries if x is not None]]), np.bincount(of, minlength=len(entries))
-
-
 def _count(a_path: str, b_path: str, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def blocks(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         of = shard_of(keys, shards)
@@ -270,11 +319,9 @@ def _count(a_path: str, b_path: str, shards: int) -> Callable[[Iterator[pa.Recor
         align = _aligner(a_path, b_path)
         keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
         for b in batches:
-            for _, entries, of, _ in align(b.column("text")):
-                found, times = _links(entries, of)
-                size = np.array([0 if x is None else len(x[2]) for x in entries], np.int64)
-                keys, counts = _summed(np.r_[keys, found], np.r_[counts, np.repeat(times, size)])
-                keys, counts = keys[counts > 0], counts[counts > 0]
+            for _, of, _ in align(b.column("text")):
+                met, times = np.unique(of, return_counts=True)
+                keys, counts = _summed(np.r_[keys, align.links(met)], np.r_[counts, np.repeat(times, align.facts[met, 2])])
                 if len(keys) > HELD:
                     yield from blocks(keys, counts)
                     keys, counts = keys[:0], counts[:0]
@@ -373,19 +420,17 @@ def _look_up(a_path: str, b_path: str, shared) -> Callable[[Iterator[pa.RecordBa
         shards, parts = shared.value
         table = PairTable(shards, {s: unpack(x) for s, x in parts.items()})
         for b in batches:
-            for lo, entries, of, first in align(b.column("text")):
+            for lo, of, first in align(b.column("text")):
                 n = len(first) - 1
-                size = np.array([0 if x is None else len(x[2]) for x in entries], np.int64)
-                count, best = table(_links(entries, of)[0])
-                edge = np.r_[0, np.cumsum(size)]
-                of_entry = lambda x: np.diff(np.r_[0, np.cumsum(x)][edge])
-                facts = [np.array([0 if x is None else x[0] for x in entries], np.int64), np.array([0 if x is None else x[1] for x in entries], np.int64), size, of_entry(best), of_entry(count)]
-                sums = [np.diff(np.r_[0, np.cumsum(x[of])][first]) for x in facts]
-                text = [None if x is None else x[3] for x in entries]
-                of = of.tolist()
-                groups = [";".join([text[j] for j in of[first[i] : first[i + 1]]]) for i in range(n)]
+                met, of_met = np.unique(of, return_inverse=True)
+                count, best = table(align.links(met))
+                edge = np.r_[0, np.cumsum(align.facts[met, 2])]
+                facts = [*align.facts[met, :3].T, *[np.diff(np.r_[0, np.cumsum(x)][edge]) for x in (best, count)]]
+                sums = [np.diff(np.r_[0, np.cumsum(x[of_met])][first]) for x in facts]
+                text = list(map(align.texts.__getitem__, of.tolist()))
+                groups = [b"".join(text[first[i] : first[i + 1]])[:-1] for i in range(n)]
                 names = ("n_a", "n_b", "n_links", "n_best", "count_sum")
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(lo, n), **{k: pa.array(x) for k, x in zip(names, sums, strict=True)}, "groups": pa.array(groups, pa.string())})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(lo, n), **{k: pa.array(x) for k, x in zip(names, sums, strict=True)}, "groups": pa.array(groups, pa.binary()).cast(pa.string())})
 
     return run
 
@@ -396,17 +441,16 @@ def _links_of(a_path: str, b_path: str) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = _aligner(a_path, b_path)
         for b in batches:
-            for lo, entries, of, first in align(b.column("text")):
-                n, of = len(first) - 1, of.tolist()
-                mine = [[entries[j] for j in of[first[i] : first[i + 1]]] for i in range(n)]
-                links = [np.concatenate([np.zeros(0, U), *[x[2] for x in m]]).astype(np.int64) for m in mine]
+            for lo, of, first in align(b.column("text")):
+                n, facts, text = len(first) - 1, align.facts[of, :3], list(map(align.texts.__getitem__, of.tolist()))
+                sums = np.diff(np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(facts, 0)])[first], axis=0)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": b.column("doc_id").slice(lo, n),
-                        "n_a": pa.array([sum(x[0] for x in m) for m in mine], pa.int64()),
-                        "n_b": pa.array([sum(x[1] for x in m) for m in mine], pa.int64()),
-                        "links": pa.array(links, pa.list_(pa.int64())),
-                        "groups": pa.array([";".join([x[3] for x in m]) for m in mine], pa.string()),
+                        "n_a": pa.array(sums[:, 0]),
+                        "n_b": pa.array(sums[:, 1]),
+                        "links": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sums[:, 2])], pa.int32()), pa.array(align.links(of).astype(np.int64))),
+                        "groups": pa.array([b"".join(text[first[i] : first[i + 1]])[:-1] for i in range(n)], pa.binary()).cast(pa.string()),
                     }
                 )
 
