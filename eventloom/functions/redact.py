@@ -1,20 +1,23 @@
 """Secret scanning and redaction of text and JSON columns.
 
-Match offsets and JSON walks have no built-in, so they run in Arrow-batched UDFs; counting and
-redaction without spans use built-in expressions.
+Match offsets and JSON walks have no built-in, so they run in Arrow UDFs over the flat bytes of a batch
+(see scan); counting uses built-in expressions.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import Rule, Scanner
+
 # What counts as a secret, in the order in which patterns are tried.
 PATTERNS = [
     ("api-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
@@ -94,115 +97,129 @@ def tag(kind: str, key: str, number: int) -> str:
     return f"<REDACTED:{kind.upper()}:{hashlib.sha256(f'{key}:{number}'.encode()).hexdigest()[:6]}>"
 
 
-class _Rule:
-    """A pattern that looks only where a text has one of its anchors.
-
-    A match without white space lies within the word (what is between spaces and line ends) that holds
-    the anchor, so only such words are searched; other patterns search a text that has an anchor whole."""
-
-    def __init__(self, kind: str, pattern: str):
-        self.kind, self.find = kind, re.compile(pattern).finditer
-        self.anchors = ANCHORS.get(pattern, ("",))
-        self.folded = pattern.startswith("(?i)") and self.anchors != ("://",)
-        self.words = self.anchors != ("",) and not self.folded and " " not in pattern
-
-    def matches(self, text: str, folded: str) -> Iterator[re.Match]:
-        if not self.words:
-            if any(a in (folded if self.folded else text) for a in self.anchors):
-                yield from self.find(text)
-            return
-        for lo, hi in sorted({span for a in self.anchors for span in self._around(text, a)}):
-            yield from self.find(text, lo, hi)
-
-    @staticmethod
-    def _around(text: str, anchor: str) -> Iterator[tuple[int, int]]:
-        at = text.find(anchor)
-        while at >= 0:
-            lo = text.rfind(" ", 0, at) + 1
-            lo = max(lo, text.rfind("\n", lo, at) + 1)
-            hi = text.find(" ", at)
-            hi = len(text) if hi < 0 else hi
-            line = text.find("\n", at, hi)
-            hi = hi if line < 0 else line
-            yield lo, hi
-            at = text.find(anchor, hi)
-
-
-def _compiled(patterns: list[tuple[str, str]]) -> list[_Rule]:
-    return [_Rule(k, p) for k, p in patterns]
-
-
-def _scan(text: str, rules: list[_Rule]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of matches that do not overlap: earlier first, of equal starts the longest."""
-    folded = text.lower() if any(r.folded for r in rules) else text
-    found = sorted((m.start(), -m.end(), i) for i, r in enumerate(rules) for m in r.matches(text, folded))
-    out, last = [], 0
-    for start, end, i in found:
-        if start >= last:
-            out.append((start, -end, rules[i].kind))
-            last = -end
-    return out
-
-
-def _redact(text: str, key: str, rules: list[tuple[str, re.Pattern]], number: int = 0) -> tuple[str, list[dict]]:
-    parts, findings, at = [], [], 0
-    first, plain = 0, text.isascii()
-    for start, end, kind in _scan(text, rules):
-        mark = tag(kind, key, number + len(findings))
-        first += start - at if plain else len(text[at:start].encode())
-        last = first + (end - start if plain else len(text[start:end].encode()))
-        findings.append({"kind": kind, "span_start": first, "span_end": last, "redaction": mark, "preview": _preview(text[start:end], kind)})
-        first = last
-        parts += [text[at:start], mark]
-        at = end
-    return "".join([*parts, text[at:]]), findings
+_FINDING = pa.struct([("kind", pa.string()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("redaction", pa.string()), ("preview", pa.string())])
+
+
+class _Redactor:
+    """Findings and redacted texts of an Arrow column."""
+
+    def __init__(self, patterns: list[tuple[str, str]]):
+        self.kinds = [k for k, _ in patterns]
+        self.scanner = Scanner([Rule(p, ANCHORS.get(p, ())) for _, p in patterns])
+
+    def texts(self, column: pa.Array, keys: list[str] | None = None, owner: list[int] | None = None) -> tuple[pa.Array, list[tuple]]:
+        """The column with tags for secrets, and (row, kind, start, end, tag, preview) of each finding, by row.
+
+        Tags of rows of one owner (else of each row) are numbered on; keys are those of owners."""
+        found, chunks, last, number = [], [], -1, 0
+        for lo, raw, off in self.scanner.slices(column):
+            parts, at, more = [], 0, np.zeros(len(off), np.int64)
+            for t, start, end, i in self.scanner(raw, off):
+                whose = lo + t if owner is None else owner[lo + t]
+                number, last = (number + 1 if whose == last else 0), whose
+                mark, value, first = tag(self.kinds[i], keys[whose], number), raw[start:end].decode(), int(off[t])
+                found.append((lo + t, self.kinds[i], start - first, end - first, mark, _preview(value, self.kinds[i])))
+                parts += [raw[at:start], mark.encode()]
+                more[t + 1] += len(mark) - (end - start)
+                at = end
+            data = b"".join([*parts, raw[at:]])
+            chunks.append(pa.Array.from_buffers(pa.large_string(), len(off) - 1, [None, pa.py_buffer(off + np.cumsum(more)), pa.py_buffer(data)]))
+        made = pa.concat_arrays(chunks) if chunks else pa.array([], pa.large_string())
+        return pc.if_else(column.is_valid(), made, pa.scalar(None, pa.large_string())).cast(pa.string()), found
+
+
+def _findings(rows: list[int], found: list[tuple], n: int) -> pa.Array:
+    """A list of findings for each of n rows; found is in their order."""
+    columns = list(zip(*found, strict=True))[1:] if found else [()] * 5
+    values = pa.StructArray.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FINDING, strict=True)], fields=list(_FINDING))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(np.array(rows, np.int64), minlength=n))], pa.int32()), values)
+
+
+def scan_secrets(text: Column, key: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
+    """The findings of a text; spans are byte offsets in it.  A null text has none."""
+    redactor = _Redactor(patterns)
+
+    @F.arrow_udf(FINDINGS)
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        _, found = redactor.texts(texts, _Keys(keys))
+        return _findings([f[0] for f in found], found, len(texts))
+
+    return run(text, key.cast("string"))
 
 
 def redact_text(text: Column, key: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
     """Struct (redacted, findings) of a text; spans are byte offsets in the input."""
-    rules = _compiled(patterns)
+    redactor = _Redactor(patterns)
 
-    @F.pandas_udf(REDACTED)
-    def run(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        got = [(None, []) if t is None else _redact(t, str(k), rules) for t, k in zip(texts, keys, strict=True)]
-        return pd.DataFrame({"redacted": [g[0] for g in got], "findings": [g[1] for g in got]})
+    @F.arrow_udf(REDACTED)
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        redacted, found = redactor.texts(texts, _Keys(keys))
+        return pa.StructArray.from_arrays([redacted, _findings([f[0] for f in found], found, len(texts))], ["redacted", "findings"])
 
     return run(text, key.cast("string"))
 
 
-def _walk(value, key: str, rules, findings: list[dict]):
+class _Keys:
+    """Keys of rows, looked up one by one."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
+
+    def __getitem__(self, row: int) -> str:
+        return str(self.column[row].as_py())
+
+
+def _strings(value) -> Iterator[str]:
+    """String values at any depth, in order."""
     if isinstance(value, str):
-        new, found = _redact(value, key, rules, len(findings))
-        findings += found
-        return new
+        yield value
+    elif isinstance(value, list):
+        for x in value:
+            yield from _strings(x)
+    elif isinstance(value, dict):
+        for x in value.values():
+            yield from _strings(x)
+
+
+def _replaced(value, new: Iterator[str]):
+    """value with its strings taken from `new`, in the same order."""
+    if isinstance(value, str):
+        return next(new)
     if isinstance(value, list):
-        return [_walk(x, key, rules, findings) for x in value]
+        return [_replaced(x, new) for x in value]
     if isinstance(value, dict):
-        return {k: _walk(v, key, rules, findings) for k, v in value.items()}
+        return {k: _replaced(v, new) for k, v in value.items()}
     return value
 
 
+def _parsed(text: str) -> tuple[bool, object]:
+    """Whether a payload is JSON, and its value (else the text)."""
+    try:
+        return True, json.loads(text)
+    except ValueError:
+        return False, text
+
+
 def redact_json(payload: Column, key: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
     """Struct (redacted, findings): string values at any depth are redacted, keys are not.
 
-    A payload that is not JSON is redacted as text."""
-    rules = _compiled(patterns)
-
-    @F.pandas_udf(REDACTED)
-    def run(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
-        new, found = [], []
-        for t, k in zip(texts, keys, strict=True):
-            own: list[dict] = []
-            if t is None:
-                new.append(None)
-            else:
-                try:
-                    new.append(json.dumps(_walk(json.loads(t), str(k), rules, own), ensure_ascii=False, separators=(",", ":")))
-                except ValueError:
-                    text, own = _redact(t, str(k), rules)
-                    new.append(text)
-            found.append(own)
-        return pd.DataFrame({"redacted": new, "findings": found})
+    A payload that is not JSON is redacted as text.  The strings of all payloads of a batch are scanned together."""
+    redactor = _Redactor(patterns)
+
+    @F.arrow_udf(REDACTED)
+    def run(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        values = [None if t is None else _parsed(t) for t in texts.to_pylist()]
+        parts = [[] if v is None else list(_strings(v[1])) for v in values]
+        owner = [i for i, p in enumerate(parts) for _ in p]
+        redacted, found = redactor.texts(pa.array([x for p in parts for x in p], pa.large_string()), _Keys(keys), owner)
+        rows = [owner[f[0]] for f in found]
+        hit, first = set(rows), np.r_[0, np.cumsum([len(p) for p in parts])].tolist()
+        out = []
+        for i, v in enumerate(values):
+            if v is not None and i in hit:
+                v = (v[0], _replaced(v[1], iter(redacted[first[i] : first[i + 1]].to_pylist())))
+            out.append(None if v is None else json.dumps(v[1], ensure_ascii=False, separators=(",", ":")) if v[0] else v[1])
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), _findings(rows, found, len(values))], ["redacted", "findings"])
 
     return run(payload, key.cast("string"))
 

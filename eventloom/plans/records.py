@@ -164,8 +164,8 @@ _PREVIEW = """CASE WHEN strlen(x) <= 4 THEN repeat('*', strlen(x)) WHEN kind = '
 
 
 def _redacted(s, d):
-    got = _secret_text(s, d).withColumn("r", redact.redact_text(F.col("t"), F.col("doc_id")))
-    return got.select("doc_id", F.explode("r.findings").alias("f")).select("doc_id", "f.kind", "f.span_start", "f.span_end", "f.preview", "f.redaction")
+    got = _secret_text(s, d).withColumn("found", redact.scan_secrets(F.col("t"), F.col("doc_id")))
+    return got.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", "f.span_start", "f.span_end", "f.preview", "f.redaction")
 
 
 add(
