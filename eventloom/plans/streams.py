@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,17 @@ def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def _to_the_end(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows as a stream, in any order, and after them one row of a session of its own long past all others: it moves
+    the watermark over every one of them."""
+    path = fresh_path(spark, "source")
+    rows.repartition(4).write.parquet(path)
+    last = rows.agg((F.max("utc_timestamp") + F.expr("INTERVAL 800 DAYS")).alias("t"))
+    mark = last.select(*[F.col("t").alias(c) if c == "utc_timestamp" else F.lit("end of stream").alias(c) if c in ("session_id", "event_id") else F.lit(None).cast(k).alias(c) for c, k in rows.dtypes])
+    mark.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
 def _run(df: DataFrame, spark: SparkSession) -> DataFrame:
     """The rows that an append stream wrote."""
     out = fresh_path(spark, "sink")
@@ -52,13 +64,23 @@ add(
 add("K3_subscribe", lambda s, d: _run(st.subscribe(_stream(s, samples.events(s, d)), "5").select("event_id", "sequence"), s), f"WITH {EV} SELECT event_id, sequence FROM ev WHERE session_id = '5'")
 
 
+add(
+    "K3_fan_out",
+    lambda s, d: _run(st.fan_out(_stream(s, samples.events(s, d)), _subscriptions(s, d)).select("consumer", "event_id"), s).groupBy("consumer").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")),
+    f"""WITH {EV}, subs AS (SELECT DISTINCT 'c' || c_custkey % 7 AS consumer, CAST(c_custkey AS VARCHAR) AS session_id FROM customer WHERE c_custkey % 7 <> 3), got AS (
+  SELECT consumer, event_id FROM ev JOIN subs USING (session_id) UNION ALL SELECT 'c3', event_id FROM ev)
+SELECT consumer, count(*) AS events, min(event_id) AS first_event FROM got GROUP BY consumer""",
+)
+
+
+def _subscriptions(s, d):
+    """Customers' numbers as sessions asked for by seven consumers, of whom one asks for all."""
+    n = F.col("c_custkey")
+    return samples.table(s, d, "customer").select(F.concat(F.lit("c"), (n % 7).cast("string")).alias("consumer"), F.when((n % 7 != 3) | (n % 2 == 0), F.when(n % 7 != 3, n.cast("string"))).alias("session_id"))
+
+
 def _seal(s, d):
-    """Early turns arrive in a first batch, the others in a second."""
-    path, rows = fresh_path(s, "source"), samples.turns(s, d)
-    for part in ("sequence < 3", "sequence >= 3"):
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return verify_chain(_run(st.seal_stream(stream), s)).select("session_id", "ok", "events")
+    return verify_chain(_run(st.seal_stream(_to_the_end(s, samples.turns(s, d)), delay="400 days"), s)).select("session_id", "ok", "events")
 
 
 add("K4_seal_stream", _seal, "SELECT CAST(conv_id AS VARCHAR) AS session_id, TRUE AS ok, count(*) AS events FROM conversations GROUP BY conv_id")
@@ -84,13 +106,20 @@ add(
 )
 
 
-def _throttle(s, d):
-    path = fresh_path(s, "source")
-    samples.events(s, d).coalesce(1).write.parquet(path)
-    return _run(st.throttle_stream(s.readStream.schema(s.read.parquet(path).schema).parquet(path), "session_id", 3_600_000), s).withColumnRenamed("key", "session_id")
+add(
+    "K6_throttle_stream",
+    lambda s, d: _run(st.throttle_stream(_to_the_end(s, samples.events(s, d)), "session_id", 3_600_000, "400 days"), s).select(F.col("key").alias("session_id"), "event_id"),
+    ORACLE["K6_throttle"],
+)
 
 
-add("K6_throttle_stream", _throttle, ORACLE["K6_throttle"])
+def _throttle_paths(s, d):
+    rows = samples.events(s, d).select("session_id", "event_id", "utc_timestamp", F.array(F.concat(F.lit("s"), F.col("session_id")), F.concat(F.lit("k"), F.col("session_id"), F.col("kind"))).alias("paths"))
+    kept = _run(st.throttle_paths_stream(_to_the_end(s, rows), "paths", 3_600_000, "400 days").select("event_id"), s)
+    return rows.join(kept, "event_id").select("session_id", "event_id")
+
+
+add("K6_throttle_paths_stream", _throttle_paths, ORACLE["K6_throttle_paths"])
 add(
     "K7_dedupe_stream",
     lambda s, d: _run(st.dedupe_stream(_stream(s, samples.events(s, d).union(samples.events(s, d).filter("sequence < 5"))), "400 days").select("event_id"), s),
@@ -98,14 +127,54 @@ add(
 )
 
 
+#: Output of a run in five dialects; each chunk ends where it may, within lines, marks and cases.
+_CHUNKS = {
+    "gotest": ("--- PASS: T", "\n--- FA", "IL: x\n--- SKIP: z"),
+    "pytest": ("== 1 passed, 1 fai", "led in 2s ==\n1 passed in 3s\n=", "= 2 skipped, 7 passed in 1s\n"),
+    "vitest": ("✓ a\n ✗", " b\n× c\n", "Tests: 1 failed | 4 pa"),
+    "junit": ('<testcase name="a"/><test', 'case name="b"><failure/></testcase><testcase name="c"><ski', "pped/></testcase>\n"),
+    "auto": ("✓ a\n✓ b\n--- PA", "SS: x\n3 fai", "led in 1s\n"),
+}
+
+
+def _chunks(s, d, dialect):
+    """Every turn of a conversation is a chunk of a session's output, in three kinds by turns."""
+    kinds = F.array(*map(F.lit, _CHUNKS[dialect]))
+    t = samples.table(s, d, "conversations").select("conv_id", "turn").distinct()
+    return t.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("utc_timestamp"), F.format_string("%09d", "turn").alias("event_id"), F.get(kinds, (F.col("turn") % 3).cast("int")).alias("text"), (F.col("turn") < 0).alias("ended"))
+
+
 def _tests(s, d):
-    chunk = F.concat(F.lit("--- PASS: T"), F.col("turn").cast("string"), F.lit("\n--- FA"), F.lit("IL: x\n"))
-    rows = samples.table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("utc_timestamp"), F.format_string("%09d", "turn").alias("event_id"), chunk.alias("text"))
-    got = _run(st.test_counts_stream(_stream(s, rows)), s)
-    return got.groupBy("session_id").agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"))
+    """All dialects: the counts that the last batch of each session gave."""
+    out = []
+    for dialect in _CHUNKS:
+        rows, path = _chunks(s, d, dialect), fresh_path(s, "source")
+        for part in ("event_id < '000000002'", "event_id >= '000000002'"):  # a session's output comes in order
+            rows.filter(part).repartition(4, "session_id").write.mode("append").parquet(path)
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        last = lambda x: x.groupBy("session_id").agg(F.max_by(F.struct("passed", "failed", "skipped", "inconclusive"), "__batch").alias("c")).select("session_id", "c.*")
+        out.append(_updates(st.test_counts_stream(stream, dialect), s, last).withColumn("dialect", F.lit(dialect)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _tests_sql() -> str:
+    """The same counts from each conversation's whole text, by regular expressions."""
+    number = lambda line, word: f"coalesce(nullif(regexp_extract({line}, '([0-9]+)[^0-9]*{word}', 1), '')::BIGINT, {{}})"
+    size = lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+    summary = "regexp_extract_all(t, '[^\n]* in [^\n]*')[-1]"
+    total = "coalesce(regexp_extract(t, '(?m)^ *Tests:[^\n]*'), '')"
+    marks = {"passed": size("✓"), "failed": size("[✗×]"), "skipped": "0"}
+    go = [size(f"(?m)^ *--- {w}: ") for w in ("PASS", "FAIL", "SKIP")]
+    pytest = [number(summary, w).format(0) for w in ("passed", "failed", "skipped")]
+    vitest = [number(total, w).format(marks[w]) for w in marks]
+    case = [size(r"<testcase name=\"a\"/>"), size("<failure/></testcase>"), size("<skipped/></testcase>")]
+    each = {"gotest": go, "pytest": pytest, "vitest": vitest, "junit": case, "auto": [f"greatest({', '.join(x)})" for x in zip(pytest, vitest, go, case, strict=True)]}
+    texts = ", ".join(f"t_{k} AS (SELECT conv_id, string_agg({{}}, '' ORDER BY turn) AS t FROM turns GROUP BY conv_id)".format("[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in v) + "][turn % 3 + 1]") for k, v in _CHUNKS.items())
+    rows = " UNION ALL ".join(f"SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST({x[0]} AS BIGINT) AS passed, CAST({x[1]} AS BIGINT) AS failed, CAST({x[2]} AS BIGINT) AS skipped, 0::BIGINT AS inconclusive, '{k}' AS dialect FROM t_{k}" for k, x in each.items())
+    return f"WITH turns AS (SELECT DISTINCT conv_id, turn FROM conversations), {texts} {rows}"
 
 
-add("K8_test_counts_stream", _tests, "SELECT CAST(conv_id AS VARCHAR) AS session_id, count(*) AS passed, count(*) AS failed FROM conversations GROUP BY conv_id")
+add("K8_test_counts_stream", _tests, _tests_sql())
 
 
 def _last_tests(s, d):
@@ -122,8 +191,8 @@ def _last_tests(s, d):
         for part in ("event_id < '000000003'", "event_id >= '000000003'"):
             rows.filter(part).repartition(4, "session_id").write.mode("append").parquet(path)
         stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
-        got = _run(st.test_counts_stream(stream, name, "ended"), s)
-        out.append(got.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in ("passed", "failed", "skipped")]).withColumn("dialect", F.lit(name)))
+        last = lambda x: x.groupBy("session_id").agg(F.max_by(F.struct("passed", "failed", "skipped"), "__batch").alias("c")).select("session_id", "c.*")
+        out.append(_updates(st.test_counts_stream(stream, name, "ended"), s, last).withColumn("dialect", F.lit(name)))
     return out[0].unionByName(out[1])
 
 

@@ -1,7 +1,11 @@
 """Operators on streams: ingest, counts, fan-out, sealing, redaction, throttling, deduplication.
 
-Sealing and throttling keep a small state for each key; rows of a micro-batch are put in order of
-(time, event id) first, so events that arrive in later batches get later numbers.
+Sealing and throttling are state processors over event time: a key's events wait in a list until the
+watermark has passed them and are then taken in order of (time, event id), whatever batches they came
+in.  So a stream gives what the batch operator gives for all events that are not later than the
+watermark (those are dropped, as by every operator with a watermark).  What waits is what is younger than
+the watermark; a key that is idle for long enough loses its state.  State needs the RocksDB store, which
+these operators choose for their session.
 """
 
 from __future__ import annotations
@@ -12,14 +16,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..functions import test_output
 from ..functions.redact import PATTERNS, redact_payload
-from ..functions.text import test_counts
 from ..operators.chain import GENESIS, canonical_json
 from ..sources.tables import append_events
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How rows travel through a state: as JSON, with the precision of Spark's timestamps.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Appends events to a table batch by batch; a batch that is run again adds nothing."""
@@ -36,6 +44,19 @@ def subscribe(stream: DataFrame, session_id: str | None = None) -> DataFrame:
     return stream if session_id is None else stream.filter(F.col("session_id") == session_id)
 
 
+def fan_out(stream: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(consumer, event) rows of all subscriptions (consumer, session_id) at once; a null session is all of them.
+
+    The source is read once: each event meets the subscriptions to its session and those to all in one join.
+    A consumer gets an event once, however often it has subscribed."""
+    everyone = subscriptions.filter("session_id IS NULL").select("consumer").distinct()
+    some = subscriptions.filter("session_id IS NOT NULL").select("consumer", "session_id").distinct().join(everyone, "consumer", "left_anti")
+    wanted = some.select("consumer", F.lit(False).alias("__all"), F.col("session_id").alias("__key")).unionByName(everyone.select("consumer", F.lit(True).alias("__all"), F.lit("").alias("__key")))
+    keys = F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("session_id").alias("key")), F.struct(F.lit(True).alias("all"), F.lit("").alias("key"))))
+    each = stream.withColumn("__k", keys).withColumns({"__all": F.col("__k.all"), "__key": F.col("__k.key")}).drop("__k")
+    return each.join(wanted, ["__all", "__key"]).select("consumer", *stream.columns)
+
+
 def redact_stream(stream: DataFrame, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
     return redact_payload(stream, patterns)
 
@@ -45,77 +66,206 @@ def dedupe_stream(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("utc_timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["utc_timestamp", "event_id"], kind="stable")
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: StructType | str, mode: str, time: str, event_time: str = "") -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, mode, time, eventTimeColumnName=event_time)
 
 
-def seal_stream(stream: DataFrame, most: int | None = None) -> DataFrame:
-    """Events with sequence, previous and current hash; after `most` events of a session no more."""
-    names = [c for c in stream.columns if c not in ("previous_hash", "current_hash", "sequence")]
+class _InOrder(StatefulProcessor):
+    """Hands a key's waiting rows (at: microseconds, id, row) to fold() in order, once the watermark has
+    passed them, and ends the key's state `idle_ms` of event time after its last row."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, id string, row string")
+        self.latest = handle.getValueState("latest", "at long")
+
+    def fold(self, key, rows: list[tuple[int, str, str | None]]) -> list[tuple]:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def columns(self) -> list[str]:
+        raise NotImplementedError
+
+    def _wake(self, ms: int) -> None:
+        """One timer of a key at most: the earliest."""
+        timers = list(self.handle.listTimers())
+        if not timers or ms < min(timers):
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(ms)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, last = state.get if state.exists else (0, GENESIS)
-        pdf = _ordered(batches)
-        if most is not None:
-            pdf = pdf.head(max(0, most - number))
-        rows = []
-        for before, after in zip(pdf["__before"], pdf["__after"], strict=True):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for pdf in rows:
+            if not len(pdf):
+                continue
+            self.waiting.appendList(list(zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["row"].tolist(), strict=True)))
+            low, high = int(pdf["us"].min()), int(pdf["us"].max())
+            first, last = (low, high) if first is None else (min(first, low), max(last, high))
+        if first is not None:
+            known = self.latest.get()[0] if self.latest.exists() else last
+            self.latest.update((max(known, last),))
+            self._wake(-(-first // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(((r[0], r[1], r[2]) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1]))
+        ready = [r for r in rows if r[0] <= now * 1000]
+        if len(ready) < len(rows):
+            self.waiting.put(rows[len(ready) :])
+            self._wake(-(-rows[len(ready)][0] // 1000))
+        else:
+            self.waiting.clear()
+            ends = None if self.idle_ms is None else self.latest.get()[0] // 1000 + self.idle_ms
+            if ends is not None and ends > now:
+                self._wake(ends)
+        made = self.fold(key, ready) if ready else []
+        if len(ready) == len(rows) and self.idle_ms is not None and ends <= now:
+            self.forget()
+            self.latest.clear()
+        if made:
+            yield pd.DataFrame(made, columns=self.columns(), dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+class _Sealer(_InOrder):
+    def __init__(self, most: int | None, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.most = most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.head = handle.getValueState("head", "number long, hash string")
+
+    def columns(self) -> list[str]:
+        return ["row", "sequence", "previous_hash", "current_hash"]
+
+    def forget(self) -> None:
+        self.head.clear()
+
+    def fold(self, key, rows):
+        number, last = self.head.get() if self.head.exists() else (0, GENESIS)
+        out = []
+        for _, _, row in rows if self.most is None else rows[: max(0, self.most - number)]:
+            before, after, event = row.split("\x1e", 2)
             digest = hashlib.sha256(f"{before}{number}{after}".encode()).hexdigest()
             new = hashlib.sha256(f"{digest}|{last}".encode()).hexdigest()
-            rows.append((number, last, new))
+            out.append((event, number, last, new))
             number, last = number + 1, new
-        state.update((number, last))
-        out = pdf[names].copy()
-        out["sequence"], out["previous_hash"], out["current_hash"] = ([r[i] for r in rows] for i in range(3))
-        yield out
+        self.head.update((number, last))
+        return out
+
+
+def seal_stream(stream: DataFrame, most: int | None = None, delay: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
+    """Events with sequence, previous and current hash, in order of (utc_timestamp, event_id) of each session.
 
+    An event comes out when the watermark (`delay` behind the latest event) has passed it.  After `most` events
+    of a session no more come.  A session without events for `idle_ms` of event time is closed: its state goes, and
+    a later event would start a new chain."""
+    names = [c for c in stream.columns if c not in ("previous_hash", "current_hash", "sequence")]
+    kept = stream.select(*names).schema
     # the canonical text holds the number that the state gives: it is cut at that place
-    text = canonical_json()
-    marked = stream.withColumn("sequence", F.lit(-9_000_000_001).cast("long"))
-    parts = marked.withColumn("__text", text).withColumns({"__before": F.substring_index("__text", "-9000000001", 1), "__after": F.substring_index("__text", "-9000000001", -1)})
-    schema = stream.select(*names, F.lit(0).cast("long").alias("sequence"), F.lit("").alias("previous_hash"), F.lit("").alias("current_hash")).schema
-    return parts.select(*names, "__before", "__after").groupBy("session_id").applyInPandasWithState(step, schema, "number long, last string", "append", GroupStateTimeout.NoTimeout)
-
-
-def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50) -> DataFrame:
-    """(key, event_id) of events at least a gap after the last one kept of their key."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), "event_id", "utc_timestamp")
-
-    def step(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        pdf = _ordered(batches)
-        keep = []
-        for t in pdf["utc_timestamp"].astype("datetime64[us]").astype("int64"):
-            new = last is None or t - last >= gap_ms * 1000
-            last = int(t) if new else last
-            keep.append(new)
-        state.update((last,))
-        yield pdf.loc[keep, ["key", "event_id"]]
-
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, event_id string", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def test_counts_stream(stream: DataFrame, dialect: str = "gotest", ended: str | None = None) -> DataFrame:
-    """Running test counts of each session from chunks (session_id, utc_timestamp, event_id, text).
-
-    The tail of an unfinished line (of an unfinished test case, in XML) waits in the state for the next
-    chunk; what is whole is counted by the same column function as in batch.  The column `ended` tells
-    the last chunk of a session: its tail counts too, and its state goes."""
-    border = "</testcase>" if dialect == "junit" else "\n"
-
-    def lines(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = _ordered(batches)
-        text = (state.get[0] if state.exists else "") + "".join(pdf["text"].fillna(""))
+    marked = stream.withWatermark("utc_timestamp", delay).withColumn("sequence", F.lit(-9_000_000_001).cast("long")).withColumn("__text", canonical_json())
+    row = F.concat_ws("\x1e", F.substring_index("__text", "-9000000001", 1), F.substring_index("__text", "-9000000001", -1), F.to_json(F.struct(*names), _JSON))
+    parts = marked.select("session_id", "utc_timestamp", F.unix_micros("utc_timestamp").alias("us"), F.col("event_id").alias("id"), row.alias("row"))
+    sealed = _stateful(parts, "session_id", _Sealer(most, idle_ms), "row string, sequence long, previous_hash string, current_hash string", "append", "eventTime")
+    back = sealed.withColumn("__e", F.from_json("row", kept, _JSON))
+    return back.select("__e.*", "sequence", "previous_hash", "current_hash")
+
+
+class _Throttle(_InOrder):
+    def __init__(self, gap_us: int, idle_ms: int | None):
+        super().__init__(idle_ms)
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "at long")
+
+    def columns(self) -> list[str]:
+        return ["key", "event_id", "utc_timestamp"]
+
+    def forget(self) -> None:
+        self.kept.clear()
+
+    def fold(self, key, rows):
+        last = self.kept.get()[0] if self.kept.exists() else None
+        out = []
+        for at, event, _ in rows:
+            if last is None or at - last >= self.gap_us:
+                last = at
+                out.append((key[0], event, pd.Timestamp(at, unit="us")))
+        self.kept.update((last,))
+        return out
+
+
+def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50, delay: str = "0 seconds") -> DataFrame:
+    """(key, event_id, utc_timestamp) of events at least a gap after the last one kept of their key; a key's state ends
+    when no event within a gap of its last one can come any more."""
+    timed = stream.withWatermark("utc_timestamp", delay)
+    rows = timed.select(F.col(key).cast("string").alias("key"), "utc_timestamp", F.unix_micros("utc_timestamp").alias("us"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("row"))
+    return _stateful(rows, "key", _Throttle(gap_ms * 1000, gap_ms), "key string, event_id string, utc_timestamp timestamp", "append", "eventTime", "utc_timestamp")
+
+
+def throttle_paths_stream(stream: DataFrame, paths: str, gap_ms: int = 50, delay: str = "0 seconds") -> DataFrame:
+    """(event_id, utc_timestamp) of events of which at least one path comes a gap after the last one kept of that path.
+
+    Two states, one after the other under one watermark: each path is throttled for itself, then an event
+    that some path let through is kept once."""
+    each = stream.select("event_id", "utc_timestamp", F.explode(F.array_distinct(paths)).alias("__path"))
+    passed = throttle_stream(each, "__path", gap_ms, delay)
+    return passed.select("event_id", "utc_timestamp").dropDuplicatesWithinWatermark(["event_id"])
+
+
+class _Tests(StatefulProcessor):
+    """The output of a session so far, and its counts after each batch."""
+
+    def __init__(self, dialect: str, idle_ms: int | None):
+        self.dialect, self.idle_ms = dialect, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.output = handle.getValueState("output", "text string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["utc_timestamp", "event_id"], kind="stable")
+        output = test_output.Output.loads(self.output.get()[0]) if self.output.exists() else test_output.Output()
+        output.add("".join(pdf["text"].fillna("")))
         if pdf["ended"].any():
-            whole = text
-            if state.exists:
-                state.remove()
+            self.output.clear()
         else:
-            whole, cut, tail = text.rpartition(border)
-            whole += cut
-            state.update((tail,))
-        yield pd.DataFrame({"session_id": [pdf["session_id"].iloc[0]], "text": [whole]})
+            self.output.update((output.dumps(),))
+            if self.idle_ms is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(max(int(pdf["utc_timestamp"].max().value // 1_000_000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
+        yield pd.DataFrame([(key[0], *output.counts(self.dialect))], columns=["session_id", "passed", "failed", "skipped", "inconclusive"], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.output.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def test_counts_stream(stream: DataFrame, dialect: str = "gotest", ended: str | None = None, idle_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Test counts of each session so far, from chunks (session_id, utc_timestamp, event_id, text); update mode.
 
+    Each batch gives a session's counts over all its output until then, as the batch function has them
+    for the text in one piece, however it was cut.  The column `ended` tells a session's last chunk, after
+    which its state goes; so it does after `idle_ms` of event time without any (then a watermark `delay` behind
+    the latest chunk drops later ones)."""
     last = F.lit(False) if ended is None else F.coalesce(F.col(ended), F.lit(False))
-    done = stream.select("session_id", "utc_timestamp", "event_id", "text", last.alias("ended")).groupBy("session_id").applyInPandasWithState(lines, "session_id string, text string", "tail string", "append", GroupStateTimeout.NoTimeout)
-    return done.withColumn("c", test_counts(F.col("text"), dialect)).select("session_id", "c.*")
+    rows = (stream if idle_ms is None else stream.withWatermark("utc_timestamp", delay)).select("session_id", "utc_timestamp", "event_id", "text", last.alias("ended"))
+    schema = "session_id string, passed long, failed long, skipped long, inconclusive long"
+    return _stateful(rows, "session_id", _Tests(dialect, idle_ms), schema, "update", "none" if idle_ms is None else "eventTime")
