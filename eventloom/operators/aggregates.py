@@ -79,9 +79,11 @@ def redaction_totals(findings: DataFrame) -> DataFrame:
     return findings.groupBy("session_id", "kind").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("event_id").alias("events"))
 
 
-def run_outcomes(sessions: DataFrame) -> DataFrame:
-    """Good and bad runs of each command; flaky if there are both."""
-    out = sessions.groupBy("command").agg(F.count_if(F.col("exit_code") == 0).alias("successes"), F.count_if(F.col("exit_code") != 0).alias("failures"))
+def run_outcomes(sessions: DataFrame, by: tuple[str, ...] = ("command",)) -> DataFrame:
+    """Good and bad runs of each command (or command and label: a session counts under each of its labels, one
+    without any under null); flaky if there are both."""
+    rows = sessions.withColumn("label", F.explode_outer(F.array_distinct("labels"))) if "label" in by else sessions
+    out = rows.groupBy(*by).agg(F.count_if(F.col("exit_code") == 0).alias("successes"), F.count_if(F.col("exit_code") != 0).alias("failures"))
     return out.withColumn("flaky", (F.col("successes") > 0) & (F.col("failures") > 0))
 
 

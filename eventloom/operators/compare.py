@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import is_error_like
+from ..storage import stage
 from .filters import first_flagged, tail_events
 
 
@@ -90,13 +91,19 @@ def verdict(divergences: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def investigate(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Last events of the first run of each command against those of all its later runs.
-
-    runs: (command, session_id, run).  A row for each command and kind with its counts."""
-    last = events.groupBy("session_id").agg(F.max_by("kind", "sequence").alias("kind"))
-    rows = runs.join(last, "session_id")
-    first = F.col("run") == F.min("run").over(W.partitionBy("command"))
-    return rows.withColumn("__first", first).groupBy("command", "kind").agg(F.count_if("__first").alias("base"), F.count_if(~F.col("__first")).alias("cand"))
+    """What the last events of a command's later runs have that its first run's last event has not: the
+    divergences of comparing them, with the command.
+
+    runs: (command, session_id, run).  The first run's last event is one side, the last events of all other runs, in
+    the order of runs, are the other; a command that ran once has no row."""
+    last = events.groupBy("session_id").agg(F.max_by(F.struct(*[c for c in events.columns if c != "session_id"]), "sequence").alias("e")).select("session_id", "e.*")
+    rows = runs.select("command", "session_id", "run").join(last, "session_id")
+    side = F.when(F.col("run") == F.min("run").over(W.partitionBy("command")), "first").otherwise("later")
+    sides = stage(rows.withColumn("session_id", F.concat_ws(":", side, "command")).withColumn("sequence", F.col("run").cast("long")).drop("run"), "investigated")
+    name = lambda s: F.concat_ws(":", F.lit(s), "command")
+    pairs = sides.filter(F.col("session_id") == name("later")).select("command", name("first").alias("baseline"), name("later").alias("candidate")).distinct()
+    found = compare_sessions(sides.drop("command"), pairs.select("baseline", "candidate"))
+    return pairs.join(found, ["baseline", "candidate"]).drop("baseline", "candidate")
 
 
 def bug_report_rows(events: DataFrame, sessions: DataFrame, n: int = 20) -> DataFrame:

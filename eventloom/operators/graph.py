@@ -68,16 +68,25 @@ def set_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def follow_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """(start, step, id): from each start, the first child (by to_sequence) again and again."""
-    first = stage(edges.groupBy("from").agg(F.min_by("to", F.struct("to_sequence", "to")).alias("to")), "first-child")
-    level = stage(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id"), "chain")
-    out = level
-    for step in _levels(depth):
-        nxt = level.join(first, F.col("id") == F.col("from")).select("start", F.lit(step).alias("step"), F.col("to").alias("id"))
-        level = stage(nxt.join(out.select("start", "id"), ["start", "id"], "left_anti").select("start", "step", "id"), "chain")
+    """(start, step, id): from each start, the first child (by to_sequence) again and again, up to a node seen before.
+
+    Pointers are doubled: a round appends to every chain as much as it has, by a table of the nodes so
+    many steps on, and squares that table; a chain of n nodes takes log2(n) rounds."""
+    jump = stage(edges.groupBy("from").agg(F.min_by("to", F.struct("to_sequence", "to")).alias("to")).select(F.col("from").alias("u"), F.col("to").alias("v")), "jump")
+    out = stage(starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("step"), "id").distinct(), "chain")
+    span = 1
+    while depth is None or span <= depth:
+        new = out.join(jump, F.col("id") == F.col("u")).select("start", (F.col("step") + span).alias("step"), F.col("v").alias("id"))
+        new = new if depth is None else new.filter(F.col("step") <= depth)
+        first = new.groupBy("start", "id").agg(F.min("step").alias("step")).join(out.select("start", "id"), ["start", "id"], "left_anti")
+        level = stage(first.select("start", "step", "id"), "chain")
         if level.isEmpty():
-            return out
-        out = _with(out, level, step, "chain")
+            break
+        if span > MAX_LEVELS:
+            raise RuntimeError(f"more than {MAX_LEVELS} steps")
+        out, span = out.unionByName(level), 2 * span
+        far = jump.select(F.col("u").alias("w"), F.col("v").alias("u"))
+        jump = stage(far.join(jump, "u").select(F.col("w").alias("u"), "v"), "jump")
     return out
 
 
@@ -125,9 +134,28 @@ def trace_lineage(edges: DataFrame, pairs: DataFrame, depth: int | None = None)
     return wanted.join(out.withColumnRenamed("id", "target"), ["source", "target"])
 
 
-def causal_influence(lineage: DataFrame) -> DataFrame:
+def causal_influence(lineage: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, target, path_length, confidence, edge_kinds): kinds of the path's edges, in its order."""
     n = F.size("path")
-    return lineage.select("source", "target", n.cast("long").alias("path_length"), (1 / (1 + 0.15 * n)).alias("confidence"))
+    ends = lineage.select("source", "target", n.cast("long").alias("path_length"), (1 / (1 + 0.15 * n)).alias("confidence"))
+    each = lineage.select("source", "target", F.posexplode("edge_seqs").alias("at", "edge_seq"))
+    known = each.join(edges.select("edge_seq", "kind"), "edge_seq").groupBy("source", "target").agg(F.sort_array(F.collect_list(F.struct("at", "kind"))).alias("k"))
+    kinds = F.coalesce(F.col("k.kind"), F.array().cast("array<string>")).alias("edge_kinds")
+    return ends.join(known, ["source", "target"], "left").select(*ends.columns, kinds)
+
+
+def get_node(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of some ids; of a node added several times one row."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+
+
+def out_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges that leave some nodes, parallel ones all."""
+    return edges.join(ids.select(F.col("id").alias("from")).distinct(), "from", "left_semi")
+
+
+def in_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.select(F.col("id").alias("to")).distinct(), "to", "left_semi")
 
 
 def degree(edges: DataFrame, by: str) -> DataFrame:
@@ -143,13 +171,23 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def all_paths(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
-    """(source, target, path) of simple paths of at most max_depth nodes; parallel edges repeat them."""
+    """(source, target, path) of simple paths of at most max_depth nodes; parallel edges repeat them.
+
+    A pass back from the targets tells how many edges each node is away from them; a path is only carried on
+    to nodes from which its target can be reached in the steps that are left."""
     level = stage(pairs.select("source", "target", F.array("source").alias("path")), "paths")
     done = level.filter("source = target")
     level = level.filter("source != target")
-    for _ in range(max_depth - 1):
+    ends = level.select(F.col("target").alias("id")).distinct()
+    near = ends.select(F.col("id").alias("target"), F.col("id").alias("to"), F.lit(0).alias("left"))
+    if max_depth > 2:
+        back = reach(edges, ends, max_depth - 2, back=True).filter("id != start")
+        near = near.unionByName(back.select(F.col("start").alias("target"), F.col("id").alias("to"), F.col("hops").alias("left")))
+    near = stage(near, "paths-near")
+    for step in range(1, max_depth):
         nxt = level.join(edges.select("from", "to"), F.element_at("path", -1) == F.col("from")).filter(~F.array_contains("path", F.col("to")))
-        level = stage(nxt.select("source", "target", F.concat("path", F.array("to")).alias("path")), "paths")
+        alive = nxt.join(near, ["target", "to"]).filter(F.col("left") <= max_depth - 1 - step)
+        level = stage(alive.select("source", "target", F.concat("path", F.array("to")).alias("path")), "paths")
         done = done.unionByName(level.filter(F.element_at("path", -1) == F.col("target")))
         level = level.filter(F.element_at("path", -1) != F.col("target"))
         if level.isEmpty():

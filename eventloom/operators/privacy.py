@@ -112,3 +112,12 @@ def register_events(subjects: DataFrame, elements: DataFrame, consents: DataFram
         rows = rows.select(F.concat("kind", F.lit("."), F.when(F.col("__i") < 1000, F.lpad(F.col("__i").cast("string"), 3, "0")).otherwise(F.col("__i").cast("string"))).alias("event_id"), F.lit(session_id).alias("session_id"), "kind", (F.col("__i") + shift).cast("long").alias("sequence"), "payload")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def report_events(report: DataFrame, violations: DataFrame, session_id: str) -> DataFrame:
+    """A report (one row) and its violations as events: the report first, then violations in order of elements."""
+    name = lambda kind, i: F.concat(F.lit(kind + "."), F.when(i < 1000, F.lpad(i.cast("string"), 3, "0")).otherwise(i.cast("string")))
+    row = lambda kind, d, i: d.select(name(kind, i).alias("event_id"), F.lit(session_id).alias("session_id"), F.lit(kind).alias("kind"), i.alias("__i"), F.to_json(F.struct(*[c for c in d.columns if c != "__i"])).alias("payload"))
+    first = row("privacy.report", report, F.lit(1).cast("long")).withColumn("sequence", F.lit(1).cast("long"))
+    rest = row("privacy.violation", numbered(violations, ["element_id", "category"], "__i"), F.col("__i")).withColumn("sequence", F.col("__i") + 1)
+    return first.unionByName(rest).select("event_id", "session_id", "kind", "sequence", "payload")

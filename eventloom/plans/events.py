@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -193,6 +195,12 @@ add("C4_within_unbounded", lambda s, d: flt.within(ev(s, d), 1.0, "after", "sign
 # ---- D: aggregation
 add("D1_group_events", lambda s, d: agg.group_events(ev(s, d), ["session_id", "kind"]), f"WITH {EV} SELECT session_id, kind, count(*) AS count, count(*) FILTER (kind = 'error') AS errors, min(utc_timestamp) AS first_at, max(utc_timestamp) AS last_at, arg_min(event_id, (utc_timestamp, event_id)) AS first_event_id FROM ev GROUP BY session_id, kind")
 add("D2_event_counts", lambda s, d: agg.event_counts(ev(s, d)), f"WITH {EV} SELECT session_id, count(*) AS source_event_count FROM ev GROUP BY session_id")
+add(
+    "D11_run_outcomes_by_label",
+    lambda s, d: agg.run_outcomes(ses(s, d), ("command", "label")),
+    f"""WITH {SES} SELECT command, label, count(*) FILTER (exit_code = 0) AS successes, count(*) FILTER (exit_code <> 0) AS failures,
+count(*) FILTER (exit_code = 0) > 0 AND count(*) FILTER (exit_code <> 0) > 0 AS flaky FROM ses GROUP BY command, label""",
+)
 add("D11_run_outcomes", lambda s, d: agg.run_outcomes(ses(s, d)), f"WITH {SES} SELECT command, count(*) FILTER (exit_code = 0) AS successes, count(*) FILTER (exit_code <> 0) AS failures, count(*) FILTER (exit_code = 0) > 0 AND count(*) FILTER (exit_code <> 0) > 0 AS flaky FROM ses GROUP BY command")
 add("D14_slowest_spans", lambda s, d: agg.slowest_spans(ev(s, d)).select("session_id", "event_id", "duration_ms"), f"WITH {EV}, m AS (SELECT *, duration_ns / 1e6 AS duration_ms, max(duration_ns / 1e6) OVER (PARTITION BY session_id) AS top FROM ev) SELECT session_id, event_id, duration_ms FROM m WHERE abs(duration_ms - greatest(top, 0.0)) < 0.001")
 
@@ -272,11 +280,16 @@ def _runs(s, d):
     return ses(s, d).select("command", "session_id", F.row_number().over(W.partitionBy("command").orderBy("started_at", "session_id")).alias("run"))
 
 
+#: The comparison's SQL over other events and pairs.
+_SIDES_CMP = re.sub(r"\bpairs\b", "sidepairs", re.sub(r"\bev\b", "sideev", CMP.removeprefix(f"{EV}, {PAIRS}, ")))
 add(
     "I4_investigate",
-    lambda s, d: cmp.investigate(ev(s, d), _runs(s, d)),
-    f"""WITH {SES}, runs AS (SELECT command, session_id, row_number() OVER (PARTITION BY command ORDER BY started_at, session_id) AS run FROM ses), l AS (SELECT session_id, arg_max(kind, sequence) AS kind FROM ev GROUP BY session_id)
-SELECT command, kind, count(*) FILTER (run = 1) AS base, count(*) FILTER (run <> 1) AS cand FROM runs JOIN l ON l.session_id = runs.session_id GROUP BY command, kind""",
+    lambda s, d: cmp.investigate(ev(s, d), _runs(s, d)).select("command", "title", "severity", "score", "sequence"),
+    f"""WITH {SES}, runs AS (SELECT command, session_id, row_number() OVER (PARTITION BY command ORDER BY started_at, session_id) AS run FROM ses),
+l AS (SELECT session_id, arg_max(kind, sequence) AS kind FROM ev GROUP BY session_id),
+sideev AS (SELECT (CASE WHEN run = 1 THEN 'first:' ELSE 'later:' END) || command AS session_id, kind, run AS sequence FROM runs JOIN l USING (session_id)),
+sidepairs AS (SELECT DISTINCT 'first:' || command AS baseline, 'later:' || command AS candidate FROM runs WHERE run > 1),
+{_SIDES_CMP} SELECT substr(candidate, 7) AS command, title, severity, CAST(score AS INTEGER) AS score, sequence FROM div""",
 )
 add(
     "I5_bug_report_rows",

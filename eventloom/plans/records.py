@@ -71,6 +71,24 @@ def _round_trip(s, d):
 
 add("A15_A16_export_import", _round_trip, f"WITH {_N} SELECT session_id, CASE WHEN hit AND {_FAULT} IS NOT NULL THEN 0 ELSE events END AS events, CASE WHEN hit THEN {_FAULT} END AS reason FROM n")
 
+def _archived(s, d):
+    """The archive job run twice: all but the newest ten sessions, then all but the newest five."""
+    from ..sources.bundles import archive_sessions
+    from ..storage import fresh_path
+
+    e, out = sealed(s, d), fresh_path(s, "archive")
+    own = e.groupBy("session_id", "project_id").agg(F.min("utc_timestamp").alias("started_at"))
+    first = archive_sessions(e, own, out, 10).select("session_id", F.lit(1).alias("run"))
+    return first.unionByName(archive_sessions(e, own, out, 5).select("session_id", F.lit(2).alias("run")))
+
+
+add(
+    "A18_archive_sessions",
+    _archived,
+    """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, min(turn) AS started FROM conversations GROUP BY conv_id), n AS (SELECT session_id, row_number() OVER (ORDER BY started DESC, session_id) AS n FROM t)
+SELECT session_id, CASE WHEN n > 10 THEN 1 ELSE 2 END::INTEGER AS run FROM n WHERE n > 5""",
+)
+
 # ---- H1-H4, D10: signatures
 _MSG = "SELECT doc_id, 'Failed at /home/u' || doc_id || '/src/main.rs:' || doc_id || ':4 pid=' || doc_id || ' on 10.1.2.' || doc_id || ' at 12:30:59 of 2024-01-31 code 0xdead' || doc_id || ' in x.py:' || doc_id || ' ' || coalesce(text, '') AS m FROM documents"
 
@@ -353,7 +371,16 @@ add("J3_degree", lambda s, d: graph.degree(prov(s, d)[1], "from"), f'WITH {PROV}
 add("J4_trace_lineage", lambda s, d: graph.trace_lineage(prov(s, d)[1], _targets(s, d)).select("source", "target", F.array_join("path", ">").alias("path"), "weight"), f"WITH RECURSIVE {_LIN} SELECT source, id AS target, path, weight FROM walk WHERE {_WANT}")
 add("J5_ancestors", lambda s, d: graph.ancestors(prov(s, d)[1], prov(s, d)[0].filter("id LIKE 'o%5' OR id LIKE 's%1'")).select("start", "id"), f"""WITH RECURSIVE {PROV}, up AS (SELECT id AS start, id FROM nodes WHERE id LIKE 'o%5' OR id LIKE 's%1' UNION SELECT u.start, e."from" FROM up u JOIN edges e ON e."to" = u.id) SELECT start, id FROM up WHERE start <> id""")
 add("J6_descendants", lambda s, d: graph.descendants(prov(s, d)[1], _starts(s, ["r0", "n3", "c5"])).select("start", "id", F.col("hops").cast("long").alias("hops")), f"""WITH RECURSIVE {PROV}, down AS (SELECT id AS start, id, 0::BIGINT AS hops FROM nodes WHERE id IN ('r0', 'n3', 'c5') UNION SELECT u.start, e."to", u.hops + 1 FROM down u JOIN edges e ON e."from" = u.id) SELECT start, id, hops FROM down WHERE hops > 0""")
-add("J7_causal_influence", lambda s, d: graph.causal_influence(graph.trace_lineage(prov(s, d)[1], _targets(s, d))), f"WITH RECURSIVE {_LIN} SELECT source, id AS target, n AS path_length, 1 / (1 + 0.15 * n::DOUBLE) AS confidence FROM walk WHERE {_WANT}")
+add(
+    "J7_causal_influence",
+    lambda s, d: graph.causal_influence(graph.trace_lineage(prov(s, d)[1], _targets(s, d)), prov(s, d)[1]).withColumn("edge_kinds", F.array_join("edge_kinds", ">")),
+    f"""WITH RECURSIVE {PROV}, walk AS (SELECT 'r1' AS id, 1::BIGINT AS n, '' AS kinds
+  UNION ALL SELECT e."to", w.n + 1, CASE WHEN kinds = '' THEN e.kind ELSE kinds || '>' || e.kind END FROM walk w JOIN edges e ON e."from" = w.id)
+SELECT 'r1' AS source, id AS target, n AS path_length, 1 / (1 + 0.15 * n::DOUBLE) AS confidence, kinds AS edge_kinds FROM walk WHERE {_WANT}""",
+)
+add("J3_out_edges", lambda s, d: graph.out_edges(prov(s, d)[1], _starts(s, ["r2", "n3", "c5", "none"])).select("from", "to", "kind"), f"""WITH {PROV} SELECT "from", "to", kind FROM edges WHERE "from" IN ('r2', 'n3', 'c5')""")
+add("J3_in_edges", lambda s, d: graph.in_edges(prov(s, d)[1], prov(s, d)[0].filter("id LIKE '%7'")).select("from", "to", "kind"), f"""WITH {PROV} SELECT "from", "to", kind FROM edges WHERE "to" LIKE '%7'""")
+add("J14_get_node", lambda s, d: graph.get_node(prov(s, d)[0].select("id").union(prov(s, d)[0].select("id")), prov(s, d)[0].filter("id LIKE '%3'")).select("id"), f"WITH {PROV} SELECT DISTINCT id FROM nodes WHERE id LIKE '%3'")
 add("J8_roots_leaves", lambda s, d: graph.roots(*prov(s, d)).withColumn("end", F.lit("root")).unionByName(graph.leaves(*prov(s, d)).withColumn("end", F.lit("leaf"))), f"""WITH {PROV} SELECT id, 'root' AS "end" FROM nodes WHERE id NOT IN (SELECT "to" FROM edges) UNION ALL SELECT id, 'leaf' FROM nodes WHERE id NOT IN (SELECT "from" FROM edges)""")
 add("J9_all_paths", lambda s, d: graph.all_paths(prov(s, d)[1], _targets(s, d), 4).select("source", "target", F.array_join("path", ">").alias("path")), f"WITH RECURSIVE {_LIN} SELECT source, id AS target, path FROM walk WHERE {_WANT} AND n <= 4")
 add("J10_subgraph", lambda s, d: graph.subgraph(prov(s, d)[1], _starts(s, ["r2", "n4"]), 2)[1].select("start", "from", "to"), f"""WITH RECURSIVE {PROV}, down AS (SELECT id AS start, id, 0 AS hops FROM nodes WHERE id IN ('r2', 'n4') UNION SELECT u.start, e."to", u.hops + 1 FROM down u JOIN edges e ON e."from" = u.id WHERE u.hops < 2) SELECT start, "from", "to" FROM down JOIN edges ON "from" = id WHERE hops < 2""")
@@ -405,6 +432,13 @@ SELECT request_id, arg_max(status, n) AS status FROM f GROUP BY request_id""",
 add("I10_open_requests", lambda s, d: reg(s, d)["requests"].filter(privacy.is_open()).select("id", "status"), f"WITH {R} SELECT id, status FROM requests WHERE status IN ('open', 'in_progress')")
 add("I11_active_consents", lambda s, d: privacy.active_consents(reg(s, d)["consents"], "c7", at()).select("id"), f"WITH {R} SELECT id FROM active WHERE subject_id = 'c7'")
 add("I11_elements_for_category", lambda s, d: privacy.elements_for_category(reg(s, d)["elements"], "Brand#13").select("id", "retention_days"), f"WITH {R} SELECT id, retention_days FROM elements WHERE category = 'Brand#13'")
+add(
+    "I12_report_events",
+    lambda s, d: (lambda r: privacy.report_events(privacy.privacy_report(r["subjects"], r["elements"], r["consents"], r["requests"], at(), "v1"), privacy.retention_violations(r["elements"], r["rules"]), "s").select("event_id", "kind", "sequence", F.get_json_object("payload", "$.element_id").alias("element_id"), F.get_json_object("payload", "$.subjects").cast("long").alias("subjects")))(reg(s, d)),
+    f"""WITH {R}, v AS (SELECT element_id, row_number() OVER (ORDER BY element_id, category) AS i FROM violations)
+SELECT 'privacy.report.001' AS event_id, 'privacy.report' AS kind, 1::BIGINT AS sequence, NULL AS element_id, (SELECT count(*) FROM subjects) AS subjects
+UNION ALL SELECT 'privacy.violation.' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END, 'privacy.violation', i + 1, element_id, NULL FROM v""",
+)
 add(
     "I12_register_events",
     lambda s, d: (lambda r: privacy.register_events(r["subjects"], r["elements"], r["consents"], "s").select("event_id", "kind", "sequence"))(reg(s, d)),

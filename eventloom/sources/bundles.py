@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,26 @@ def sessions_to_archive(sessions: DataFrame, keep: int, archived: DataFrame | No
     near = sessions if most is None else sessions.orderBy(*newest).limit(keep + most)
     out = near.join(sessions.orderBy(*newest).limit(keep).select("session_id"), "session_id", "left_anti")
     return out if archived is None else out.join(archived.select("session_id"), "session_id", "left_anti")
+
+
+def archive_sessions(events: DataFrame, sessions: DataFrame, out: str, keep: int, most: int | None = None) -> DataFrame:
+    """Exports the sessions beyond the newest `keep` that `out` does not list yet, and returns the listing of those
+    that this run archived: (session_id, batch).
+
+    Each run writes a bundle of its own (`batch=`) and, when it is whole, its part of the listing: a run that
+    broke off is done again.  Nothing is deleted; sessions whose chain does not hold are not listed."""
+    spark = events.sparkSession
+    listing, schema = f"{out}/listing", "session_id string, batch string"
+    try:
+        archived = spark.read.schema(schema).parquet(listing)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        archived = None
+    chosen = stage(sessions_to_archive(sessions, keep, archived, most), "to-archive")
+    batch = uuid.uuid4().hex
+    rejected = export_sessions(events.join(chosen.select("session_id"), "session_id", "left_semi"), chosen, f"{out}/batch={batch}")
+    done = chosen.select("session_id").join(rejected, "session_id", "left_anti").select("session_id", F.lit(batch).alias("batch"))
+    done = stage(done, "archived")
+    done.write.mode("append").parquet(listing)
+    return done
