@@ -35,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 CANDIDATE = len(KINDS)
 TAIL = 64
 SURE, SEEDS, UNKNOWN, ROUNDS = 0.8, 3, 0.5, 5
+BITS = 1024
 
 PATTERNS = (
     r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -109,15 +110,28 @@ def _entities(found: DataFrame) -> DataFrame:
     )
 
 
-def _plain_followers(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
-    """(pattern, plain): distinct words without digits or @ that follow a pattern anywhere in the corpus."""
+def _followers(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, forms, next) for every place where a pattern of (pattern, forms) is followed by a word without
+    digits or @."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    listed = docs.select(words.alias("w"))
     n = F.size("w")
-    some = listed.filter(n > 1).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))).alias("x"))
+    some = docs.select(words.alias("w")).filter(n > 1).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), n).alias("b"), F.slice("w", F.lit(3), n).alias("c"))).alias("x"))
     both = some.select(F.explode(F.array(F.struct(F.col("x.a").alias("pattern"), F.col("x.b").alias("next")), F.struct(F.concat("x.a", F.lit(" "), "x.b").alias("pattern"), F.col("x.c").alias("next")))).alias("y"))
     met = both.select("y.*").filter("next IS NOT NULL").join(joinable(patterns, "octet_length(pattern) + 32"), "pattern")
-    return met.filter(~F.col("next").rlike("[0-9@]")).distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    return met.filter(~F.col("next").rlike("[0-9@]"))
+
+
+def _plain_followers(docs: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """(pattern, plain): distinct words without digits or @ that follow a pattern anywhere in the corpus.
+
+    A word sets one of BITS bits of its pattern.  A pattern with more bits than could leave it sure, were all
+    its forms of one kind, has its number of bits for a count; only for others are words told apart."""
+    place = F.pmod(F.xxhash64("next"), F.lit(BITS))
+    masks = [F.bit_or(F.when(F.floor(place / 64) == i, F.expr(f"shiftleft(1L, cast(pmod(xxhash64(next), {BITS}) % 64 AS int))")).otherwise(F.lit(0).cast("long"))) for i in range(BITS // 64)]
+    met = _followers(docs, text, patterns).groupBy("pattern").agg(F.first("forms").alias("forms"), reduce(lambda x, y: x + y, [F.bit_count(m).cast("long") for m in masks]).alias("plain"))
+    met = stage(met.withColumn("dead", F.col("plain") * SURE > F.col("forms") * (1 - SURE)), "pii-followers")
+    exact = _followers(docs, text, met.filter("NOT dead").select("pattern", "forms")).select("pattern", "next").distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
+    return met.filter("dead").select("pattern", "plain").unionByName(exact)
 
 
 def _scored_patterns(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -151,9 +165,9 @@ def bootstrap(docs: DataFrame, entities: DataFrame, text: str) -> tuple[DataFram
     """Sure patterns (pattern, kind, score) and found candidates (form, kind, score)."""
     pattern = F.explode(F.array("last", "two")).alias("pattern")
     pairs = stage(entities.select(pattern, "form", "kind", "fits").filter("pattern IS NOT NULL").distinct(), "pii-pairs")
-    support = stage(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("forms")).filter(F.col("forms") >= SEEDS).select("pattern"), "pii-patterns")
+    support = stage(pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("forms")).filter(F.col("forms") >= SEEDS), "pii-patterns")
     plain = _plain_followers(docs, text, support)
-    edges = stage(pairs.join(support, "pattern").join(plain, "pattern", "left").fillna(0, ["plain"]), "pii-edges")
+    edges = stage(pairs.join(support.select("pattern"), "pattern").join(plain, "pattern", "left").fillna(0, ["plain"]), "pii-edges")
     seeds = edges.filter(F.col("kind") < CANDIDATE).groupBy("form").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
     found, seen = None, None
     for _ in range(ROUNDS):
