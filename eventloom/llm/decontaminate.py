@@ -5,8 +5,11 @@ an item lies whole in some passage.  Each passage is a query, its distinct words
 item's score is divided by the score of its own text, and all items at ``threshold`` or above are
 retrieved: upper bounds by blocks of items discard most passages in one numpy pass, the rest goes
 through block-max WAND.  Retrieved pairs are verified: the shares of the item's question and answer
-shingles (five words) found in the passage must both reach ``overlap``.  An item's answer is its
-last sentence, or its last five words if it has one sentence; the question is what stands before.
+shingles (five words, without punctuation at their edges) found in the passage must both reach
+``overlap``.  A part that stands in the passage as a run of letters and digits, whatever touches it, is
+found whole; an answer of fewer than SHORT words is also compared word by word; with a whole question
+and a score of SURE_SCORE the answer need not be there.  An item's answer is its last sentence, or
+its last five words if it has one sentence; the question is what stands before.
 
 Cases: null or empty texts match nothing; items without words are left out; repeated items are
 found each by its own id; a leak is reported once for a text and item, with its best passage.
@@ -15,6 +18,7 @@ The index is built for SHARD_ITEMS items at a time, so what is broadcast is boun
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -28,6 +32,7 @@ from .sentence_spans import _STOP
 from .shared import lean, stage
 
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
+SHORT, SURE_SCORE = 8, 0.9
 K1, B = 1.2, 0.75
 SHARD_ITEMS, BLOCK_ITEMS, SUPER_BLOCKS = 20_000, 8, 64
 LEAKS = "array<struct<item_id:long,score:double,question_overlap:double,answer_overlap:double>>"
@@ -41,6 +46,26 @@ def _shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(windows(h, np.zeros(len(h), np.int64), k)[0])
 
 
+#: Bytes of letters and digits (those beyond ASCII all count).
+_INNER = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+_OUTER = re.compile(rb"[^0-9a-z\x80-\xff]+")
+
+
+def _bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words without the punctuation at their edges; words of nothing else stay as they are."""
+    inner = np.flatnonzero(_INNER[data])
+    lo, hi = np.searchsorted(inner, starts), np.searchsorted(inner, ends)
+    some = hi > lo
+    starts, ends = starts.copy(), ends.copy()
+    starts[some], ends[some] = inner[lo[some]], inner[hi[some] - 1] + 1
+    return hashes(data, starts, ends)
+
+
+def _letters(data: np.ndarray) -> bytes:
+    """A text's letters and digits, with one space for what stands between them."""
+    return _OUTER.sub(b" ", data.tobytes()).strip()
+
+
 class Statistics:
     """What scores take from all items: their number, summed and greatest length, and the number of items
     of each term (hashes in ascending order, of which an index needs those of its own items)."""
@@ -56,10 +81,11 @@ class Index:
 
     def __init__(self, ids: list[int | None], texts: list[str | None], of: Statistics | None = None):
         column = pa.array(texts, pa.string())
-        parts, question, answer = [], [], []
+        parts, question, answer = [], [], []  # of question and answer: shingles, letters, words of a short one
         for _, data, off in slices(column, 1 << 40):
+            data = LOWER[data]
             starts, ends, doc = words(data, off)
-            h = hashes(LOWER[data], starts, ends)
+            h, bare = hashes(data, starts, ends), _bare(data, starts, ends)
             edge = np.searchsorted(doc, np.arange(len(off)))
             for i in range(len(off) - 1):
                 own = slice(edge[i], edge[i + 1])
@@ -67,8 +93,9 @@ class Index:
                 stop = np.flatnonzero(_STOP[data[ends[own] - 1]][:-1]) if len(w) else []
                 cut = int(stop[-1]) + 1 if len(stop) else max(0, len(w) - SHINGLE)
                 parts.append(w)
-                question.append(_shingles(w[:cut]))
-                answer.append(_shingles(w[cut:]))
+                b, at = bare[own], int(starts[own][cut]) if cut < len(w) else int(off[i + 1])
+                question.append((_shingles(b[:cut]), _letters(data[off[i] : at]), np.zeros(0, U)))
+                answer.append((_shingles(b[cut:]), _letters(data[at : off[i + 1]]), np.unique(b[cut:]) if len(w) - cut < SHORT else np.zeros(0, U)))
         some = [i for i, w in enumerate(parts) if len(w)]
         some.sort(key=lambda i: len(parts[i]))  # neighbours in a block have like lengths and bounds
         self.ids = [ids[i] for i in some]
@@ -147,7 +174,8 @@ class Index:
         starts, ends, doc = words(data, off)
         if not len(starts) or not len(self.terms):
             return out
-        h = hashes(LOWER[data], starts, ends)
+        data = LOWER[data]
+        h = hashes(data, starts, ends)
         term = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = np.flatnonzero(self.terms[term] == h)
         first = np.searchsorted(doc, np.arange(len(off) - 1))
@@ -174,17 +202,25 @@ class Index:
                 continue
             lo = int(first[d]) + (int(c) - int(base[d])) * self.stride
             hi = min(lo + 2 * self.stride, int(first[d + 1]) if d + 1 < len(first) else len(h))
-            there = _all_shingles(h[lo:hi], SHINGLE)
+            at, end = int(starts[lo]), int(ends[hi - 1])
+            there = _all_shingles(_bare(data[at:end], starts[lo:hi] - at, ends[lo:hi] - at), SHINGLE)
+            text = _letters(data[at:end])
             for item, score in got:
-                share = []
-                for part in (self.question[item], self.answer[item]):
-                    share.append(1.0 if not len(part) else float(np.isin(part, there).mean()))
+                share = [_share(part, there, text) for part in (self.question[item], self.answer[item])]
                 key = (d, item)
-                if min(share) >= overlap and (key not in out or score > out[key][0]):
+                if (min(share) >= overlap or share[0] == 1.0 and score >= SURE_SCORE) and (key not in out or score > out[key][0]):
                     out[key] = (score, *share)
         return out
 
 
+def _share(part: tuple[np.ndarray, bytes, np.ndarray], there: np.ndarray, text: bytes) -> float:
+    """How much of a part (shingles, letters, words) is in a passage (shingles of all lengths, letters)."""
+    shingles, letters, few = part
+    if not len(shingles) or letters and letters in text:
+        return 1.0
+    return max(float(np.isin(x, there).mean()) for x in (shingles, few) if len(x))
+
+
 def _all_shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Shingles of k words and, for parts that are shorter, of 1 to k - 1 words."""
     one = np.zeros(len(h), np.int64)
