@@ -65,7 +65,8 @@ add(
 add("A7_recent_sessions", lambda s, d: tables.recent_sessions(ses(s, d), 10, "p1").select("session_id", "started_at"), f"WITH {SES} SELECT session_id, started_at FROM ses WHERE project_id = 'p1' ORDER BY started_at DESC, session_id LIMIT 10")
 def _appended(s, d):
     """A third of the events is stored, then all are appended twice: the rows that came by appending."""
-    path = _stored(s, ev(s, d).filter("sequence % 3 = 0"))
+    path = fresh_path(s, "store")
+    tables.append_events(tables.load_events(s, _stored(s, ev(s, d).filter("sequence % 3 = 0"))), path)
     every = tables.load_events(s, _stored(s, ev(s, d)))
     for _ in range(2):
         tables.append_events(every, path)
@@ -74,7 +75,8 @@ def _appended(s, d):
 
 def _batch(s, d):
     """Errors arrive as a batch on top of all other events."""
-    path = _stored(s, ev(s, d).filter("kind != 'error'"))
+    path = fresh_path(s, "store")
+    tables.append_events(tables.load_events(s, _stored(s, ev(s, d).filter("kind != 'error'"))), path)
     return tables.append_batch(tables.load_events(s, _stored(s, ev(s, d).filter("kind = 'error'"))), path)
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CLASSIFICATIONS, EVENT_COLUMNS, EVENT_DDL, SESSION_STATES, SEVERITIES
+from ..storage import stage
 
 
 def load_events(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    return spark.read.schema(EVENT_DDL).format(form).load(path)
+    return spark.read.schema(EVENT_DDL).format(form).load(path).select(*EVENT_COLUMNS)
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
@@ -89,32 +93,72 @@ def recent_sessions(sessions: DataFrame, k: int = 20, project: str | None = None
     return sessions.orderBy(F.desc("started_at"), "session_id").limit(k)
 
 
-def new_events(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """Events whose id is not stored yet, each id once: what an append adds."""
-    return events.dropDuplicates(["event_id"]).join(stored.select("event_id"), "event_id", "left_anti").select(*events.columns)
+#: Parts of an event store, by the hash of ids (and of its counts, by the hash of sessions).
+BUCKETS = 64
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Appends the events that are new; doing it again adds nothing."""
-    spark = events.sparkSession
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def keyed(events: DataFrame) -> DataFrame:
+    """events with event_key and its bucket: the id, or for an event without one a hash of the whole row."""
+    row = F.concat(F.lit("row:"), F.sha2(F.to_json(F.struct(*events.columns)), 256))
+    return events.withColumn("event_key", F.coalesce("event_id", row)).withColumn("bucket", _bucket(F.col("event_key")))
+
+
+def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log beside the data; empty as long as nothing was written to it."""
     try:
-        stored = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = events.limit(0)
-    new_events(events, stored).write.mode("append").parquet(path)
+        return spark.createDataFrame([], schema)
+
+
+def stored_keys(spark: SparkSession, path: str, buckets: list[int]) -> DataFrame:
+    """(event_key, bucket) of what a store has in some of its buckets; no other bucket is read."""
+    return _log(spark, path, "event_key string, bucket int, batch string").filter(F.col("bucket").isin(buckets)).select("event_key", "bucket")
 
 
-def recount(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """(session_id, source_event_count) of the sessions that a batch touched."""
-    touched = batch.select("session_id").distinct()
-    return stored.join(touched, "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("source_event_count"))
+def new_events(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of keyed() events whose key is not stored yet, each key once: what an append adds."""
+    return events.dropDuplicates(["event_key"]).join(stored, ["bucket", "event_key"], "left_anti")
+
 
+def append_events(events: DataFrame, path: str, batch: str | None = None) -> None:
+    """Appends the events that are new to a store.
 
-def append_batch(events: DataFrame, path: str) -> DataFrame:
-    append_events(events, path)
-    return recount(events.sparkSession.read.parquet(path), events)
+    A store has a directory for each bucket of ids and batch, a log of batches and one of the events of each
+    session.  Only the buckets that the batch touches are read.  A batch that the log has adds nothing; one
+    that broke off before it was logged adds what is missing.  One writer at a time."""
+    spark = events.sparkSession
+    name = batch or uuid.uuid4().hex
+    if batch is not None and not _log(spark, f"{path}/_batches", "batch string").filter(F.col("batch") == batch).isEmpty():
+        return
+    rows = stage(keyed(events), "append")
+    buckets = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # BUCKETS rows at most
+    fresh = new_events(rows, stored_keys(spark, path, buckets)).withColumn("batch", F.lit(name))
+    fresh.repartition("bucket").write.mode("append").partitionBy("bucket", "batch").parquet(path)
+    own = _log(spark, path, "session_id string, bucket int, batch string").filter(F.col("bucket").isin(buckets) & (F.col("batch") == name))
+    counts = own.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).select("session_id", "n", _bucket(F.col("session_id")).alias("bucket"), F.lit(name).alias("batch"))
+    counts.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/_sessions")
+    spark.createDataFrame([(name,)], "batch string").write.mode("append").parquet(f"{path}/_batches")
+
+
+def recount(events: DataFrame, path: str) -> DataFrame:
+    """(session_id, source_event_count) in a store of the sessions that a batch touched: the sums of what each batch
+    added, from the buckets of those sessions."""
+    touched = stage(events.select("session_id", _bucket(F.col("session_id")).alias("bucket")).distinct(), "touched")
+    buckets = sorted(r["bucket"] for r in touched.select("bucket").distinct().collect())
+    counts = _log(events.sparkSession, f"{path}/_sessions", "session_id string, n long, bucket int, batch string").filter(F.col("bucket").isin(buckets))
+    return counts.join(touched, ["bucket", "session_id"], "left_semi").groupBy("session_id").agg(F.sum("n").alias("source_event_count"))
+
+
+def append_batch(events: DataFrame, path: str, batch: str | None = None) -> DataFrame:
+    append_events(events, path, batch)
+    return recount(events, path)
 
 
 def latest_sessions(log: DataFrame, updated: str = "updated_at") -> DataFrame:

@@ -30,8 +30,10 @@ _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def ingest_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Appends events to a table batch by batch; a batch that is run again adds nothing."""
-    writer = stream.writeStream.foreachBatch(lambda batch, _: append_events(batch, path)).option("checkpointLocation", checkpoint)
+    """Appends events to a store batch by batch.  A batch has the name of its checkpoint and its number, so
+    one that is run again after a failure is known to the store and adds nothing."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    writer = stream.writeStream.foreachBatch(lambda batch, n: append_events(batch, path, f"{name}-{n}")).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import test_output as output
 from eventloom.functions import text
 from eventloom.operators import chain, filters, graph
-from eventloom.sources import bundles
+from eventloom.sources import bundles, tables
 from eventloom.streaming import operators as st
 from test_rules import make_events, sealed
 
@@ -189,3 +189,18 @@ def test_archive_lists_what_it_wrote_once(spark, tmp_path):
     assert bundles.archive_sessions(broken, sessions, out, 0).count() == 0
     assert {r["session_id"] for r in bundles.archive_sessions(events, sessions, out, 0).collect()} == {"t"}
     assert spark.read.parquet(f"{out}/listing").count() == 2
+
+
+def test_appends_read_touched_buckets_and_know_their_batches(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(f"s{i % 3}", i, "k", "info", i, "{}") for i in range(40)]
+    events = make_events(spark, rows)
+    unnamed = make_events(spark, [("s0", 90, "k", "info", 1, "{}")]).withColumn("event_id", F.lit(None).cast("string"))
+    tables.append_events(events.limit(30).unionByName(unnamed), path, "b1")
+    tables.append_events(events, path, "b1")  # a name that is known adds nothing
+    assert tables.load_events(spark, path).count() == 31
+    got = tables.append_batch(events.unionByName(events).unionByName(unnamed), path, "b2")
+    assert {r["session_id"]: r["source_event_count"] for r in got.collect()} == {"s0": 15, "s1": 13, "s2": 13}
+    assert tables.load_events(spark, path).count() == 41 and tables.load_events(spark, path).columns == events.columns
+    plan = tables.stored_keys(spark, path, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "IN (3,5)" in plan
