@@ -95,7 +95,7 @@ class Index:
                 parts.append(w)
                 b, at = bare[own], int(starts[own][cut]) if cut < len(w) else int(off[i + 1])
                 question.append((_shingles(b[:cut]), _letters(data[off[i] : at]), np.zeros(0, U)))
-                answer.append((_shingles(b[cut:]), _letters(data[at : off[i + 1]]), np.unique(b[cut:]) if len(w) - cut < SHORT else np.zeros(0, U)))
+                answer.append((_shingles(b[cut:]), _letters(data[at : off[i + 1]]), _shingles(b[cut:], 1) if len(w) - cut < SHORT else np.zeros(0, U)))
         some = [i for i, w in enumerate(parts) if len(w)]
         some.sort(key=lambda i: len(parts[i]))  # neighbours in a block have like lengths and bounds
         self.ids = [ids[i] for i in some]
@@ -208,7 +208,7 @@ class Index:
             for item, score in got:
                 share = [_share(part, there, text) for part in (self.question[item], self.answer[item])]
                 key = (d, item)
-                if (min(share) >= overlap or share[0] == 1.0 and score >= SURE_SCORE) and (key not in out or score > out[key][0]):
+                if (min(share) >= overlap or len(self.question[item][0]) and share[0] == 1.0 and score >= SURE_SCORE) and (key not in out or score > out[key][0]):
                     out[key] = (score, *share)
         return out
 

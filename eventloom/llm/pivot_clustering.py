@@ -48,7 +48,7 @@ def smallest_hashes(rows: DataFrame, salt: str, n: int) -> np.ndarray:
     """The n vectors whose `salt:<vec_id>` has the smallest SHA-256; of equal ones the smaller components first."""
     key = F.sha2(F.concat(F.lit(salt + ":"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
     found = rows.select(key.alias("key"), "v").orderBy("key", "v").limit(n).collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64).reshape(len(found), len(found[0]["v"]) if found else 0)
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -314,3 +314,63 @@ def personal(rows):
         text = [",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in x) for x in (base_of[r], sorted(base_of[r] + extra))]
         out.append((d, *[sum(k == x[1] for x in base_of[r]) for k in range(4)], *text))
     return out
+
+
+def clusters(rows, k=8, rounds=10, dims=64):
+    """[(vec_id, cluster, distance)] and the centroids, in Python integers, every distance taken."""
+    kept = [(d, [math.floor(x * 1024) for x in v]) for d, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    key = lambda r: (hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1])
+    centroids = [v for _, v in sorted(kept, key=key)[:k]]
+
+    def assign():
+        far = [[sum((a - b) ** 2 for a, b in zip(v, c, strict=True)) for c in centroids] for _, v in kept]
+        return [(d.index(min(d)), min(d)) for d in far]
+
+    for _ in range(rounds):
+        at = assign()
+        for c in range(len(centroids)):
+            own = [v for (_, v), (x, _) in zip(kept, at, strict=True) if x == c]
+            if own:
+                centroids[c] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    return [(d, *x) for (d, _), x in zip(kept, assign(), strict=True)], centroids
+
+
+def leaks(items, docs, threshold, overlap):
+    """{(doc number, item id)}: every passage against every item by BM25, then parts compared word by word."""
+    stop = ".!?"
+    texts = [(i, t) for i, t in items if t and WORD.search(t)]
+    lower = lambda t: t.encode().lower().decode()
+    stride = max([32, *(len(lower_words(t)) for _, t in texts)])
+    bare = lambda w: re.sub(r"^[\x00-/:-@\[-`{-\x7f]+|[\x00-/:-@\[-`{-\x7f]+$", "", w) or w
+    letters = lambda t: re.sub(r"[\x00-/:-@\[-`{-\x7f]+", " ", lower(t)).strip(" ")
+    out = set()
+    for n, text in enumerate(docs):
+        words_ = [(m.group(), m.start(), m.end()) for m in WORD.finditer(lower(text or ""))]
+        for lo in range(0, max(len(words_), 1), stride):
+            own = words_[lo : lo + 2 * stride]
+            if not own:
+                continue
+            scores = bm25([t for _, t in texts], [w for w, _, _ in own])
+            passage = letters(lower(text)[own[0][1] : own[-1][2]])
+            b = [bare(w) for w, _, _ in own]
+            for (item, t), score in zip(texts, scores, strict=True):
+                if score < threshold:
+                    continue
+                w = [(m.group(), m.start()) for m in WORD.finditer(lower(t))]
+                ends = [i + 1 for i, (x, _) in enumerate(w[:-1]) if x[-1] in stop]
+                cut = ends[-1] if ends else max(0, len(w) - 5)
+                share = []
+                for part, raw in ((w[:cut], lower(t)[: w[cut][1]] if cut < len(w) else lower(t)), (w[cut:], lower(t)[w[cut][1] :] if cut < len(w) else "")):
+                    p = [bare(x) for x, _ in part]
+                    if not p or letters(raw) and letters(raw) in passage:
+                        share.append(1.0)
+                        continue
+                    grams = lambda x, k: {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+                    k = min(5, len(p))
+                    s = [len(grams(p, k) & grams(b, k)) / len(grams(p, k))]
+                    if part is not w[:cut] and len(share) == 1 and len(p) < 8:
+                        s.append(len(set(p) & set(b)) / len(set(p)))
+                    share.append(max(s))
+                if min(share) >= overlap or cut and share[0] == 1.0 and score >= 0.9:
+                    out.add((n, item))
+    return out
