@@ -70,6 +70,43 @@ def resource_profile(events: DataFrame, kind: str = "profiler.sample") -> DataFr
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("samples"), F.min("rss").alias("rss_min"), F.avg("rss").alias("rss_avg"), F.max("rss").alias("rss_max"), F.max("page_faults").alias("page_faults"))
 
 
+#: Fields of a sample: the recorder's names, and those without units.
+_SAMPLE = "rss_bytes long, virtual_bytes long, page_faults long, system_mem_total long, system_mem_avail long, rss long, virtual long"
+SKETCH_K = 400
+
+
+def profile_parts(events: DataFrame, kind: str = "profiler.sample") -> DataFrame:
+    """What a batch of events says of each session's memory, in columns that merge_profiles() adds up: counts, sums,
+    extremes, and quantile sketches (KLL) of resident and virtual bytes."""
+    sample = F.from_json("payload", _SAMPLE)
+    rows = events.filter(F.col("kind") == kind).select("session_id", sample.alias("s")).select("session_id", "s.*")
+    rows = rows.withColumns({"rss": F.coalesce("rss_bytes", "rss"), "virtual": F.coalesce("virtual_bytes", "virtual")})
+    ends = [f(c).alias(f"{c}_{name}") for c in ("rss", "virtual") for f, name in ((F.min, "min"), (F.max, "max"), (F.sum, "sum"), (F.count, "count"))]
+    sketches = [F.kll_sketch_agg_bigint(c, SKETCH_K).alias(f"{c}_sketch") for c in ("rss", "virtual")]
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("samples"), *ends, *sketches, F.max("page_faults").alias("page_faults"), F.max("system_mem_total").alias("mem_total"), F.min("system_mem_avail").alias("mem_avail_min"))
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    """One row for each session from the rows of several batches; merging merged rows is as good."""
+    how = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.sum}
+    ends = [how[name](f"{c}_{name}").alias(f"{c}_{name}") for c in ("rss", "virtual") for name in how]
+    sketches = [F.kll_merge_agg_bigint(f"{c}_sketch", SKETCH_K).alias(f"{c}_sketch") for c in ("rss", "virtual")]
+    return parts.groupBy("session_id").agg(F.sum("samples").alias("samples"), *ends, *sketches, F.max("page_faults").alias("page_faults"), F.max("mem_total").alias("mem_total"), F.min("mem_avail_min").alias("mem_avail_min"))
+
+
+def profile_report(parts: DataFrame, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Counts, means, extremes and percentiles of each session of merged parts.
+
+    A percentile is the least sample that so many are not above; its rank is off by about 1 in 150 at most (with
+    99 % confidence), and by nothing for sessions of up to SKETCH_K samples."""
+    out = ["session_id", "samples"]
+    for c in ("rss", "virtual"):
+        some = F.col(f"{c}_count") > 0
+        out += [f"{c}_min", (F.col(f"{c}_sum") / F.col(f"{c}_count")).alias(f"{c}_avg"), f"{c}_max"]
+        out += [F.when(some, F.kll_sketch_get_quantile_bigint(f"{c}_sketch", F.lit(q))).alias(f"{c}_p{round(q * 100)}") for q in shares]
+    return parts.select(*out, "page_faults", "mem_total", "mem_avail_min")
+
+
 def failure_groups(signed: DataFrame) -> DataFrame:
     """Rows of one signature key are taken for one bug."""
     return signed.groupBy("signature_key").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("session_id").alias("sessions"), F.min("utc_timestamp").alias("first_at"), F.max("utc_timestamp").alias("last_at"))

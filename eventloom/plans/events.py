@@ -214,6 +214,23 @@ def _profile(s, d):
 
 add("D15_resource_profile", _profile, f"WITH {EV} SELECT session_id, count(*) AS samples, min(sequence * 100 + 7) AS rss_min, avg(sequence * 100 + 7) AS rss_avg, max(sequence * 100 + 7) AS rss_max, max(sequence % 5) AS page_faults FROM ev WHERE kind = 'view' GROUP BY session_id")
 
+def _profile_batches(s, d):
+    """Samples come in two batches; their parts are merged, merged again with nothing, and reported."""
+    load = F.to_json(F.struct(((F.col("sequence") * 7919) % 1009).alias("rss_bytes"), (F.col("sequence") * 3).alias("virtual_bytes"), (F.col("sequence") % 5).alias("page_faults"), F.lit(1000).alias("system_mem_total"), (900 - F.col("sequence") % 50).alias("system_mem_avail")))
+    e = ev(s, d).withColumns({"payload": load, "kind": F.when(F.col("kind") == "view", "profiler.sample").otherwise(F.col("kind"))})
+    first, second = (agg.profile_parts(e.filter(F.col("event_id").cast("long") % 2 == k)) for k in (0, 1))
+    return agg.profile_report(agg.merge_profiles(agg.merge_profiles(first).unionByName(second)))
+
+
+add(
+    "D15_profile_percentiles",
+    _profile_batches,
+    f"""WITH {EV}, p AS (SELECT session_id, (sequence * 7919) % 1009 AS rss, sequence * 3 AS virtual, sequence % 5 AS faults, 900 - sequence % 50 AS avail FROM ev WHERE kind = 'view')
+SELECT session_id, count(*) AS samples, min(rss) AS rss_min, avg(rss) AS rss_avg, max(rss) AS rss_max, quantile_disc(rss, 0.5) AS rss_p50, quantile_disc(rss, 0.95) AS rss_p95,
+min(virtual) AS virtual_min, avg(virtual) AS virtual_avg, max(virtual) AS virtual_max, quantile_disc(virtual, 0.5) AS virtual_p50, quantile_disc(virtual, 0.95) AS virtual_p95,
+max(faults) AS page_faults, 1000::BIGINT AS mem_total, min(avail) AS mem_avail_min FROM p GROUP BY session_id""",
+)
+
 # ---- E: windows
 add("E1_assign_sequence", lambda s, d: flt.assign_sequence(ev(s, d).drop("sequence")).select("event_id", "sequence"), f"WITH {EV} SELECT event_id, row_number() OVER (PARTITION BY session_id ORDER BY utc_timestamp, event_id) - 1 AS sequence FROM ev")
 add("E2_cap_events", lambda s, d: flt.cap_events(ev(s, d), 10).select(*BASE), f"WITH {EV} {BASE_SQL} WHERE sequence < 10")

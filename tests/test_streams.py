@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import test_output as output
 from eventloom.functions import text
-from eventloom.operators import chain, filters, graph
+from eventloom.operators import aggregates, chain, filters, graph
 from eventloom.sources import bundles, tables
 from eventloom.streaming import operators as st
 from test_rules import make_events, sealed
@@ -204,3 +204,15 @@ def test_appends_read_touched_buckets_and_know_their_batches(spark, tmp_path):
     assert tables.load_events(spark, path).count() == 41 and tables.load_events(spark, path).columns == events.columns
     plan = tables.stored_keys(spark, path, [3, 5])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [bucket" in plan and "IN (3,5)" in plan
+
+
+def test_merged_sketches_are_near_the_exact_percentiles(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.lit("s").alias("session_id"), F.lit("profiler.sample").alias("kind"), F.to_json(F.struct(((F.col("id") * 7919) % n).alias("rss_bytes"))).alias("payload"), (F.col("id") % 4).alias("part"))
+    parts = None
+    for k in range(4):
+        own = aggregates.profile_parts(rows.filter(F.col("part") == k))
+        parts = own if parts is None else aggregates.merge_profiles(parts.unionByName(own))
+    r = aggregates.profile_report(parts).first()
+    assert r["samples"] == n and abs(r["rss_p50"] - n / 2) < n / 100 and abs(r["rss_p95"] - 0.95 * n) < n / 100
+    assert (r["rss_min"], r["rss_max"], r["virtual_p50"], r["virtual_min"]) == (0, n - 1, None, None)
