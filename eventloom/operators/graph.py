@@ -20,6 +20,8 @@ from .chain import folded_hash
 MAX_LEVELS = 1_000_000
 #: Levels after which what was found so far is written as one table again.
 COMPACT = 16
+#: Levels that are taken one by one before paths without branches are shortened.
+SHALLOW = 8
 
 
 def _levels(depth: int | None, first: int = 1) -> Iterator[int]:
@@ -90,12 +92,65 @@ def follow_chain(edges: DataFrame, starts: DataFrame, depth: int | None = None)
     return out
 
 
+def _heads(links: DataFrame) -> DataFrame:
+    """(id, head, pos) of the nodes that follow others on unary paths given by links (u, v): the path's first node
+    and how many steps the node is after it.  Pointers are doubled; a cycle is cut before its smallest node."""
+    back = stage(links.select(F.col("v").alias("id"), F.col("u").alias("head"), F.lit(1).cast("long").alias("pos"), F.least("u", "v").alias("low")), "heads")
+    for _ in range(back.count().bit_length() + 1):
+        on = back.select(F.col("id").alias("head"), F.col("head").alias("__head"), F.col("pos").alias("__pos"), F.col("low").alias("__low"))
+        far = back.join(on, "head", "left")
+        moved = F.col("__head").isNotNull()
+        back = stage(far.select("id", F.coalesce("__head", "head").alias("head"), (F.col("pos") + F.coalesce("__pos", F.lit(0))).alias("pos"), F.least("low", "__low").alias("low"), moved.alias("moved")), "heads")
+        if back.filter("moved").isEmpty():
+            return back.select("id", "head", "pos")
+        back = back.drop("moved")
+    round_ = back.join(back.select(F.col("id").alias("head")), "head", "left_semi").select(F.col("low").alias("v")).distinct()
+    return _heads(stage(links.join(round_, "v", "left_anti").select("u", "v"), "links"))
+
+
+def _deep(e: DataFrame, level: DataFrame, hops: int) -> DataFrame:
+    """(start, id, hops) of what is reached from a level (start, u) of nodes so many hops away, over edges (u, v).
+
+    Unary paths count as one step: a path is entered at its head only, so the distance of its head gives those
+    of all its nodes.  Distances of heads are improved until none changes."""
+    one_out = e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("u")
+    one_in = e.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("v")
+    links = stage(e.filter("u != v").join(one_out, "u", "left_semi").join(one_in, "v", "left_semi").select("u", "v"), "links")
+    after = _heads(links)
+    nodes = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
+    place = stage(nodes.join(after, "id", "left").select("id", F.coalesce("head", "id").alias("head"), F.coalesce("pos", F.lit(0)).cast("long").alias("pos")), "paths-of")
+    size = place.groupBy("head").agg((F.max("pos") + 1).alias("size"))
+    # an edge that joins two paths leaves the last node of one and enters the first of the other
+    inner = after.select(F.col("id").alias("v"))
+    joins = e.join(inner, "v", "left_anti").join(place.withColumnRenamed("id", "u"), "u").select("head", F.col("v").alias("to"))
+    joins = stage(joins.join(size, "head"), "path-edges")
+    at = stage(level.join(place, F.col("u") == F.col("id")).select("start", "head", "pos"), "deep")
+    rest = at.join(place.select("head", "id", F.col("pos").alias("__pos")), "head").filter("__pos > pos").select("start", "id", (F.col("__pos") - F.col("pos") + hops).alias("hops"))
+    new = at.join(joins, "head").groupBy("start", F.col("to").alias("head")).agg(F.min(F.col("size") - F.col("pos") + hops).alias("hops"))
+    new = stage(new, "deep")
+    known = new
+    for _ in _levels(None):
+        step = new.join(joins, "head").groupBy("start", F.col("to").alias("head")).agg(F.min(F.col("hops") + F.col("size")).alias("hops"))
+        better = step.join(known.select("start", "head", F.col("hops").alias("__had")), ["start", "head"], "left").filter("__had IS NULL OR hops < __had")
+        new = stage(better.select("start", "head", "hops"), "deep")
+        if new.isEmpty():
+            break
+        known = stage(known.unionByName(new).groupBy("start", "head").agg(F.min("hops").alias("hops")), "deep")
+    entered = known.join(place, "head").select("start", "id", (F.col("hops") + F.col("pos")).alias("hops"))
+    return rest.unionByName(entered).groupBy("start", "id").agg(F.min("hops").cast("int").alias("hops"))
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, back: bool = False) -> DataFrame:
-    """(start, id, hops) of all that each start reaches by one edge or more; itself only on a cycle."""
+    """(start, id, hops) of all that each start reaches by one edge or more; itself only on a cycle.
+
+    What is near comes level by level; beyond SHALLOW levels, paths without branches count as one step."""
     e = stage(edges.select(F.col("to" if back else "from").alias("u"), F.col("from" if back else "to").alias("v")).distinct(), "reach-edges")
     level = starts.select(F.col("id").alias("start"), F.col("id").alias("u")).distinct()
     out = None
     for hops in _levels(depth):
+        if depth is None and hops > SHALLOW:
+            far = _deep(e, level, hops - 1).join(out.select("start", "id"), ["start", "id"], "left_anti")
+            return stage(out.unionByName(far.select("start", "id", "hops")), "reach")
         nxt = level.join(e, "u").select("start", F.col("v").alias("u")).distinct()
         if out is not None:
             nxt = nxt.join(out.select("start", F.col("id").alias("u")), ["start", "u"], "left_anti")

@@ -216,3 +216,37 @@ def test_merged_sketches_are_near_the_exact_percentiles(spark):
     r = aggregates.profile_report(parts).first()
     assert r["samples"] == n and abs(r["rss_p50"] - n / 2) < n / 100 and abs(r["rss_p95"] - 0.95 * n) < n / 100
     assert (r["rss_min"], r["rss_max"], r["virtual_p50"], r["virtual_min"]) == (0, n - 1, None, None)
+
+
+def hops(edges, start):
+    """{id: hops} by a plain search."""
+    found, level, n = {}, {start}, 0
+    while level:
+        n += 1
+        level = {v for u, v in edges if u in level} - set(found)
+        found |= dict.fromkeys(level, n)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_reach_is_that_of_a_plain_search(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(graph, "SHALLOW", 1 + seed % 2)
+    edges = {(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for _ in range(22)}
+    edges |= {(f"p{i}", f"p{i + 1}") for i in range(20)} | {("p20", "n1"), ("n2", "p0"), ("n3", "p7")}  # a path, entered at two places
+    edges |= {(f"c{i}", f"c{(i + 1) % 7}") for i in range(7)} | {("x", "x")}  # a cycle without a way in, a loop
+    df = spark.createDataFrame(sorted(edges), "from string, to string")
+    starts = ["n0", "n2", "n3", "p5", "c3", "x", "none"]
+    for back in (False, True):
+        got = {(r["start"], r["id"]): r["hops"] for r in graph.reach(df, spark.createDataFrame([(s,) for s in starts], "id string"), back=back).collect()}
+        plain = {(b, a) for a, b in edges} if back else edges
+        assert got == {(s, i): n for s in starts for i, n in hops(plain, s).items()}
+
+
+def test_reach_along_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, calls = 5000, []
+    plain = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, tag: calls.append(tag) or plain(df, tag))
+    edges = spark.range(n).select(F.col("id").cast("string").alias("from"), (F.col("id") + 1).cast("string").alias("to"))
+    got = graph.descendants(edges, spark.createDataFrame([("0",)], "id string"))
+    assert got.count() == n and got.filter("hops != cast(id AS int)").count() == 0 and len(calls) < 45
