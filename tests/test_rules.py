@@ -229,6 +229,6 @@ def test_scanning_words_with_anchors_finds_what_whole_texts_have():
                 last = -b
     redacted, found = redactor.texts(pa.array([None, *texts]).slice(1), [str(i) for i in range(3000)])
     assert [f[:4] for f in found] == want and len(want) > 3000
-    assert redacted.null_count == 0 and not any("me@x.org" in t for t in redacted.to_pylist())
+    assert redacted.null_count == 0 and "".join(redacted.to_pylist()).count("<REDACTED:") == len(found)
     unknown = redact._Redactor([("x", "b+")])
     assert [f[:4] for f in unknown.texts(pa.array(["abb", None, "éb b"]), ["a", "b", "c"])[1]] == [(0, "x", 1, 3), (2, "x", 2, 3), (2, "x", 4, 5)]
