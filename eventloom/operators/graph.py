@@ -172,21 +172,30 @@ def descendants(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def trace_lineage(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """(source, target, path, edge_seqs, weight): a path of fewest edges; of several, that whose edges
-    were entered first.  A pair of equal ends has the path of one node."""
-    e = stage(edges.groupBy("from", "to").agg(F.min("edge_seq").alias("edge_seq"), F.min_by("weight", "edge_seq").alias("weight")), "lineage-edges")
+    were entered first.  A pair of equal ends has the path of one node.
+
+    A search back from the targets tells how far each node is from them; from a node the path goes on by the
+    first edge to one that is nearer by one.  These pointers are followed from the sources by doubling, so
+    no path travels through a search; it is put together at the end."""
     wanted = stage(pairs.select("source", "target").distinct(), "lineage-pairs")
-    level = wanted.select("source", F.col("source").alias("id")).distinct().select("source", "id", F.array("id").alias("path"), F.array().cast("array<long>").alias("edge_seqs"), F.lit(0.0).alias("weight"))
-    level = stage(level, "lineage")
-    out = level
-    for number in _levels(depth):
-        step = level.alias("l").join(e.alias("e"), F.col("l.id") == F.col("e.from"))
-        step = step.select("l.source", F.col("e.to").alias("id"), F.concat("l.path", F.array("e.to")).alias("path"), F.concat("l.edge_seqs", F.array("e.edge_seq")).alias("edge_seqs"), (F.col("l.weight") + F.col("e.weight")).alias("weight"))
-        best = step.groupBy("source", "id").agg(F.min_by(F.struct("path", "edge_seqs", "weight"), "edge_seqs").alias("b")).select("source", "id", "b.*")
-        level = stage(best.join(out.select("source", "id"), ["source", "id"], "left_anti"), "lineage")
-        if level.isEmpty():
-            break
-        out = _with(out, level, number, "lineage")
-    return wanted.join(out.withColumnRenamed("id", "target"), ["source", "target"])
+    ends = wanted.filter("source != target").select(F.col("target").alias("id")).distinct()
+    back = reach(edges, ends, depth, back=True).filter("id != start").select(F.col("start").alias("target"), "id", F.col("hops").alias("left"))
+    near = stage(ends.select(F.col("id").alias("target"), "id", F.lit(0).alias("left")).unionByName(back), "lineage-near")
+    e = edges.groupBy("from", "to").agg(F.min("edge_seq").alias("edge_seq"), F.min_by("weight", "edge_seq").alias("weight"))
+    here, there = near.select("target", F.col("id").alias("from"), "left"), near.select("target", F.col("id").alias("to"), (F.col("left") + 1).alias("left"))
+    on = e.join(there, "to").join(here, ["target", "from", "left"])
+    first = on.groupBy("target", "from").agg(F.min_by(F.struct("to", "edge_seq", "weight"), "edge_seq").alias("e")).select("target", "from", "e.*")
+    first = stage(first, "lineage-next")
+    node = lambda c: F.struct(F.col("target").alias("target"), F.col(c).alias("id"))
+    starts = wanted.filter("source != target").join(near.select("target", F.col("id").alias("source")), ["target", "source"], "left_semi").select(node("source").alias("id"))
+    chain = follow_chain(first.select(node("from").alias("from"), node("to").alias("to"), F.col("edge_seq").alias("to_sequence")), starts)
+    steps = chain.join(first.select(node("from").alias("id"), "edge_seq", "weight"), "id", "left")
+    rows = steps.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("step", F.col("id.id").alias("node"), "edge_seq", "weight"))).alias("s"))
+    edge = F.filter("s", lambda x: x["edge_seq"].isNotNull())
+    weight = F.aggregate(edge, F.lit(0.0), lambda w, x: w + x["weight"]).alias("weight")
+    found = rows.select(F.col("start.id").alias("source"), F.col("start.target").alias("target"), F.col("s.node").alias("path"), edge["edge_seq"].alias("edge_seqs"), weight)
+    same = wanted.filter("source = target").select("source", "target", F.array("source").alias("path"), F.array().cast("array<long>").alias("edge_seqs"), F.lit(0.0).alias("weight"))
+    return found.unionByName(same)
 
 
 def causal_influence(lineage: DataFrame, edges: DataFrame) -> DataFrame:

@@ -250,3 +250,25 @@ def test_reach_along_a_long_chain_takes_few_rounds(spark, monkeypatch):
     edges = spark.range(n).select(F.col("id").cast("string").alias("from"), (F.col("id") + 1).cast("string").alias("to"))
     got = graph.descendants(edges, spark.createDataFrame([("0",)], "id string"))
     assert got.count() == n and got.filter("hops != cast(id AS int)").count() == 0 and len(calls) < 45
+
+
+def test_lineage_is_the_shortest_path_entered_first(spark):
+    rng = random.Random(11)
+    edges = [(n, f"n{rng.randrange(14)}", f"n{rng.randrange(14)}", float(rng.randrange(9))) for n in range(45)]
+    paths = {}
+    for s in (f"n{i}" for i in range(14)):
+        best = {s: (0, [], [s], 0.0)}
+        level = dict(best)
+        while level:
+            new = {}
+            for u, (n, seqs, path, w) in level.items():
+                for q, a, b, x in edges:
+                    if a == u and b not in best and (b not in new or [*seqs, q] < new[b][1]):
+                        new[b] = (n + 1, [*seqs, q], [*path, b], w + x)
+            best |= new
+            level = new
+        paths |= {(s, t): x[1:] for t, x in best.items()}
+    df = spark.createDataFrame(edges, "edge_seq long, from string, to string, weight double")
+    pairs = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(14) for j in range(14)] + [("n1", "no"), ("n1", "n2")], "source string, target string")
+    got = {(r["source"], r["target"]): (r["edge_seqs"], r["path"], r["weight"]) for r in graph.trace_lineage(df, pairs).collect()}
+    assert got == paths
