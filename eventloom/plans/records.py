@@ -420,11 +420,11 @@ add("J11_topological_order", lambda s, d: graph.topological_order(*prov(s, d)).w
 
 def _signed(s, d):
     nodes, edges = prov(s, d)
-    near = edges.filter("kind = 'Contains' OR kind = 'Supplies'").withColumn("group", F.col("kind"))
+    near = edges.withColumn("group", F.col("kind"))
     return graph.graph_signature(near.select("group", F.col("from").alias("id")).union(near.select("group", "to")).distinct(), near, "group")
 
 
-add("J12_graph_signature", _signed, f"""WITH {PROV}, g AS (SELECT * FROM edges WHERE kind IN ('Contains', 'Supplies')), n AS (SELECT kind, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT kind, "from" AS id FROM g UNION SELECT kind, "to" FROM g) GROUP BY kind),
+add("J12_graph_signature", _signed, f"""WITH {PROV}, g AS (SELECT * FROM edges), n AS (SELECT kind, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT kind, "from" AS id FROM g UNION SELECT kind, "to" FROM g) GROUP BY kind),
 e AS (SELECT kind, string_agg("from" || '>' || "to", ',' ORDER BY edge_seq) AS es FROM g GROUP BY kind) SELECT n.kind AS "group", left(sha256(ids || '|' || es), 16) AS signature FROM n JOIN e ON e.kind = n.kind""")
 add("J13_edges_to_events", lambda s, d: graph.edges_to_events(prov(s, d)[1], "s1").select("event_id", "session_id", "sequence", "kind"), f"""WITH {PROV} SELECT 'prov-' || "from" || '-' || "to" AS event_id, 's1' AS session_id, 0::BIGINT AS sequence, 'provenance.' || kind AS kind FROM edges""")
 add("J14_graph_size", lambda s, d: graph.graph_size(*prov(s, d)), f"WITH {PROV} SELECT (SELECT count(DISTINCT id) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
