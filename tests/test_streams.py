@@ -180,6 +180,20 @@ def test_paths_keep_only_prefixes_that_can_end(spark, monkeypatch):
     assert not any("dead" in x for tag, d in staged if tag == "paths" for r in d.collect() for x in r["path"])
 
 
+def test_paths_meet_only_edges_to_their_targets(spark, monkeypatch):
+    """A hub with many leaves: joined by nodes alone, every path at the hub would meet every leaf."""
+    edges = [("root", "hub"), ("root", "hub")] + [("hub", f"leaf{i}") for i in range(50)]
+    df = spark.createDataFrame(edges, "from string, to string")
+    pairs = spark.createDataFrame([("root", f"leaf{i}") for i in range(50)], "source string, target string")
+    staged, plain = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda d, tag: staged.append((tag, d)) or plain(d, tag))
+    got = sorted((r["target"], tuple(r["path"])) for r in graph.all_paths(df, pairs, 4).collect())
+    assert got == sorted((f"leaf{i}", ("root", "hub", f"leaf{i}")) for i in range(50) for _ in range(2))
+    plans = [d._jdf.queryExecution().optimizedPlan().toString().splitlines() for tag, d in staged if tag == "paths"]
+    joins = [x for lines in plans for x in lines if "Join " in x]
+    assert len(joins) >= 2 and all("target#" in x for x in joins)
+
+
 def test_archive_lists_what_it_wrote_once(spark, tmp_path):
     events = sealed(spark).unionByName(chain.seal_chain(make_events(spark, [("t", i, "k", "info", i, "{}") for i in range(3)])))
     broken = events.withColumn("current_hash", F.when((F.col("session_id") == "t") & (F.col("sequence") == 1), "x").otherwise(F.col("current_hash")))
