@@ -213,7 +213,10 @@ class _Throttle(_InOrder):
 def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50, delay: str = "0 seconds") -> DataFrame:
     """(key, event_id, utc_timestamp) of events at least a gap after the last one kept of their key; a key's state ends
     when no event within a gap of its last one can come any more."""
-    timed = stream.withWatermark("utc_timestamp", delay)
+    return _throttled(stream.withWatermark("utc_timestamp", delay), key, gap_ms)
+
+
+def _throttled(timed: DataFrame, key: str, gap_ms: int) -> DataFrame:
     rows = timed.select(F.col(key).cast("string").alias("key"), "utc_timestamp", F.unix_micros("utc_timestamp").alias("us"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("row"))
     return _stateful(rows, "key", _Throttle(gap_ms * 1000, gap_ms), "key string, event_id string, utc_timestamp timestamp", "append", "eventTime", "utc_timestamp")
 
@@ -222,9 +225,11 @@ def throttle_paths_stream(stream: DataFrame, paths: str, gap_ms: int = 50, delay
     """(event_id, utc_timestamp) of events of which at least one path comes a gap after the last one kept of that path.
 
     Two states, one after the other under one watermark: each path is throttled for itself, then an event
-    that some path let through is kept once."""
-    each = stream.select("event_id", "utc_timestamp", F.explode(F.array_distinct(paths)).alias("__path"))
-    passed = throttle_stream(each, "__path", gap_ms, delay)
+    that some path let through is kept once.  An event without paths is never kept, but moves the watermark: it
+    is dropped by the outer explode's null place, as a plain explode drops it before the watermark sees it."""
+    timed = stream.withWatermark("utc_timestamp", delay)
+    each = timed.select("event_id", "utc_timestamp", F.posexplode_outer(F.array_distinct(paths)).alias("__at", "__path")).filter("__at IS NOT NULL")
+    passed = _throttled(each.drop("__at"), "__path", gap_ms)
     return passed.select("event_id", "utc_timestamp").dropDuplicatesWithinWatermark(["event_id"])
 
 

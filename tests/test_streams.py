@@ -153,6 +153,17 @@ def test_throttled_paths_on_a_stream(spark, tmp_path):
     assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in filters.throttle_paths(events, "paths", 50).collect())
 
 
+@pytest.mark.parametrize("none", [None, []])
+def test_an_event_without_paths_moves_the_watermark(spark, tmp_path, none):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(str(i), day + dt.timedelta(milliseconds=30 * i), ["a", None]) for i in range(4)] + [("bare", day, none), ("end", day + dt.timedelta(days=40), none)]
+    ddl = "event_id string, utc_timestamp timestamp, paths array<string>"
+    source = str(tmp_path / "source")
+    spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(source)
+    got = run(st.throttle_paths_stream(spark.readStream.schema(ddl).parquet(source), "paths", 50, "1 day"), "event_id string", spark, str(tmp_path / "sink"), str(tmp_path / "checkpoint"))
+    assert sorted(r["event_id"] for r in got.collect()) == ["0", "2"]
+
+
 def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
     n, calls = 10_000, []
     plain = graph.stage
