@@ -1,6 +1,7 @@
 """Fixtures of the rules: chains, comparison, redaction, signatures, graphs, test output."""
 
 import datetime as dt
+import hashlib
 import random
 import re
 
@@ -232,3 +233,20 @@ def test_scanning_words_with_anchors_finds_what_whole_texts_have():
     assert redacted.null_count == 0 and "".join(redacted.to_pylist()).count("<REDACTED:") == len(found)
     unknown = redact._Redactor([("x", "b+")])
     assert [f[:4] for f in unknown.texts(pa.array(["abb", None, "éb b"]), ["a", "b", "c"])[1]] == [(0, "x", 1, 3), (2, "x", 2, 3), (2, "x", 4, 5)]
+
+
+def test_a_hot_key_is_sorted_in_ranges_and_hashed_by_blocks(spark):
+    """Rows are packed before a key's meet: one task gets blocks, not rows."""
+    n = 30_000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"), (F.col("id") % 2).cast("int").alias("p"), (F.col("id") * 7919 % n).alias("o"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    got = chain.folded_hash(rows, "k", "p", ["o"], ",")
+    want = {}
+    for key in ("hot", None):
+        own = [(i % 2, i * 7919 % n, f"é{i}") for i in range(n) if (i % 3 > 0) == (key == "hot")]
+        text = "".join(",".join(t for _, _, t in sorted(x for x in own if x[0] == p)) for p in (0, 1))
+        want[key] = (len(own), hashlib.sha256(text.encode()).hexdigest())
+    assert {r["k"]: (r["rows"], r["hash"]) for r in got.collect()} == want
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    kinds = [next(k for k in ("MapInArrow", "RepartitionByExpression", "Sort", "Project", "Relation") if k in x) for x in lines]
+    assert [k for k in kinds if k in ("MapInArrow", "RepartitionByExpression")] == ["MapInArrow", "RepartitionByExpression"] * 2
+    assert chain.folded_hash(rows.filter("k = 'none'"), "k", "p", ["o"]).collect() == []
