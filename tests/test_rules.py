@@ -250,3 +250,25 @@ def test_a_hot_key_is_sorted_in_ranges_and_hashed_by_blocks(spark):
     kinds = [next(k for k in ("MapInArrow", "RepartitionByExpression", "Sort", "Project", "Relation") if k in x) for x in lines]
     assert [k for k in kinds if k in ("MapInArrow", "RepartitionByExpression")] == ["MapInArrow", "RepartitionByExpression"] * 2
     assert chain.folded_hash(rows.filter("k = 'none'"), "k", "p", ["o"]).collect() == []
+
+
+def test_large_batches_are_scanned_and_redacted_in_slices(spark, monkeypatch):
+    """A batch over many slices: findings, tags and texts are those of its rows, and no more is in hand at once."""
+    sizes, plain = [], redact._Redactor.texts
+    monkeypatch.setattr(redact, "SLICE_BYTES", 100)
+    monkeypatch.setattr(redact, "SLICE_ROWS", 7)
+    monkeypatch.setattr(redact._Redactor, "texts", lambda self, column, *a: sizes.append((len(column), column.nbytes)) or plain(self, column, *a))
+    monkeypatch.setattr(redact.F, "arrow_udf", lambda f, kind: lambda text, key: f(text, key))
+    texts = [None if i % 9 == 4 else "" if i % 9 == 5 else f"{'é' * (i % 30)} a{i}@b.org " * (i % 4) for i in range(200)] + ["x" * 1000 + " a@b.org"]
+    column, keys = pa.array(texts, pa.string()), type("Keys", (), {"cast": lambda self, kind: pa.array([str(i) for i in range(len(texts))])})()
+    for udf in (redact.scan_secrets, redact.redact_text, redact.redact_json):
+        sizes.clear()
+        got = udf(column, keys).to_pylist()
+        assert len(got) == len(texts) and max(n for n, _ in sizes) <= 7 and len(sizes) > 28
+        found = [r if udf is redact.scan_secrets else r["findings"] for r in got]
+        for i, (t, fs) in enumerate(zip(texts, found, strict=True)):
+            ends = [(m.start(), m.end()) for m in re.finditer(rb"a\d*@b\.org", (t or "").encode())]
+            assert [(f["span_start"], f["span_end"], f["redaction"]) for f in fs] == [(a, b, redact.tag("email-address", str(i), n)) for n, (a, b) in enumerate(ends)]
+        if udf is not redact.scan_secrets:
+            assert all((r["redacted"] is None) == (t is None) and (t is None or re.sub(r"<[^>]*>", "", r["redacted"]) == re.sub(r"a\d*@b\.org", "", t)) for r, t in zip(got, texts, strict=True))
+        assert udf(column[:0], keys).to_pylist() == []
