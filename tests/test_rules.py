@@ -272,3 +272,13 @@ def test_large_batches_are_scanned_and_redacted_in_slices(spark, monkeypatch):
         if udf is not redact.scan_secrets:
             assert all((r["redacted"] is None) == (t is None) and (t is None or re.sub(r"<[^>]*>", "", r["redacted"]) == re.sub(r"a\d*@b\.org", "", t)) for r, t in zip(got, texts, strict=True))
         assert udf(column[:0], keys).to_pylist() == []
+
+
+def test_roots_and_leaves_count_ids_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr("eventloom.storage.PIECE_ROWS", 2)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(20)] + [("n3", "z"), ("n3", "z"), (None, "n0"), ("z", None)], "from string, to string")
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(21)] + [("n5",), ("alone",), (None,)], "id string")
+    for got, want in ((graph.roots(nodes, edges), {"alone", None}), (graph.leaves(nodes, edges), {"n20", "alone", None})):
+        assert sorted(str(r["id"]) for r in got.collect()) == sorted(map(str, want))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" in plan and ", 12)" in plan and "Join" not in plan
