@@ -16,22 +16,27 @@ from . import records
 from .registry import EV, ORACLE, add
 
 
-def _stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """rows as a stream of two batches at least: written as files and read one or two at a time."""
-    path = fresh_path(spark, "source")
-    rows.repartition(4).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+def _files(s: SparkSession, d: str, table: str) -> int:
+    """Files of a stream over a table: four for each piece in which Spark reads that table, so that they don't grow."""
+    return 4 * samples.table(s, d, table).rdd.getNumPartitions()
 
 
-def _to_the_end(spark: SparkSession, rows: DataFrame) -> DataFrame:
+def _stream(s: SparkSession, d: str, rows: DataFrame, table: str = "events") -> DataFrame:
+    """rows, made from a table, as a stream of two batches: written as files and read half of them at a time."""
+    path, n = fresh_path(s, "source"), _files(s, d, table)
+    rows.repartition(n).write.parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", n // 2).parquet(path)
+
+
+def _to_the_end(s: SparkSession, d: str, rows: DataFrame, table: str = "events") -> DataFrame:
     """rows as a stream, in any order, and after them one row of a session of its own long past all others: it moves
     the watermark over every one of them."""
-    path = fresh_path(spark, "source")
-    rows.repartition(4).write.parquet(path)
+    path, n = fresh_path(s, "source"), _files(s, d, table)
+    rows.repartition(n).write.parquet(path)
     last = rows.agg((F.max("utc_timestamp") + F.expr("INTERVAL 800 DAYS")).alias("t"))
     mark = last.select(*[F.col("t").alias(c) if c == "utc_timestamp" else F.lit("end of stream").alias(c) if c in ("session_id", "event_id") else F.lit(None).cast(k).alias(c) for c, k in rows.dtypes])
     mark.write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", n // 2).parquet(path)
 
 
 def _run(df: DataFrame, spark: SparkSession) -> DataFrame:
@@ -51,22 +56,22 @@ def _updates(df: DataFrame, spark: SparkSession, keep: Callable[[DataFrame], Dat
 
 def _ingest(s, d):
     out = fresh_path(s, "events")
-    st.ingest_stream(_stream(s, samples.events(s, d)), out, fresh_path(s, "offsets")).awaitTermination()
+    st.ingest_stream(_stream(s, d, samples.events(s, d)), out, fresh_path(s, "offsets")).awaitTermination()
     return s.read.parquet(out).groupBy("session_id").agg(F.count(F.lit(1)).alias("events"))
 
 
 add("K1_ingest_stream", _ingest, f"WITH {EV} SELECT session_id, count(*) AS events FROM ev GROUP BY session_id")
 add(
     "K2_running_counts",
-    lambda s, d: _updates(st.running_counts(_stream(s, samples.events(s, d))), s, lambda x: x.groupBy("session_id").agg(F.max_by("source_event_count", "__batch").alias("source_event_count"))),
+    lambda s, d: _updates(st.running_counts(_stream(s, d, samples.events(s, d))), s, lambda x: x.groupBy("session_id").agg(F.max_by("source_event_count", "__batch").alias("source_event_count"))),
     f"WITH {EV} SELECT session_id, count(*) AS source_event_count FROM ev GROUP BY session_id",
 )
-add("K3_subscribe", lambda s, d: _run(st.subscribe(_stream(s, samples.events(s, d)), "5").select("event_id", "sequence"), s), f"WITH {EV} SELECT event_id, sequence FROM ev WHERE session_id = '5'")
+add("K3_subscribe", lambda s, d: _run(st.subscribe(_stream(s, d, samples.events(s, d)), "5").select("event_id", "sequence"), s), f"WITH {EV} SELECT event_id, sequence FROM ev WHERE session_id = '5'")
 
 
 add(
     "K3_fan_out",
-    lambda s, d: _run(st.fan_out(_stream(s, samples.events(s, d)), _subscriptions(s, d)).select("consumer", "event_id"), s).groupBy("consumer").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")),
+    lambda s, d: _run(st.fan_out(_stream(s, d, samples.events(s, d)), _subscriptions(s, d)).select("consumer", "event_id"), s).groupBy("consumer").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")),
     f"""WITH {EV}, subs AS (SELECT DISTINCT 'c' || c_custkey % 7 AS consumer, CAST(c_custkey AS VARCHAR) AS session_id FROM customer WHERE c_custkey % 7 <> 3), got AS (
   SELECT consumer, event_id FROM ev JOIN subs USING (session_id) UNION ALL SELECT 'c3', event_id FROM ev)
 SELECT consumer, count(*) AS events, min(event_id) AS first_event FROM got GROUP BY consumer""",
@@ -80,7 +85,7 @@ def _subscriptions(s, d):
 
 
 def _seal(s, d):
-    return verify_chain(_run(st.seal_stream(_to_the_end(s, samples.turns(s, d)), delay="400 days"), s)).select("session_id", "ok", "events")
+    return verify_chain(_run(st.seal_stream(_to_the_end(s, d, samples.turns(s, d), "conversations"), delay="400 days"), s)).select("session_id", "ok", "events")
 
 
 add("K4_seal_stream", _seal, "SELECT CAST(conv_id AS VARCHAR) AS session_id, TRUE AS ok, count(*) AS events FROM conversations GROUP BY conv_id")
@@ -88,7 +93,7 @@ add("K4_seal_stream", _seal, "SELECT CAST(conv_id AS VARCHAR) AS session_id, TRU
 
 def _redact(s, d):
     rows = samples.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("event_id"), F.lit("s").alias("session_id"), F.to_json(F.struct(F.concat(F.lit("mail me@x.org "), F.col("doc_id").cast("string")).alias("m"))).alias("payload"))
-    return _run(st.redact_stream(_stream(s, rows)).select("event_id", F.size("findings").cast("long").alias("n")), s)
+    return _run(st.redact_stream(_stream(s, d, rows, "documents")).select("event_id", F.size("findings").cast("long").alias("n")), s)
 
 
 add("K5_redact_stream", _redact, "SELECT CAST(doc_id AS VARCHAR) AS event_id, 1::BIGINT AS n FROM documents")
@@ -96,7 +101,7 @@ add("K5_redact_stream", _redact, "SELECT CAST(doc_id AS VARCHAR) AS event_id, 1:
 
 def _redact_texts(s, d):
     rows = records._secret_text(s, d).select(F.col("doc_id").cast("string").alias("event_id"), F.lit("s").alias("session_id"), F.to_json(F.struct("t")).alias("payload"))
-    return _run(st.redact_stream(_stream(s, rows)).select("event_id", "payload", F.size("findings").cast("long").alias("n")), s)
+    return _run(st.redact_stream(_stream(s, d, rows, "documents")).select("event_id", "payload", F.size("findings").cast("long").alias("n")), s)
 
 
 add(
@@ -108,21 +113,21 @@ add(
 
 add(
     "K6_throttle_stream",
-    lambda s, d: _run(st.throttle_stream(_to_the_end(s, samples.events(s, d)), "session_id", 3_600_000, "400 days"), s).select(F.col("key").alias("session_id"), "event_id"),
+    lambda s, d: _run(st.throttle_stream(_to_the_end(s, d, samples.events(s, d)), "session_id", 3_600_000, "400 days"), s).select(F.col("key").alias("session_id"), "event_id"),
     ORACLE["K6_throttle"],
 )
 
 
 def _throttle_paths(s, d):
     rows = samples.events(s, d).select("session_id", "event_id", "utc_timestamp", F.array(F.concat(F.lit("s"), F.col("session_id")), F.concat(F.lit("k"), F.col("session_id"), F.col("kind"))).alias("paths"))
-    kept = _run(st.throttle_paths_stream(_to_the_end(s, rows), "paths", 3_600_000, "400 days").select("event_id"), s)
+    kept = _run(st.throttle_paths_stream(_to_the_end(s, d, rows), "paths", 3_600_000, "400 days").select("event_id"), s)
     return rows.join(kept, "event_id").select("session_id", "event_id")
 
 
 add("K6_throttle_paths_stream", _throttle_paths, ORACLE["K6_throttle_paths"])
 add(
     "K7_dedupe_stream",
-    lambda s, d: _run(st.dedupe_stream(_stream(s, samples.events(s, d).union(samples.events(s, d).filter("sequence < 5"))), "400 days").select("event_id"), s),
+    lambda s, d: _run(st.dedupe_stream(_stream(s, d, samples.events(s, d).union(samples.events(s, d).filter("sequence < 5"))), "400 days").select("event_id"), s),
     "SELECT CAST(event_id AS VARCHAR) AS event_id FROM events",
 )
 
@@ -148,10 +153,10 @@ def _tests(s, d):
     """All dialects: the counts that the last batch of each session gave."""
     out = []
     for dialect in _CHUNKS:
-        rows, path = _chunks(s, d, dialect), fresh_path(s, "source")
+        rows, path, n = _chunks(s, d, dialect), fresh_path(s, "source"), _files(s, d, "conversations")
         for part in ("event_id < '000000002'", "event_id >= '000000002'"):  # a session's output comes in order
-            rows.filter(part).repartition(4, "session_id").write.mode("append").parquet(path)
-        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+            rows.filter(part).repartition(n, "session_id").write.mode("append").parquet(path)
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(path)
         last = lambda x: x.groupBy("session_id").agg(F.max_by(F.struct("passed", "failed", "skipped", "inconclusive"), "__batch").alias("c")).select("session_id", "c.*")
         out.append(_updates(st.test_counts_stream(stream, dialect), s, last).withColumn("dialect", F.lit(dialect)))
     return reduce(DataFrame.unionByName, out)
@@ -187,10 +192,10 @@ def _last_tests(s, d):
     xml = t.join(most, "conv_id").select(*key, half.alias("text"))
     out = []
     for name, rows in (("gotest", plain), ("junit", xml)):
-        path = fresh_path(s, "source")  # in order of turns, as a session's output comes
+        path, n = fresh_path(s, "source"), _files(s, d, "conversations")  # in order of turns, as a session's output comes
         for part in ("event_id < '000000003'", "event_id >= '000000003'"):
-            rows.filter(part).repartition(4, "session_id").write.mode("append").parquet(path)
-        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+            rows.filter(part).repartition(n, "session_id").write.mode("append").parquet(path)
+        stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(path)
         last = lambda x: x.groupBy("session_id").agg(F.max_by(F.struct("passed", "failed", "skipped"), "__batch").alias("c")).select("session_id", "c.*")
         out.append(_updates(st.test_counts_stream(stream, name, "ended"), s, last).withColumn("dialect", F.lit(name)))
     return out[0].unionByName(out[1])

@@ -297,3 +297,20 @@ def test_lineage_is_the_shortest_path_entered_first(spark):
     pairs = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(14) for j in range(14)] + [("n1", "no"), ("n1", "n2")], "source string, target string")
     got = {(r["source"], r["target"]): (r["edge_seqs"], r["path"], r["weight"]) for r in graph.trace_lineage(df, pairs).collect()}
     assert got == paths
+
+
+def test_files_of_a_stream_follow_its_table(spark, tmp_path, monkeypatch):
+    from eventloom.plans import streams
+
+    spark.range(400).repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(streams, "fresh_path", lambda s, tag: str(tmp_path / "source"))
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(key, "600b")
+    try:
+        streams._stream(spark, str(tmp_path), rows)
+    finally:
+        for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(key)
+    assert len(list((tmp_path / "source").glob("*.parquet"))) >= 48
+    assert spark.read.parquet(str(tmp_path / "source")).distinct().count() == 400
