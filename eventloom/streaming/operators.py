@@ -11,6 +11,7 @@ these operators choose for their session.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +26,8 @@ from ..operators.chain import GENESIS, canonical_json
 from ..sources.tables import append_events
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of keys of which each has one state.
+BUCKETS = 1024
 #: How rows travel through a state: as JSON, with the precision of Spark's timestamps.
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -82,18 +85,16 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, id string, row string")
+        self.waiting = handle.getListState("waiting", "rows string")  # each a packed run of rows
         self.latest = handle.getValueState("latest", "at long")
 
-    def fold(self, key, rows: list[tuple[int, str, str | None]]) -> list[tuple]:
+    def fold(self, key, rows: list[tuple[int, str, str | None]]) -> dict[str, object] | None:
+        """Columns of what comes out, if anything does."""
         raise NotImplementedError
 
     def forget(self) -> None:
         raise NotImplementedError
 
-    def columns(self) -> list[str]:
-        raise NotImplementedError
-
     def _wake(self, ms: int) -> None:
         """One timer of a key at most: the earliest."""
         timers = list(self.handle.listTimers())
@@ -107,8 +108,9 @@ class _InOrder(StatefulProcessor):
         for pdf in rows:
             if not len(pdf):
                 continue
-            self.waiting.appendList(list(zip(pdf["us"].tolist(), pdf["id"].tolist(), pdf["row"].tolist(), strict=True)))
-            low, high = int(pdf["us"].min()), int(pdf["us"].max())
+            us = pdf["us"].tolist()
+            self.waiting.appendList([(_pack(us, pdf["id"].tolist(), pdf["row"].tolist()),)])
+            low, high = min(us), max(us)
             first, last = (low, high) if first is None else (min(first, low), max(last, high))
         if first is not None:
             known = self.latest.get()[0] if self.latest.exists() else last
@@ -118,27 +120,31 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(((r[0], r[1], r[2]) for r in self.waiting.get()), key=lambda r: (r[0], r[1] is not None, r[1]))
+        rows = sorted((r for run in self.waiting.get() for r in zip(*json.loads(run[0]), strict=True)), key=lambda r: (r[0], r[1] is not None, r[1]))
         ready = [r for r in rows if r[0] <= now * 1000]
         if len(ready) < len(rows):
-            self.waiting.put(rows[len(ready) :])
+            self.waiting.put([(_pack(*zip(*rows[len(ready) :], strict=True)),)])
             self._wake(-(-rows[len(ready)][0] // 1000))
         else:
             self.waiting.clear()
             ends = None if self.idle_ms is None else self.latest.get()[0] // 1000 + self.idle_ms
             if ends is not None and ends > now:
                 self._wake(ends)
-        made = self.fold(key, ready) if ready else []
+        made = self.fold(key, ready) if ready else None
         if len(ready) == len(rows) and self.idle_ms is not None and ends <= now:
             self.forget()
             self.latest.clear()
-        if made:
-            yield pd.DataFrame(made, columns=self.columns(), dtype=object)
+        if made is not None:
+            yield pd.DataFrame(made)
 
     def close(self) -> None:
         pass
 
 
+def _pack(*columns) -> str:
+    return json.dumps(columns, ensure_ascii=False)
+
+
 class _Sealer(_InOrder):
     def __init__(self, most: int | None, idle_ms: int | None):
         super().__init__(idle_ms)
@@ -148,9 +154,6 @@ class _Sealer(_InOrder):
         super().init(handle)
         self.head = handle.getValueState("head", "number long, hash string")
 
-    def columns(self) -> list[str]:
-        return ["row", "sequence", "previous_hash", "current_hash"]
-
     def forget(self) -> None:
         self.head.clear()
 
@@ -164,7 +167,7 @@ class _Sealer(_InOrder):
             out.append((event, number, last, new))
             number, last = number + 1, new
         self.head.update((number, last))
-        return out
+        return dict(zip(("row", "sequence", "previous_hash", "current_hash"), zip(*out, strict=True), strict=True)) if out else None
 
 
 def seal_stream(stream: DataFrame, most: int | None = None, delay: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
@@ -185,29 +188,32 @@ def seal_stream(stream: DataFrame, most: int | None = None, delay: str = "0 seco
 
 
 class _Throttle(_InOrder):
+    """Throttles the keys of a bucket, each for itself; a row is "=" and its key, "" for a null key."""
+
     def __init__(self, gap_us: int, idle_ms: int | None):
         super().__init__(idle_ms)
         self.gap_us = gap_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.kept = handle.getValueState("kept", "at long")
-
-    def columns(self) -> list[str]:
-        return ["key", "event_id", "utc_timestamp"]
+        self.kept = handle.getValueState("kept", "pairs string")
 
     def forget(self) -> None:
         self.kept.clear()
 
     def fold(self, key, rows):
-        last = self.kept.get()[0] if self.kept.exists() else None
-        out = []
-        for at, event, _ in rows:
-            if last is None or at - last >= self.gap_us:
-                last = at
-                out.append((key[0], event, pd.Timestamp(at, unit="us")))
-        self.kept.update((last,))
-        return out
+        last = dict(json.loads(self.kept.get()[0])) if self.kept.exists() else {}
+        keys, times, ids = [], [], []
+        for at, event, row in rows:
+            own = key[0] if row is None else row[1:] if row else None
+            if own not in last or at - last[own] >= self.gap_us:
+                last[own] = at
+                keys.append(own)
+                times.append(at)
+                ids.append(event)
+        # what comes later is not before the last row, so a key that is a gap behind it needs no memory
+        self.kept.update((json.dumps([(k, at) for k, at in last.items() if rows[-1][0] - at < self.gap_us]),))
+        return {"key": keys, "event_id": ids, "utc_timestamp": pd.to_datetime(times, unit="us", utc=True)} if ids else None
 
 
 def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50, delay: str = "0 seconds") -> DataFrame:
@@ -217,8 +223,11 @@ def throttle_stream(stream: DataFrame, key: str, gap_ms: int = 50, delay: str =
 
 
 def _throttled(timed: DataFrame, key: str, gap_ms: int) -> DataFrame:
-    rows = timed.select(F.col(key).cast("string").alias("key"), "utc_timestamp", F.unix_micros("utc_timestamp").alias("us"), F.col("event_id").alias("id"), F.lit(None).cast("string").alias("row"))
-    return _stateful(rows, "key", _Throttle(gap_ms * 1000, gap_ms), "key string, event_id string, utc_timestamp timestamp", "append", "eventTime", "utc_timestamp")
+    """A state has a bucket of keys: a call of the state costs as much for a thousand keys as for one."""
+    own = F.col(key).cast("string")
+    row = F.coalesce(F.concat(F.lit("="), own), F.lit(""))
+    rows = timed.select(F.pmod(F.xxhash64(own), F.lit(BUCKETS)).alias("bucket"), "utc_timestamp", F.unix_micros("utc_timestamp").alias("us"), F.col("event_id").alias("id"), row.alias("row"))
+    return _stateful(rows, "bucket", _Throttle(gap_ms * 1000, gap_ms), "key string, event_id string, utc_timestamp timestamp", "append", "eventTime", "utc_timestamp")
 
 
 def throttle_paths_stream(stream: DataFrame, paths: str, gap_ms: int = 50, delay: str = "0 seconds") -> DataFrame:

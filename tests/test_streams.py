@@ -139,6 +139,26 @@ def test_waiting_rows_come_in_order_and_idle_keys_end():
     assert fire(p, handle, 1500) == [] and not handle.timers and not any(x.exists() for x in handle.states.values())
 
 
+def test_a_bucket_throttles_each_of_its_keys_in_few_calls():
+    handle, p, calls = Handle(), st._Throttle(50_000, 50), []
+    p.init(handle)
+    rng = random.Random(3)
+    rows = [(rng.randrange(5_000_000), str(i), rng.choice(["", "=", "=a", "=b é"])) for i in range(400)]
+    update = p.kept.update
+    p.kept.update = lambda x: calls.append(x) or update(x)
+    for part in (rows[:200], rows[200:]):
+        us, ids, keys = zip(*part, strict=True)
+        assert list(p.handleInputRows((7,), iter([pd.DataFrame({"us": us, "id": ids, "row": keys})]), Clock(0))) == []
+    got = fire(p, handle, 2500) + fire(p, handle, 6000)
+    want, last = [], {}
+    for at, i, row in sorted(rows):
+        if row not in last or at - last[row] >= 50_000:
+            last[row] = at
+            want.append((row[1:] if row else None, i))
+    assert [(k if isinstance(k, str) else None, i) for k, i, _ in got] == want and len(calls) == 2
+    assert not handle.timers and not any(x.exists() for x in handle.states.values())
+
+
 def test_throttled_paths_on_a_stream(spark, tmp_path):
     rng = random.Random(2)
     rows = [(str(i), dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=rng.randrange(3000)), rng.sample(["a", "b", "c"], rng.randrange(1, 4))) for i in range(150)]
