@@ -243,31 +243,52 @@ def throttle_paths_stream(stream: DataFrame, paths: str, gap_ms: int = 50, delay
 
 
 class _Tests(StatefulProcessor):
-    """The output of a session so far, and its counts after each batch."""
+    """The outputs of a bucket of sessions so far, and their counts after each batch."""
 
     def __init__(self, dialect: str, idle_ms: int | None):
         self.dialect, self.idle_ms = dialect, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.output = handle.getValueState("output", "text string")
+        self.outputs = handle.getValueState("outputs", "sessions string")  # [session, output, when it ends]
+
+    def _keep(self, outputs: dict) -> None:
+        if outputs:
+            self.outputs.update((json.dumps([(s, *x) for s, x in outputs.items()], ensure_ascii=False),))
+        else:
+            self.outputs.clear()
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if outputs:
+                self.handle.registerTimer(min(end for _, end in outputs.values()))
+
+    def _known(self) -> dict:
+        return {s: (x, end) for s, x, end in json.loads(self.outputs.get()[0])} if self.outputs.exists() else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["utc_timestamp", "event_id"], kind="stable")
-        output = test_output.Output.loads(self.output.get()[0]) if self.output.exists() else test_output.Output()
-        output.add("".join(pdf["text"].fillna("")))
-        if pdf["ended"].any():
-            self.output.clear()
-        else:
-            self.output.update((output.dumps(),))
-            if self.idle_ms is not None:
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(max(int(pdf["utc_timestamp"].max().value // 1_000_000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms)
-        yield pd.DataFrame([(key[0], *output.counts(self.dialect))], columns=["session_id", "passed", "failed", "skipped", "inconclusive"], dtype=object)
+        chunks: dict = {}
+        for session, at, text, ended in zip(pdf["session_id"], pdf["utc_timestamp"], pdf["text"], pdf["ended"], strict=True):
+            own = chunks.setdefault(None if pd.isna(session) else session, ([], []))
+            own[0].append("" if pd.isna(text) else text)
+            own[1].append((at, ended))
+        known, out = self._known(), []
+        for session, (texts, marks) in chunks.items():
+            output = test_output.Output.loads(known[session][0]) if session in known else test_output.Output()
+            output.add("".join(texts))
+            if any(ended for _, ended in marks):
+                known.pop(session, None)
+            else:
+                end = None if self.idle_ms is None else max(int(max(at for at, _ in marks).value // 1_000_000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+                known[session] = (output.dumps(), end)
+            out.append((session, *output.counts(self.dialect)))
+        self._keep(known)
+        yield pd.DataFrame(out, columns=["session_id", "passed", "failed", "skipped", "inconclusive"], dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.output.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        self._keep({s: x for s, x in self._known().items() if x[1] > now})
         return iter(())
 
     def close(self) -> None:
@@ -282,6 +303,6 @@ def test_counts_stream(stream: DataFrame, dialect: str = "gotest", ended: str |
     which its state goes; so it does after `idle_ms` of event time without any (then a watermark `delay` behind
     the latest chunk drops later ones)."""
     last = F.lit(False) if ended is None else F.coalesce(F.col(ended), F.lit(False))
-    rows = (stream if idle_ms is None else stream.withWatermark("utc_timestamp", delay)).select("session_id", "utc_timestamp", "event_id", "text", last.alias("ended"))
+    rows = (stream if idle_ms is None else stream.withWatermark("utc_timestamp", delay)).select(F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket"), "session_id", "utc_timestamp", "event_id", "text", last.alias("ended"))
     schema = "session_id string, passed long, failed long, skipped long, inconclusive long"
-    return _stateful(rows, "session_id", _Tests(dialect, idle_ms), schema, "update", "none" if idle_ms is None else "eventTime")
+    return _stateful(rows, "bucket", _Tests(dialect, idle_ms), schema, "update", "none" if idle_ms is None else "eventTime")

@@ -159,6 +159,18 @@ def test_a_bucket_throttles_each_of_its_keys_in_few_calls():
     assert not handle.timers and not any(x.exists() for x in handle.states.values())
 
 
+def test_a_bucket_counts_tests_of_each_of_its_sessions():
+    handle, p = Handle(), st._Tests("gotest", 1000)
+    p.init(handle)
+    at = lambda s: pd.Timestamp(s, unit="s")
+    rows = [("a", at(2), "2", "SS: x\n", False), ("b", at(1), "1", "--- FAIL: y\n", False), ("a", at(1), "1", "--- PA", False), ("c", at(3), "3", None, True)]
+    feed = lambda rows: [tuple(r) for pdf in p.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["session_id", "utc_timestamp", "event_id", "text", "ended"])]), Clock(0)) for r in pdf.itertuples(index=False)]
+    assert sorted(feed(rows)) == [("a", 1, 0, 0, 0), ("b", 0, 1, 0, 0), ("c", 0, 0, 0, 0)] and handle.timers == {2000}
+    assert fire(p, handle, 2000) == [] and handle.timers == {3000}  # b is gone
+    assert sorted(feed([(s, at(4), "4", "--- SKIP: z\n", s == "a") for s in "ab"])) == [("a", 1, 0, 1, 0), ("b", 0, 0, 1, 0)]
+    assert fire(p, handle, 5000) == [] and not handle.timers and not any(x.exists() for x in handle.states.values())
+
+
 def test_throttled_paths_on_a_stream(spark, tmp_path):
     rng = random.Random(2)
     rows = [(str(i), dt.datetime(2024, 1, 1) + dt.timedelta(milliseconds=rng.randrange(3000)), rng.sample(["a", "b", "c"], rng.randrange(1, 4))) for i in range(150)]
