@@ -6,7 +6,7 @@ strings lie within one piece of text of about 67 bytes) can be dealt by it, and
 
 1. Every document sends its values, deduplicated, to the value's bucket, which answers with those
    that a second document has.  Values and document keys are cut to 40 bits on the way, and values in
-   answers to 16, which can only add to them.
+   answers to 16, which can only add to them.  A bucket also tells how many bytes of pieces it will get.
 2. The pieces of the values answered go to their buckets, equal pieces once for each batch of texts.
    A bucket's pieces make a shard: its suffix array is found by Larsson-Sadakane refinement (sorted by
    the first eight bytes, then groups that are still tied by the ranks 8, 16, 32 ... places on), the
@@ -45,6 +45,9 @@ RUN = 64
 FLUSH = 2_000_000
 #: Bits cut off values and document keys on the way to the buckets of values.
 CUT = 24
+#: Bytes of a piece of SPREAD / 2 strings, and sources into which a flush's pieces fall at most.
+PIECE_BYTES = LENGTH - 1 + (SPREAD + 1) // 2
+FLUSH_SOURCES = FLUSH * PIECE_BYTES // SOURCE_BYTES + 1
 LAST = np.iinfo(np.int64).max
 _ODD = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 
@@ -124,13 +127,12 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # ---------------------------------------------------------------- 1: values that two documents have
 
 
-def _by_value(v: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Both in order, the first place of each value, and whether it has several keys."""
-    order = np.lexsort((key, v))
-    v, key = v[order], key[order]
-    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    last = np.r_[start[1:], len(v)] - 1
-    return v, key, start, key[start] != key[last]
+def _by_value(v: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by value, the first place of each value there, and whether it has several keys."""
+    order = np.argsort(v)
+    start = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])
+    key = key[order]
+    return order, start, np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
 
 
 def _told(v: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
@@ -141,34 +143,56 @@ def _told(v: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list
     return [(b, pack(key[rows], v[rows])) for b, rows in by_bucket(_bucket(key.view(U), buckets))]
 
 
+def _contents_of(v: np.ndarray, look: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many looks each value has; v is in order, `start` has each value's first place there."""
+    order = np.lexsort((look, v))
+    new = np.r_[True, (look[order][1:] != look[order][:-1]) | (v[1:] != v[:-1])]
+    return np.add.reduceat(new.astype(np.int64), start)
+
+
 def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, shared): the values of documents of a key that another key's have too.
+    """(key, shared, size): the values of documents of a key that another key's have too, with size null;
+    and for each bucket as key the bytes of pieces of such values that it will get, about, with shared null.
 
     Documents of one flush that share a value hear of it at once, by way of their own bucket, and the
-    value goes to its bucket once: a value that most texts have is no hot bucket."""
+    value goes to its bucket once: a value that most texts have is no hot bucket.  With it goes how many
+    pieces of several documents' value are sent: those that look different, once for each source."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, key, held = [], [], 0
+        value, key, look, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            v, d, start, several = _by_value(np.concatenate(value), np.concatenate(key))
-            one = v[start]
-            out = [(b, pack(one[rows], d[start][rows], several[rows].astype(np.uint8))) for b, rows in by_bucket(_bucket(one, buckets))]
-            out += _told(v, d, np.repeat(several, np.diff(np.r_[start, len(v)])), buckets)
+            v, d, seen = (np.concatenate(x) for x in (value, key, look))
+            order, start, several = _by_value(v, d)
+            v, d, seen = v[order], d[order], seen[order]
+            one, count = v[start], np.diff(np.r_[start, len(v)])
+            many = np.repeat(several, count)
+            pieces_ = np.zeros(len(one), np.int64)
+            if several.any():
+                own = count[several]
+                pieces_[several] = np.minimum(own, FLUSH_SOURCES * _contents_of(v[many], seen[many], np.cumsum(own) - own))
+            sent = np.minimum(pieces_, 0xFFFF).astype(np.uint16)
+            out = [(b, pack(one[rows], d[start][rows], sent[rows])) for b, rows in by_bucket(_bucket(one, buckets))]
+            out += _told(v, d, many, buckets)
             return pa.RecordBatch.from_pandas(_frame(out, "bucket"), schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
 
         for b in batches:
             for lo, data, off in slices(b.column("text")):
-                v, _, _, doc = pieces(data, off)
+                v, first, n, doc = pieces(data, off)
                 v = v >> U(CUT)
-                order = np.lexsort((v, doc))
-                keep = order[np.r_[True, (v[order][1:] != v[order][:-1]) | (doc[order][1:] != doc[order][:-1])]] if len(v) else order
+                if not len(v):
+                    continue
+                both = doc.astype(U) << U(64 - CUT) | v  # a slice has fewer texts than 1 << CUT
+                order = np.argsort(both)
+                keep = order[np.r_[True, both[order][1:] != both[order][:-1]]]
+                word = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
                 value.append(v[keep])
                 key.append(b.column("key").slice(lo, len(off) - 1).to_numpy()[doc[keep]])
+                look.append(word[first[keep]] ^ word[first[keep] + n[keep] + LENGTH - 9] * _ODD[0])
                 held += len(keep)
                 if held > FLUSH:
                     yield flush()
-                    value, key, held = [], [], 0
+                    value, key, look, held = [], [], [], 0
         if held:
             yield flush()
 
@@ -178,24 +202,29 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
         out = [(to, x) for x, part in zip(pdf["block"], parts, strict=True) if len(part) == 2]
         asked = [part for part in parts if len(part) == 3]
         if asked:
-            v, key, told = (np.concatenate(x) for x in zip(*asked, strict=True))
-            told = told[np.lexsort((key, v))].astype(bool)
-            v, key, start, several = _by_value(v, key)
+            v, key, sent = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order, start, several = _by_value(v, key)
+            v, key, sent = v[order], key[order], sent[order].astype(np.int64)
+            told = sent > 0
             several |= np.logical_or.reduceat(told, start)
-            out += _told(v, key, np.repeat(several, np.diff(np.r_[start, len(v)])) & ~told, buckets)
+            hit = np.repeat(several, np.diff(np.r_[start, len(v)]))
+            out += _told(v, key, hit & ~told, buckets)
+            out.append((buckets, pack(np.array([to]), np.array([int(np.maximum(sent, 1)[hit].sum()) * PIECE_BYTES]))))
         return _frame(out, "to")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         key, v = merged(pdf["block"])
+        if pdf["to"].iloc[0] == buckets:
+            return pd.DataFrame({"key": key, "shared": None, "size": v})
         order = np.lexsort((v, key))
         key, v = key[order], v[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (v[1:] != v[:-1])]
         key, v = key[new], v[new]
         edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        return pd.DataFrame({"key": key[edge[:-1]], "shared": [v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)]})
+        return pd.DataFrame({"key": key[edge[:-1]], "shared": [v[i:j].tobytes() for i, j in zip(edge, edge[1:], strict=False)], "size": pd.array([None] * (len(edge) - 1), "Int64")})
 
     sent = docs.select("key", "text").mapInArrow(lean(send), "bucket int, block binary").groupBy("bucket").applyInPandas(lean_group(answer), "to int, block binary")
-    return stage(sent.groupBy("to").applyInPandas(lean_group(gather), "key long, shared binary"), "shared-values")
+    return stage(sent.groupBy("to").applyInPandas(lean_group(gather), "key long, shared binary, size long"), "shared-values")
 
 
 # ---------------------------------------------------------------- 2: shards
@@ -288,7 +317,7 @@ def _contents(sources: pd.Series, blocks: pd.Series) -> tuple:
     place = np.concatenate([p[4] for p in parts]).astype(np.int64)
     local, id_ = np.concatenate([p[5] for p in parts]), np.concatenate([p[6] for p in parts])
     source = np.repeat(sources.to_numpy(), [len(p[5]) for p in parts])
-    order = np.lexsort((b, a))
+    order = np.argsort(a)
     new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
     code = np.empty(len(a), np.int64)
     code[order] = np.cumsum(new) - 1
@@ -400,7 +429,7 @@ def _piece_blocks(buckets: int):
     places that an earlier document of the same source covers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("size", pa.int64()), ("block", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("block", pa.binary())])
         ids, ties, value, hash_a, hash_b, strings, of, place, data_ = ([] for _ in range(9))
         source, total = TaskContext.get().partitionId() << 24, 0
 
@@ -410,17 +439,17 @@ def _piece_blocks(buckets: int):
             data = np.concatenate(data_)
             size = n + LENGTH - 1
             start = np.cumsum(size) - size
-            order = np.lexsort((id_[o], h, a))
+            order = np.argsort(a)
             new = np.r_[True, (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])]
             group = np.cumsum(new) - 1
-            low = id_[o[order[new]]][group]
+            low = np.minimum.reduceat(id_[o[order]], np.flatnonzero(new))[group]
             later = np.zeros(len(a), bool)
             later[order] = id_[o[order]] > low
-            rows = [(None, source, 0, pack(id_, tie, o[later].astype(np.uint32), p[later].astype(np.uint32), size[later].astype(np.uint32)))]
+            rows = [(None, source, pack(id_, tie, o[later].astype(np.uint32), p[later].astype(np.uint32), size[later].astype(np.uint32)))]
             code = np.empty(len(a), np.int64)
             code[order] = group
             one = order[new]
-            goes = _bucket(v[one], buckets)
+            goes = _bucket(v[one] >> U(CUT), buckets)
             number = np.empty(len(one), np.int64)
             first_hand = np.flatnonzero(~later)
             occurs = {k: first_hand[x] for k, x in by_bucket(goes[code[first_hand]])}
@@ -432,7 +461,7 @@ def _piece_blocks(buckets: int):
                 number[own] = np.arange(len(own))
                 occ = occurs[bucket]
                 names, local = np.unique(o[occ], return_inverse=True)
-                rows.append((bucket, source, len(content), pack(n[pick].astype(np.uint8), content, number[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), names.astype(np.uint32), id_[names])))
+                rows.append((bucket, source, pack(n[pick].astype(np.uint8), content, number[code[occ]].astype(np.uint32), local.astype(np.uint32), p[occ].astype(np.uint32), names.astype(np.uint32), id_[names])))
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
         for b in batches:
@@ -472,19 +501,23 @@ def _piece_blocks(buckets: int):
 
 def covered_places(docs: DataFrame, buckets: int) -> DataFrame:
     """(id, tie, spans): packed starts and ends of the covered places of each document that has any."""
-    values = joinable(shared_values(docs, buckets).withColumnRenamed("key", "__key"), "24 + octet_length(shared)")
+    told = shared_values(docs, buckets)
+    values = joinable(told.filter("shared IS NOT NULL").select(F.col("key").alias("__key"), "shared"), "24 + octet_length(shared)")
+    large = told.filter(F.col("size") > SHARD_BYTES).select(F.col("key").cast("int").alias("__b"), F.ceil(F.col("size") / SHARD_BYTES).cast("int").alias("shards"))
     there = docs.join(values, F.col("key") == F.col("__key")).select("id", "tie", "text", "shared")
-    sent = stage(there.mapInArrow(lean(_piece_blocks(buckets)), "bucket int, source long, size long, block binary"), "pieces")
-    sized = sent.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("size").alias("all")).filter(F.col("all") > SHARD_BYTES)
-    large = joinable(stage(sized.withColumn("shards", F.ceil(F.col("all") / SHARD_BYTES).cast("int")), "large-buckets"), "24")
-    dealt = sent.filter("bucket IS NOT NULL").join(large.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b"), "left")
-    dealt = dealt.select("bucket", F.coalesce("shards", F.lit(1)).alias("shards"), F.pmod(F.xxhash64("block"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"), "source", "block")
+    sent = there.mapInArrow(lean(_piece_blocks(buckets)), "bucket int, source long, block binary")
+    # pieces lie on disk once, in the shuffle to their shards; a source's documents go along as a group of their own
+    dealt = sent.join(joinable(large, "24"), F.col("bucket") == F.col("__b"), "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    shard_of = F.when(F.col("bucket").isNull(), F.col("source")).otherwise(F.pmod(F.xxhash64("block"), F.col("shards")))
+    dealt = dealt.select("bucket", "shards", shard_of.alias("shard"), "source", "block")
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pd.isna(pdf["bucket"].iloc[0]):
+            return pd.DataFrame({"source": pdf["source"], "bucket": pd.array([None] * len(pdf), "Int32"), "segment": pd.array([None] * len(pdf), "Int32"), "docs": True, "block": pdf["block"]})
         k = int(pdf["shards"].iloc[0])
         replies, strings = _shard(pdf["source"], pdf["block"], 1 if k == 1 else k * (SHARD_BYTES // SEGMENT_BYTES + 1) * 4)
         rows = [(to, None, None, x) for to, x in replies] + [(None, int(pdf["bucket"].iloc[0]), seg, x) for seg, x in strings]
-        return pd.DataFrame({"source": pd.array([r[0] for r in rows], "Int64"), "bucket": pd.array([r[1] for r in rows], "Int32"), "segment": pd.array([r[2] for r in rows], "Int32"), "block": [r[3] for r in rows]})
+        return pd.DataFrame({"source": pd.array([r[0] for r in rows], "Int64"), "bucket": pd.array([r[1] for r in rows], "Int32"), "segment": pd.array([r[2] for r in rows], "Int32"), "docs": False, "block": [r[3] for r in rows]})
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_merge(pdf["block"]), columns=["source", "block"])
@@ -505,11 +538,10 @@ def covered_places(docs: DataFrame, buckets: int) -> DataFrame:
             rows.append((int(id_[of[lo]]), int(tie[of[lo]]), pack(start[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(end) - 1]])))
         return pd.DataFrame(rows, columns=["id", "tie", "spans"])
 
-    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(lean_group(shard), "source long, bucket int, segment int, block binary"), "covered")
+    found = stage(dealt.groupBy("bucket", "shard").applyInPandas(lean_group(shard), "source long, bucket int, segment int, docs boolean, block binary"), "covered")
     merged_ = found.filter("segment IS NOT NULL").groupBy("bucket", "segment").applyInPandas(lean_group(merge), "source long, block binary")
-    replies = found.filter("source IS NOT NULL").select("source", "block").unionByName(merged_).withColumn("docs", F.lit(False))
-    sources = sent.filter("bucket IS NULL").select("source", "block", F.lit(True).alias("docs"))
-    spans = sources.unionByName(replies).groupBy("source").applyInPandas(lean_group(gather), "id long, tie long, spans binary")
+    replies = found.filter("source IS NOT NULL").select("source", "block", "docs").unionByName(merged_.withColumn("docs", F.lit(False)))
+    spans = replies.groupBy("source").applyInPandas(lean_group(gather), "id long, tie long, spans binary")
     return stage(spans.groupBy("id", "tie").agg(F.first("spans").alias("spans")), "covered-places")  # repeated rows are covered alike
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import contextual_pii, decontaminate, pivot_clustering, queries, token_alignment  # noqa: E402
+from eventloom.llm import contextual_pii, decontaminate, pivot_clustering, queries, suffix_dedup, token_alignment  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
@@ -176,3 +176,27 @@ def test_contexts_with_other_followers_find_nothing(spark):
     told_ = [(i, f"the of u{i}@x.org") for i in range(20)] + [(99, "the of me(at)there(dot)org")]
     last = contextual_pii.personal_data(spark.createDataFrame(told_, "doc_id long, text string")).filter("doc_id = 99").first()
     assert last["base"] == [] and [tuple(x) for x in last["spans"]] == [(7, 0, 26)]
+
+
+# ---- 7
+
+
+def test_pieces_lie_on_disk_once_and_their_bytes_are_told_before(spark, monkeypatch):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    lines = [letters(160) for _ in range(40)]
+    rows = [(i, letters(30) + rng.choice(lines) + letters(40) + rng.choice(lines[:2])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tags, stage = [], suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, tag: tags.append(tag) or stage(df, tag))
+    got = suffix_dedup.drop_repeated_bytes(df).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(brute.repeated_bytes(rows))
+    assert sorted(tags) == ["covered", "covered-places", "shared-values"]  # the pieces themselves are only shuffled
+    docs = suffix_dedup._texts(df, "doc_id", "text")
+    told = suffix_dedup.shared_values(docs, 4)
+    size = {r["key"]: r["size"] for r in told.filter("shared IS NULL").collect()}
+    there = docs.join(told.filter("shared IS NOT NULL").withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("id", "tie", "text", "shared")
+    real = dict.fromkeys(size, 0)
+    for r in there.mapInArrow(suffix_dedup._piece_blocks(4), "bucket int, source long, block binary").filter("bucket IS NOT NULL").collect():
+        real[r["bucket"]] += len(suffix_dedup.unpack(r["block"])[1])
+    assert all(0.6 * real[b] <= size[b] for b in size) and sum(size.values()) < 20 * sum(real.values())
