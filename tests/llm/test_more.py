@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import contextual_pii, decontaminate, pivot_clustering, queries, suffix_dedup, token_alignment  # noqa: E402
+from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, queries, suffix_dedup, token_alignment  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
@@ -200,3 +200,24 @@ def test_pieces_lie_on_disk_once_and_their_bytes_are_told_before(spark, monkeypa
     for r in there.mapInArrow(suffix_dedup._piece_blocks(4), "bucket int, source long, block binary").filter("bucket IS NOT NULL").collect():
         real[r["bucket"]] += len(suffix_dedup.unpack(r["block"])[1])
     assert all(0.6 * real[b] <= size[b] for b in size) and sum(size.values()) < 20 * sum(real.values())
+
+
+# ---- 10
+
+
+def test_codes_are_found_by_the_top_bits_of_their_hashes():
+    rng = np.random.default_rng(5)
+    near = np.uint64(7 << 50) + np.arange(9, dtype=np.uint64)  # one place of the table
+    h = np.unique(np.r_[rng.integers(0, 1 << 64, 3000, np.uint64), near, np.uint64(0), np.uint64((1 << 64) - 1)])
+    codes = context_mixing.Codes(h, np.full(len(h), 5), 3)
+    assert codes.most >= len(near) and len(codes.first) == 1 << 17
+    asked = np.r_[h, rng.integers(0, 1 << 64, 3000, np.uint64), near + np.uint64(20)]
+    known, at = codes.find(asked)
+    assert known.tolist() == np.isin(asked, h).tolist() and (codes.names[at[known]] == asked[known]).all()
+
+
+def test_sums_by_number_do_not_depend_on_how_far_numbers_lie():
+    source, value = np.array([3, 1, 3, 3, 1]), np.array([0.5, 2.0, 0.25, 1.0, 4.0])
+    for local in ([2, 0, 2, 1, 1], [900, 7, 900, 3, 9000]):
+        out = {s: [x.tolist() for x in suffix_dedup.unpack(b)] for s, b in context_mixing._by_local(source, np.array(local), value)}
+        assert out == {1: [[local[1], local[4]], [2.0, 4.0]], 3: [[local[3], local[0]], [1.0, 0.75]]}
