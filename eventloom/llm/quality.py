@@ -43,6 +43,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _NULL = "\x00null"
+#: Bytes of texts whose words are held in memory at once.
+SLICE = 1 << 19
 
 
 def _distinct_runs(of: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +81,12 @@ def statistics(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def column_statistics(column: pa.Array) -> dict[str, np.ndarray]:
+    """The five statistics of each text of a column, taken slice by slice."""
+    parts = [statistics(data, off) for _, data, off in slices(column, SLICE)]
+    return {s: np.concatenate([p[s] for p in parts]) if parts else np.zeros(0, np.int64) for s in STATS}
+
+
 def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all by default) and the five statistics as longs."""
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in STATS]
@@ -86,8 +94,8 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [statistics(data, off) for _, data, off in slices(b.column("__text"))]
-            cols = [pa.array(np.concatenate([p[s] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for s in STATS]
+            found = column_statistics(b.column("__text"))
+            cols = [pa.array(found[s], pa.int64()) for s in STATS]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], schema=pa.schema([*(b.schema.field(c) for c in kept), *(pa.field(s, pa.int64()) for s in STATS)]))
 
     schema = source.select(*kept).withColumns({s: F.lit(0).cast("long") for s in STATS}).schema

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, queries, suffix_dedup, token_alignment  # noqa: E402
+from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, quality, queries, suffix_dedup, token_alignment  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
@@ -221,3 +221,22 @@ def test_sums_by_number_do_not_depend_on_how_far_numbers_lie():
     for local in ([2, 0, 2, 1, 1], [900, 7, 900, 3, 9000]):
         out = {s: [x.tolist() for x in suffix_dedup.unpack(b)] for s, b in context_mixing._by_local(source, np.array(local), value)}
         assert out == {1: [[local[1], local[4]], [2.0, 4.0]], 3: [[local[3], local[0]], [1.0, 0.75]]}
+
+
+# ---- 6
+
+
+def test_statistics_of_a_large_batch_need_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(400)) for i in range(1500)]
+    column = pa.array([*texts, None, ""])
+    tracemalloc.start()
+    got = quality.column_statistics(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and len(got["n_words"]) == 1502
+    plain = [quality.column_statistics(pa.array([t])) for t in [*texts[::300], None, ""]]
+    assert all(got[s][[*range(0, 1500, 300), 1500, 1501]].tolist() == [int(x[s][0]) for x in plain] for s in quality.STATS)
