@@ -52,6 +52,10 @@ WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 # Fixed rule of byte-level vocabularies: bytes that print stand for themselves, the others follow from U+0100 on.
 _PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(x for x in range(256) if x not in _PRINT)}
+#: The code point of each byte's letter; line ends stay what they are.
+_LINES = np.array([b if b == 10 else BYTE_LETTERS.get(b, b) for b in range(256)], "<u4")
+_ALPHA = np.array([bytes([b]).isalpha() for b in range(256)]).astype(np.int64)
+_MARK = np.isin(np.arange(256), [ord(c) for c in MARKS])
 
 
 class _Cache(dict):
@@ -120,37 +124,61 @@ class Encoder:
 
     def _encode(self, token: str) -> bytes:
         """Ids of one pre-token: its bytes, spelled in the vocabulary's letters, go to the BPE model."""
-        return self._spelled(token.encode().decode("latin-1").translate(BYTE_LETTERS))
-
-    def _spelled(self, letters: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return self._coded([token.encode().decode("latin-1").translate(BYTE_LETTERS)])[0]
+
+    def _spelled(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens without line ends, put in the vocabulary's letters together."""
+        text = np.frombuffer(b"\n".join(words), np.uint8)
+        return self._coded(_LINES[text].tobytes().decode("utf-32-le").split("\n")) if words else []
+
+    def _coded(self, words: list[str]) -> list[bytes]:
+        """Ids of words in the vocabulary's letters."""
+        ids, cuts, step = [], [0], self.kind.itemsize
+        for tokens in map(self.model.tokenize, words):
+            ids += [t.id for t in tokens]
+            cuts.append(len(ids) * step)
+        flat = array(self.code, ids).tobytes()
+        return [flat[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def _new(self, segments: list[bytes]) -> list[bytes]:
-        """Ids of segments that are not known yet; those that are one pre-token are spelled together."""
+        """Ids of segments that are not known yet.  Those that are one pre-token, or one and a mark after it,
+        are told by their bytes, where these are ASCII, and spelled together."""
         out: list = [None] * len(segments)
-        plain = []
-        for i, x in enumerate(segments):
-            text = x.decode()
+        if not segments:
+            return out
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        first = np.cumsum(size) - size
+        narrow = np.maximum.reduceat(data, first) < 0x80
+        bare = size - (data[first] == 0x20)
+        count = np.add.reduceat(_ALPHA[data], first)
+        alone = narrow & (count == bare) & (bare > 0)
+        before = narrow & (count == bare - 1) & (bare > 1) & _MARK[data[first + size - 1]]
+        plain, marked = np.flatnonzero(alone).tolist(), np.flatnonzero(before).tolist()
+        for i in np.flatnonzero(~alone & ~before).tolist():
+            text = segments[i].decode()
             word = text[1:] if text[:1] == " " else text
             if not text.isascii() and max(text) >= "ɐ":  # scripts on which Unicode versions might differ
                 out[i] = self._whole(text)
             elif word.isalpha():
                 plain.append(i)
             elif word[-1:] in MARKS and word[:-1].isalpha():
-                out[i] = self.tokens[text[:-1]] + self.tokens[word[-1]]
+                marked.append(i)
             else:
                 out[i] = b"".join(map(self.tokens.__getitem__, self.pattern.findall(text)))
-        for i, x in zip(plain, self._letters([segments[i] for i in plain]), strict=True):
-            out[i] = self._spelled(x)
+        heads = [segments[i][:-1] for i in marked]
+        begun = [self.known.get(x) or self.older.get(x) for x in heads]
+        words = dict.fromkeys([segments[i] for i in plain])
+        fresh = [x for x, ids in zip(heads, begun, strict=True) if ids is None]
+        words.update(dict.fromkeys(fresh))
+        made = dict(zip(words, self._spelled(list(words)), strict=True))
+        for i in plain:
+            out[i] = made[segments[i]]
+        for i, x, ids in zip(marked, heads, begun, strict=True):
+            out[i] = (ids or made[x]) + self.tokens[chr(segments[i][-1])]
+        self.known.update((x, made[x]) for x in fresh)
         return out
 
-    def _letters(self, words: list[bytes]) -> list[str]:
-        """Words in the vocabulary's letters: ASCII ones change only in the space before them."""
-        text = b"\n".join(words)
-        if text.isascii():
-            return text.decode().replace(" ", chr(BYTE_LETTERS[0x20])).split("\n") if words else []
-        return [x.decode().replace(" ", chr(BYTE_LETTERS[0x20])) if x.isascii() else x.decode("latin-1").translate(BYTE_LETTERS) for x in words]
-
     def _ids(self, segments: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.older, self.known = self.known, {}

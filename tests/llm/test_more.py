@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, quality, queries, suffix_dedup, token_alignment  # noqa: E402
+from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, quality, queries, suffix_dedup, token_alignment, token_files  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
@@ -240,3 +240,25 @@ def test_statistics_of_a_large_batch_need_little_memory():
     assert peak < 60 << 20 and len(got["n_words"]) == 1502
     plain = [quality.column_statistics(pa.array([t])) for t in [*texts[::300], None, ""]]
     assert all(got[s][[*range(0, 1500, 300), 1500, 1501]].tolist() == [int(x[s][0]) for x in plain] for s in quality.STATS)
+
+
+# ---- 9
+
+
+def test_words_before_a_mark_are_spelled_with_those_alone():
+    encode = token_files.Encoder(A, True)
+
+    class Counting:
+        asked: list[str] = []
+        model = encode.model
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.model.tokenize(word)
+
+    encode.model = Counting()
+    parts = [" qzxvam", " qzxvam,", " qzxvam.", "qzxvam!", " čtvrtekův", " čtvrtekův;", " don't", " 12,", "\n", "\n\n", " a\tb", "...", ",", " 日本", "x", " "]
+    want = [np.array(encode.tokenizer.encode(x, add_special_tokens=False).ids, encode.kind).tobytes() for x in parts]
+    assert encode._ids([x.encode() for x in parts]) == want and encode._ids([x.encode() for x in parts]) == want
+    assert encode._ids([b" wobblux;", b" wobblux"]) == [encode._whole(" wobblux;"), encode._whole(" wobblux")]
+    assert len(Counting.asked) == len(set(Counting.asked))
