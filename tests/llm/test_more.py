@@ -12,12 +12,35 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import context_mixing, contextual_pii, decontaminate, pivot_clustering, quality, queries, suffix_dedup, token_alignment, token_files  # noqa: E402
+from eventloom.llm import context_mixing, contextual_pii, decontaminate, lattice_sampling, pivot_clustering, quality, queries, suffix_dedup, token_alignment, token_files  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
 
 
+# ---- 1
+
+
+def test_pieces_are_followed_byte_by_byte_from_their_first():
+    import sentencepiece
+
+    v = lattice_sampling.Vocabulary(B)
+    sp = sentencepiece.SentencePieceProcessor(model_file=B)
+    pieces = {i: v.bytes[i] for i in range(sp.get_piece_size()) if (v.node_ids == i).any()}
+    assert len(pieces) > 30_000
+    prefixes = {p[:k] for p in pieces.values() for k in range(1, len(p) + 1)}
+    assert len(prefixes) == len(v.node_ids) - 1 == (v.edge >= 0).sum()
+    rng = random.Random(7)
+    asked = [*pieces.values(), *(bytes(rng.choices(range(256), k=3)) for _ in range(3000)), *(p + bytes([rng.randrange(256)]) for p in rng.sample([*pieces.values()], 3000))]
+    node, there = np.zeros(len(asked), np.int32), np.ones(len(asked), bool)
+    for k in range(max(map(len, asked))):
+        live = np.flatnonzero([len(x) > k and t for x, t in zip(asked, there, strict=True)])
+        node[live] = v.follow(node[live], np.array([asked[i][k] for i in live], np.uint8))
+        there[live] = node[live] > 0
+    assert there.tolist() == [x in prefixes for x in asked]
+    assert v.node_ids[node[: len(pieces)]].tolist() == list(pieces)
+
+
 # ---- 4
 
 
