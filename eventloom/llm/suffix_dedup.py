@@ -5,8 +5,11 @@ least hashed GRAM-gram, so the runs of successive strings with one such least va
 strings lie within one piece of text of about 67 bytes) can be dealt by it, and equal strings meet.
 
 1. Every document sends its values, deduplicated, to the value's bucket, which answers with those
-   that a second document has.  Values and document keys are cut to 40 bits on the way, and values in
-   answers to 16, which can only add to them.  A bucket also tells how many bytes of pieces it will get.
+   that a second document has.  A gram alone meets by chance in a large corpus, so a value goes with two
+   checks of 15 bits: of the gram with the SIDE bytes before it, and of the gram with those after it.
+   Each string of LENGTH bytes has one of the two whole, so a value counts as shared where either check
+   agrees.  Values are cut to 34 bits on the way and document keys to 40, and values in answers to 16,
+   which can only add to them.  A bucket also tells how many bytes of pieces it will get.
 2. The pieces of the values answered go to their buckets, equal pieces once for each batch of texts.
    A bucket's pieces make a shard: its suffix array is found by Larsson-Sadakane refinement (sorted by
    the first eight bytes, then groups that are still tied by the ranks 8, 16, 32 ... places on), the
@@ -35,16 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import U, mix, slices
-from .shared import by_bucket, joinable, lean, lean_group, merged, pack, stage, text_bytes, unpack
+from .shared import by_bucket, joinable, lean, lean_group, merged, pack, shuffles_dropped, stage, text_bytes, unpack
 
 LENGTH, GRAM = 50, 16
 SPREAD = LENGTH - GRAM + 1
+#: Bytes beside a gram, of which a string that holds the gram has those before it or those after it.
+SIDE = SPREAD // 2
 BUCKET_BYTES, SHARD_BYTES, SEGMENT_BYTES, SOURCE_BYTES = 4 << 20, 6 << 20, 4 << 20, 12 << 20
 #: Successive strings in a piece at most; a longer run (of a periodic text) is cut.
 RUN = 64
 FLUSH = 2_000_000
-#: Bits cut off values and document keys on the way to the buckets of values.
-CUT = 24
+#: Bits cut off document keys on the way to the buckets of values; bits of a check, two of which stand
+#: for the lower bits of a value.
+CUT, CHECK = 24, 15
 #: Bytes of a piece of SPREAD / 2 strings, and sources into which a flush's pieces fall at most.
 PIECE_BYTES = LENGTH - 1 + (SPREAD + 1) // 2
 FLUSH_SOURCES = FLUSH * PIECE_BYTES // SOURCE_BYTES + 1
@@ -63,35 +69,49 @@ def loads(data: np.ndarray, order: str = "<u8") -> np.ndarray:
     return out[:n]
 
 
-def least_values(data: np.ndarray) -> np.ndarray:
-    """For each place the least mixed value of the SPREAD grams of the string from there on."""
-    n = len(data) - LENGTH + 1
-    if n <= 0:
-        return np.zeros(0, U)
+def _over(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or greatest (as `of` has it) of each `width` successive numbers."""
+    have = 1
+    while 2 * have <= width:
+        x = of(x[:-have], x[have:])
+        have *= 2
+    return of(x[: have - width], x[width - have :]) if have < width else x
+
+
+def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight bytes from each place on, and the mixed value of each gram; none for less than LENGTH bytes."""
+    if len(data) < LENGTH:
+        return np.zeros(0, U), np.zeros(0, U)
     a = loads(data)
     g = len(data) - GRAM + 1
-    h = mix(a[:g] * _ODD[0] + a[8 : 8 + g] * _ODD[1] + a[GRAM - 8 : GRAM - 8 + g] * _ODD[2])
-    width = 1
-    while 2 * width <= SPREAD:
-        h = np.minimum(h[:-width], h[width:])
-        width *= 2
-    rest = SPREAD - width
-    return np.minimum(h[: len(h) - rest], h[rest:])[:n] if rest else h[:n]
+    # none is 0 (a gram of zeros would be), which stands for no string
+    return a, np.maximum(mix(a[:g] * _ODD[0] + a[8 : 8 + g] * _ODD[1] + a[GRAM - 8 : GRAM - 8 + g] * _ODD[2]), U(1 << 2 * CHECK))
 
 
-def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(value, first place, number of strings, text number) of each run."""
-    m = least_values(data)
-    inside = np.zeros(len(m) + 1, np.int64)
+def _inside(n: int, off: np.ndarray) -> np.ndarray:
+    """Whether the string at each of n places lies in one text."""
+    inside = np.zeros(n + 1, np.int64)
     long = np.flatnonzero(np.diff(off) >= LENGTH)
     np.add.at(inside, off[:-1][long], 1)
     np.add.at(inside, off[1:][long] - LENGTH + 1, -1)
-    at = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    return np.cumsum(inside[:-1]) > 0
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first place, number of strings, text number) of each run."""
+    h = grams(data)[1]
+    m = _over(h, SPREAD, np.minimum) if len(h) else h
+    return _runs(m, _inside(len(m), off), off)
+
+
+def _runs(m: np.ndarray, inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of texts whose strings have the least values m."""
+    at = np.flatnonzero(inside)
     if not len(at):
         return np.zeros(0, U), at, at, at
     new = np.r_[True, (m[at[1:]] != m[at[:-1]]) | (at[1:] != at[:-1] + 1)]
     border = np.zeros(len(m) + 1, bool)
-    border[off[:-1][long]] = True
+    border[off[:-1][np.diff(off) >= LENGTH]] = True
     new |= border[at]
     run = np.flatnonzero(new)
     place = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
@@ -100,6 +120,36 @@ def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return m[start], start, np.diff(np.r_[first, len(at)]), np.searchsorted(off, start, "right") - 1
 
 
+def checked_values(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value with its two checks, text number, look of its piece), in the order of places, for each gram
+    that is the least of some string: 34 bits of its value, then the check of the gram with the SIDE bytes
+    before it and that with those after it, each 0 where no string of that value has them."""
+    a, h = grams(data)
+    if not len(h):
+        return h, h.astype(np.int64), h
+    m = _over(h, SPREAD, np.minimum)
+    inside = _inside(len(m), off)
+    _, first, n, doc = _runs(m, inside, off)
+    # the greatest least value of the strings that have a side of a gram is the gram's own, or the gram is of
+    # no use there; the low byte of a value gives way to that of the string's place
+    strings = np.zeros(SPREAD - 1 + len(h), U)
+    strings[SPREAD - 1 : SPREAD - 1 + len(m)] = np.where(inside, m & ~U(0xFF) | np.arange(len(m), dtype=U) & U(0xFF), U(0))
+    most = _over(strings, SPREAD - SIDE, np.maximum)
+    before, after = most[: len(h)], most[SIDE : SIDE + len(h)]
+    is_before, is_after = before ^ h <= U(0xFF), after ^ h <= U(0xFF)
+    at = np.flatnonzero(is_before | is_after)
+    is_before, is_after = is_before[at], is_after[at]
+    check = np.zeros((2, len(at)), U)
+    for side, has, x in ((0, is_before, (-SIDE, -SIDE + 8, -8)), (1, is_after, (GRAM, GRAM + 8, GRAM + SIDE - 8))):
+        p = at[has]
+        check[side, has] = (mix(h[p] + a[p + x[0]] * _ODD[0] + a[p + x[1]] * _ODD[1] + a[p + x[2]] * _ODD[2]) >> U(32)) % U((1 << CHECK) - 1) + U(1)
+    base = at - np.where(is_after, SIDE, SPREAD - 1)
+    string = base + ((np.where(is_after, after[at], before[at]).astype(np.int64) - base) & 0xFF)
+    piece = np.maximum(np.searchsorted(first, string, "right") - 1, 0)
+    look = a[first[piece]] ^ a[first[piece] + n[piece] + LENGTH - 9] * _ODD[0]
+    return h[at] >> U(2 * CHECK) << U(2 * CHECK) | check[0] << U(CHECK) | check[1], doc[piece], look
+
+
 def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
     """Least values crowd at zero, so they are mixed once more."""
     return (((mix(value + _ODD[0]) >> U(32)) * U(buckets)) >> U(32)).astype(np.int32)
@@ -127,17 +177,32 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # ---------------------------------------------------------------- 1: values that two documents have
 
 
-def _by_value(v: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by value, the first place of each value there, and whether it has several keys."""
-    order = np.argsort(v)
-    start = np.flatnonzero(np.r_[True, v[order][1:] != v[order][:-1]])
-    key = key[order]
-    return order, start, np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)
+def _several(v: np.ndarray, key: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Whether the value of each row, which are in order, has several keys or a row that is told."""
+    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    there = (np.minimum.reduceat(key, start) != np.maximum.reduceat(key, start)) | np.logical_or.reduceat(told, start)
+    return np.repeat(there, np.diff(np.r_[start, len(v)]))
+
 
+def _shared(x: np.ndarray, key: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """Whether a check of each value, which are in order, agrees with another key's or with one told."""
+    out = np.zeros(len(x), bool)
+    last = U((1 << CHECK) - 1)
+    at = np.flatnonzero(_several(x >> U(2 * CHECK), key, told))
+    if not len(at):
+        return out
+    x, key, told = x[at], key[at], told[at]
+    out[at] = _several(x >> U(CHECK), key, told) & (x >> U(CHECK) & last > U(0))
+    after = x >> U(2 * CHECK) << U(CHECK) | x & last
+    order = np.argsort(after)
+    after = after[order]
+    out[at[order]] |= _several(after, key[order], told[order]) & (after & last > U(0))
+    return out
 
-def _told(v: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+
+def _told(x: np.ndarray, key: np.ndarray, hit: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
     """Blocks that tell documents of some of their values, dealt by document."""
-    v, key = v[hit].astype(np.uint16), key[hit]
+    v, key = (x[hit] >> U(2 * CHECK)).astype(np.uint16), key[hit]
     order = np.argsort(key, kind="stable")
     v, key = v[order], key[order]
     return [(b, pack(key[rows], v[rows])) for b, rows in by_bucket(_bucket(key.view(U), buckets))]
@@ -155,40 +220,38 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
     and for each bucket as key the bytes of pieces of such values that it will get, about, with shared null.
 
     Documents of one flush that share a value hear of it at once, by way of their own bucket, and the
-    value goes to its bucket once: a value that most texts have is no hot bucket.  With it goes how many
-    pieces of several documents' value are sent: those that look different, once for each source."""
+    value with its checks goes to its bucket once: a value that most texts have is no hot bucket.  With it
+    goes how many pieces of several documents' value are sent: those that look different, once for each source."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, key, look, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            v, d, seen = (np.concatenate(x) for x in (value, key, look))
-            order, start, several = _by_value(v, d)
-            v, d, seen = v[order], d[order], seen[order]
-            one, count = v[start], np.diff(np.r_[start, len(v)])
-            many = np.repeat(several, count)
+            x, d, seen = (np.concatenate(c) for c in (value, key, look))
+            order = np.argsort(x)
+            x, d, seen = x[order], d[order], seen[order]
+            many = _shared(x, d, np.zeros(len(x), bool))
+            start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+            one, count, several = x[start], np.diff(np.r_[start, len(x)]), many[start]
             pieces_ = np.zeros(len(one), np.int64)
             if several.any():
                 own = count[several]
-                pieces_[several] = np.minimum(own, FLUSH_SOURCES * _contents_of(v[many], seen[many], np.cumsum(own) - own))
+                pieces_[several] = np.minimum(own, FLUSH_SOURCES * _contents_of(x[many], seen[many], np.cumsum(own) - own))
             sent = np.minimum(pieces_, 0xFFFF).astype(np.uint16)
-            out = [(b, pack(one[rows], d[start][rows], sent[rows])) for b, rows in by_bucket(_bucket(one, buckets))]
-            out += _told(v, d, many, buckets)
+            out = [(b, pack(one[rows], d[start][rows], sent[rows])) for b, rows in by_bucket(_bucket(one >> U(2 * CHECK), buckets))]
+            out += _told(x, d, many, buckets)
             return pa.RecordBatch.from_pandas(_frame(out, "bucket"), schema=pa.schema([("bucket", pa.int32()), ("block", pa.binary())]))
 
         for b in batches:
             for lo, data, off in slices(b.column("text")):
-                v, first, n, doc = pieces(data, off)
-                v = v >> U(CUT)
-                if not len(v):
+                x, doc, seen = checked_values(data, off)
+                if not len(x):
                     continue
-                both = doc.astype(U) << U(64 - CUT) | v  # a slice has fewer texts than 1 << CUT
-                order = np.argsort(both)
-                keep = order[np.r_[True, both[order][1:] != both[order][:-1]]]
-                word = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
-                value.append(v[keep])
+                order = np.argsort(x, kind="stable")
+                keep = order[np.r_[True, (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])]]
+                value.append(x[keep])
                 key.append(b.column("key").slice(lo, len(off) - 1).to_numpy()[doc[keep]])
-                look.append(word[first[keep]] ^ word[first[keep] + n[keep] + LENGTH - 9] * _ODD[0])
+                look.append(seen[keep])
                 held += len(keep)
                 if held > FLUSH:
                     yield flush()
@@ -202,13 +265,12 @@ def shared_values(docs: DataFrame, buckets: int) -> DataFrame:
         out = [(to, x) for x, part in zip(pdf["block"], parts, strict=True) if len(part) == 2]
         asked = [part for part in parts if len(part) == 3]
         if asked:
-            v, key, sent = (np.concatenate(x) for x in zip(*asked, strict=True))
-            order, start, several = _by_value(v, key)
-            v, key, sent = v[order], key[order], sent[order].astype(np.int64)
+            x, key, sent = (np.concatenate(c) for c in zip(*asked, strict=True))
+            order = np.argsort(x)
+            x, key, sent = x[order], key[order], sent[order].astype(np.int64)
             told = sent > 0
-            several |= np.logical_or.reduceat(told, start)
-            hit = np.repeat(several, np.diff(np.r_[start, len(v)]))
-            out += _told(v, key, hit & ~told, buckets)
+            hit = _shared(x, key, told)
+            out += _told(x, key, hit & ~told, buckets)
             out.append((buckets, pack(np.array([to]), np.array([int(np.maximum(sent, 1)[hit].sum()) * PIECE_BYTES]))))
         return _frame(out, "to")
 
@@ -449,7 +511,7 @@ def _piece_blocks(buckets: int):
             code = np.empty(len(a), np.int64)
             code[order] = group
             one = order[new]
-            goes = _bucket(v[one] >> U(CUT), buckets)
+            goes = _bucket(v[one] >> U(2 * CHECK), buckets)
             number = np.empty(len(one), np.int64)
             first_hand = np.flatnonzero(~later)
             occurs = {k: first_hand[x] for k, x in by_bucket(goes[code[first_hand]])}
@@ -469,7 +531,7 @@ def _piece_blocks(buckets: int):
             for lo, data, off in slices(b.column("text")):
                 v, start, n, doc = pieces(data, off)
                 first = np.searchsorted(doc, np.arange(len(off)))
-                cut = (v >> U(CUT)).astype(np.uint16)
+                cut = (v >> U(2 * CHECK)).astype(np.uint16)
                 hit = np.zeros(len(v), bool)
                 for i in range(len(off) - 1):
                     own = np.frombuffer(shared[lo + i].as_buffer(), np.uint16)
@@ -549,7 +611,9 @@ def drop_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row; kept has the bytes left."""
     rows = _texts(docs, doc_id, text)
     buckets = max(4, -(-text_bytes(docs, text) // BUCKET_BYTES))
-    spans = joinable(covered_places(rows, buckets).withColumnsRenamed({"id": "__id", "tie": "__tie"}), "48 + octet_length(spans)")
+    with shuffles_dropped(docs.sparkSession):
+        places = covered_places(rows, buckets)
+    spans = joinable(places.withColumnsRenamed({"id": "__id", "tie": "__tie"}), "48 + octet_length(spans)")
     both = rows.join(spans, (F.coalesce("id", F.lit(LAST)) == F.col("__id")) & (rows["tie"] == F.col("__tie")), "left").select("id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,13 +6,14 @@ import random
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
-from eventloom.llm import context_mixing, contextual_pii, decontaminate, lattice_sampling, pivot_clustering, quality, queries, suffix_dedup, token_alignment, token_files  # noqa: E402
+from eventloom.llm import context_mixing, contextual_pii, decontaminate, flat, lattice_sampling, pivot_clustering, quality, queries, suffix_dedup, token_alignment, token_files  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.PIECES)
@@ -225,6 +226,44 @@ def test_pieces_lie_on_disk_once_and_their_bytes_are_told_before(spark, monkeypa
     assert all(0.6 * real[b] <= size[b] for b in size) and sum(size.values()) < 20 * sum(real.values())
 
 
+def test_grams_that_meet_by_chance_send_no_pieces_and_shuffles_go(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    short, line = "a common run of 30 bytes only.", letters(70)
+    rows = [(i, letters(60) + short + letters(60)) for i in range(200)] + [(i, letters(50) + line + letters(50)) for i in range(200, 204)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    told = suffix_dedup.shared_values(suffix_dedup._texts(df, "doc_id", "text"), 4).filter("shared IS NOT NULL").collect()
+    assert 4 <= len(told) < 20  # nearly all 204 by their grams alone
+    conf, seen, stage = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, tag: seen.append(spark.conf.get(conf)) or stage(df, tag))
+    before = spark.conf.get(conf)
+    got = suffix_dedup.drop_repeated_bytes(df).collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(brute.repeated_bytes(rows))
+    assert seen == ["true"] * 3 and spark.conf.get(conf) == before
+
+
+def test_equal_strings_agree_in_a_check():
+    rng = random.Random(1)
+    for alphabet in ("a", "ab", "abc", "abcdefgh ", " aé", "\0b"):
+        letters = lambda n: "".join(rng.choice(alphabet) for _ in range(n))  # noqa: E731, B023
+        base = [letters(rng.randrange(30, 160)) for _ in range(4)] + ["ab" * 70, "a" * 120, "abc" * 50]
+        texts = ["".join(rng.choice([rng.choice(base), letters(rng.randrange(40))]) for _ in range(rng.randrange(1, 6))) for _ in range(12)]
+        ((_, data, off),) = flat.slices(pa.array(texts))
+        x, doc, _ = suffix_dedup.checked_values(data, off)
+        order = np.argsort(x)
+        hit = order[suffix_dedup._shared(x[order], doc[order], np.zeros(len(x), bool))]
+        told = set(zip(doc[hit].tolist(), (x[hit] >> np.uint64(2 * suffix_dedup.CHECK)).tolist()))
+        least = [int(v) >> 2 * suffix_dedup.CHECK for v, n in zip(*(c.tolist() for c in suffix_dedup.pieces(data, off)[::2])) for _ in range(n)]
+        there = {}
+        for i, t in enumerate(texts):
+            b = t.encode()
+            for j in range(len(b) - suffix_dedup.LENGTH + 1):
+                there.setdefault(b[j : j + suffix_dedup.LENGTH], set()).add((i, least.pop(0)))
+        assert not least
+        for owners in there.values():
+            assert len({i for i, _ in owners}) == 1 or owners <= told
+
+
 # ---- 10
 
 
