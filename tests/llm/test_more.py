@@ -22,6 +22,19 @@ A, B = queries.tokenizer_path(queries.BYTE_BPE), queries.tokenizer_path(queries.
 # ---- 1
 
 
+def test_segmentation_query_decodes_what_it_encodes(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    got = queries.op1_lattice_sampling(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    assert all(r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in got)
+    monkeypatch.setattr(lattice_sampling, "DECODED", 500)
+    ids = lattice_sampling.sample_segmentations(docs.limit(40), B, F.col("doc_id"), keep=["doc_id", "lang"]).drop("doc_id").withColumn("lang", F.lit("x"))
+    ids = ids.unionByName(ids.limit(1).withColumn("ids", F.lit(None)), allowMissingColumns=True)
+    back = lattice_sampling.decode_ids(ids, B).collect()
+    assert {r["text"] for r in back} <= {*texts.values(), None} and sum(r["text"] is None for r in back) == 1
+
+
 def test_pieces_are_followed_byte_by_byte_from_their_first():
     import sentencepiece
 
